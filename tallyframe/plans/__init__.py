@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "bench")
 
 
 def registry() -> dict:
