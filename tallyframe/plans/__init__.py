@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench")
+MODULES = ("retrieval", "bench", "validate")
 
 
 def registry() -> dict:
