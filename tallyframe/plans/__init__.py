@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench", "validate")
+MODULES = ("retrieval", "bench", "validate", "inventory")
 
 
 def registry() -> dict:
