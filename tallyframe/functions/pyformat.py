@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.util import let
+
 _SPLIT = 134217729.0  # 2^27 + 1
 
 
@@ -23,30 +25,34 @@ def _split(a: Column):
     return hi, a - hi
 
 
-def _two_product(a: Column, b: float):
-    p = a * F.lit(b)
-    ah, al = _split(a)
-    bh, bl = _split(F.lit(b))
-    err = ((ah * bh - p) + ah * bl + al * bh) + al * bl
-    return p, err
-
-
 def py_fixed(x: Column, d: int) -> Column:
     """``f"{x:.{d}f}"`` for a DOUBLE column (null stays null)."""
-    a = F.abs(x.cast("double"))
-    p, err = _two_product(a, float(10 ** d))
-    fl = F.floor(p)
-    frac = (p - fl) + err           # exact value = fl + frac, frac in (-eps, 1 + eps)
-    odd = (fl % 2) == 1
-    up = (frac > 0.5) | ((frac == 0.5) & odd)
-    r = F.when(up, fl + 1).otherwise(fl).cast("bigint")
-    rs = r.cast("string")
-    digits = F.when(F.char_length(rs) < d + 1, F.lpad(rs, d + 1, "0")).otherwise(rs)
-    n = F.char_length(digits)
-    body = digits if d == 0 else F.concat(F.substring(digits, F.lit(1), n - d), F.lit("."),
-                                          F.substring(digits, n - d + 1, F.lit(d)))
-    return F.when(x.isNull(), F.lit(None)).otherwise(
-        F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body))
+    scale = float(10 ** d)
+
+    def digits_of(a):
+        p = a * F.lit(scale)
+        ah, al = _split(a)
+        bh, bl = _split(F.lit(scale))
+        err = ((ah * bh - p) + ah * bl + al * bh) + al * bl   # a * scale == p + err exactly
+
+        def rounded(pe):
+            fl = F.floor(pe["p"])
+            frac = (pe["p"] - fl) + pe["e"]   # exact value = fl + frac
+            up = (frac > 0.5) | ((frac == 0.5) & ((fl % 2) == 1))
+            return F.when(up, fl + 1).otherwise(fl).cast("bigint").cast("string")
+        return let(F.struct(p.alias("p"), err.alias("e")), rounded)
+
+    def text(rs):
+        digits = F.when(F.char_length(rs) < d + 1, F.lpad(rs, d + 1, "0")).otherwise(rs)
+        if d == 0:
+            return digits
+        return let(digits, lambda g: F.concat(
+            F.substring(g, F.lit(1), F.char_length(g) - d), F.lit("."),
+            F.substring(g, F.char_length(g) - d + 1, F.lit(d))))
+
+    return let(x.cast("double"), lambda v: F.when(v.isNull(), F.lit(None)).otherwise(F.concat(
+        F.when(v < 0, F.lit("-")).otherwise(F.lit("")),
+        let(digits_of(F.abs(v)), text))))
 
 
 def py_fixed_dynamic(x: Column, d: Column, max_digits: int = 3) -> Column:

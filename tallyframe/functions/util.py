@@ -52,3 +52,12 @@ def running_agg(df: DataFrame, keys: list[str], order: list[str], value: str, bu
         if not include_current:
             res = F.when(F.col("__in").isNull() & F.col("__carry").isNull(), F.lit(None)).otherwise(res)
     return j.withColumn(out, res).drop("__b", "__in", "__carry")
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable and evaluate ``body(var)`` once.
+
+    Column expressions are trees: a sub-expression used k times is copied k
+    times. Deep formulas that reuse intermediates (exact rounding, unit
+    ladders) stay linear in size by binding them here."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.pyformat import py_fixed, py_fixed_dynamic
-from tallyframe.functions.util import running_agg
+from tallyframe.functions.util import let, running_agg
 
 # Tensor element types (name, code, elements per block, bytes per block).
 QUANT_TYPES = [
@@ -135,14 +135,15 @@ def fixed_decimals(x: Column, digits: int | Column, max_digits: int = 3) -> Colu
 def human_bytes(n: Column) -> Column:
     """Decimal units B/K/M/G with one decimal; 0 -> 'negligible - metadata
     only'; >= 1000 G -> T with a split recommendation."""
-    f = n.cast("double")
-    a = F.abs(f)
-    return (F.when(n == 0, F.lit("negligible - metadata only"))
-            .when(a < 1e3, fixed_decimals(f, 1))
-            .when(a < 1e6, F.concat(fixed_decimals(f / 1e3, 1), F.lit("K")))
-            .when(a < 1e9, F.concat(fixed_decimals(f / 1e6, 1), F.lit("M")))
-            .when(a < 1e12, F.concat(fixed_decimals(f / 1e9, 1), F.lit("G")))
-            .otherwise(F.concat(fixed_decimals(f / 1e12, 1), F.lit("T - over 1TB, split recommended"))))
+    def fmt(f):
+        a = F.abs(f)
+        scaled = (F.when(a < 1e3, f).when(a < 1e6, f / 1e3).when(a < 1e9, f / 1e6)
+                  .when(a < 1e12, f / 1e9).otherwise(f / 1e12))
+        unit = (F.when(a < 1e3, "").when(a < 1e6, "K").when(a < 1e9, "M").when(a < 1e12, "G")
+                .otherwise("T - over 1TB, split recommended"))
+        return F.when(f == 0, F.lit("negligible - metadata only")).otherwise(
+            F.concat(fixed_decimals(scaled, 1), unit))
+    return let(n.cast("double"), fmt)
 
 
 def parse_size(s: Column, strict: bool = False) -> Column:
@@ -160,12 +161,16 @@ def parse_size(s: Column, strict: bool = False) -> Column:
 def count_label(n: Column, min_digits: int = 2) -> Column:
     """P10: parameter-count label - T/B/M/K scaling (strict ``>``), with enough
     decimals for ``min_digits`` significant digits."""
-    x = n.cast("double")
-    scaled = (F.when(x > 1e12, x * 1e-12).when(x > 1e9, x * 1e-9).when(x > 1e6, x * 1e-6).otherwise(x * 1e-3))
-    suffix = F.when(x > 1e12, "T").when(x > 1e9, "B").when(x > 1e6, "M").otherwise("K")
-    int_digits = F.char_length(F.ltrim(F.bround(scaled, 0).cast("bigint").cast("string"), F.lit("0")))
-    fix = F.greatest(F.lit(min_digits) - int_digits, F.lit(0))
-    return F.concat(fixed_decimals(scaled, fix), suffix)
+    def fmt(x):
+        scaled = (F.when(x > 1e12, x * 1e-12).when(x > 1e9, x * 1e-9).when(x > 1e6, x * 1e-6).otherwise(x * 1e-3))
+        suffix = F.when(x > 1e12, "T").when(x > 1e9, "B").when(x > 1e6, "M").otherwise("K")
+
+        def body(sc):
+            int_digits = F.char_length(F.ltrim(F.bround(sc, 0).cast("bigint").cast("string"), F.lit("0")))
+            fix = F.greatest(F.lit(min_digits) - int_digits, F.lit(0))
+            return F.concat(fixed_decimals(sc, fix), suffix)
+        return let(scaled, body)
+    return let(n.cast("double"), fmt)
 
 
 def size_label(total: Column, shared: Column, expert: Column, expert_count: Column) -> Column:

@@ -19,6 +19,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("TALLYFRAME_DRIVER_MEMORY", "16g"))
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
