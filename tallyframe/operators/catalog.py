@@ -540,19 +540,29 @@ def complete_groups(parts: DataFrame, n: int, block: str = "block", proj: str =
 
 
 # ----------------------------------------------------------- windows
-def _fold_shards(max_tensors: int, max_bytes: int, small_first: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos", kind="stable")
-        shard, count, size = (1 if small_first else 0), 0, 0
-        out = []
-        for b in pdf["__bytes"].tolist():
-            b = int(b or 0)
-            if count > 0 and ((max_tensors and count >= max_tensors) or (max_bytes and size + b > max_bytes)):
-                shard, count, size = shard + 1, 0, 0
-            out.append(shard)
-            count += 1
-            size += b
-        return pdf.assign(shard=out)
+def _fold_shards_stream(max_tensors: int, max_bytes: int, small_first: bool):
+    """Greedy shard fold over rows sorted by (model, pos); the state (model,
+    shard, count, bytes) is carried across Arrow batches, so memory is O(1)
+    per task whatever the size of one model."""
+    def run(batches):
+        import numpy as np
+        state = None  # (model, shard, count, size)
+        base = 1 if small_first else 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            models = pdf["__m"].tolist()
+            sizes = pdf["__bytes"].fillna(0).astype("int64").tolist()
+            out = np.empty(len(models), dtype=np.int64)
+            for i, (m, b) in enumerate(zip(models, sizes)):
+                if state is None or state[0] != m:
+                    state = (m, base, 0, 0)
+                _, shard, count, size = state
+                if count > 0 and ((max_tensors and count >= max_tensors) or (max_bytes and size + b > max_bytes)):
+                    shard, count, size = shard + 1, 0, 0
+                out[i] = shard
+                state = (m, shard, count + 1, size + b)
+            yield pdf.assign(shard=out)
     return run
 
 
@@ -560,21 +570,24 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
                 max_bytes: int = 0, small_first: bool = False) -> DataFrame:
     """Greedy split - a new shard opens when the current one is non-empty
     and its tensor count is reached or the next tensor would exceed the byte
-    limit; ``small_first`` keeps shard 0 empty (metadata only).
-
-    Count-only limits are pure arithmetic on the dense position
-    (``floor((rank - 1) / n)``). A byte limit is an order-dependent fold per
-    model, run as one ``applyInPandas`` task per model over (pos, bytes) only;
-    its memory is bounded by the tensor count of one model."""
+    limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
+    unique within a model.
+
+    Count-only limits are arithmetic on the position rank. A byte limit is
+    an order-dependent fold: rows are hash-partitioned by model, sorted by
+    (model, pos) inside each partition, and folded by a streaming
+    ``mapInPandas`` pass that carries its state across batches - no group
+    is ever held in memory, one Python call serves many models."""
     base = 1 if small_first else 0
     if not max_bytes:
         if not max_tensors:
-            return tensors.withColumn("shard", F.lit(base))
+            return tensors.withColumn("shard", F.lit(base).cast("bigint"))
         w = Window.partitionBy(model).orderBy(pos)
-        return tensors.withColumn("shard", F.floor((F.row_number().over(w) - 1) / max_tensors) + base)
+        return tensors.withColumn("shard", (F.floor((F.row_number().over(w) - 1) / max_tensors) + base).cast("bigint"))
     slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"), F.col(nbytes).alias("__bytes"))
+    ordered = slim.repartition("__m").sortWithinPartitions("__m", "__pos")
     schema = T.StructType(slim.schema.fields + [T.StructField("shard", T.LongType())])
-    folded = slim.groupBy("__m").applyInPandas(_fold_shards(max_tensors, max_bytes, small_first), schema)
+    folded = ordered.mapInPandas(_fold_shards_stream(max_tensors, max_bytes, small_first), schema)
     return tensors.join(folded.select(F.col("__m").alias(model), F.col("__pos").alias(pos), "shard"),
                         [model, pos], "inner")
 

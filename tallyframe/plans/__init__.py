@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench", "validate", "inventory", "catalog")
+MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors")
 
 
 def registry() -> dict:
