@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors")
+MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors", "monitor")
 
 
 def registry() -> dict:
