@@ -22,46 +22,55 @@ from pyspark.sql import functions as F
 from tallyframe.functions.util import null_safe_join
 
 
-def _one(vals: DataFrame, keys: list[str], p: float, accuracy: int, name: str) -> DataFrame:
-    margin = 3.0 / accuracy
-    stats = vals.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", max(0.0, p - margin), accuracy).alias("_lo"),
-        F.percentile_approx("_v", min(1.0, p + margin), accuracy).alias("_hi"))
-    stats = stats.withColumn("_k", (F.col("_n") - 1).cast("double") * F.lit(p)) \
-        .withColumn("_f", F.floor("_k").cast("bigint")) \
-        .withColumn("_c", F.least(F.col("_f") + 1, F.col("_n") - 1))
-    j = null_safe_join(vals, stats, keys)
-    counts = j.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-        F.sum(F.when((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")), 1)
-              .otherwise(0)).alias("_band"))
-    st = null_safe_join(stats, counts, keys).withColumn(
-        "_ok", (F.col("_below") <= F.col("_f")) & (F.col("_below") + F.col("_band") > F.col("_c")))
-    st = st.withColumn("_below", F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)))
-    band = null_safe_join(vals, st, keys).filter(
-        ~F.col("_ok") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-    w = Window.partitionBy(*keys).orderBy("_v")
-    ranked = band.withColumn("_r", F.row_number().over(w) - 1 + F.col("_below"))
-    picked = ranked.filter((F.col("_r") == F.col("_f")) | (F.col("_r") == F.col("_c")))
-    res = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == F.col("_f"), F.col("_v"))).alias("_vf"),
-        F.max(F.when(F.col("_r") == F.col("_c"), F.col("_v"))).alias("_vc"),
-        F.first("_k").alias("_k"), F.first("_f").alias("_f"))
-    return res.select(*keys, (F.col("_vf") + (F.col("_vc") - F.col("_vf")) *
-                              (F.col("_k") - F.col("_f"))).alias(name))
-
-
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
                       accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated percentiles per group.
 
     ``ps`` maps output column name -> fraction in [0, 1]. Null values are
-    ignored; groups with no values are absent (callers default them)."""
+    ignored; groups with no values are absent (callers default them). One
+    sketch pass and one counting pass serve every requested percentile; only
+    the bracketed rows are ranked."""
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    names = list(ps)
+    margin = 3.0 / accuracy
+    bounds = []
+    for n in names:
+        bounds += [max(0.0, ps[n] - margin), min(1.0, ps[n] + margin)]
+    stats = vals.groupBy(*keys).agg(F.count("_v").alias("_n"),
+                                    F.percentile_approx("_v", bounds, accuracy).alias("_b"))
+    cols = [*keys, "_n"]
+    for i, n in enumerate(names):
+        k = (F.col("_n") - 1).cast("double") * F.lit(ps[n])
+        cols += [F.col("_b")[2 * i].alias(f"_lo{i}"), F.col("_b")[2 * i + 1].alias(f"_hi{i}"),
+                 k.alias(f"_k{i}"), F.floor(k).cast("bigint").alias(f"_f{i}")]
+    stats = stats.select(*cols)
+    stats = stats.select("*", *[F.least(F.col(f"_f{i}") + 1, F.col("_n") - 1).alias(f"_c{i}")
+                                for i in range(len(names))])
+    j = null_safe_join(vals, stats, keys)
+    aggs = []
+    for i in range(len(names)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        aggs += [F.sum(F.when(F.col("_v") < lo, 1).otherwise(0)).alias(f"_below{i}"),
+                 F.sum(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), 1).otherwise(0)).alias(f"_band{i}")]
+    counts = j.groupBy(*keys).agg(*aggs)
+    st = null_safe_join(stats, counts, keys)
     out = None
-    for name, p in ps.items():
-        r = _one(vals, keys, p, accuracy, name)
+    for i, n in enumerate(names):
+        ok = (F.col(f"_below{i}") <= F.col(f"_f{i}")) & (F.col(f"_below{i}") + F.col(f"_band{i}") > F.col(f"_c{i}"))
+        sti = st.select(*keys, F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"),
+                        F.col(f"_k{i}").alias("_k"), F.col(f"_f{i}").alias("_f"), F.col(f"_c{i}").alias("_c"),
+                        ok.alias("_ok"), F.when(ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("_below"))
+        band = null_safe_join(vals, sti, keys).filter(
+            ~F.col("_ok") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
+        w = Window.partitionBy(*keys).orderBy("_v")
+        ranked = band.withColumn("_r", F.row_number().over(w) - 1 + F.col("_below"))
+        picked = ranked.filter((F.col("_r") == F.col("_f")) | (F.col("_r") == F.col("_c")))
+        res = picked.groupBy(*keys).agg(
+            F.max(F.when(F.col("_r") == F.col("_f"), F.col("_v"))).alias("_vf"),
+            F.max(F.when(F.col("_r") == F.col("_c"), F.col("_v"))).alias("_vc"),
+            F.first("_k").alias("_k"), F.first("_f").alias("_f"))
+        r = res.select(*keys, (F.col("_vf") + (F.col("_vc") - F.col("_vf")) *
+                               (F.col("_k") - F.col("_f"))).alias(n))
         out = r if out is None else null_safe_join(out, r, keys)
     return out
 

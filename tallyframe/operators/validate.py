@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.util import let
+
 # The plan contract (required root keys, step keys).
 ROOT_KEYS = ("intent", "slots", "steps", "sources", "confidence")
 STEP_KEYS = ("step_label", "api_call", "args", "expected_state")
@@ -118,40 +120,57 @@ def _err(cond: Column, msg: Column | str) -> Column:
 
 def _step_errors(x: Column, i: Column) -> Column:
     """Errors of one step element (array<string>)."""
-    t = vtype(x)
-    keys = F.coalesce(object_keys(x), F.array().cast("array<string>"))
-    pref = F.concat(F.lit("steps["), i.cast("string"), F.lit("]: "))
-    not_obj = F.array(F.concat(pref, F.lit("step is not an object")))
-    missing = F.transform(
-        F.filter(F.array(*[F.lit(k) for k in STEP_KEYS]), lambda k: ~F.array_contains(keys, k)),
-        lambda k: F.concat(pref, F.lit("step missing "), k))
-    extra = F.array_except(keys, F.array(*[F.lit(k) for k in STEP_KEYS]))
-    typed = F.array_compact(F.array(
-        _err(F.array_contains(keys, "step_label") & ~is_string(vtype(x, "$.step_label")),
-             F.concat(pref, F.lit("step_label must be a string"))),
-        _err(F.array_contains(keys, "api_call") & ~is_string(vtype(x, "$.api_call")),
-             F.concat(pref, F.lit("api_call must be a string"))),
-        _err(F.array_contains(keys, "args") & ~is_object(vtype(x, "$.args")),
-             F.concat(pref, F.lit("args must be an object"))),
-        _err(F.array_contains(keys, "expected_state") & ~is_object(vtype(x, "$.expected_state")),
-             F.concat(pref, F.lit("expected_state must be an object"))),
-        _err(F.size(extra) > 0, F.concat(pref, F.lit("unexpected step fields: "), F.array_join(extra, ","))),
-    ))
-    return F.when(~is_object(t), not_obj).otherwise(F.concat(missing, typed))
+    facts = F.struct(
+        vtype(x).alias("t"), F.coalesce(object_keys(x), F.array().cast("array<string>")).alias("keys"),
+        vtype(x, "$.step_label").alias("label"), vtype(x, "$.api_call").alias("api"),
+        vtype(x, "$.args").alias("args"), vtype(x, "$.expected_state").alias("exp"))
+
+    def body(f):
+        keys = f["keys"]
+        pref = F.concat(F.lit("steps["), i.cast("string"), F.lit("]: "))
+        missing = F.transform(
+            F.filter(F.array(*[F.lit(k) for k in STEP_KEYS]), lambda k: ~F.array_contains(keys, k)),
+            lambda k: F.concat(pref, F.lit("step missing "), k))
+        extra = F.array_except(keys, F.array(*[F.lit(k) for k in STEP_KEYS]))
+        typed = F.array_compact(F.array(
+            _err(F.array_contains(keys, "step_label") & ~is_string(f["label"]),
+                 F.concat(pref, F.lit("step_label must be a string"))),
+            _err(F.array_contains(keys, "api_call") & ~is_string(f["api"]),
+                 F.concat(pref, F.lit("api_call must be a string"))),
+            _err(F.array_contains(keys, "args") & ~is_object(f["args"]),
+                 F.concat(pref, F.lit("args must be an object"))),
+            _err(F.array_contains(keys, "expected_state") & ~is_object(f["exp"]),
+                 F.concat(pref, F.lit("expected_state must be an object"))),
+            _err(F.size(extra) > 0, F.concat(pref, F.lit("unexpected step fields: "), F.array_join(extra, ","))),
+        ))
+        return F.when(~is_object(f["t"]), F.array(F.concat(pref, F.lit("step is not an object")))) \
+            .otherwise(F.concat(missing, typed))
+    return let(facts, body)
 
 
 def contract_errors(v: Column) -> Column:
     """V1 errors (array<string>): one entry per violation - missing keys,
     unexpected root keys (one entry listing them), wrong types, empty steps,
-    per-step violations, non-string sources, confidence outside [0, 1]."""
-    root_obj = is_object(vtype(v))
-    miss = F.transform(missing_keys(v), lambda k: F.concat(F.lit("missing required field: "), k))
-    extra = unexpected_keys(v)
-    t_int, t_slots, t_steps = vtype(v, "$.intent"), vtype(v, "$.slots"), vtype(v, "$.steps")
-    t_src, t_conf = vtype(v, "$.sources"), vtype(v, "$.confidence")
-    steps = F.try_variant_get(v, "$.steps", "array<variant>")
-    sources = F.try_variant_get(v, "$.sources", "array<variant>")
-    conf = F.try_variant_get(v, "$.confidence", "double")
+    per-step violations, non-string sources, confidence outside [0, 1].
+    Every fact about the document is extracted once per row into one bound
+    struct (the expression stays small and the document is read once)."""
+    facts = F.struct(
+        vtype(v).alias("t"), F.coalesce(object_keys(v), F.array().cast("array<string>")).alias("keys"),
+        vtype(v, "$.intent").alias("ti"), vtype(v, "$.slots").alias("tsl"), vtype(v, "$.steps").alias("tst"),
+        vtype(v, "$.sources").alias("tsr"), vtype(v, "$.confidence").alias("tc"),
+        F.try_variant_get(v, "$.steps", "array<variant>").alias("steps"),
+        F.try_variant_get(v, "$.sources", "array<variant>").alias("sources"),
+        F.try_variant_get(v, "$.confidence", "double").alias("conf"))
+    return let(facts, _contract_errors)
+
+
+def _contract_errors(f: Column) -> Column:
+    keys = f["keys"]
+    miss = F.transform(F.filter(F.array(*[F.lit(k) for k in ROOT_KEYS]), lambda k: ~F.array_contains(keys, k)),
+                       lambda k: F.concat(F.lit("missing required field: "), k))
+    extra = F.array_except(keys, F.array(*[F.lit(k) for k in ROOT_KEYS]))
+    t_int, t_slots, t_steps, t_src, t_conf = f["ti"], f["tsl"], f["tst"], f["tsr"], f["tc"]
+    steps, sources, conf = f["steps"], f["sources"], f["conf"]
     root = F.array_compact(F.array(
         _err(F.size(extra) > 0, F.concat(F.lit("unexpected fields: "), F.array_join(extra, ","))),
         _err(t_int.isNotNull() & ~is_string(t_int), "intent must be a string"),
@@ -169,7 +188,7 @@ def contract_errors(v: Column) -> Column:
                  lambda s: ~is_string(s["t"])),
         lambda s: F.concat(F.lit("sources["), s["i"].cast("string"), F.lit("] must be a string"))),
         F.array().cast("array<string>"))
-    return F.when(~root_obj, F.array(F.lit("not a JSON object"))).otherwise(
+    return F.when(~is_object(f["t"]), F.array(F.lit("not a JSON object"))).otherwise(
         F.concat(miss, root, step_errs, src_errs))
 
 
@@ -177,9 +196,8 @@ def validate_contract(df: DataFrame, plan: str, prefix: str = "") -> DataFrame:
     """V1: add ``valid``, ``errors`` and ``extra_fields`` (count of unexpected
     root keys) for the VARIANT column ``plan``."""
     v = F.col(plan)
-    errs = contract_errors(v)
-    return (df.withColumn(f"{prefix}errors", errs)
-            .withColumn(f"{prefix}valid", F.size(errs) == 0)
+    out = df.withColumn(f"{prefix}errors", contract_errors(v))
+    return (out.withColumn(f"{prefix}valid", F.size(f"{prefix}errors") == 0)
             .withColumn(f"{prefix}extra_fields", F.size(unexpected_keys(v)).cast("int")))
 
 
