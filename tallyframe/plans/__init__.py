@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors", "monitor")
+MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors", "monitor", "files")
 
 
 def registry() -> dict:
