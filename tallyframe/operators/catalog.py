@@ -667,3 +667,46 @@ def densify_vocab(spark, tokens: DataFrame, n_vocab: int, tid: str = "id", token
                     ttype.cast("int").alias("toktype"),
                     F.when(F.col("__b").isNull(), F.lit(SCORE_ABSENT))
                     .when(F.col("__b.p") > 0, F.lit(SCORE_ADDED)).otherwise(F.col("__b.s")).alias("score"))
+
+
+def distinct_ordered(a: Column) -> Column:
+    """Remove repeats, keeping first-occurrence order."""
+    return F.array_distinct(a)
+
+
+def layered_metadata(sources: DataFrame, entity: str = "entity", key: str = "key", value: str = "value",
+                     priority: str = "priority", append_keys: Sequence[str] = ("tags", "languages")) -> DataFrame:
+    """One value per (entity, key) from layered sources - the highest
+    priority wins (``max_by``); list keys (``append_keys``, values as
+    ``array<string>`` JSON) concatenate all layers in priority order (lowest
+    first) without repeats."""
+    s = sources.select(entity, key, value, priority)
+    scal = s.filter(~F.col(key).isin(*append_keys)).groupBy(entity, key).agg(
+        F.max_by(F.col(value), F.col(priority)).alias(value))
+    lists = s.filter(F.col(key).isin(*append_keys)).groupBy(entity, key).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(priority), F.from_json(F.col(value), "array<string>").alias("v"))))
+        .alias("__l"))
+    lists = lists.select(entity, key, F.to_json(F.array_distinct(F.flatten(F.transform("__l", lambda x: x["v"])))).alias(value))
+    return scal.unionByName(lists)
+
+
+# Companion tensor suffixes and the merged kinds they form.
+COMPANION_SUFFIXES = (".weight", ".weight_scale", ".weight_scale_inv", ".qweight", ".qzeros", ".scales", ".g_idx")
+
+
+def companions(catalog: DataFrame, model: str = "model", name: str = "name") -> DataFrame:
+    """Group tensors by base name (name minus a companion suffix) and
+    classify each group: weight + scale_inv, weight + scale, qweight + qzeros
+    + scales (+ g_idx) form one dequantizable tensor under the base name; a
+    group with other parts keeps its parts. Groups hold a few parts each."""
+    alts = "|".join(s.replace(".", r"\.") for s in COMPANION_SUFFIXES)
+    sfx = F.regexp_extract(F.col(name), f"({alts})$", 1)
+    base = F.when(sfx != "", F.substring(F.col(name), F.lit(1), F.char_length(name) - F.char_length(sfx))).otherwise(F.col(name))
+    g = catalog.select(model, base.alias("base"), F.when(sfx != "", sfx).otherwise(F.lit("")).alias("part")) \
+        .groupBy(model, "base").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    has = lambda p: F.array_contains("parts", p)
+    kind = (F.when(has(".weight") & has(".weight_scale_inv"), F.lit("fp8_scale_inv"))
+            .when(has(".weight") & has(".weight_scale"), F.lit("scaled"))
+            .when(has(".qweight") & has(".qzeros") & has(".scales"), F.lit("gptq"))
+            .otherwise(F.lit("plain")))
+    return g.withColumn("kind", kind).withColumn("merged", F.col("kind") != "plain")
