@@ -498,12 +498,18 @@ def content_hashes(df: DataFrame, data: str = "data") -> DataFrame:
     return df.withColumn("sha1", F.sha1(F.col(data))).withColumn("sha256", F.sha2(F.col(data), 256))
 
 
-def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256") -> DataFrame:
-    """A8 re-aimed: per model, sha-256 over the position-ordered per-tensor
-    digests (not byte-compatible with a sequential whole-file digest).
-    Each model contributes one short string per tensor."""
-    return df.groupBy(model).agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(digest)))), lambda s: s[digest]), ""), 256)
+def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", bucket_rows: int = 4096) -> DataFrame:
+    """A8 re-aimed: a two-level (tree) digest per model - sha-256 over the
+    position-ordered tensor digests of each bucket of ``bucket_rows``
+    positions, then sha-256 over the ordered bucket digests. No step gathers
+    more than ``bucket_rows`` digests or one digest per bucket, so a huge
+    model is never collected into one task. Not byte-compatible with a
+    sequential whole-file digest."""
+    b = df.select(model, F.floor(F.col(pos) / bucket_rows).alias("__b"), pos, digest)
+    lvl1 = b.groupBy(model, "__b").agg(F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(digest)))), lambda s: s[digest]), ""), 256).alias("__d"))
+    return lvl1.groupBy(model).agg(F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("__b"), F.col("__d")))), lambda s: s["__d"]), ""), 256)
         .alias("model_sha256"))
 
 

@@ -66,8 +66,8 @@ def union_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def check_expected(state: DataFrame, expected: DataFrame, entity: str, key: str, value: str = "value") -> DataFrame:
     """V4: per entity, passed when every expected key equals the state
-    (null-safe); an entity with no expectation passes. Mismatching keys are
-    listed with expected and current values (sorted by key)."""
+    (null-safe) and the number of mismatching keys; an entity with no
+    expectation passes. ``expected_mismatches`` lists the keys themselves."""
     e = expected.select(entity, key, F.col(value).alias("expected"))
     s = state.select(entity, key, F.col(value).alias("current"))
     j = e.join(s, [entity, key], "left").withColumn("ok", F.col("expected").eqNullSafe(F.col("current")))
@@ -79,11 +79,25 @@ def check_expected(state: DataFrame, expected: DataFrame, entity: str, key: str,
         F.coalesce(F.col("n_mismatch"), F.lit(0)).cast("bigint").alias("n_mismatch"))
 
 
+def expected_mismatches(state: DataFrame, expected: DataFrame, entity: str, key: str,
+                        value: str = "value") -> DataFrame:
+    """V4 detail: the mismatching (entity, key) rows with expected and
+    current values."""
+    e = expected.select(entity, key, F.col(value).alias("expected"))
+    s = state.select(entity, key, F.col(value).alias("current"))
+    return e.join(s, [entity, key], "left").filter(~F.col("expected").eqNullSafe(F.col("current")))
+
+
 def _replay_state_fn():
-    """R6 body: per entity, the current map plus an undo stack of prior
-    snapshots (JSON text in the state). ``undo`` pops the last snapshot."""
+    """R6 body: per entity, the current map and an undo stack of deltas
+    (the key and its previous value), both JSON text in the state store.
+    ``undo`` pops one delta and restores it. State is linear in the entity's
+    history; each output row carries only the key it touched."""
     import json
 
+    absent = {"__absent__": True}
+    pop_last = {"__pop__": True}      # undo of an append: drop the last item
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         (ent,) = key
         if state.exists:
@@ -95,29 +109,47 @@ def _replay_state_fn():
         if frames:
             batch = pd.concat(frames).sort_values("seq", kind="stable")
             for seq, kind, k, v in batch[["seq", "kind", "key", "value"]].itertuples(index=False):
+                touched = k
                 if kind == "undo":
-                    cur = stack.pop() if stack else cur
-                elif kind in ("set", "set_map", "append"):
-                    stack.append(json.loads(json.dumps(cur)))
-                    if kind == "append":
-                        cur.setdefault(k, [])
-                        if not isinstance(cur[k], list):
-                            cur[k] = [cur[k]]
-                        cur[k].append(v)
+                    if stack:
+                        touched, prev = stack.pop()
+                        if prev == absent:
+                            cur.pop(touched, None)
+                        elif prev == pop_last:
+                            cur[touched].pop()
+                        else:
+                            cur[touched] = prev
+                elif kind == "append":
+                    old = cur.get(k, absent)
+                    if old == absent:
+                        stack.append([k, absent])
+                        cur[k] = [v]
+                    elif isinstance(old, list):
+                        stack.append([k, pop_last])
+                        old.append(v)
                     else:
-                        cur[k] = v
-                rows.append((ent, int(seq), len(stack), json.dumps(cur, sort_keys=True)))
+                        stack.append([k, old])
+                        cur[k] = [old, v]
+                elif kind in ("set", "set_map"):
+                    stack.append([k, cur.get(k, absent)])
+                    cur[k] = v
+                else:
+                    continue
+                val = cur.get(touched)
+                rows.append((ent, int(seq), len(stack), touched,
+                             None if val is None else json.dumps(val if not isinstance(val, list) else len(val))))
         state.update((json.dumps(cur), json.dumps(stack)))
         if rows:
-            yield pd.DataFrame(rows, columns=["entity", "seq", "depth", "state_json"])
+            yield pd.DataFrame(rows, columns=["entity", "seq", "depth", "key", "value_json"])
     return fn
 
 
 def stateful_replay(changes: DataFrame, entity: str = "entity") -> DataFrame:
     """Streaming replay with undo via ``applyInPandasWithState``. The
-    state of one entity (current map + snapshots) lives in the state store,
-    bounded by that entity's history; output is one row per applied change."""
+    state of one entity (current map + delta stack) lives in the state store,
+    linear in that entity's history; output is one row per applied change
+    (the touched key and its new value; a list reports its length)."""
     d = changes.select(F.col(entity).alias("entity"), "seq", "kind", "key", "value")
     return d.groupBy("entity").applyInPandasWithState(
-        _replay_state_fn(), "entity long, seq long, depth int, state_json string",
+        _replay_state_fn(), "entity long, seq long, depth int, key string, value_json string",
         "cur string, stack string", "append", "NoTimeout")

@@ -117,8 +117,8 @@ def report(spark, sf_dir):
     path = scratch_path(spark, "report")
     S.write_report_json(summary, res.select("conv_id", "turn", "valid", "confidence", "extra_fields"), path)
     back = spark.read.json(os.path.join(path, "summary"))
-    n = spark.read.json(os.path.join(path, "per_prompt")).agg(F.count(F.lit(1)).cast("bigint").alias("n_details"))
-    return back.crossJoin(n).select(F.col("total").cast("bigint").alias("total"),
+    n_details = spark.read.json(os.path.join(path, "per_prompt")).select(F.count(F.lit(1))).scalar()
+    return back.withColumn("n_details", n_details.cast("bigint")).select(F.col("total").cast("bigint").alias("total"),
                                     F.col("valid_count").cast("bigint").alias("valid_count"),
                                     F.round("valid_rate", 6).alias("valid_rate"),
                                     F.round("avg_confidence", 6).alias("avg_confidence"), "n_details")

@@ -55,7 +55,14 @@ def rss(spark, sf_dir):
         (F.floor(F.unix_timestamp("ts") / POLL_SECONDS) * POLL_SECONDS).cast("bigint").alias("poll"),
         "event_type", "value", "user_id")
     r = E.rss_total(e, "poll", "event_type", "Purchase", "value", "user_id")
-    return r.select("poll", F.round("rss_mb", 6).alias("rss_mb"), "pids")
+    return r.select("poll", F.round("rss_mb", 6).alias("rss_mb"), "n_pids")
+
+
+def rss_pid_rows(spark, sf_dir):
+    e = tu(spark, sf_dir, "events").select(
+        (F.floor(F.unix_timestamp("ts") / POLL_SECONDS) * POLL_SECONDS).cast("bigint").alias("poll"),
+        "event_type", "user_id")
+    return E.rss_pids(e, "poll", "event_type", "Purchase", "user_id")
 
 
 def counts(spark, sf_dir):
@@ -109,7 +116,7 @@ def replay_streamed(spark, sf_dir):
     ch = src.select(F.col("conv_id").alias("entity"), F.col("turn").alias("seq"), kind.alias("kind"),
                     F.col("role").alias("key"), F.col("text").alias("value"))
     r = E.run_available_now(S.stateful_replay(ch), "append", "replay")
-    return r.select("entity", "seq", "depth", F.md5("state_json").alias("state_md5"))
+    return r.select("entity", "seq", "depth", "key", F.md5("value_json").alias("value_md5"))
 
 
 SQL_TOTALS = """
@@ -133,9 +140,12 @@ FROM e ANTI JOIN s ON e.name = s.name AND e.slot = s.slot"""
 SQL_RSS = f"""
 WITH e AS (SELECT CAST(floor(epoch(ts) / {POLL_SECONDS}) * {POLL_SECONDS} AS BIGINT) AS poll, event_type, value, user_id FROM events),
 p AS (SELECT DISTINCT poll FROM e),
-h AS (SELECT poll, sum(value) AS rss, array_to_string(list_sort(list(CAST(user_id AS VARCHAR))), ',') AS pids
-      FROM e WHERE lower(event_type) = 'purchase' GROUP BY poll)
-SELECT p.poll, round(coalesce(h.rss, 0.0), 6) AS rss_mb, coalesce(h.pids, 'none') AS pids FROM p LEFT JOIN h ON p.poll = h.poll"""
+h AS (SELECT poll, sum(value) AS rss, count(DISTINCT user_id) AS n FROM e WHERE lower(event_type) = 'purchase' GROUP BY poll)
+SELECT p.poll, round(coalesce(h.rss, 0.0), 6) AS rss_mb, CAST(coalesce(h.n, 0) AS BIGINT) AS n_pids FROM p LEFT JOIN h ON p.poll = h.poll"""
+
+SQL_RSS_PIDS = f"""
+SELECT DISTINCT CAST(floor(epoch(ts) / {POLL_SECONDS}) * {POLL_SECONDS} AS BIGINT) AS poll, user_id
+FROM events WHERE lower(event_type) = 'purchase'"""
 
 SQL_COUNTS = "SELECT event_type AS event, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1"
 
@@ -181,6 +191,7 @@ QUERIES = {
     "mon_absence_alerts": (absence, SQL_ABSENCE),
     "mon_absence_alerts_stream": (absence_streamed, SQL_ABSENCE),
     "mon_rss_total": (rss, SQL_RSS),
+    "mon_rss_pids": (rss_pid_rows, SQL_RSS_PIDS),
     "mon_event_counts": (counts, SQL_COUNTS),
     "mon_replay_state": (replayed, SQL_REPLAYED),
     "mon_as_of_version": (as_of, SQL_AS_OF),

@@ -86,16 +86,21 @@ def windowed_totals(events: DataFrame, ts: str, name: str, value: str, poll: str
 
 
 def rss_total(samples: DataFrame, poll_col: str, name_col: str, process: str, rss: str, pid: str) -> DataFrame:
-    """A4: per poll, the summed RSS and the sorted pid list of one process
-    name (case-insensitive). Polls without the process report 0 and 'none'.
-    A poll holds one row per running process, so the pid list is bounded by
-    the process table of one host at one instant."""
+    """A4: per poll, the summed RSS and the number of distinct pids of one
+    process name (case-insensitive); polls without it report 0. The pid list
+    itself is ``rss_pids`` (long form), so no poll's list is gathered into
+    one value."""
     polls = samples.select(poll_col).distinct()
     hit = samples.filter(F.lower(F.col(name_col)) == process.lower()).groupBy(poll_col).agg(
-        F.sum(rss).alias("rss_mb"), F.array_join(F.array_sort(F.collect_list(F.col(pid).cast("string"))), ",").alias("pids"))
+        F.sum(rss).alias("rss_mb"), F.count_distinct(pid).cast("bigint").alias("n_pids"))
     j = polls.join(hit, poll_col, "left")
     return j.select(poll_col, F.coalesce(F.col("rss_mb"), F.lit(0.0)).alias("rss_mb"),
-                    F.coalesce(F.col("pids"), F.lit("none")).alias("pids"))
+                    F.coalesce(F.col("n_pids"), F.lit(0)).cast("bigint").alias("n_pids"))
+
+
+def rss_pids(samples: DataFrame, poll_col: str, name_col: str, process: str, pid: str) -> DataFrame:
+    """A4 pid list in long form: one row per (poll, pid) of the process."""
+    return samples.filter(F.lower(F.col(name_col)) == process.lower()).select(poll_col, pid).distinct()
 
 
 def breach_alerts(totals: DataFrame, limit: float, total: str = "total") -> DataFrame:

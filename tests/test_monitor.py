@@ -46,3 +46,16 @@ def test_check_expected(spark):
     ex = spark.createDataFrame([(1, "clip", "a"), (2, "clip", "zz")], "entity long, key string, value string")
     got = {r.entity: r.passed for r in S.check_expected(st, ex, "entity", "key").collect()}
     assert got == {1: True, 2: False}
+
+
+def test_stateful_replay_undo(spark, tmp_path):
+    rows = [(1, 1, "set", "clip", "a"), (1, 2, "append", "logs", "x"), (1, 3, "append", "logs", "y"),
+            (1, 4, "undo", None, None), (1, 5, "set", "clip", "b"), (1, 6, "undo", None, None),
+            (1, 7, "undo", None, None)]
+    src = tmp_path / "changes"
+    spark.createDataFrame(rows, "entity long, seq long, kind string, key string, value string").write.parquet(str(src))
+    stream = E.event_stream(spark, str(src), "entity long, seq long, kind string, key string, value string")
+    out = sorted(tuple(r) for r in E.run_available_now(S.stateful_replay(stream), "append", "t-r6").collect())
+    assert [(s, d, k, v) for _, s, d, k, v in out] == [
+        (1, 1, "clip", '"a"'), (2, 2, "logs", "1"), (3, 3, "logs", "2"), (4, 2, "logs", "1"),
+        (5, 3, "clip", '"b"'), (6, 2, "clip", '"a"'), (7, 1, "logs", None)]
