@@ -191,12 +191,12 @@ def element_count_label(n: Column) -> Column:
 
 
 def title_case_id(s: Column) -> Column:
-    """P12: '-' -> ' '; lowercase words that are not versions and do not
-    start with a digit are title-cased."""
-    words = F.split(F.replace(s, F.lit("-"), F.lit(" ")), " ")
+    """P12: '-' -> ' ', whitespace-split; words that are lower-case (have a
+    cased letter, none upper) and are neither versions nor digit-first are
+    title-cased the way Python's ``str.title`` does."""
+    words = F.split(F.trim(F.replace(s, F.lit("-"), F.lit(" "))), r"\s+")
     fixed = F.transform(words, lambda w: F.when(
-        (w == F.lower(w)) & ~w.rlike(r"^(v\d+(?:\.\d+)*|\d.*)$"),
-        F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))).otherwise(w))
+        (w == F.lower(w)) & w.rlike(r"\p{Ll}") & ~w.rlike(r"^(v\d+(?:\.\d+)*|\d.*)$"), _py_title(w)).otherwise(w))
     return F.array_join(fixed, " ")
 
 
