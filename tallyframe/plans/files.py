@@ -18,6 +18,7 @@ from tallyframe.plans import validate as PV
 from tallyframe.plans.common import t
 from tallyframe.session import scratch_path
 from tallyframe.sources import files as S
+from tallyframe.sources import packed as PK
 from tallyframe.streaming import events as E
 
 N_TENSOR_FILES = 8
@@ -140,6 +141,36 @@ def tensor_headers(spark, sf_dir):
                     F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), "length", "error")
 
 
+N_PACKED_FILES = 8
+
+
+def _packed_files(spark, sf_dir):
+    c = PC.catalog(spark, sf_dir)
+    rows = c.select(F.concat(F.lit("pack-"), F.pmod("model", F.lit(N_PACKED_FILES)).cast("string")).alias("file"),
+                    (F.col("model") * 100 + F.col("pos")).alias("pos"),
+                    F.concat(F.col("model").cast("string"), F.lit("/"), F.col("pos").cast("string"), F.lit("/"),
+                             F.col("name")).alias("name"),
+                    "dtype", "shape", PC.C.n_bytes(F.col("shape"), F.col("dtype")).alias("n_bytes"))
+    root = scratch_path(spark, "packed")
+    PK.write_packed_headers(rows, root).collect()
+    return root
+
+
+def packed_tensors(spark, sf_dir):
+    """S13 tensors table: header-only files written from the catalog stand-in
+    (half of them big-endian), read back through the header source."""
+    h = PK.scan_packed_catalog(spark, _packed_files(spark, sf_dir), "tensors")
+    return h.select(F.regexp_extract("file", r"(pack-[0-9]+)\.gguf$", 1).alias("file"), "name", "dtype",
+                    F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"),
+                    "n_elements", "n_bytes", "rel_offset", "error")
+
+
+def packed_kv(spark, sf_dir):
+    h = PK.scan_packed_catalog(spark, _packed_files(spark, sf_dir), "kv")
+    return h.select(F.regexp_extract("file", r"(pack-[0-9]+)\.gguf$", 1).alias("file"), "pos", "key", "vtype",
+                    "is_array", "value", "error")
+
+
 def shard_union(spark, sf_dir):
     c = PC.catalog(spark, sf_dir)
     index = c.select(F.concat(F.lit("model-"), F.pmod("model", F.lit(16)).cast("string"), F.lit(".bin")).alias("file"))
@@ -234,6 +265,27 @@ SQL_TENSOR_HEADERS = f"""WITH {PC._SQL_CAT}
 SELECT 'shard-' || (model % {N_TENSOR_FILES}) AS file, model || '/' || pos || '/' || name AS name, dtype,
        array_to_string(shape, ',') AS shape, n_bytes AS length, CAST(NULL AS VARCHAR) AS error FROM sized"""
 
+SQL_PACKED_TENSORS = f"""WITH {PC._SQL_CAT},
+p AS (SELECT 'pack-' || (model % {N_PACKED_FILES}) AS file, model * 100 + pos AS gpos,
+             model || '/' || pos || '/' || name AS name, dtype, shape, n_elements, n_bytes FROM sized)
+SELECT file, name, dtype, array_to_string(shape, ',') AS shape, CAST(n_elements AS BIGINT) AS n_elements,
+       CAST(n_bytes AS BIGINT) AS n_bytes,
+       CAST(coalesce(sum(((n_bytes + 31) // 32) * 32) OVER (PARTITION BY file ORDER BY gpos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rel_offset,
+       CAST(NULL AS VARCHAR) AS error
+FROM p"""
+
+SQL_PACKED_KV = f"""WITH {PC._SQL_CAT},
+p AS (SELECT 'pack-' || (model % {N_PACKED_FILES}) AS file, string_split(name, '.')[-2] AS role FROM catalog),  -- name has no '/'; the role is the part before the suffix
+f AS (SELECT file, count(*) AS n, '[' || string_agg(DISTINCT '"' || role || '"', ', ' ORDER BY '"' || role || '"') || ']' AS roles
+      FROM p GROUP BY file)
+SELECT file, 0 AS pos, 'general.architecture' AS key, 'STRING' AS vtype, false AS is_array, '"llama"' AS value,
+       CAST(NULL AS VARCHAR) AS error FROM f
+UNION ALL SELECT file, 1, 'general.name', 'STRING', false, '"' || file || '"', NULL FROM f
+UNION ALL SELECT file, 2, 'general.alignment', 'UINT32', false, '32', NULL FROM f
+UNION ALL SELECT file, 3, 'split.tensors.count', 'UINT64', false, CAST(n AS VARCHAR), NULL FROM f
+UNION ALL SELECT file, 4, 'general.roles', 'ARRAY<STRING>', true, roles, NULL FROM f"""
+
 SQL_SHARD_UNION = f"""WITH {PC._SQL_CAT}
 SELECT 'model-' || (model % 16) || '.bin' AS file FROM catalog
 UNION SELECT 'model-' || ((model + 3) % 20) || '.bin' FROM catalog WHERE p_size > 40"""
@@ -262,6 +314,8 @@ QUERIES = {
     "src_report_json": (report, SQL_REPORT),
     "src_tensor_headers": (tensor_headers, SQL_TENSOR_HEADERS),
     "src_union_shards": (shard_union, SQL_SHARD_UNION),
+    "src_packed_tensors": (packed_tensors, SQL_PACKED_TENSORS),
+    "src_packed_kv": (packed_kv, SQL_PACKED_KV),
     "src_upsert_snapshot": (upserted, SQL_UPSERTED),
     "src_upsert_stream": (upserted_stream, SQL_UPSERTED),
     "src_append_run": (appended_runs, SQL_APPENDED_RUNS),
