@@ -27,9 +27,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
     """Exact linear-interpolated percentiles per group.
 
     ``ps`` maps output column name -> fraction in [0, 1]. Null values are
-    ignored; groups with no values are absent (callers default them). One
-    sketch pass and one counting pass serve every requested percentile; only
-    the bracketed rows are ranked."""
+    ignored; groups with no values are absent (callers default them). Three
+    passes serve every requested percentile: one sketch pass, one counting
+    pass and one pass that ranks only the bracketed rows."""
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     names = list(ps)
     margin = 3.0 / accuracy
@@ -54,25 +54,28 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
                  F.sum(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), 1).otherwise(0)).alias(f"_band{i}")]
     counts = j.groupBy(*keys).agg(*aggs)
     st = null_safe_join(stats, counts, keys)
-    out = None
-    for i, n in enumerate(names):
+    # one band pass for every percentile: each value row is tagged with the
+    # indices of the brackets it falls in (or of groups that fell back to
+    # their full range), then ranked within (group, percentile)
+    per_p = []
+    for i in range(len(names)):
         ok = (F.col(f"_below{i}") <= F.col(f"_f{i}")) & (F.col(f"_below{i}") + F.col(f"_band{i}") > F.col(f"_c{i}"))
-        sti = st.select(*keys, F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"),
-                        F.col(f"_k{i}").alias("_k"), F.col(f"_f{i}").alias("_f"), F.col(f"_c{i}").alias("_c"),
-                        ok.alias("_ok"), F.when(ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("_below"))
-        band = null_safe_join(vals, sti, keys).filter(
-            ~F.col("_ok") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-        w = Window.partitionBy(*keys).orderBy("_v")
-        ranked = band.withColumn("_r", F.row_number().over(w) - 1 + F.col("_below"))
-        picked = ranked.filter((F.col("_r") == F.col("_f")) | (F.col("_r") == F.col("_c")))
-        res = picked.groupBy(*keys).agg(
-            F.max(F.when(F.col("_r") == F.col("_f"), F.col("_v"))).alias("_vf"),
-            F.max(F.when(F.col("_r") == F.col("_c"), F.col("_v"))).alias("_vc"),
-            F.first("_k").alias("_k"), F.first("_f").alias("_f"))
-        r = res.select(*keys, (F.col("_vf") + (F.col("_vc") - F.col("_vf")) *
-                               (F.col("_k") - F.col("_f"))).alias(n))
-        out = r if out is None else null_safe_join(out, r, keys)
-    return out
+        per_p.append(F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"),
+                              F.col(f"_k{i}").alias("k"), F.col(f"_f{i}").alias("f"), F.col(f"_c{i}").alias("c"),
+                              ok.alias("ok"), F.when(ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("below")))
+    st = st.select(*keys, F.array(*per_p).alias("_ps"))
+    tagged = null_safe_join(vals, st, keys).select(
+        *keys, "_v", F.explode(F.filter("_ps", lambda q: ~q["ok"] | ((F.col("_v") >= q["lo"]) & (F.col("_v") <= q["hi"]))))
+        .alias("_p"))
+    w = Window.partitionBy(*keys, F.col("_p.i")).orderBy("_v")
+    ranked = tagged.withColumn("_r", F.row_number().over(w) - 1 + F.col("_p.below"))
+    picked = ranked.filter((F.col("_r") == F.col("_p.f")) | (F.col("_r") == F.col("_p.c")))
+    res = picked.groupBy(*keys, F.col("_p.i").alias("_i")).agg(
+        F.max(F.when(F.col("_r") == F.col("_p.f"), F.col("_v"))).alias("_vf"),
+        F.max(F.when(F.col("_r") == F.col("_p.c"), F.col("_v"))).alias("_vc"),
+        F.first("_p.k").alias("_k"), F.first("_p.f").alias("_f"))
+    val = F.col("_vf") + (F.col("_vc") - F.col("_vf")) * (F.col("_k") - F.col("_f"))
+    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
