@@ -37,10 +37,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collected_runs(spark, sf_dir):
-    """S2 -> A1 -> S3: run files (JSON arrays of at most 100 runs) are read
+    """S2 -> A1 -> S3: run files (JSON arrays of at most 1000 runs) are read
     back, summarised and written as the fixed-header CSV, which is read."""
     runs = PB.quant_runs(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
-    chunks = runs.groupBy("variant", (F.col("event_id") / 100).cast("bigint").alias("chunk")).agg(
+    chunks = runs.groupBy("variant", (F.col("event_id") / 1000).cast("bigint").alias("chunk")).agg(
         F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in runs.columns])))).alias("value"))
     path = scratch_path(spark, "runs")
     chunks.select("value").write.option("maxRecordsPerFile", 1).text(path)
@@ -73,10 +73,17 @@ def prompts(spark, sf_dir):
     return p.select("pos", F.md5("prompt").alias("prompt_md5"), "error")
 
 
+DOCS_PER_CHUNK = 200
+
+
 def _doc_files(spark, sf_dir):
+    """Documents as text files: one file per (source, doc_id // 200), lines
+    in doc_id order."""
     path = scratch_path(spark, "docfiles")
-    t(spark, sf_dir, "documents").select("source", F.col("text").alias("value")) \
-        .write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    d = t(spark, sf_dir, "documents").select(
+        "source", (F.col("doc_id") / DOCS_PER_CHUNK).cast("bigint").alias("chunk"), "doc_id", F.col("text").alias("value"))
+    d.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "doc_id").drop("doc_id") \
+        .write.partitionBy("source", "chunk").text(path)
     return path
 
 
@@ -92,6 +99,7 @@ def digests(spark, sf_dir):
     path = _doc_files(spark, sf_dir)
     f = S.file_contents(spark, path)
     return f.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("root"),
+                    F.regexp_extract("path", r"chunk=([0-9]+)/", 1).cast("bigint").alias("chunk"),
                     F.sha2("content", 256).alias("sha256"), F.md5(S.decode_report(F.col("content"))).alias("text_md5"))
 
 
@@ -241,12 +249,15 @@ WITH r AS (SELECT item_id, text, CAST(row_number() OVER (PARTITION BY item_id //
            FROM benchmark)
 SELECT pos, md5(text) AS prompt_md5, CAST(NULL AS VARCHAR) AS error FROM r WHERE pos < 5"""
 
-SQL_LISTING = """
-SELECT source AS root, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
+SQL_LISTING = f"""
+SELECT source AS root, CAST(count(DISTINCT doc_id // {DOCS_PER_CHUNK}) AS BIGINT) AS n_files,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
 FROM documents GROUP BY source"""
 
-SQL_DIGESTS = """
-SELECT source AS root, sha256(text || chr(10)) AS sha256, md5(text || chr(10)) AS text_md5 FROM documents"""
+SQL_DIGESTS = f"""
+WITH f AS (SELECT source, doc_id // {DOCS_PER_CHUNK} AS chunk, string_agg(text || chr(10), '' ORDER BY doc_id) AS body
+           FROM documents GROUP BY 1, 2)
+SELECT source AS root, CAST(chunk AS BIGINT) AS chunk, sha256(body) AS sha256, md5(body) AS text_md5 FROM f"""
 
 SQL_MERGES = """
 WITH w AS (SELECT turn, regexp_split_to_array(trim(text), '\\s+') AS ws FROM conversations)
