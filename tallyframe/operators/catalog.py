@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import checkpoint_dir, scratch_path
+from tallyframe.session import scratch_path
 
 DEFAULT_POLL = "30 seconds"
 MIN_POLL_SECONDS = 1
@@ -193,4 +193,4 @@ def decision_log(samples: DataFrame, value: str, choice: str = "variant", reason
 
 __all__ = ["event_stream", "utc_event_time", "run_available_now", "windowed_totals", "rss_total",
            "breach_alerts", "latest_breach", "absence_alerts", "absence_stream", "event_counts",
-           "append_events", "decision_log", "checkpoint_dir"]
+           "append_events", "decision_log", "rss_pids"]

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from tallyframe.operators import state as S
 from tallyframe.streaming import events as E

@@ -1,7 +1,6 @@
 """P1 hash embedding and J1 exact k-NN."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.embed import hash_embed
