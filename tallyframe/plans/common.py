@@ -11,6 +11,15 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def pin_utc(spark: SparkSession) -> None:
+    """Event times in the tables are UTC wall-clock values; pin the session
+    zone to UTC so casts, day buckets, windows and formatting agree on every
+    host."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def tu(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table with TIMESTAMP_NTZ columns cast to TIMESTAMP (UTC)."""
+    pin_utc(spark)
     return with_utc_timestamps(read_table(spark, sf_dir, name))

@@ -15,7 +15,7 @@ from tallyframe.operators import validate as V
 from tallyframe.plans import bench as PB
 from tallyframe.plans import catalog as PC
 from tallyframe.plans import validate as PV
-from tallyframe.plans.common import t
+from tallyframe.plans.common import pin_utc, t
 from tallyframe.session import scratch_path
 from tallyframe.sources import files as S
 from tallyframe.sources import packed as PK
@@ -53,6 +53,7 @@ def collected_runs(spark, sf_dir):
 
 
 def snapshot_roundtrip(spark, sf_dir):
+    pin_utc(spark)
     vec = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
     lab = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.to_json(F.struct("quality", "toxic")).alias("payload"))
     rec = R.attach_metadata(vec, lab).withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
@@ -224,6 +225,7 @@ def appended_runs(spark, sf_dir):
 
 
 def appended_events(spark, sf_dir):
+    pin_utc(spark)
     e = t(spark, sf_dir, "events").select(F.col("event_type").alias("event"), "event_id")
     path = scratch_path(spark, "event-log")
     E.append_events(e, path, ts=F.lit("2024-01-01 00:00:00").cast("timestamp"))

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import inventory as I
-from tallyframe.plans.common import t
+from tallyframe.plans.common import pin_utc, t
 
 NOW = "2024-02-15 00:00:00"
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pin_utc(spark)
     d = t(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.col("source").alias("root"),
@@ -63,6 +64,7 @@ def tail_events(spark, sf_dir):
 
 
 def required(spark, sf_dir):
+    pin_utc(spark)
     d = t(spark, sf_dir, "documents")
     files = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"),
                               F.when(F.col("lang") == "en", F.lit(".txt"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import state as S
-from tallyframe.plans.common import t, tu
+from tallyframe.plans.common import pin_utc, t, tu
 from tallyframe.streaming import events as E
 
 POLL_SECONDS = 3600
@@ -17,6 +17,7 @@ BREACH_LIMIT_MB = 500.0
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pin_utc(spark)
     schema = t(spark, sf_dir, "events").schema
     s = E.event_stream(spark, sf_dir, schema, glob="events.parquet")
     return E.utc_event_time(s, "ts")
