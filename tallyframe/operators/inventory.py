@@ -125,10 +125,26 @@ def match_by_size(active: DataFrame, variants: DataFrame, length: str = "length"
         .withColumn("n_matches", F.coalesce(F.col("n_matches"), F.lit(0)))
 
 
+def mark_reclaimable(files: DataFrame, now: Column, root: str = "root", cls: str = "class",
+                     path: str = "path", mtime: str = "mtime", keep_backups: int = 3, log_days: int = 7,
+                     archive_class: str = "archive", backup_class: str = "backup",
+                     log_class: str = "log") -> DataFrame:
+    """A5 rule: a file is reclaimable when it is an archive candidate, a
+    backup beyond the newest ``keep_backups`` of its root (W1), or a log
+    strictly older than ``log_days`` (F2)."""
+    old_backups = keep_newest(files.filter(F.col(cls) == backup_class), [root], keep_backups, mtime, path) \
+        .select(path, F.lit(True).alias("__old_backup"))
+    j = files.join(old_backups, path, "left")
+    return j.withColumn("reclaimable", (F.col(cls) == archive_class)
+                        | F.coalesce(F.col("__old_backup"), F.lit(False))
+                        | ((F.col(cls) == log_class) & older_than(F.col(mtime), now, log_days))).drop("__old_backup")
+
+
 def space_report(files: DataFrame, root: str = "root", cls: str = "class",
                  length: str = "length", reclaim: str = "reclaimable") -> DataFrame:
     """A5: bytes per (root, class) with section and grand totals
-    (``rollup``) and the reclaimable part of each."""
+    (``rollup``) and the reclaimable part of each (see
+    ``mark_reclaimable``)."""
     return files.rollup(root, cls).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_files"),
         F.sum(length).cast("bigint").alias("bytes"),

@@ -100,13 +100,7 @@ def by_size(spark, sf_dir):
 
 
 def space(spark, sf_dir):
-    f = listing(spark, sf_dir)
-    backups = I.keep_newest(f.filter(F.col("class") == "backup"), ["root"], 3, "mtime", "path") \
-        .select("path", F.lit(True).alias("__old_backup"))
-    now = F.lit(NOW).cast("timestamp")
-    f = f.join(backups, "path", "left").withColumn(
-        "reclaimable", (F.col("class") == "archive") | F.coalesce(F.col("__old_backup"), F.lit(False)) |
-        ((F.col("class") == "log") & I.older_than(F.col("mtime"), now, 7)))
+    f = I.mark_reclaimable(listing(spark, sf_dir), F.lit(NOW).cast("timestamp"), keep_backups=3, log_days=7)
     return I.space_report(f)
 
 
