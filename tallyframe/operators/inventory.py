@@ -87,9 +87,9 @@ def missing_required(required: DataFrame, files: DataFrame, name: str = "name",
     miss = required.select(name).distinct().join(files.select(name), name, "left_anti")
     miss = miss.withColumn("stem", F.regexp_replace(F.col(name), r"\.[^.]*$", ""))
     stems = miss.select("stem").distinct()
-    max_stem = None  # prefixes are bounded by file-name length
+    # each file contributes one row per prefix: bounded by its name length
     cand = (files.select(F.col(name).alias("candidate"), F.col(mtime).alias("__mt"))
-            .withColumn("stem", F.explode(F.array_distinct(prefixes(F.col("candidate"), max_stem))))
+            .withColumn("stem", F.explode(F.array_distinct(prefixes(F.col("candidate")))))
             .join(stems, "stem", "left_semi"))
     best = cand.groupBy("stem").agg(F.max_by(F.col("candidate"), F.struct(F.col("__mt"), F.col("candidate"))).alias("candidate"))
     out = miss.join(best, "stem", "left")
