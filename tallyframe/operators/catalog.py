@@ -609,14 +609,16 @@ def aligned_offsets(tensors: DataFrame, keys: list[str], pos: str, nbytes: str,
 
 def shard_numbering(plan: DataFrame, model: str, shard: str) -> DataFrame:
     """Shard number (dense, 0-based), shard count and total tensors of
-    the model on every row - from per-model aggregates joined back (no
-    window over a whole model)."""
+    the model on every row. The windows run over the per-shard aggregate
+    (one row per shard), never over a model's tensors; one join brings the
+    numbers back."""
     per_shard = plan.groupBy(model, shard).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(model).orderBy(shard)
-    numbered = per_shard.withColumn("split_no", F.dense_rank().over(w) - 1)
-    totals = per_shard.groupBy(model).agg(F.count(F.lit(1)).cast("int").alias("split_count"),
-                                          F.sum("__n").cast("bigint").alias("split_tensors_count"))
-    return plan.join(numbered.drop("__n"), [model, shard], "left").join(totals, model, "left")
+    wm = Window.partitionBy(model)
+    info = per_shard.select(model, shard, (F.dense_rank().over(w) - 1).alias("split_no"),
+                            F.count(F.lit(1)).over(wm).cast("int").alias("split_count"),
+                            F.sum("__n").over(wm).cast("bigint").alias("split_tensors_count"))
+    return plan.join(info, [model, shard], "left")
 
 
 def flatten_kv(df: DataFrame, entity: str, record: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import catalog as C
 from tallyframe.plans.common import t
+from tallyframe.session import materialize
 
 # Role names of the stand-in and their checkpoint-side names.
 ROLE_BY_TYPE = {"STANDARD": "attn_q", "MEDIUM": "attn_k", "ECONOMY": "ffn_up_exps",
@@ -118,7 +119,9 @@ def dups(spark, sf_dir):
 
 def shards(spark, sf_dir):
     s = _with_sizes(spark, sf_dir).select("model", "pos", "n_bytes")
-    plan = C.plan_shards(s, "model", "pos", "n_bytes", SHARD_MAX_TENSORS, SHARD_MAX_BYTES)
+    # the plan feeds three consumers (numbering, offsets, output): write it once
+    plan = materialize(C.plan_shards(s, "model", "pos", "n_bytes", SHARD_MAX_TENSORS, SHARD_MAX_BYTES),
+                       "shard-plan")
     numbered = C.shard_numbering(plan, "model", "shard")
     off = C.aligned_offsets(numbered, ["model", "shard"], "pos", "n_bytes")
     return off.select("model", "pos", "shard", "split_no", "split_count", "split_tensors_count", "offset")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -54,3 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage for an intermediate that is reused several times: write
+    it as a parquet table under the shared ``spark.checkpoint.dir`` and read
+    it back (never ``localCheckpoint``), so lost executors and repeated use
+    do not recompute the upstream plan. Parquet keeps the columnar path
+    (an RDD checkpoint would serialise rows)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
