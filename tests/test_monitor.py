@@ -58,3 +58,32 @@ def test_stateful_replay_undo(spark, tmp_path):
     assert [(s, d, k, v) for _, s, d, k, v in out] == [
         (1, 1, "clip", '"a"'), (2, 2, "logs", "1"), (3, 3, "logs", "2"), (4, 2, "logs", "1"),
         (5, 3, "clip", '"b"'), (6, 2, "clip", '"a"'), (7, 1, "logs", None)]
+
+
+def test_json_event_stream_watermark_append(spark, tmp_path):
+    """R1 over JSON lines + R2 in append mode: a window is emitted once the
+    watermark passes it; rows behind the watermark are dropped."""
+    import json
+    src = tmp_path / "events"
+    src.mkdir()
+    base = dt.datetime(2024, 1, 1)
+    first = [{"ts": (base + dt.timedelta(seconds=s)).isoformat(), "name": "svc", "rss": 10.0} for s in (1, 5, 31, 65, 200)]
+    (src / "a.json").write_text("\n".join(json.dumps(e) for e in first))
+    later = [{"ts": (base + dt.timedelta(seconds=s)).isoformat(), "name": "svc", "rss": 1.0} for s in (10, 250)]
+    (src / "b.json").write_text("\n".join(json.dumps(e) for e in later))
+    latest = [{"ts": (base + dt.timedelta(seconds=s)).isoformat(), "name": "svc", "rss": 100.0} for s in (100, 300)]
+    (src / "c.json").write_text("\n".join(json.dumps(e) for e in latest))
+    import os
+    t0 = os.path.getmtime(src / "a.json")
+    os.utime(src / "b.json", (t0 + 5, t0 + 5))
+    os.utime(src / "c.json", (t0 + 10, t0 + 10))
+    stream = E.event_stream(spark, str(src), "ts timestamp, name string, rss double", fmt="json",
+                            max_files_per_trigger=1)
+    totals = E.windowed_totals(stream, "ts", "name", "rss", "30 seconds", "40 seconds")
+    out = E.run_available_now(totals, "append", "t-wm")
+    got = sorted((r.window_start.second + 60 * r.window_start.minute, r.total) for r in out.collect())
+    # Spark filters late rows with the previous batch's watermark: batch 1
+    # (a.json) ends at 200 - 40 = 160 s; in batch 2 the 10 s event is still
+    # accepted (late-row watermark 0) and windows up to 160 s close; in batch 3
+    # the 100 s event is behind 160 s and dropped, so [90, 120) never appears
+    assert got == [(0, 21.0), (30, 10.0), (60, 10.0), (180, 10.0)]
