@@ -199,19 +199,40 @@ def title_case_id(s: Column) -> Column:
     return F.array_join(fixed, " ")
 
 
-def artifact_filename(name: Column, size: Column, finetune: Column, version: Column,
-                      encoding: Column, kind: Column | None = None) -> Column:
-    """``name-size-finetune-version-ENCODING[-kind]`` with spaces and '/'
-    replaced by '-', empty parts skipped."""
-    parts = [name, size, finetune, version, F.upper(encoding)] + ([kind] if kind is not None else [])
-    clean = [F.nullif(F.regexp_replace(F.trim(p), r"[ /]", "-"), F.lit("")) for p in parts]
-    return F.concat_ws("-", *clean)
-
-
-def shard_file_name(stem: Column, i: Column, n: Column) -> Column:
-    """``stem-00001-of-00005`` shard names (a single shard keeps the stem)."""
-    return F.when(n == 1, stem).otherwise(
-        F.concat(stem, F.lit("-"), F.lpad(i.cast("string"), 5, "0"), F.lit("-of-"), F.lpad(n.cast("string"), 5, "0")))
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def artifact_filename(base_name: Column, model_name: Column, size_label: Column, finetune: Column,
+                      version: Column, output_type: Column, model_type: Column | None = None) -> Column:
+    """P13 naming convention ``name[-size][-finetune][-version][-ENCODING][-kind]``:
+    the name is the base name, else the model name, else ``ggml-model``
+    (stripped; spaces and '/' -> '-'); every other part is added when it is
+    not null (spaces -> '-', the encoding upper-cased)."""
+    def nm(c):
+        return F.replace(F.replace(_strip(c), F.lit(" "), F.lit("-")), F.lit("/"), F.lit("-"))
+
+    def part(c, upper=False):
+        v = F.replace(_strip(c), F.lit(" "), F.lit("-"))
+        v = F.upper(v) if upper else v
+        return F.when(c.isNotNull(), F.concat(F.lit("-"), v)).otherwise(F.lit(""))
+    name = F.coalesce(nm(base_name), nm(model_name), F.lit("ggml-model"))
+    size = F.when(size_label.isNotNull(), F.concat(F.lit("-"), size_label)).otherwise(F.lit(""))
+    kind = part(model_type) if model_type is not None else F.lit("")
+    return F.concat(name, size, part(finetune), part(version), part(output_type, upper=True), kind)
+
+
+def shard_file_name(stem: Column, i: Column, n: Column, ext: str = ".gguf") -> Column:
+    """``stem-00001-of-00005.gguf`` shard names; a single shard keeps
+    ``stem`` + extension."""
+    return F.when(n == 1, F.concat(stem, F.lit(ext))).otherwise(
+        F.concat(stem, F.lit("-"), F.lpad(i.cast("string"), 5, "0"), F.lit("-of-"), F.lpad(n.cast("string"), 5, "0"),
+                 F.lit(ext)))
+
+
+def safe_name(s: Column) -> Column:
+    """Characters outside ``[A-Za-z0-9_.-]`` -> ``_`` (package names)."""
+    return F.regexp_replace(s, r"[^A-Za-z0-9_.\-]", "_")
 
 
 def fill_type_template(name: Column, ftype: Column) -> Column:

@@ -253,13 +253,15 @@ def densify(spark, tokens, n_vocab):
 
 def names_and_files(spark, sf_dir):
     p = t(spark, sf_dir, "part")
-    base = C.artifact_filename(C.title_case_id(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))),
-                               F.concat(F.col("p_size").cast("string"), F.lit("B")), F.lower("p_type"),
-                               F.lit("v1.0"), F.lit("q8_0"))
-    return p.select("p_partkey", base.alias("file_name"),
+    base = C.title_case_id(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))
+    fname = C.artifact_filename(F.when(F.col("p_size") % 4 != 0, base), F.col("p_name"),
+                                F.concat(F.col("p_size").cast("string"), F.lit("B")),
+                                F.when(F.col("p_size") % 3 != 0, F.lower("p_type")), F.lit("v1.0"), F.lit("q8_0"))
+    return p.select("p_partkey", fname.alias("file_name"),
                     C.shard_file_name(F.col("p_brand"), (F.col("p_partkey") % 5) + 1, F.lit(5)).alias("shard_name"),
                     C.fill_type_template(F.concat(F.col("p_brand"), F.lit(".{ftype}.{FTYPE}.gguf")),
-                                         F.lit("Q8_0")).alias("templated"))
+                                         F.lit("Q8_0")).alias("templated"),
+                    C.safe_name(F.concat(F.lit("models_"), F.col("p_brand"), F.lit(" "), F.col("p_type"))).alias("package"))
 
 
 def sizes_parsed(spark, sf_dir):
@@ -564,14 +566,18 @@ SELECT ids.id, coalesce(best.token, '[PAD' || ids.id || ']') AS token,
 FROM ids LEFT JOIN best ON ids.id = best.id"""
 
 SQL_NAMES = """
-WITH w AS (SELECT p_partkey, p_brand, p_size, p_type,
+WITH w AS (SELECT p_partkey, p_brand, p_size, p_type, p_name,
                   list_transform(string_split(replace(replace(p_name, ' ', '-'), '-', ' '), ' '),
-                    lambda x: CASE WHEN x = lower(x) AND NOT regexp_full_match(x, '(v[0-9]+(\\.[0-9]+)*|[0-9].*)')
+                    lambda x: CASE WHEN x = lower(x) AND regexp_matches(x, '[a-z]')
+                                    AND NOT regexp_full_match(x, '(v[0-9]+(\\.[0-9]+)*|[0-9].*)')
                                    THEN upper(left(x, 1)) || substr(x, 2) ELSE x END) AS ws FROM part)
 SELECT p_partkey,
-       replace(replace(trim(array_to_string(ws, ' ')), ' ', '-'), '/', '-') || '-' || p_size || 'B-' || lower(p_type) || '-v1.0-Q8_0' AS file_name,
-       p_brand || '-' || lpad(CAST(p_partkey % 5 + 1 AS VARCHAR), 5, '0') || '-of-00005' AS shard_name,
-       p_brand || '.q8_0.Q8_0.gguf' AS templated
+       CASE WHEN p_size % 4 <> 0 THEN replace(replace(array_to_string(ws, ' '), ' ', '-'), '/', '-')
+            ELSE replace(replace(trim(p_name), ' ', '-'), '/', '-') END
+       || '-' || p_size || 'B' || CASE WHEN p_size % 3 <> 0 THEN '-' || lower(p_type) ELSE '' END || '-v1.0-Q8_0' AS file_name,
+       p_brand || '-' || lpad(CAST(p_partkey % 5 + 1 AS VARCHAR), 5, '0') || '-of-00005.gguf' AS shard_name,
+       p_brand || '.q8_0.Q8_0.gguf' AS templated,
+       regexp_replace('models_' || p_brand || ' ' || p_type, '[^A-Za-z0-9_.\\-]', '_', 'g') AS package
 FROM w"""
 
 SQL_SIZES_PARSED = """
