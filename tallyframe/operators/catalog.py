@@ -277,11 +277,17 @@ def expand_abbrev(name: Column) -> Column:
         F.coalesce(m[F.lower(F.trim(w))], w))), " ")
 
 
+# Added tokens that are control tokens although not marked special.
+SPECIAL_LOOKING_TOKENS = ("<pad>", "<mask>", "<2mass>", "[@BOS@]")
+
+
 def token_type(token: Column, is_special: Column | None = None) -> Column:
     """BYTE for ``<0xHH>``, CONTROL for special ids or special-looking
-    text (``<|..|>``, fullwidth bars, ``<unused..>``, a fixed set), else NORMAL."""
-    looks = (token.rlike(r"^<\|.*\|>$") | token.rlike("^<｜.*｜>$") | token.rlike(r"^<unused[0-9]*>$")
-             | token.isin("<pad>", "<mask>", "<2mass>", "[@BOS@]"))
+    text (starts ``<|`` and ends ``|>``, the fullwidth-bar form, starts
+    ``<unused`` and ends ``>``, or a fixed set), else NORMAL."""
+    looks = ((token.startswith("<|") & token.endswith("|>")) | (token.startswith("<｜") & token.endswith("｜>"))
+             | (token.startswith("<unused") & token.endswith(">"))
+             | token.isin(*SPECIAL_LOOKING_TOKENS))
     spec = looks if is_special is None else (is_special | looks)
     return (F.when(token.rlike(r"^<0x[0-9A-Fa-f]{2}>$"), F.lit("BYTE"))
             .when(spec, F.lit("CONTROL")).otherwise(F.lit("NORMAL")))

@@ -546,8 +546,8 @@ WITH w AS (SELECT unnest(string_split(text, ' ')) AS token FROM benchmark
            UNION SELECT '<|item' || item_id || '|>' FROM benchmark
            UNION SELECT '<unused' || item_id || '>' FROM benchmark)
 SELECT DISTINCT token, CASE WHEN regexp_full_match(token, '<0x[0-9A-Fa-f]{2}>') THEN 'BYTE'
-       WHEN regexp_full_match(token, '<\\|.*\\|>') OR regexp_full_match(token, '<｜.*｜>')
-            OR regexp_full_match(token, '<unused[0-9]*>') OR token IN ('<pad>', '<mask>', '<2mass>', '[@BOS@]')
+       WHEN (starts_with(token, '<|') AND ends_with(token, '|>')) OR (starts_with(token, '<｜') AND ends_with(token, '｜>'))
+            OR (starts_with(token, '<unused') AND ends_with(token, '>')) OR token IN ('<pad>', '<mask>', '<2mass>', '[@BOS@]')
        THEN 'CONTROL' ELSE 'NORMAL' END AS type FROM w"""
 
 SQL_VOCAB = """
@@ -560,7 +560,7 @@ ids AS (SELECT range AS id FROM n, range(0, n.n))
 SELECT ids.id, coalesce(best.token, '[PAD' || ids.id || ']') AS token,
        CAST(CASE WHEN best.token IS NULL THEN 5
                  WHEN regexp_full_match(best.token, '<0x[0-9A-Fa-f]{2}>') THEN 6
-                 WHEN regexp_full_match(best.token, '<\\|.*\\|>') THEN 3
+                 WHEN starts_with(best.token, '<|') AND ends_with(best.token, '|>') THEN 3
                  WHEN best.pr > 0 THEN 4 ELSE 1 END AS INTEGER) AS toktype,
        round(CASE WHEN best.token IS NULL THEN -10000.0 WHEN best.pr > 0 THEN -1000.0 ELSE 0.0 END, 6) AS score
 FROM ids LEFT JOIN best ON ids.id = best.id"""
