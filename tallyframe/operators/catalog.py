@@ -439,14 +439,47 @@ def resolve_special(types: DataFrame, added: DataFrame, n_vocab: int | Column,
     return r.withColumn("invalid", F.coalesce(F.col("__anyneg") == 1, F.lit(False))).drop("__anyneg")
 
 
+# Hyper-parameter alias lists (first present alias wins).
+HPARAM_ALIASES = {
+    "context_length": ("max_position_embeddings", "n_ctx", "n_positions", "max_length"),
+    "embedding_length": ("hidden_size", "n_embd", "dim"),
+    "feed_forward_length": ("intermediate_size", "n_inner", "hidden_dim"),
+    "head_count": ("num_attention_heads", "n_head", "n_heads"),
+    "head_count_kv": ("num_key_value_heads", "n_kv_heads"),
+    "layer_norm_rms_epsilon": ("rms_norm_eps", "norm_eps"),
+    "layer_norm_epsilon": ("layer_norm_eps", "layer_norm_epsilon", "norm_epsilon"),
+    "expert_gating_func": ("score_function", "scoring_func", "score_func"),
+}
+# Enumerated values of canonical keys.
+HPARAM_VALUES = {"expert_gating_func": {"softmax": "1", "sigmoid": "2"}}
+
+
+def alias_table(spark, aliases: dict | None = None):
+    """(alias, canonical, priority) rows from an ordered alias mapping."""
+    aliases = aliases or HPARAM_ALIASES
+    rows = [(a, c, i) for c, al in aliases.items() for i, a in enumerate(al)]
+    return spark.createDataFrame(rows, "alias string, canonical string, priority int")
+
+
 def canonical_keys(config: DataFrame, aliases: DataFrame, entity: str = "entity", key: str = "key",
-                   value: str = "value") -> DataFrame:
+                   value: str = "value", value_maps: dict | None = None) -> DataFrame:
     """Ordered alias list -> one canonical key per entity; the first
     present alias (lowest priority number) wins; absent keys are omitted.
-    ``aliases`` = (alias, canonical, priority)."""
+    ``aliases`` = (alias, canonical, priority) - a small dimension the
+    optimizer may broadcast. Canonical keys with enumerated values are mapped
+    (``value_maps``); an unknown value is flagged ``invalid``."""
     j = config.join(aliases, config[key] == aliases["alias"], "inner")
-    return j.groupBy(entity, "canonical").agg(F.min_by(F.col(value), F.col("priority")).alias(value),
-                                             F.min_by(F.col("alias"), F.col("priority")).alias("alias"))
+    r = j.groupBy(entity, "canonical").agg(F.min_by(F.col(value), F.col("priority")).alias(value),
+                                          F.min_by(F.col("alias"), F.col("priority")).alias("alias"))
+    maps = value_maps if value_maps is not None else HPARAM_VALUES
+    mapped, invalid = F.col(value), F.lit(False)
+    for canon, vm in maps.items():
+        m = F.create_map(*[x for k, v in vm.items() for x in (F.lit(k), F.lit(v))])
+        is_c = F.col("canonical") == canon
+        mapped = F.when(is_c, m[F.col(value)]).otherwise(mapped)
+        invalid = invalid | (is_c & m[F.col(value)].isNull())
+    others = [c for c in r.columns if c != value]
+    return r.select(*others, mapped.alias(value), invalid.alias("invalid"))
 
 
 # ----------------------------------------------------------- aggregations

@@ -201,10 +201,12 @@ def canonical(spark, sf_dir):
     cfg = p.select(F.col("p_partkey").alias("entity"), F.explode(F.create_map(
         F.lit("hidden_size"), F.col("p_size").cast("string"),
         F.lit("n_embd"), F.when(F.col("p_size") > 25, (F.col("p_size") * 2).cast("string")),
-        F.lit("brand"), F.col("p_brand"))).alias("key", "value")).filter(F.col("value").isNotNull())
-    aliases = spark.createDataFrame([("n_embd", "embedding_length", 0), ("hidden_size", "embedding_length", 1),
-                                     ("brand", "vendor", 0)], "alias string, canonical string, priority int")
-    return C.canonical_keys(cfg, aliases)
+        F.lit("dim"), (F.col("p_size") * 3).cast("string"),
+        F.lit("n_ctx"), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") * 100).cast("string")),
+        F.lit("scoring_func"), F.when(F.col("p_type") == "SMALL", F.lit("sigmoid"))
+        .when(F.col("p_type") == "LARGE", F.lit("softmax")).when(F.col("p_type") == "PROMO", F.lit("relu")))
+    ).alias("key", "value")).filter(F.col("value").isNotNull())
+    return C.canonical_keys(cfg, C.alias_table(spark))
 
 
 def flattened(spark, sf_dir):
@@ -520,11 +522,24 @@ SQL_CANONICAL = """
 WITH cfg AS (
   SELECT p_partkey AS entity, 'hidden_size' AS key, CAST(p_size AS VARCHAR) AS value FROM part
   UNION ALL SELECT p_partkey, 'n_embd', CAST(p_size * 2 AS VARCHAR) FROM part WHERE p_size > 25
-  UNION ALL SELECT p_partkey, 'brand', p_brand FROM part),
-al(alias, canonical, priority) AS (VALUES ('n_embd', 'embedding_length', 0), ('hidden_size', 'embedding_length', 1),
-  ('brand', 'vendor', 0))
-SELECT entity, canonical, arg_min(value, priority) AS value, arg_min(alias, priority) AS alias
-FROM cfg JOIN al ON cfg.key = al.alias GROUP BY entity, canonical"""
+  UNION ALL SELECT p_partkey, 'dim', CAST(p_size * 3 AS VARCHAR) FROM part
+  UNION ALL SELECT p_partkey, 'n_ctx', CAST(p_size * 100 AS VARCHAR) FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT p_partkey, 'scoring_func', CASE p_type WHEN 'SMALL' THEN 'sigmoid' WHEN 'LARGE' THEN 'softmax'
+                                                          WHEN 'PROMO' THEN 'relu' END FROM part
+            WHERE p_type IN ('SMALL', 'LARGE', 'PROMO')),
+al(alias, canonical, priority) AS (VALUES
+  ('max_position_embeddings', 'context_length', 0), ('n_ctx', 'context_length', 1),
+  ('n_positions', 'context_length', 2), ('max_length', 'context_length', 3),
+  ('hidden_size', 'embedding_length', 0), ('n_embd', 'embedding_length', 1), ('dim', 'embedding_length', 2),
+  ('score_function', 'expert_gating_func', 0), ('scoring_func', 'expert_gating_func', 1),
+  ('score_func', 'expert_gating_func', 2)),
+r AS (SELECT entity, canonical, arg_min(value, priority) AS value, arg_min(alias, priority) AS alias
+      FROM cfg JOIN al ON cfg.key = al.alias GROUP BY entity, canonical)
+SELECT entity, canonical,
+       CASE WHEN canonical = 'expert_gating_func' THEN CASE value WHEN 'softmax' THEN '1' WHEN 'sigmoid' THEN '2' END
+            ELSE value END AS value, alias,
+       canonical = 'expert_gating_func' AND value NOT IN ('softmax', 'sigmoid') AS invalid
+FROM r"""
 
 SQL_FLATTENED = """
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
