@@ -8,6 +8,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local_heap() -> str:
+    """Driver heap for local mode: 60% of physical memory, between 2 and 16 GB."""
+    try:
+        with open("/proc/meminfo") as fh:
+            kb = next(int(line.split()[1]) for line in fh if line.startswith("MemTotal:"))
+        gb = int(kb / 1024 / 1024 * 0.6)
+    except (OSError, StopIteration, ValueError):
+        gb = 4
+    return f"{max(2, min(16, gb))}g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "tallyframe") -> SparkSession:
     """A session tuned for the library: AQE on, UTC clock, Arrow on, no UI.
@@ -21,7 +32,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
-            b = b.config("spark.driver.memory", os.environ.get("TALLYFRAME_DRIVER_MEMORY", "16g"))
+            b = b.config("spark.driver.memory", os.environ.get("TALLYFRAME_DRIVER_MEMORY", _local_heap()))
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
