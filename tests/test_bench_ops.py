@@ -91,3 +91,20 @@ def test_running_peak_two_level(spark):
         peak = max(peak, v)
         want.append((i, peak))
     assert got == want
+
+
+def test_exact_percentiles_refinement_rounds(spark):
+    """Tiny max_band_rows forces the hot-group refinement path, incl. a
+    bracket made of one repeated value."""
+    rng = np.random.default_rng(9)
+    rows = [("hot", float(x)) for x in rng.normal(size=5000)] + [("hot", 0.5)] * 3000
+    rows += [("dup", 7.0)] * 400 + [("dup", 8.0)] * 3 + [("small", 1.0), ("small", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
+    for acc in (50, 3):          # 3: sketch brackets miss and widen to the whole group
+        got = {r.g: r for r in exact_percentiles(df, ["g"], "v", ps, accuracy=acc, max_band_rows=40,
+                                                 grid=8, max_rounds=6).collect()}
+        for g in ("hot", "dup", "small"):
+            vals = [v for k, v in rows if k == g]
+            for name, p in ps.items():
+                assert abs(getattr(got[g], name) - _ref_percentile(vals, p)) < 1e-9, (acc, g, name)
