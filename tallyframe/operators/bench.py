@@ -163,8 +163,9 @@ def latest_result(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFram
 def running_peak(samples: DataFrame, keys: list[str], ts: str, tie: str, value: str,
                  bucket: Column | None = None, out: str = "running_peak") -> DataFrame:
     """Peak value so far per key in time order (skew-safe two-level scan;
-    default bucket = day of ``ts``)."""
-    b = bucket if bucket is not None else F.date_trunc("day", F.col(ts))
+    default bucket = hour of ``ts``, so one key's rows are ranked an hour at
+    a time and the carry table has one row per key and hour)."""
+    b = bucket if bucket is not None else F.date_trunc("hour", F.col(ts))
     return running_agg(samples, keys, [ts, tie], value, b, out, "max")
 
 

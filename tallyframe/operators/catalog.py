@@ -638,7 +638,8 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
     unique within a model.
 
-    Count-only limits are arithmetic on the position rank. A byte limit is
+    Count-only limits are arithmetic on the position rank (a two-level
+    running count, bucketed by position). A byte limit is
     an order-dependent fold: rows are hash-partitioned by model, sorted by
     (model, pos) inside each partition, and folded by a streaming
     ``mapInPandas`` pass that carries its state across batches - no group
@@ -647,8 +648,11 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     if not max_bytes:
         if not max_tensors:
             return tensors.withColumn("shard", F.lit(base).cast("bigint"))
-        w = Window.partitionBy(model).orderBy(pos)
-        return tensors.withColumn("shard", (F.floor((F.row_number().over(w) - 1) / max_tensors) + base).cast("bigint"))
+        # rank within the model by a two-level running count (no window over a whole model)
+        ranked = running_agg(tensors.withColumn("__one", F.lit(1)), [model], [pos], "__one",
+                             F.floor(F.col(pos) / 4096), "__rank", "sum")
+        return ranked.withColumn("shard", (F.floor((F.col("__rank") - 1) / max_tensors) + base).cast("bigint")) \
+            .drop("__one", "__rank")
     slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"), F.col(nbytes).alias("__bytes"))
     ordered = slim.repartition("__m").sortWithinPartitions("__m", "__pos")
     schema = T.StructType(slim.schema.fields + [T.StructField("shard", T.LongType())])

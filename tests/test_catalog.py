@@ -80,3 +80,10 @@ def test_map_names_suffix(spark):
     names = spark.createDataFrame([("a.b",), ("a.b.weight",), ("l.1.q.bias",), ("zz.weight",)], "name string")
     got = [r.mapped for r in C.map_names(names, mapping).orderBy("name").collect()]
     assert got == ["x.y", "x.y.weight", "blk.1.q.bias", None]
+
+
+def test_plan_shards_count_only(spark):
+    rows = [(1, p, 10) for p in (5, 9, 12, 40, 41, 5000, 9000)] + [(2, 3, 1)]
+    df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
+    got = sorted((r.model, r.pos, r.shard) for r in C.plan_shards(df, "model", "pos", "nbytes", 3).collect())
+    assert got == [(1, 5, 0), (1, 9, 0), (1, 12, 0), (1, 40, 1), (1, 41, 1), (1, 5000, 1), (1, 9000, 2), (2, 3, 0)]
