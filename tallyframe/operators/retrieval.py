@@ -28,14 +28,31 @@ from pyspark.sql import types as T
 from tallyframe.session import scratch_path
 
 # Corpus rows per numpy distance block inside a task (bounds task memory to
-# roughly n_queries * block * dim * 8 bytes).
+# roughly n_queries * block * 8 bytes per temporary).
 _BLOCK_ELEMS = 4_000_000
+# Query blocks with more than this many query*dimension cells use the BLAS
+# form |q|^2 + |c|^2 - 2 q.c; smaller ones accumulate exact squared
+# differences dimension by dimension.
+_GEMM_CELLS = 1 << 16
+
+
+def _distances(qmat: np.ndarray, qsq: np.ndarray, blk: np.ndarray) -> np.ndarray:
+    nq, dim = qmat.shape
+    if nq * dim >= _GEMM_CELLS:
+        d = qsq[:, None] + np.einsum("ij,ij->i", blk, blk)[None, :] - 2.0 * (qmat @ blk.T)
+        return np.maximum(d, 0.0)
+    d = np.zeros((nq, blk.shape[0]))
+    for j in range(dim):
+        diff = qmat[:, j][:, None] - blk[:, j][None, :]
+        d += diff * diff
+    return d
 
 
 def _partial_topk_fn(bq, k: int, dim: int, cid_is_int: bool):
     def run(batches):
         qids, qmat = bq.value
         nq = len(qids)
+        qsq = np.einsum("ij,ij->i", qmat, qmat)
         best_d = np.full((nq, k), np.inf)
         best_i = np.zeros((nq, k), dtype=np.int64 if cid_is_int else object)
         best_ok = np.zeros((nq, k), dtype=bool)
@@ -50,11 +67,13 @@ def _partial_topk_fn(bq, k: int, dim: int, cid_is_int: bool):
             for s in range(0, len(ids), step):
                 blk = mat[s:s + step]
                 bid = ids[s:s + step]
-                # sequential sum over dimensions: (nq, nb) temporaries only
-                d = np.zeros((nq, len(bid)))
-                for j in range(dim):
-                    diff = qmat[:, j][:, None] - blk[:, j][None, :]
-                    d += diff * diff
+                d = _distances(qmat, qsq, blk)
+                # only columns that can still enter some query's top-k
+                # (<= keeps ties, whose smaller ids may win)
+                keep = (d <= best_d[:, -1][:, None]).any(axis=0)
+                if not keep.any():
+                    continue
+                d, bid = d[:, keep], bid[keep]
                 cd = np.concatenate([best_d, d], axis=1)
                 ci = np.concatenate([best_i, np.broadcast_to(bid, d.shape)], axis=1)
                 cok = np.concatenate([best_ok, np.ones(d.shape, dtype=bool)], axis=1)
@@ -76,10 +95,12 @@ def _partial_topk_fn(bq, k: int, dim: int, cid_is_int: bool):
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
         query_key: str = "qid", corpus_key: str = "pos", vector: str = "embedding",
-        corpus_vector: str | None = None, max_queries_per_pass: int = 4096) -> DataFrame:
+        corpus_vector: str | None = None, max_queries_per_pass: int | None = None,
+        max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance.
 
-    Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
+    The query side is broadcast in blocks of at most ``max_queries_per_pass``
+    rows (default: as many as fit in ``max_broadcast_bytes``). Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
     ties by ascending ``corpus_key``; k larger than the corpus gives the whole
     corpus; an empty corpus gives no rows. Vectors of a different width than
     the first query vector are skipped (the reference zips to the shorter).
@@ -96,6 +117,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
     cid_type = c.schema["cid"].dataType
     cid_is_int = isinstance(cid_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
 
+    if max_queries_per_pass is None:
+        # size the broadcast block by bytes: narrow vectors -> more queries per pass
+        first = q.limit(1).collect()
+        width = len(first[0]["qvec"]) if first else 1
+        max_queries_per_pass = max(256, min(1 << 18, max_broadcast_bytes // (8 * max(1, width))))
     # Bounded read of the query side: never more than max+1 rows reach the driver.
     head = q.limit(max_queries_per_pass + 1).collect()
     if len(head) <= max_queries_per_pass:

@@ -78,3 +78,15 @@ def test_substring_search_first_k_by_position(spark):
 def test_top_k_stable(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(6)], "pos long, score double")
     assert [r.pos for r in top_k(df, 3, "score", tie="pos").collect()] == [0, 2, 4]
+
+
+def test_knn_gemm_path(spark, monkeypatch):
+    import tallyframe.operators.retrieval as RM
+    monkeypatch.setattr(RM, "_GEMM_CELLS", 1)      # force the BLAS form
+    rng = np.random.default_rng(3)
+    corpus = [(i, rng.integers(-3, 4, size=6).astype(float).tolist()) for i in range(200)]
+    queries = [(1000 + j, rng.integers(-3, 4, size=6).astype(float).tolist()) for j in range(30)]
+    c = spark.createDataFrame(corpus, "pos long, embedding array<double>").repartition(4)
+    q = spark.createDataFrame(queries, "qid long, embedding array<double>")
+    got = sorted((a, b, c_) for a, b, c_, _ in knn(q, c, 4).collect())
+    assert got == sorted((a, b, c_) for a, b, c_, _ in _brute(queries, corpus, 4))
