@@ -51,7 +51,7 @@ def py_fixed(x: Column, d: int) -> Column:
             F.substring(g, F.char_length(g) - d + 1, F.lit(d))))
 
     return let(x.cast("double"), lambda v: F.when(v.isNull(), F.lit(None)).otherwise(F.concat(
-        F.when(v < 0, F.lit("-")).otherwise(F.lit("")),
+        F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),   # keeps -0.0
         let(digits_of(F.abs(v)), text))))
 
 
