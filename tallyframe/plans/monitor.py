@@ -40,6 +40,16 @@ def breaches_stream(spark, sf_dir):
     return E.latest_breach(b).select("name", "window_start", F.round("total", 6).alias("total"))
 
 
+def breaches_live(spark, sf_dir):
+    """R3 as a running stream: breaches logged per micro-batch and the
+    newest-breach marker maintained; returns the marker table."""
+    from tallyframe.session import scratch_path
+    s = E.windowed_totals(_event_stream(spark, sf_dir), "ts", "event_type", "value", "1 hour", "2 hours")
+    marker = scratch_path(spark, "breach-marker")
+    E.breach_stream(s, BREACH_LIMIT_MB, scratch_path(spark, "breach-log"), marker, scratch_path(spark, "breach-ckpt"))
+    return E.read_marker(spark, marker).select("name", "window_start", F.round("total", 6).alias("total"))
+
+
 def absence(spark, sf_dir):
     e = tu(spark, sf_dir, "events").select("ts", F.col("event_type").alias("name"))
     return E.absence_alerts(e, "ts", "name", POLL_SECONDS)
@@ -189,6 +199,7 @@ FROM ents LEFT JOIN per ON ents.entity = per.entity"""
 QUERIES = {
     "mon_windowed_totals_stream": (totals_stream, SQL_TOTALS),
     "mon_breach_alerts_stream": (breaches_stream, SQL_BREACHES),
+    "mon_breach_marker_stream": (breaches_live, SQL_BREACHES),
     "mon_absence_alerts": (absence, SQL_ABSENCE),
     "mon_absence_alerts_stream": (absence_streamed, SQL_ABSENCE),
     "mon_rss_total": (rss, SQL_RSS),

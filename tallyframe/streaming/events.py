@@ -191,6 +191,52 @@ def decision_log(samples: DataFrame, value: str, choice: str = "variant", reason
     return samples.select(F.col(value).alias("value"), F.col(choice).alias("choice"), F.col(reason).alias("reason"))
 
 
+def breach_stream(totals_stream: DataFrame, limit: float, log_path: str, marker_path: str,
+                  checkpoint: str, total: str = "total", name: str = "name",
+                  start: str = "window_start", once: bool = True):
+    """R3 as a running stream: window totals in update mode; every micro-batch
+    appends its breaches (strictly above ``limit``; ``limit <= 0`` disables)
+    to the log table, and the marker table keeps only the newest breach per
+    name (previous marker rows anti-joined out, then rewritten as a new
+    version folder)."""
+    spark = totals_stream.sparkSession
+
+    def newest_per_name(df: DataFrame) -> DataFrame:
+        # a window re-emitted in a later batch (update mode) supersedes itself
+        m = df.groupBy(name).agg(F.max_by(F.struct(start, total, "epoch"), F.struct(start, "epoch")).alias("m"))
+        return m.select(name, "m.*")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        br = breach_alerts(batch, limit, total).select(name, start, total).withColumn("epoch", F.lit(epoch))
+        br.write.mode("append").parquet(log_path)
+        prev = _latest_version(marker_path)
+        cand = br if prev is None else br.unionByName(spark.read.parquet(prev))
+        newest_per_name(cand).write.mode("overwrite").parquet(os.path.join(marker_path, f"v{epoch:08d}"))
+
+    q = (totals_stream.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint))
+    q = (q.trigger(availableNow=True) if once else q).start()
+    if once:
+        q.awaitTermination()
+    return q
+
+
+def _latest_version(root: str) -> str | None:
+    if not os.path.isdir(root):
+        return None
+    vs = sorted(d for d in os.listdir(root) if d.startswith("v") and
+                os.path.exists(os.path.join(root, d, "_SUCCESS")))
+    return os.path.join(root, vs[-1]) if vs else None
+
+
+def read_marker(spark: SparkSession, marker_path: str) -> DataFrame:
+    """The newest breach per name written by ``breach_stream``."""
+    v = _latest_version(marker_path)
+    if v is None:
+        return spark.createDataFrame([], "name string, window_start timestamp, total double")
+    return spark.read.parquet(v)
+
+
 __all__ = ["event_stream", "utc_event_time", "run_available_now", "windowed_totals", "rss_total",
            "breach_alerts", "latest_breach", "absence_alerts", "absence_stream", "event_counts",
-           "append_events", "decision_log", "rss_pids"]
+           "append_events", "decision_log", "rss_pids", "breach_stream", "read_marker"]

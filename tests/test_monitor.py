@@ -87,3 +87,26 @@ def test_json_event_stream_watermark_append(spark, tmp_path):
     # accepted (late-row watermark 0) and windows up to 160 s close; in batch 3
     # the 100 s event is behind 160 s and dropped, so [90, 120) never appears
     assert got == [(0, 21.0), (30, 10.0), (60, 10.0), (180, 10.0)]
+
+
+def test_breach_stream_marker_and_log(spark, tmp_path):
+    import json
+    src = tmp_path / "ev"
+    src.mkdir()
+    base = dt.datetime(2024, 1, 1)
+    files = [[(5, "a", 60.0), (70, "a", 10.0)], [(8, "a", 50.0), (75, "b", 200.0)], [(400, "a", 1.0)]]
+    import os
+    for i, evs in enumerate(files):
+        f = src / f"f{i}.json"
+        f.write_text("\n".join(json.dumps({"ts": (base + dt.timedelta(seconds=s)).isoformat(), "name": n, "rss": r})
+                               for s, n, r in evs))
+        os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    stream = E.event_stream(spark, str(src), "ts timestamp, name string, rss double", fmt="json", max_files_per_trigger=1)
+    totals = E.windowed_totals(stream, "ts", "name", "rss", "1 minute", "10 minutes")
+    log, marker = str(tmp_path / "log"), str(tmp_path / "marker")
+    E.breach_stream(totals, 100.0, log, marker, str(tmp_path / "ck"))
+    logged = sorted((r.name, r.window_start.minute, r.total) for r in spark.read.parquet(log).collect())
+    # window a@[0,60) crosses 100 only after the second file (60 + 50)
+    assert logged == [("a", 0, 110.0), ("b", 1, 200.0)]
+    m = sorted((r.name, r.window_start.minute, r.total) for r in E.read_marker(spark, marker).collect())
+    assert m == [("a", 0, 110.0), ("b", 1, 200.0)]
