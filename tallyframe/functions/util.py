@@ -21,10 +21,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def first_non_null(*cols: Column) -> Column:
-    return F.coalesce(*cols)
-
-
 def running_agg(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column,
                 out: str, kind: str = "max", include_current: bool = True) -> DataFrame:
     """Skew-safe running max/sum of ``value`` per ``keys`` in ``order``.

@@ -8,8 +8,6 @@ rejects duplicate keys and ``NaN``, which Python's ``json`` accepts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,7 +324,3 @@ def plan_fields(df: DataFrame, plan: str = "plan") -> DataFrame:
     return (df.withColumn("intent", F.try_variant_get(v, "$.intent", "string"))
             .withColumn("confidence", _confidence(v))
             .withColumn("n_steps", F.coalesce(F.size(F.try_variant_get(v, "$.steps", "array<variant>")), F.lit(0))))
-
-
-def all_of(cols) -> Column:
-    return reduce(lambda a, b: a & b, cols)
