@@ -96,7 +96,7 @@ def _partial_topk_fn(bq, k: int, dim: int, cid_is_int: bool):
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
         query_key: str = "qid", corpus_key: str = "pos", vector: str = "embedding",
         corpus_vector: str | None = None, max_queries_per_pass: int | None = None,
-        max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+        max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance.
 
     The query side is broadcast in blocks of at most ``max_queries_per_pass``
@@ -121,7 +121,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
         # size the broadcast block by bytes: narrow vectors -> more queries per pass
         first = q.limit(1).collect()
         width = len(first[0]["qvec"]) if first else 1
-        max_queries_per_pass = max(256, min(1 << 18, max_broadcast_bytes // (8 * max(1, width))))
+        max_queries_per_pass = max(256, min(1 << 16, max_broadcast_bytes // (8 * max(1, width))))
     # Bounded read of the query side: never more than max+1 rows reach the driver.
     head = q.limit(max_queries_per_pass + 1).collect()
     if len(head) <= max_queries_per_pass:
