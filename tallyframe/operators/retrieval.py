@@ -100,10 +100,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
     """Exact k nearest neighbours by squared L2 distance.
 
     The query side is broadcast in blocks of at most ``max_queries_per_pass``
-    rows (default: as many as fit in ``max_broadcast_bytes``). Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
+    rows (default: as many as fit in ``max_broadcast_bytes``, at most 65536).
+    Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
     ties by ascending ``corpus_key``; k larger than the corpus gives the whole
-    corpus; an empty corpus gives no rows. Vectors of a different width than
-    the first query vector are skipped (the reference zips to the shorter).
+    corpus; an empty corpus gives no rows. Corpus vectors of a different
+    width than the query vectors are skipped (the reference would zip them to
+    the shorter length).
     """
     if k <= 0:
         raise ValueError("k must be positive")
