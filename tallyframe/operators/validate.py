@@ -1,4 +1,4 @@
-"""Contract validation and decision flows (P2-P4, P6, P20-P22, U2, V1-V3, F8,
+"""Contract validation and decision flows (P2-P4, P6, P20-P22, U2, V1, V2, F8,
 A3, V7). All checks are VARIANT/JSON expressions evaluated per row in
 whole-stage codegen; nothing is gathered per group.
 
