@@ -1,6 +1,7 @@
 """Contract validation and decision flows (P2-P4, P6, P20-P22, U2, V1, V2, F8,
-A3, V7). All checks are VARIANT/JSON expressions evaluated per row in
-whole-stage codegen; nothing is gathered per group.
+A3, V7). All checks are VARIANT/JSON expressions evaluated per row in the
+JVM (the per-element checks are higher-order functions, which Spark
+interprets rather than compiles); nothing is gathered per group.
 
 Known parser gap (documented, not emulated): Spark's ``try_parse_json``
 rejects duplicate keys and ``NaN``, which Python's ``json`` accepts.
