@@ -97,7 +97,7 @@ def is_number(t: Column) -> Column:
 
 def object_keys(v: Column) -> Column:
     """Top-level keys of an object VARIANT (sorted), else null."""
-    return F.when(is_object(vtype(v)), F.json_object_keys(F.to_json(v)))
+    return F.when(is_object(vtype(v)), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def unexpected_keys(v: Column, allowed=ROOT_KEYS) -> Column:
