@@ -40,11 +40,14 @@ def compare(spark, sf_dir):
     a = VQ.quantize_column(e, "embedding", "Q8_0", "pa")
     b = VQ.quantize_column(a, "coarse", "Q8_0", "pb")
     c = VQ.compare_blocks(b, "pa", "pb", 34)
-    return c.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                 F.sum("n_blocks").cast("bigint").alias("blocks"),
-                 F.sum("bad_blocks").cast("bigint").alias("bad_blocks"),
-                 F.sum("diff_bits").cast("bigint").alias("diff_bits"),
-                 F.max_by(F.struct("vec_id", "worst_block"), F.struct("worst_bits", F.col("vec_id") * -1)).alias("worst"))
+    a = c.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+              F.sum("n_blocks").cast("bigint").alias("blocks"),
+              F.sum("bad_blocks").cast("bigint").alias("bad_blocks"),
+              F.sum("diff_bits").cast("bigint").alias("diff_bits"),
+              F.max_by(F.struct("vec_id", "worst_block", "worst_bits"),
+                       F.struct("worst_bits", F.col("vec_id") * -1)).alias("w"))
+    return a.select("rows", "blocks", "bad_blocks", "diff_bits", F.col("w.vec_id").alias("worst_vec_id"),
+                    F.col("w.worst_block").alias("worst_block"), F.col("w.worst_bits").alias("worst_bits"))
 
 
 def roundtrip_values(spark, sf_dir):

@@ -86,7 +86,7 @@ def read_runs(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
     for f in RUN_FIELDS.fields:
         val = F.try_variant_get("r", f"$.{f.name}", f.dataType.simpleString())
         if f.name == "variant":
-            present = F.array_contains(F.json_object_keys(F.to_json("r")), "variant")
+            present = F.array_contains(F.map_keys(F.try_variant_get("r", "$", "map<string,variant>")), "variant")
             val = F.when(present, val).otherwise(F.split(stem, "_").getItem(0))
         cols.append(val.alias(f.name))
     return items.select("file", *cols)
