@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import bench as B
+from tallyframe.operators import catalog as C
 from tallyframe.operators import retrieval as R
 from tallyframe.operators import validate as V
 from tallyframe.plans import bench as PB
@@ -139,7 +140,7 @@ def _tensor_rows(spark, sf_dir):
     return c.select(F.concat(F.lit("shard-"), F.pmod(F.col("model"), F.lit(N_TENSOR_FILES)).cast("string")).alias("file"),
                     F.concat(F.col("model").cast("string"), F.lit("/"), F.col("pos").cast("string"), F.lit("/"),
                              F.col("name")).alias("name"),
-                    "dtype", "shape", PC.C.n_bytes(F.col("shape"), F.col("dtype")).alias("length"))
+                    "dtype", "shape", C.n_bytes(F.col("shape"), F.col("dtype")).alias("length"))
 
 
 def tensor_headers(spark, sf_dir):
@@ -159,7 +160,7 @@ def _packed_files(spark, sf_dir):
                     (F.col("model") * 100 + F.col("pos")).alias("pos"),
                     F.concat(F.col("model").cast("string"), F.lit("/"), F.col("pos").cast("string"), F.lit("/"),
                              F.col("name")).alias("name"),
-                    "dtype", "shape", PC.C.n_bytes(F.col("shape"), F.col("dtype")).alias("n_bytes"))
+                    "dtype", "shape", C.n_bytes(F.col("shape"), F.col("dtype")).alias("n_bytes"))
     root = scratch_path(spark, "packed")
     PK.write_packed_headers(rows, root).collect()
     return root
