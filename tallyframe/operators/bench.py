@@ -8,7 +8,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.quantiles import exact_percentiles
+from tallyframe.functions.quantiles import approx_percentiles, exact_percentiles
 from tallyframe.functions.util import running_agg
 
 # Metric names of a quant run summary, in output order.
@@ -73,11 +73,19 @@ def summarize_runs(runs: DataFrame, keys: Sequence[str] = ("variant", "batch_siz
 
 
 def latency_percentiles(samples: DataFrame, keys: list[str], value: str = "latency_s",
-                        scale: float = 1000.0, ps: dict[str, float] | None = None) -> DataFrame:
-    """A2: exact linear-interpolated percentiles per group, times ``scale``
-    (seconds -> ms). Uses the skew-safe exact algorithm."""
+                        scale: float = 1000.0, ps: dict[str, float] | None = None,
+                        method: str = "exact", accuracy: int = 10000) -> DataFrame:
+    """A2: linear-interpolated percentiles per group, times ``scale``
+    (seconds -> ms). ``exact`` uses the skew-safe exact algorithm;
+    ``approx`` is the one-pass mergeable sketch (rank error <= n / accuracy,
+    returns a sample value rather than an interpolation)."""
     ps = ps or {"p50_ms": 0.50, "p95_ms": 0.95}
-    r = exact_percentiles(samples, keys, value, ps)
+    if method == "approx":
+        r = approx_percentiles(samples, keys, value, ps, accuracy)
+    elif method == "exact":
+        r = exact_percentiles(samples, keys, value, ps, accuracy)
+    else:
+        raise ValueError("method must be 'exact' or 'approx'")
     return r.select(*keys, *[(F.col(n) * F.lit(scale)).alias(n) for n in ps])
 
 

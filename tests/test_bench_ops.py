@@ -108,3 +108,12 @@ def test_exact_percentiles_refinement_rounds(spark):
             vals = [v for k, v in rows if k == g]
             for name, p in ps.items():
                 assert abs(getattr(got[g], name) - _ref_percentile(vals, p)) < 1e-9, (acc, g, name)
+
+
+def test_latency_percentiles_methods(spark):
+    vals = [float(i) for i in range(1, 1001)]
+    df = spark.createDataFrame([("v", x / 1000.0) for x in vals], "g string, latency_s double")
+    ex = B.latency_percentiles(df, ["g"]).first()
+    ap = B.latency_percentiles(df, ["g"], method="approx", accuracy=1000).first()
+    assert abs(ex.p50_ms - _ref_percentile(vals, 0.5)) < 1e-9 and abs(ex.p95_ms - _ref_percentile(vals, 0.95)) < 1e-9
+    assert abs(ap.p95_ms - ex.p95_ms) <= 2.0            # within the sketch's rank error
