@@ -632,7 +632,7 @@ def _fold_shards_stream(max_tensors: int, max_bytes: int, small_first: bool):
 
 
 def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tensors: int = 0,
-                max_bytes: int = 0, small_first: bool = False) -> DataFrame:
+                max_bytes: int = 0, small_first: bool = False, parallel_above: int = 5_000_000) -> DataFrame:
     """Greedy split - a new shard opens when the current one is non-empty
     and its tensor count is reached or the next tensor would exceed the byte
     limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
@@ -643,7 +643,9 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     an order-dependent fold: rows are hash-partitioned by model, sorted by
     (model, pos) inside each partition, and folded by a streaming
     ``mapInPandas`` pass that carries its state across batches - no group
-    is ever held in memory, one Python call serves many models."""
+    is ever held in memory, one Python call serves many models. Models with
+    more than ``parallel_above`` tensors take an exact parallel path
+    (``_plan_shards_parallel``) so that no model is a single task."""
     base = 1 if small_first else 0
     if not max_bytes:
         if not max_tensors:
@@ -653,14 +655,74 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
                              F.floor(F.col(pos) / 4096), "__rank", "sum")
         return ranked.withColumn("shard", (F.floor((F.col("__rank") - 1) / max_tensors) + base).cast("bigint")) \
             .drop("__one", "__rank")
-    slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"), F.col(nbytes).alias("__bytes"))
-    ordered = slim.repartition("__m").sortWithinPartitions("__m", "__pos")
+    slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"),
+                          F.coalesce(F.col(nbytes), F.lit(0)).cast("bigint").alias("__bytes"))
+    sizes = slim.groupBy("__m").agg(F.count(F.lit(1)).alias("__n"))
+    big = sizes.filter(F.col("__n") > parallel_above).select("__m")
+    # models above the threshold: exact parallel fold (no model in one task);
+    # the rest: the streaming fold, many models per Python call
+    small = slim.join(big, "__m", "left_anti")
+    ordered = small.repartition("__m").sortWithinPartitions("__m", "__pos")
     schema = T.StructType(slim.schema.fields + [T.StructField("shard", T.LongType())])
     folded = ordered.mapInPandas(_fold_shards_stream(max_tensors, max_bytes, small_first), schema)
+    if big.limit(1).collect():
+        par = _plan_shards_parallel(slim.join(big, "__m", "left_semi"), max_tensors, max_bytes, small_first)
+        folded = folded.unionByName(par)
     return tensors.join(folded.select(F.col("__m").alias(model), F.col("__pos").alias(pos), "shard"),
                         [model, pos], "inner")
 
 
+def _plan_shards_parallel(t: DataFrame, max_tensors: int, max_bytes: int, small_first: bool,
+                          bucket_rows: int = 4096) -> DataFrame:
+    """Exact greedy shard split for very large models without a sequential
+    pass: with ``idx`` the dense position and ``P`` the inclusive prefix sum
+    of bytes (both two-level running aggregates), a shard starting at ``s``
+    ends before ``next(s) = min(s + max_tensors, first j with P[j] > P[s-1] +
+    max_bytes)``. ``next`` is found by binary lifting over ``P`` and the
+    shard starts - the orbit of 1 under ``next`` - by path doubling; every
+    step is an equi-join on the unique key (model, idx), so one model's
+    rows spread over all tasks. Doubling tables are written to the shared
+    checkpoint folder (they are reused)."""
+    from tallyframe.session import materialize
+    b = F.floor(F.col("__pos") / bucket_rows)
+    d = running_agg(t.withColumn("__one", F.lit(1)), ["__m"], ["__pos"], "__one", b, "__idx", "sum")
+    d = running_agg(d, ["__m"], ["__pos"], "__bytes", b, "__P", "sum").drop("__one")
+    d = materialize(d.withColumn("__idx", F.col("__idx").cast("bigint")), "shard-prefix")
+    n_max = d.agg(F.max("__idx")).first()[0] or 0
+    levels = max(1, int(n_max).bit_length())
+    sizes = d.groupBy("__m").agg(F.max("__idx").alias("__n"))
+    look = d.select("__m", F.col("__idx").alias("__cand"), F.col("__P").alias("__Pc"))
+    cur = d.select("__m", "__idx", (F.col("__P") - F.col("__bytes") + F.lit(max_bytes)).alias("__T"),
+                   F.col("__idx").alias("__at"))
+    for k in range(levels, -1, -1):
+        step = cur.withColumn("__cand", F.col("__at") + F.lit(1 << k))
+        step = step.join(look, ["__m", "__cand"], "left")
+        cur = step.select("__m", "__idx", "__T", F.when(F.col("__Pc").isNotNull() & (F.col("__Pc") <= F.col("__T")),
+                                                        F.col("__cand")).otherwise(F.col("__at")).alias("__at"))
+        cur = materialize(cur, "shard-lift")
+    nxt = cur.join(sizes, "__m").select(
+        "__m", F.col("__idx").alias("__s"),
+        F.least(F.col("__at") + 1,
+                (F.col("__idx") + F.lit(max_tensors)) if max_tensors else F.col("__n") + 1,
+                F.col("__n") + 1).alias("__to"))
+    sink = sizes.select("__m", (F.col("__n") + 1).alias("__s"), (F.col("__n") + 1).alias("__to"))
+    jumps = [materialize(nxt.unionByName(sink), "shard-jump")]
+    for _ in range(levels):
+        j = jumps[-1]
+        j2 = j.alias("a").join(j.alias("b"), (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__to") == F.col("b.__s"))) \
+            .select(F.col("a.__m").alias("__m"), F.col("a.__s").alias("__s"), F.col("b.__to").alias("__to"))
+        jumps.append(materialize(j2, "shard-jump"))
+    starts = sizes.select("__m", F.lit(1).cast("bigint").alias("__s"))
+    for j in reversed(jumps):
+        moved = starts.join(j, ["__m", "__s"]).select("__m", F.col("__to").alias("__s"))
+        starts = materialize(starts.unionByName(moved).distinct(), "shard-starts")
+    flagged = d.join(starts.withColumnRenamed("__s", "__idx").withColumn("__start", F.lit(1)), ["__m", "__idx"], "left")
+    flagged = flagged.withColumn("__start", F.coalesce(F.col("__start"), F.lit(0)))
+    numbered = running_agg(flagged, ["__m"], ["__pos"], "__start", b, "__k", "sum")
+    base = 1 if small_first else 0
+    return numbered.select("__m", "__pos", "__bytes", (F.col("__k") - 1 + base).cast("bigint").alias("shard"))
+
+
 def aligned_offsets(tensors: DataFrame, keys: list[str], pos: str, nbytes: str,
                     align: int = DATA_ALIGNMENT, bucket_rows: int = 4096) -> DataFrame:
     """Data offset = running sum of the earlier tensors' sizes padded to

@@ -87,3 +87,26 @@ def test_plan_shards_count_only(spark):
     df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
     got = sorted((r.model, r.pos, r.shard) for r in C.plan_shards(df, "model", "pos", "nbytes", 3).collect())
     assert got == [(1, 5, 0), (1, 9, 0), (1, 12, 0), (1, 40, 1), (1, 41, 1), (1, 5000, 1), (1, 9000, 2), (2, 3, 0)]
+
+
+def test_plan_shards_parallel_path_equals_greedy(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = []
+    for m in range(3):
+        n = [1, 37, 200][m]
+        for i in range(n):
+            rows.append((m, int(rng.integers(0, 10_000_000)) * 10 + i % 10, int(rng.choice([0, 1, 3, 7, 12, 40]))))
+    df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
+    for max_t, max_b in ((0, 20), (5, 20)):
+        got = {(r.model, r.pos): r.shard for r in
+               C.plan_shards(df, "model", "pos", "nbytes", max_t, max_b, parallel_above=0).collect()}
+        for m in range(3):
+            seq = sorted((p, b) for mm, p, b in rows if mm == m)
+            shard, cnt, size = 0, 0, 0
+            for p, b in seq:
+                if cnt > 0 and ((max_t and cnt >= max_t) or size + b > max_b):
+                    shard, cnt, size = shard + 1, 0, 0
+                assert got[(m, p)] == shard, (max_t, max_b, m, p)
+                cnt += 1
+                size += b
