@@ -290,10 +290,38 @@ def union_shards(index_files: DataFrame, listed: DataFrame, file: str = "file")
 
 
 # ---------------------------------------------------------------- headers
+class BinarySource:
+    """A readable file for header scans: local paths (and ``file:`` URIs)
+    with the builtin ``open``, other URIs through ``pyarrow.fs``."""
+
+    def __init__(self, uri: str):
+        path = uri[5:] if uri.startswith("file:") else uri
+        if "://" in path:
+            from pyarrow import fs as pafs
+            fs, rel = pafs.FileSystem.from_uri(path)
+            self.fh = fs.open_input_file(rel)
+            self.size = self.fh.size()
+        else:
+            self.fh = open(path, "rb")
+            self.size = os.fstat(self.fh.fileno()).st_size
+
+    def read(self, n: int) -> bytes:
+        return self.fh.read(n)
+
+    def tell(self) -> int:
+        return self.fh.tell()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        self.fh.close()
+
+
 def _safetensors_rows(path: str):
-    with open(path, "rb") as fh:
+    with BinarySource(path) as fh:
         head = fh.read(8)
-        size = os.fstat(fh.fileno()).st_size
+        size = fh.size
         if len(head) < 8:
             yield (path, None, None, None, None, None, "file shorter than 8 bytes")
             return
@@ -315,51 +343,30 @@ def _safetensors_rows(path: str):
         yield (path, name, m["dtype"], [int(x) for x in m["shape"]], start + int(a), int(b) - int(a), None)
 
 
-def _register_header_source(spark: SparkSession) -> None:
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class _FilePartition(InputPartition):
-        def __init__(self, path):
-            self.path = path
+TENSOR_HEADER_SCHEMA = ("file string, name string, dtype string, shape array<bigint>, "
+                        "data_start bigint, length bigint, error string")
 
-    class _Reader(DataSourceReader):
-        def __init__(self, options):
-            self.paths = json.loads(options["paths"])
 
-        def partitions(self):
-            return [_FilePartition(p) for p in self.paths]
-
-        def read(self, partition):
-            yield from _safetensors_rows(partition.path)
-
-    class TensorHeaderSource(DataSource):
-        """Reads only the JSON header of each tensor file (one partition per
-        file); tensor bytes are never loaded."""
-
-        @classmethod
-        def name(cls):
-            return "tensor_headers"
-
-        def schema(self):
-            return ("file string, name string, dtype string, shape array<bigint>, "
-                    "data_start bigint, length bigint, error string")
-
-        def reader(self, schema):
-            return _Reader(self.options)
-
-    spark.dataSource.register(TensorHeaderSource)
+def file_listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Matching file paths under ``root`` (metadata only: ``binaryFile``
+    prunes the content column)."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob).load(root).select("path"))
 
 
 def scan_safetensors(spark: SparkSession, root: str, glob: str = "*.safetensors") -> DataFrame:
     """Tensor rows from the headers of every matching file: u64
     little-endian header length, JSON header, data start padded to 8,
     ``__metadata__`` dropped, rows in name order; a short or bad file gives
-    an ``error`` row. The file list comes from a metadata-only listing."""
-    _register_header_source(spark)
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("pathGlobFilter", glob).load(root).select("path"))
-    paths = [r.path.replace("file:", "", 1) if r.path.startswith("file:") else r.path for r in listing.collect()]
-    return spark.read.format("tensor_headers").option("paths", json.dumps(sorted(paths))).load()
+    an ``error`` row. Executors read only each file's header, in parallel
+    over a metadata-only listing (no path list on the driver)."""
+    cols = [f.split()[0] for f in TENSOR_HEADER_SCHEMA.split(", ")]
+
+    def read(batches):
+        for pdf in batches:
+            rows = [r for p in pdf["path"].tolist() for r in _safetensors_rows(p)]
+            yield pd.DataFrame(rows, columns=cols)
+    return file_listing(spark, root, glob).mapInPandas(read, TENSOR_HEADER_SCHEMA)
 
 
 def write_safetensors_headers(df: DataFrame, root: str, file_col: str = "file") -> DataFrame:

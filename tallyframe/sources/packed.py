@@ -1,6 +1,6 @@
-"""Packed model-file header catalog (S13) as a Python Data Source.
+"""Packed model-file header catalog.
 
-One partition per file; only the header is read (magic, version, typed
+Executors read only the header of each file (magic, version, typed
 key/value fields, tensor infos), never tensor data. Two tables come out of
 the same scan: ``kv`` (one row per field, in file order) and ``tensors``
 (name, type, numpy-order shape, sizes, absolute data offset). A file whose
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.operators.catalog import QUANT_TYPES
+from tallyframe.sources.files import BinarySource, file_listing
 
 # File magic, readable versions, default data alignment.
 MAGIC = b"GGUF"
@@ -70,8 +71,7 @@ class _Header:
 def parse_header(path: str):
     """Return (kv rows, tensor rows, error) for one file."""
     kv, tensors = [], []
-    with open(path, "rb") as raw:
-        fh = io.BufferedReader(raw, buffer_size=1 << 16)
+    with BinarySource(path) as fh:
         h = _Header(fh)
         try:
             if fh.read(4) != MAGIC:
@@ -129,58 +129,25 @@ def parse_header(path: str):
     return kv, tensors, None
 
 
-def _register(spark: SparkSession) -> None:
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class _File(InputPartition):
-        def __init__(self, path):
-            self.path = path
-
-    class _Reader(DataSourceReader):
-        def __init__(self, options):
-            self.paths = json.loads(options["paths"])
-            self.table = options.get("table", "tensors")
-
-        def partitions(self):
-            return [_File(p) for p in self.paths]
-
-        def read(self, part):
-            kv, tensors, err = parse_header(part.path)
-            if err is not None:
-                if self.table == "kv":
-                    yield (part.path, None, None, None, None, None, err)
-                else:
-                    yield (part.path, None, None, None, None, None, None, None, None, err)
-                return
-            if self.table == "kv":
-                for row in kv:
-                    yield (part.path, *row, None)
-            else:
-                for row in tensors:
-                    yield (part.path, *row, None)
-
-    class PackedHeaderSource(DataSource):
-        @classmethod
-        def name(cls):
-            return "packed_headers"
-
-        def schema(self):
-            return KV_SCHEMA if self.options.get("table", "tensors") == "kv" else TENSOR_SCHEMA
-
-        def reader(self, schema):
-            return _Reader(self.options)
-
-    spark.dataSource.register(PackedHeaderSource)
-
-
 def scan_packed_catalog(spark: SparkSession, root: str, table: str = "tensors", glob: str = "*.gguf") -> DataFrame:
     """``table='tensors'`` or ``'kv'`` rows from the header of every
-    matching file under ``root`` (listing is metadata only)."""
-    _register(spark)
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("pathGlobFilter", glob).load(root).select("path"))
-    paths = sorted(r.path[5:] if r.path.startswith("file:") else r.path for r in listing.collect())
-    return spark.read.format("packed_headers").option("paths", json.dumps(paths)).option("table", table).load()
+    matching file under ``root``. Executors parse the headers in parallel
+    over a metadata-only listing (no path list on the driver)."""
+    schema = KV_SCHEMA if table == "kv" else TENSOR_SCHEMA
+    cols = [f.split()[0] for f in schema.split(", ")]
+    width = len(cols)
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"].tolist():
+                kv, tensors, err = parse_header(p)
+                if err is not None:
+                    rows.append((p,) + (None,) * (width - 2) + (err,))
+                else:
+                    rows.extend((p, *r, None) for r in (kv if table == "kv" else tensors))
+            yield pd.DataFrame(rows, columns=cols)
+    return file_listing(spark, root, glob).mapInPandas(read, schema)
 
 
 # --------------------------------------------------------------- stand-ins
