@@ -617,6 +617,11 @@ SELECT l_orderkey AS block, l_returnflag AS projection,
        CASE WHEN count(*) = 3 THEN '3,' || CAST(CAST(trunc(first(l_quantity ORDER BY l_linenumber, l_quantity)) AS BIGINT) AS VARCHAR) END AS merged_shape
 FROM lineitem GROUP BY 1, 2"""
 
+SQL_MODEL_DIGEST = f"""WITH {_SQL_CAT},
+t AS (SELECT model, pos, sha256(name || ',' || '[' || array_to_string(shape, ', ') || ']') AS d FROM catalog),
+b AS (SELECT model, pos // 4096 AS bucket, sha256(string_agg(d, '' ORDER BY pos)) AS bd FROM t GROUP BY 1, 2)
+SELECT model, sha256(string_agg(bd, '' ORDER BY bucket)) AS model_sha256 FROM b GROUP BY model"""
+
 QUERIES = {
     "cat_tensor_sizes": (sizes, SQL_SIZES),
     "cat_storage_type": (storage, SQL_STORAGE),
@@ -641,5 +646,5 @@ QUERIES = {
     "cat_parse_size": (sizes_parsed, SQL_SIZES_PARSED),
     "cat_preview": (previews, SQL_PREVIEWS),
     "cat_complete_groups": (groups_complete, SQL_GROUPS_COMPLETE),
-    "cat_model_digest": (digests, None),
+    "cat_model_digest": (digests, SQL_MODEL_DIGEST),
 }
