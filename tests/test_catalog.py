@@ -110,3 +110,13 @@ def test_plan_shards_parallel_path_equals_greedy(spark):
                 assert got[(m, p)] == shard, (max_t, max_b, m, p)
                 cnt += 1
                 size += b
+
+
+def test_plan_shards_parallel_small_first(spark):
+    rows = [(7, p, b) for p, b in enumerate([5, 5, 1, 9, 2, 2, 2, 2, 10, 1])]
+    df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
+    seq = C.plan_shards(df, "model", "pos", "nbytes", 3, 10, small_first=True)
+    par = C.plan_shards(df, "model", "pos", "nbytes", 3, 10, small_first=True, parallel_above=0)
+    a = sorted((r.pos, r.shard) for r in seq.collect())
+    b = sorted((r.pos, r.shard) for r in par.collect())
+    assert a == b and a[0] == (0, 1)
