@@ -136,20 +136,21 @@ def _replay_state_fn():
                 else:
                     continue
                 val = cur.get(touched)
+                is_list = isinstance(val, list)
                 rows.append((ent, int(seq), len(stack), touched,
-                             None if val is None else json.dumps(val if not isinstance(val, list) else len(val))))
+                             None if (val is None or is_list) else str(val), len(val) if is_list else None))
         state.update((json.dumps(cur), json.dumps(stack)))
         if rows:
-            yield pd.DataFrame(rows, columns=["entity", "seq", "depth", "key", "value_json"])
+            yield pd.DataFrame(rows, columns=["entity", "seq", "depth", "key", "value", "list_len"])
     return fn
 
 
 def stateful_replay(changes: DataFrame, entity: str = "entity") -> DataFrame:
     """Streaming replay with undo via ``applyInPandasWithState``. The
     state of one entity (current map + delta stack) lives in the state store,
-    linear in that entity's history; output is one row per applied change
-    (the touched key and its new value; a list reports its length)."""
+    linear in that entity's history; output is one row per applied change:
+    the touched key, its new scalar value, or the new length of a list."""
     d = changes.select(F.col(entity).alias("entity"), "seq", "kind", "key", "value")
     return d.groupBy("entity").applyInPandasWithState(
-        _replay_state_fn(), "entity long, seq long, depth int, key string, value_json string",
+        _replay_state_fn(), "entity long, seq long, depth int, key string, value string, list_len int",
         "cur string, stack string", "append", "NoTimeout")

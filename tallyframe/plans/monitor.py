@@ -127,7 +127,7 @@ def replay_streamed(spark, sf_dir):
     ch = src.select(F.col("conv_id").alias("entity"), F.col("turn").alias("seq"), kind.alias("kind"),
                     F.col("role").alias("key"), F.col("text").alias("value"))
     r = E.run_available_now(S.stateful_replay(ch), "append", "replay")
-    return r.select("entity", "seq", "depth", "key", F.md5("value_json").alias("value_md5"))
+    return r.select("entity", "seq", "depth", "key", F.md5("value").alias("value_md5"), "list_len")
 
 
 SQL_TOTALS = """
@@ -196,6 +196,15 @@ ents AS (SELECT entity FROM s UNION SELECT entity FROM e)
 SELECT ents.entity, coalesce(per.passed, true) AS passed, coalesce(per.n_mismatch, 0) AS n_mismatch
 FROM ents LEFT JOIN per ON ents.entity = per.entity"""
 
+SQL_STATEFUL_REPLAY = f"""WITH {_SQL_CHANGES},
+a AS (SELECT * FROM ch WHERE kind IN ('set', 'set_map', 'append'))
+SELECT entity, seq,
+       CAST(count(*) OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS depth,
+       key, CASE WHEN kind = 'append' THEN NULL ELSE md5(value) END AS value_md5,
+       CASE WHEN kind = 'append' THEN CAST(count(*) OVER (PARTITION BY entity, key ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) END AS list_len
+FROM a"""
+
 QUERIES = {
     "mon_windowed_totals_stream": (totals_stream, SQL_TOTALS),
     "mon_breach_alerts_stream": (breaches_stream, SQL_BREACHES),
@@ -210,5 +219,5 @@ QUERIES = {
     "mon_diff_snapshots": (diffs, SQL_DIFFS),
     "mon_union_keys": (keys_union, SQL_KEYS_UNION),
     "mon_check_expected": (expected, SQL_EXPECTED),
-    "mon_stateful_replay_stream": (replay_streamed, None),
+    "mon_stateful_replay_stream": (replay_streamed, SQL_STATEFUL_REPLAY),
 }

@@ -55,9 +55,9 @@ def test_stateful_replay_undo(spark, tmp_path):
     spark.createDataFrame(rows, "entity long, seq long, kind string, key string, value string").write.parquet(str(src))
     stream = E.event_stream(spark, str(src), "entity long, seq long, kind string, key string, value string")
     out = sorted(tuple(r) for r in E.run_available_now(S.stateful_replay(stream), "append", "t-r6").collect())
-    assert [(s, d, k, v) for _, s, d, k, v in out] == [
-        (1, 1, "clip", '"a"'), (2, 2, "logs", "1"), (3, 3, "logs", "2"), (4, 2, "logs", "1"),
-        (5, 3, "clip", '"b"'), (6, 2, "clip", '"a"'), (7, 1, "logs", None)]
+    assert [(s, d, k, v, n) for _, s, d, k, v, n in out] == [
+        (1, 1, "clip", "a", None), (2, 2, "logs", None, 1), (3, 3, "logs", None, 2), (4, 2, "logs", None, 1),
+        (5, 3, "clip", "b", None), (6, 2, "clip", "a", None), (7, 1, "logs", None, None)]
 
 
 def test_json_event_stream_watermark_append(spark, tmp_path):
