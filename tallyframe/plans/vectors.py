@@ -136,11 +136,40 @@ SELECT vec_id, round(list_reduce(list_transform(range(1, len(q) + 1), lambda i:
        * CAST([0.5, 0.25, 0.125, 0.0625][(i - 1) // 16 + 1] AS FLOAT) AS FLOAT)::DOUBLE), lambda a, b: a + b), 6) AS checksum
 FROM c"""
 
+# Q4_1 round trip in SQL: float32 arithmetic via FLOAT casts, the stored
+# scale and minimum rounded to float16 (round-half-even on the binade grid).
+SQL_Q4_1 = """
+WITH x AS (SELECT vec_id, b AS block, embedding[b * 32 + 1: b * 32 + 32] AS v FROM embeddings, range(0, 2) r(b)),
+s AS (SELECT vec_id, block, v, list_max(v) AS hi, list_min(v) AS lo FROM x),
+d AS (SELECT *, CAST((hi - lo)::DOUBLE / 15.0 AS FLOAT) AS d FROM s),
+i AS (SELECT *, CASE WHEN d = 0 THEN CAST(0 AS FLOAT) ELSE CAST(1.0 / d::DOUBLE AS FLOAT) END AS id FROM d),
+h AS (
+  SELECT *,
+    list_transform([d::DOUBLE, lo::DOUBLE], lambda a:
+      CASE WHEN a = 0 THEN 0.0 ELSE sign(a) * (
+        CASE WHEN abs(a) < pow(2.0, -14) THEN round_even(abs(a) / pow(2.0, -24), 0) * pow(2.0, -24)
+        ELSE round_even(abs(a) / pow(2.0, (floor(log2(abs(a)))
+                 - CASE WHEN pow(2.0, floor(log2(abs(a)))) > abs(a) THEN 1 ELSE 0 END
+                 + CASE WHEN pow(2.0, floor(log2(abs(a))) + 1) <= abs(a) THEN 1 ELSE 0 END) - 10), 0)
+             * pow(2.0, (floor(log2(abs(a)))
+                 - CASE WHEN pow(2.0, floor(log2(abs(a)))) > abs(a) THEN 1 ELSE 0 END
+                 + CASE WHEN pow(2.0, floor(log2(abs(a))) + 1) <= abs(a) THEN 1 ELSE 0 END) - 10) END) END) AS f16
+  FROM i),
+q AS (
+  SELECT vec_id, block, v, CAST(f16[1] AS FLOAT) AS d16, CAST(f16[2] AS FLOAT) AS m16,
+         list_transform(v, lambda y: CAST(least(greatest(trunc(CAST(CAST((y - lo) AS FLOAT) * id AS FLOAT) + CAST(0.5 AS FLOAT)), 0), 15) AS FLOAT)) AS qs
+  FROM h),
+e AS (
+  SELECT vec_id, list_max(list_transform(range(1, 33), lambda k:
+           abs(CAST(v[k] - CAST(CAST(d16 * qs[k] AS FLOAT) + m16 AS FLOAT) AS FLOAT))::DOUBLE)) AS err
+  FROM q)
+SELECT vec_id, 'Q4_1' AS p_type, CAST(40 AS INTEGER) AS n_bytes, round(max(err), 9) AS max_abs_err FROM e GROUP BY vec_id"""
+
 QUERIES = {
     "vec_q8_0_codes": (q8_codes, SQL_Q8_CODES),
     "vec_quant_roundtrip": (roundtrip, None),
     "vec_compare_blocks": (compare, None),
-    "vec_dequantize_q4_1": (roundtrip_values, None),
+    "vec_dequantize_q4_1": (roundtrip_values, SQL_Q4_1),
     "vec_dequant_scaled": (scaled, SQL_SCALED),
     "vec_dequant_packed_int": (packed_int, SQL_PACKED_INT),
     "vec_dequant_grouped": (grouped, SQL_GROUPED),
