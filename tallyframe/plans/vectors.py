@@ -165,10 +165,52 @@ e AS (
   FROM q)
 SELECT vec_id, 'Q4_1' AS p_type, CAST(40 AS INTEGER) AS n_bytes, round(max(err), 9) AS max_abs_err FROM e GROUP BY vec_id"""
 
+# Block comparison in SQL: Q8_0 blocks rebuilt as float16 scale bits plus
+# int8 code bytes, then XOR popcounts per block.
+SQL_COMPARE_BLOCKS = """
+WITH src AS (
+  SELECT vec_id, embedding AS a, list_transform(embedding, lambda v: CAST(round(v::DOUBLE, 2) AS FLOAT)) AS c FROM embeddings),
+sides AS (SELECT vec_id, 0 AS side, a AS e FROM src UNION ALL SELECT vec_id, 1, c FROM src),
+x AS (SELECT vec_id, side, b AS block, e[b * 32 + 1: b * 32 + 32] AS v FROM sides, range(0, 2) r(b)),
+d AS (SELECT *, CAST(list_max(list_transform(v, lambda y: abs(y)))::DOUBLE / 127.0 AS FLOAT) AS d FROM x),
+i AS (SELECT *, CASE WHEN d = 0 THEN CAST(0 AS FLOAT) ELSE CAST(1.0 / d::DOUBLE AS FLOAT) END AS inv,
+             CASE WHEN d = 0 THEN 0 ELSE floor(log2(d::DOUBLE))
+                  - CASE WHEN pow(2.0, floor(log2(d::DOUBLE))) > d::DOUBLE THEN 1 ELSE 0 END
+                  + CASE WHEN pow(2.0, floor(log2(d::DOUBLE)) + 1) <= d::DOUBLE THEN 1 ELSE 0 END END AS ex
+      FROM d),
+h AS (
+  SELECT *, CASE WHEN d = 0 THEN 0.0
+                 WHEN ex < -14 THEN round_even(d::DOUBLE / pow(2.0, -24), 0) * pow(2.0, -24)
+                 ELSE round_even(d::DOUBLE / pow(2.0, ex - 10), 0) * pow(2.0, ex - 10) END AS r16
+  FROM i),
+b AS (
+  SELECT vec_id, side, block,
+         CASE WHEN r16 = 0 THEN 0
+              WHEN r16 < pow(2.0, -14) THEN CAST(r16 / pow(2.0, -24) AS BIGINT)
+              ELSE (CAST(floor(log2(r16)) + 15 AS BIGINT) << 10)
+                   + CAST((r16 / pow(2.0, floor(log2(r16))) - 1) * 1024 AS BIGINT) END AS dbits,
+         list_transform(v, lambda y: CAST(sign(CAST(y * inv AS FLOAT)) * (floor(abs(CAST(y * inv AS FLOAT)))
+             + floor(2 * (abs(CAST(y * inv AS FLOAT)) - floor(abs(CAST(y * inv AS FLOAT)))))) AS BIGINT) & 255) AS codes
+  FROM h),
+j AS (
+  SELECT p.vec_id, p.block,
+         bit_count(xor(p.dbits, q.dbits)) + list_sum(list_transform(range(1, 33),
+             lambda k: bit_count(xor(p.codes[k], q.codes[k])))) AS bits
+  FROM b p JOIN b q ON p.vec_id = q.vec_id AND p.block = q.block AND p.side = 0 AND q.side = 1),
+r AS (
+  SELECT vec_id, sum(CASE WHEN bits > 0 THEN 1 ELSE 0 END) AS bad, sum(bits) AS bits, max(bits) AS worst_bits,
+         arg_min(block, (-bits, block)) AS wb FROM j GROUP BY vec_id)
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(2 * count(*) AS BIGINT) AS blocks, CAST(sum(bad) AS BIGINT) AS bad_blocks,
+       CAST(sum(bits) AS BIGINT) AS diff_bits,
+       arg_max(vec_id, (worst_bits, -vec_id)) AS worst_vec_id,
+       CAST(arg_max(CASE WHEN worst_bits > 0 THEN wb END, (worst_bits, -vec_id)) AS INTEGER) AS worst_block,
+       CAST(max(worst_bits) AS INTEGER) AS worst_bits
+FROM r"""
+
 QUERIES = {
     "vec_q8_0_codes": (q8_codes, SQL_Q8_CODES),
     "vec_quant_roundtrip": (roundtrip, None),
-    "vec_compare_blocks": (compare, None),
+    "vec_compare_blocks": (compare, SQL_COMPARE_BLOCKS),
     "vec_dequantize_q4_1": (roundtrip_values, SQL_Q4_1),
     "vec_dequant_scaled": (scaled, SQL_SCALED),
     "vec_dequant_packed_int": (packed_int, SQL_PACKED_INT),
