@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import quality
+from tallyframe.llm import decontaminate, mixture, ngram_join, pii, quality
 from tallyframe.llm.common import written
 from tallyframe.sources.tables import read_table
 
@@ -24,6 +24,81 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity class and number of links of every document: five-word
+    shingles, Jaccard similarity 0.8 or more."""
+    return ngram_join.similarity_classes(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "n_text_links")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside a benchmark window, and the
+    items they come from."""
+    docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, bench).drop("text_hash").withColumnRenamed("id", "doc_id")
+
+
+_SQL_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+SQL_DECONTAMINATION = f"""
+with d as materialized (select row_number() over () as rid, doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+bw as materialized (
+  select distinct item_id, k, array_to_string(w[p + 1 : p + k], ' ') as win
+  from (select item_id, w, least(10, len(w)) as k, unnest(range(0, len(w) - least(10, len(w)) + 1)) as p from b where len(w) > 0)),
+dw as (
+  select rid, p, k, array_to_string(w[p + 1 : p + k], ' ') as win
+  from (select rid, w, k, unnest(range(0, len(w) - k + 1)) as p from d, (select distinct k from bw) where len(w) >= k)),
+hits as materialized (select distinct rid, p, k, win from dw semi join bw using (k, win)),
+covered as (select rid, count(distinct p + o) as n_hit from (select rid, p, unnest(range(k)) as o from hits) group by rid),
+named as (select rid, list_sort(list(distinct cast(item_id as varchar))) as ids from hits join bw using (k, win) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (rid) left join named using (rid)
+"""
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document: fixed patterns, and those that
+    the skip-chain field adds."""
+    return pii.find_spans(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of every source and words taken of every document."""
+    return mixture.mixture(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+SQL_MIXTURE = r"""
+with d as materialized (
+  select *, cast('0x' || substr(md5(concat('mix-1:', coalesce(cast(doc_id as varchar), ''), ':', cast(size as varchar))), 1, 15) as bigint) as draw
+  from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as size from documents)),
+s as (select source, sum(size) as total, row_number() over (order by source nulls last) as rank from d group by source),
+w as (select *, [5, 2, 1][(rank - 1) % 3 + 1] as weight, 2 * total as cap from s),
+l as (
+  select *, (1.5::double * sum(total) over ()
+    - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from w),
+t as (select source, total, least(cap::double, max(level) over () * weight) as target from l),
+p as (select source, total, target, case when total > 0 then floor(target / total) else 0 end as whole from t),
+e as (
+  select source, draw, sum(size) as size, sum(sum(size)) over (partition by source order by draw rows between unbounded preceding and 1 preceding) as before
+  from d group by source, draw),
+c as (
+  select p.source, coalesce(max(draw) filter (where coalesce(before, 0) + size / 2 < target - whole * total), -1) as cut
+  from p join e on p.source is not distinct from e.source group by p.source)
+select doc_id, size, cast(total as bigint) as source_size, target,
+  cast(size * (whole + case when draw <= cut then 1 else 0 end) as bigint) as taken
+from d join p on d.source is not distinct from p.source join c on d.source is not distinct from c.source
+"""
+
+
 QUERIES = {
+    "op4_benchmark_decontamination": (op4_benchmark_decontamination, SQL_DECONTAMINATION),
+    "op5_personal_data": (op5_personal_data, None),
     "op7_quality_outliers": (op7_quality_outliers, None),
+    "op8_ngram_jaccard_join": (op8_ngram_jaccard_join, None),
+    "op10_source_mixture": (op10_source_mixture, SQL_MIXTURE),
 }
