@@ -73,10 +73,10 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     for k in lengths:
         h = F.when((F.col("k") == k) & (F.col("pos") >= 0), _hash("w", F.col("pos"), k)).otherwise(h)
     d = d.withColumn("h", h)
-    known = windows.select("h", F.col("k").alias("wk"), F.lit(True).alias("known")).distinct()
+    known = windows.select(F.col("h").alias("wh"), F.col("k").alias("wk"), F.lit(True).alias("known")).distinct()
     if windows.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    d = d.join(known, (F.col("h") == known.h) & (F.col("k") == F.col("wk")), "left").drop(known.h)
+    d = d.join(known, (F.col("h") == F.col("wh")) & (F.col("k") == F.col("wk")), "left")
     d = d.where("pos < 0 or known")
     found = written(d.select("id", "text_hash", "n_words", "pos", "k", F.when(F.col("pos") >= 0, F.array_join(F.expr("slice(w, pos + 1, k)"), " ")).alias("win")), "leak-found")
     texts = found.where("pos < 0").groupBy("id", "text_hash", "n_words").agg(F.count(F.lit(1)).alias("copies"))
