@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, mixture, ngram_join, pii, quality
+from tallyframe.llm import decontaminate, mixture, ngram_join, pii, quality, url_graph, warc
 from tallyframe.llm.common import written
 from tallyframe.sources.tables import read_table
 
@@ -73,7 +73,8 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_MIXTURE = r"""
 with d as materialized (
   select *, cast('0x' || substr(md5(concat('mix-1:', coalesce(cast(doc_id as varchar), ''), ':', cast(size as varchar))), 1, 15) as bigint) as draw
-  from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as size from documents)),
+  from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as bigint) as size from documents)),
 s as (select source, sum(size) as total, row_number() over (order by source nulls last) as rank from d group by source),
 w as (select *, [5, 2, 1][(rank - 1) % 3 + 1] as weight, 2 * total as cap from s),
 l as (
@@ -95,7 +96,68 @@ from d join p on d.source is not distinct from p.source join c on d.source is no
 """
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
+SQL_WARC = """
+with p as (select page_id, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n, url from pages),
+g as (select *, max(page_id) over (partition by digest) as holder from p),
+r as (select *, case when n >= 1000 and holder is not null and page_id is distinct from holder then holder end as refers_to from g)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+  case when refers_to is null
+    then n + 244 + length(cast(page_id as varchar)) + coalesce(octet_length(encode(url)), -19) + length(cast(n as varchar))
+    else 357 + length(cast(page_id as varchar)) + coalesce(octet_length(encode(url)), -19) + length(cast(refers_to as varchar)) end as record_bytes,
+  true as verified
+from r
+"""
+
+
+def op3_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: listed rules, else trust and distrust
+    spread over the links between hosts."""
+    return url_graph.judge(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def _sql_url_graph() -> str:
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    href = url_graph._HREF.replace("'", "''")
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_graph.RULES)
+    d = url_graph.DAMPING
+    rounds = "".join(f""",
+s{i + 1} as materialized (
+  select kind, host, sum(v) as v from (
+    select f.kind, f.dst as host, {d} * s.v * f.w as v from s{i} s join f on f.kind = s.kind and f.host = s.host
+    union all select kind, host, {1 - d!r} * v from s0) group by kind, host)""" for i in range(url_graph.ROUNDS))
+    return f"""
+with p as materialized (
+  select row_number() over () as rid, page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r(verdict, rh, rp) as (values {rules}),
+m as materialized (
+  select rid, max_by(rh || rp, length(rh || rp)) as rule, max_by(verdict, length(rh || rp)) as listed
+  from p join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by rid),
+e as materialized (
+  select distinct src, dst from (
+    select host as src, {low("unnest(regexp_extract_all(coalesce(html, ''), '" + href + "', 1))")} as dst from p) where src <> '' and src <> dst),
+sd as (select distinct case when listed = 'allow' then 't' else 'b' end as kind, host from p join m using (rid) where host <> ''),
+s0 as materialized (select kind, host, 1.0::double / count(*) over (partition by kind) as v from sd),
+f as materialized (
+  select 't' as kind, src as host, dst, 1.0::double / count(*) over (partition by src) as w from e
+  union all select 'b', dst, src, 1.0::double / count(*) over (partition by dst) from e){rounds},
+sh as (
+  select host, round(sum(case when kind = 'b' then v else 0 end) / sum(v), 9) as distrust from s{url_graph.ROUNDS} group by host)
+select page_id, p.host, path, rule, coalesce(listed, case when distrust > {url_graph.THRESHOLD} then 'block' else 'allow' end) as verdict,
+  case when distrust > 0 then distrust end as distrust
+from p left join m using (rid) left join sh on sh.host = p.host
+"""
+
+
 QUERIES = {
+    "op2_warc_archive": (op2_warc_archive, SQL_WARC),
+    "op3_url_link_graph": (op3_url_link_graph, _sql_url_graph()),
     "op4_benchmark_decontamination": (op4_benchmark_decontamination, SQL_DECONTAMINATION),
     "op5_personal_data": (op5_personal_data, None),
     "op7_quality_outliers": (op7_quality_outliers, None),
