@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import quality
+from tallyframe.llm import decontaminate, mixture, ngram_join, pii, quality
 from tallyframe.llm.common import written
 from tallyframe.sources.tables import read_table
 
@@ -24,8 +24,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("__q_kept").select(*[f"`{c}`" for c in docs.columns])
 
 
+def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by a similarity of 0.8 or
+    more over five-word shingles: the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item; the others go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts masked by kind; ``n_chars``
+    follows a changed text."""
+    return pii.mask(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them: none, one or
+    two rows each."""
+    return mixture.mix(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_dedup", ngram_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
 ]
 
 

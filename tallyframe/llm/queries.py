@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, mixture, ngram_join, pii, quality, url_graph, warc
+from tallyframe.llm import decontaminate, html_density, mixture, ngram_join, pii, quality, toxicity, url_graph, warc, word_pieces
 from tallyframe.llm.common import written
 from tallyframe.sources.tables import read_table
 
@@ -155,12 +155,37 @@ from p left join m using (rid) left join sh on sh.host = p.host
 """
 
 
+def op1_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by composite text density."""
+    return html_density.extract(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op6_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labelled documents
+    outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+#: Word-piece vocabulary of the token count query; a path that the driver reads.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece token count of every document."""
+    return word_pieces.count_pieces(read_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op1_html_text_density": (op1_html_text_density, None),
     "op2_warc_archive": (op2_warc_archive, SQL_WARC),
     "op3_url_link_graph": (op3_url_link_graph, _sql_url_graph()),
     "op4_benchmark_decontamination": (op4_benchmark_decontamination, SQL_DECONTAMINATION),
     "op5_personal_data": (op5_personal_data, None),
+    "op6_toxicity_subwords": (op6_toxicity_subwords, None),
     "op7_quality_outliers": (op7_quality_outliers, None),
     "op8_ngram_jaccard_join": (op8_ngram_jaccard_join, None),
+    "op9_word_piece_counts": (op9_word_piece_counts, None),
     "op10_source_mixture": (op10_source_mixture, SQL_MIXTURE),
 }
