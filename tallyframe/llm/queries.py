@@ -51,7 +51,7 @@ dw as (
   from (select rid, w, k, unnest(range(0, len(w) - k + 1)) as p from d, (select distinct k from bw) where len(w) >= k)),
 hits as materialized (select distinct rid, p, k, win from dw semi join bw using (k, win)),
 covered as (select rid, count(distinct p + o) as n_hit from (select rid, p, unnest(range(k)) as o from hits) group by rid),
-named as (select rid, list_sort(list(distinct cast(item_id as varchar))) as ids from hits join bw using (k, win) group by rid)
+named as (select rid, list_sort(list(distinct cast(item_id as varchar)) filter (where item_id is not null)) as ids from hits join bw using (k, win) group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
   sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (rid) left join named using (rid)
@@ -102,14 +102,15 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_WARC = """
-with p as (select page_id, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n, url from pages),
+with p as (select page_id, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as url from pages),
 g as (select *, max(page_id) over (partition by digest) as holder from p),
 r as (select *, case when n >= 1000 and holder is not null and page_id is distinct from holder then holder end as refers_to from g)
 select page_id, n as payload_bytes, digest as payload_digest,
   case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
   case when refers_to is null
-    then n + 244 + length(cast(page_id as varchar)) + coalesce(octet_length(encode(url)), -19) + length(cast(n as varchar))
-    else 357 + length(cast(page_id as varchar)) + coalesce(octet_length(encode(url)), -19) + length(cast(refers_to as varchar)) end as record_bytes,
+    then n + 244 + coalesce(length(cast(page_id as varchar)), 0) + coalesce(octet_length(encode(url)), -19) + length(cast(n as varchar))
+    else 357 + coalesce(length(cast(page_id as varchar)), 0) + coalesce(octet_length(encode(url)), -19) + length(cast(refers_to as varchar)) end as record_bytes,
   true as verified
 from r
 """
