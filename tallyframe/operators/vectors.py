@@ -1,145 +1,108 @@
-"""Vector-column codecs.
-
-``quantize_column`` / ``dequantize_column`` / ``quant_error`` /
-``compare_blocks`` run the numpy block kernels of
-``tallyframe.functions.codecs`` inside Arrow-batched pandas UDFs: one
-vectorised call per batch of rows, never per row. Q8_0 codes also exist as a
-native expression (``q8_0_codes``), and the unpacking dequantizers (Q9, Q10,
-Q12) are pure column expressions.
+"""Vector-column block formats (Q0-Q12, J18), all as column expressions.
+
+The formats themselves are in ``tallyframe.functions.blocks``; here are the
+column operators over them: packing with a fallback, unpacking by a row's own
+type, round-trip errors, block comparison, and the unpacking dequantizers of
+foreign layouts (Q9, Q10, Q12).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.functions import codecs
+from tallyframe.functions import blocks as B
 from tallyframe.functions.util import let
 
 FALLBACK_TYPE = "F16"
 
 
-def _by_width(series: pd.Series):
-    """Yield (row index array, stacked float32 matrix) per distinct width."""
-    ok = series.notna().to_numpy()
-    idx = np.nonzero(ok)[0]
-    if len(idx) == 0:
-        return
-    widths = np.fromiter((len(series.iat[i]) for i in idx), dtype=np.int64, count=len(idx))
-    for w in np.unique(widths):
-        sel = idx[widths == w]
-        mat = np.stack([np.asarray(series.iat[i], dtype=np.float32) for i in sel]) if w else np.zeros((len(sel), 0), np.float32)
-        yield sel, mat
-
-
-def _encode_series(series: pd.Series, qtype: str):
-    data = [None] * len(series)
-    used = [None] * len(series)
-    for sel, mat in _by_width(series):
-        try:
-            packed, t = codecs.quantize(mat, qtype), qtype
-        except codecs.NotDivisible:
-            packed, t = codecs.quantize(mat, FALLBACK_TYPE), FALLBACK_TYPE
-        for j, i in enumerate(sel):
-            data[i] = packed[j].tobytes()
-            used[i] = t
-    return data, used
+def packed_type(col: Column, qtype: str) -> Column:
+    """The type a row is packed with: ``qtype``, or F16 where the width is no
+    multiple of its block."""
+    if qtype not in B.LAYOUT:
+        raise NotImplementedError(f"no format {qtype}")
+    return F.when(col.isNull(), F.lit(None)).when(F.size(col) % B.LAYOUT[qtype][0] == 0, qtype).otherwise(FALLBACK_TYPE)
+
+
+def packed_bytes(col: Column, qtype: str) -> Column:
+    """Bytes of the row under ``qtype``, null where its width does not fit."""
+    if qtype in ("F16", "BF16"):
+        b = B.pack_plain(col, qtype)
+    elif qtype == "F32":
+        b = F.unhex(F.array_join(F.transform(col, lambda v: let(B.grid_bits(v, 23, 127), lambda x: F.concat(
+            *[F.lpad(F.hex(F.pmod(F.shiftright(x, 8 * k), F.lit(256))), 2, "0") for k in range(4)]))), ""))
+    else:
+        b = B.pack(B.encode(col, qtype), qtype)
+    fits = F.size(col) % B.LAYOUT[qtype][0] == 0
+    return F.when(fits & (F.size(col) == 0), F.unhex(F.lit(""))).when(fits, b)
 
 
 def quantize_column(df: DataFrame, col: str, qtype: str, out: str = "packed") -> DataFrame:
     """Q0-Q8: pack an ``ARRAY<FLOAT>`` column with ``qtype``; rows whose width
     is not a multiple of the block size fall back to F16. Adds ``out``
-    (BINARY) and ``{out}_type`` (the type actually used)."""
-    schema = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("qtype", T.StringType())])
-
-    @F.pandas_udf(schema)
-    def enc(s: pd.Series) -> pd.DataFrame:
-        data, used = _encode_series(s, qtype)
-        return pd.DataFrame({"data": data, "qtype": used})
-
-    r = df.withColumn("__q", enc(F.col(col)))
-    return r.withColumn(out, F.col("__q.data")).withColumn(f"{out}_type", F.col("__q.qtype")).drop("__q")
-
-
-def dequantize_column(df: DataFrame, col: str, type_col: str, out: str = "values") -> DataFrame:
-    """Unpack a BINARY column whose codec is named per row in ``type_col``."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def dec(data: pd.Series, types: pd.Series) -> pd.Series:
-        res = [None] * len(data)
-        keys = pd.DataFrame({"t": types, "n": data.map(lambda b: None if b is None else len(b))})
-        for (t, n), grp in keys.dropna().groupby(["t", "n"]):
-            idx = grp.index.to_numpy()
-            raw = np.frombuffer(b"".join(data.iloc[idx].tolist()), dtype=np.uint8).reshape(len(idx), int(n))
-            vals = codecs.dequantize(raw, t)
-            for j, i in enumerate(idx):
-                res[i] = vals[j]
-        return pd.Series(res)
-
-    return df.withColumn(out, dec(F.col(col), F.col(type_col)))
+    (BINARY) and ``{out}_type`` (the type actually used); null rows stay null."""
+    c = F.col(col)
+    data = packed_bytes(c, qtype)
+    if qtype != FALLBACK_TYPE and B.LAYOUT[qtype][0] > 1:
+        data = F.coalesce(data, packed_bytes(c, FALLBACK_TYPE))
+    return df.withColumn(out, data).withColumn(f"{out}_type", packed_type(c, qtype))
+
+
+def unpacked(data: Column, qtype: str) -> Column:
+    """The float values of packed bytes of one type."""
+    if qtype in ("F16", "BF16"):
+        return B.unpack_plain(data, qtype)
+    if qtype == "F32":
+        n = (F.length(data) / 4).cast("int")
+        return F.when(n == 0, F.array().cast("array<float>")).otherwise(let(B.byte_values(data), lambda x: F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: B.from_bits(sum((F.get(x, i * 4 + k).cast("bigint") * (1 << 8 * k) for k in range(4)), F.lit(0)), 23, 127))))
+    return B.decode(B.unpack(data, qtype), qtype)
+
+
+def dequantize_column(df: DataFrame, col: str, type_col: str, out: str = "values", types=tuple(B.LAYOUT)) -> DataFrame:
+    """Unpack a BINARY column whose type is named per row in ``type_col``; a
+    type outside ``types`` gives null."""
+    value = F.lit(None).cast("array<float>")
+    for t in types:
+        value = F.when(F.col(type_col) == t, unpacked(F.col(col), t)).otherwise(value)
+    return df.withColumn(out, value)
 
 
 def quant_error(df: DataFrame, col: str, qtype: str) -> DataFrame:
     """Q11: round trip through ``qtype``: the type used, packed bytes, RMSE
     and max absolute error per row (totals via ordinary aggregation)."""
-    schema = T.StructType([T.StructField("qtype", T.StringType()), T.StructField("n_bytes", T.IntegerType()),
-                           T.StructField("rmse", T.DoubleType()), T.StructField("max_abs_err", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def err(s: pd.Series) -> pd.DataFrame:
-        n = len(s)
-        out = {"qtype": [None] * n, "n_bytes": [None] * n, "rmse": [None] * n, "max_abs_err": [None] * n}
-        for sel, mat in _by_width(s):
-            try:
-                t = qtype
-                packed = codecs.quantize(mat, t)
-            except codecs.NotDivisible:
-                t = FALLBACK_TYPE
-                packed = codecs.quantize(mat, t)
-            back = codecs.dequantize(packed, t).astype(np.float64)
-            diff = back - mat.astype(np.float64)
-            rmse = np.sqrt((diff ** 2).mean(axis=1)) if mat.shape[1] else np.zeros(len(sel))
-            mx = np.abs(diff).max(axis=1) if mat.shape[1] else np.zeros(len(sel))
-            for j, i in enumerate(sel):
-                out["qtype"][i] = t
-                out["n_bytes"][i] = int(packed.shape[1])
-                out["rmse"][i] = float(rmse[j])
-                out["max_abs_err"][i] = float(mx[j])
-        return pd.DataFrame(out)
-
-    return df.withColumn("__e", err(F.col(col))).select("*", "__e.*").drop("__e")
+    d = dequantize_column(quantize_column(df, col, qtype, "__p"), "__p", "__p_type", "__w", tuple(dict.fromkeys((qtype, FALLBACK_TYPE))))
+    d = d.withColumn("__e", F.zip_with("__w", F.col(col), lambda w, v: w.cast("double") - v.cast("double")))
+    total = F.aggregate("__e", F.lit(0.0), lambda a, e: a + e * e)
+    most = F.aggregate("__e", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
+    n = F.size("__e")
+    return d.select(*df.columns, F.col("__p_type").alias("qtype"), F.length("__p").alias("n_bytes"),
+                    F.when(n > 0, F.sqrt(total / n)).when(n == 0, 0.0).alias("rmse"), F.when(n >= 0, most).alias("max_abs_err"))
 
 
 def compare_blocks(df: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
-    """XOR two packed encodings block by block: bad (differing) blocks,
-    differing bits, and the worst block with its bit count. Bit-identical
-    blocks are equal even when they hold NaN. Rows of unequal length compare
-    their common prefix blocks and count the rest as bad."""
-    schema = T.StructType([T.StructField("n_blocks", T.IntegerType()), T.StructField("bad_blocks", T.IntegerType()),
-                           T.StructField("diff_bits", T.LongType()), T.StructField("worst_block", T.IntegerType()),
-                           T.StructField("worst_bits", T.IntegerType())])
-
-    @F.pandas_udf(schema)
-    def cmp(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for u, v in zip(x.tolist(), y.tolist()):
-            if u is None or v is None:
-                rows.append((None, None, None, None, None))
-                continue
-            ua, va = np.frombuffer(u, dtype=np.uint8), np.frombuffer(v, dtype=np.uint8)
-            nb = max(len(ua), len(va)) // block_bytes
-            m = min(len(ua), len(va)) // block_bytes * block_bytes
-            bits = np.unpackbits(ua[:m] ^ va[:m]).reshape(-1, block_bytes * 8).sum(axis=1) if m else np.zeros(0, int)
-            extra = nb - len(bits)
-            bad = int((bits > 0).sum()) + extra
-            worst = int(bits.argmax()) if len(bits) and bits.max() > 0 else None
-            rows.append((nb, bad, int(bits.sum()) + extra * block_bytes * 8, worst,
-                         int(bits.max()) if worst is not None else 0))
-        return pd.DataFrame(rows, columns=["n_blocks", "bad_blocks", "diff_bits", "worst_block", "worst_bits"])
-
-    return df.withColumn("__c", cmp(F.col(a), F.col(b))).select("*", "__c.*").drop("__c")
+    """XOR two packed encodings block by block: blocks, bad (differing)
+    blocks, differing bits, and the worst block with its bit count. The last
+    block may be short; a byte that only one side has differs in all 8 bits.
+    Bit-identical blocks are equal even when they hold NaN; a null side gives
+    nulls."""
+    def result(x: Column, y: Column) -> Column:
+        n = F.greatest(F.size(x), F.size(y))
+        bits = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))), F.lit(8))))
+        blocks = F.ceil(n / block_bytes).cast("int")
+        sums = let(bits, lambda v: F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(
+            F.sequence(F.lit(0), blocks - 1), lambda k: F.aggregate(F.slice(v, k * block_bytes + 1, block_bytes), F.lit(0), lambda s, w: s + w))))
+        return let(sums, lambda s: F.struct(
+            blocks.alias("n_blocks"), F.size(F.filter(s, lambda v: v > 0)).alias("bad_blocks"),
+            F.aggregate(s, F.lit(0).cast("bigint"), lambda t, v: t + v).alias("diff_bits"),
+            F.when(F.array_max(s) > 0, (F.array_position(s, F.array_max(s)) - 1).cast("int")).alias("worst_block"),
+            F.coalesce(F.array_max(s), F.lit(0)).alias("worst_bits")))
+
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    c = F.when(both, let(B.byte_values(F.col(a)), lambda x: let(B.byte_values(F.col(b)), lambda y: result(x, y))))
+    return df.withColumn("__c", c).select("*", "__c.*").drop("__c")
 
 
 # ------------------------------------------------------------------ native forms
@@ -176,10 +139,9 @@ def unpack_words(words: Column, bits: int) -> Column:
     Words may be signed INT or unsigned values in BIGINT; fields come from
     exact integer arithmetic on the unsigned 32-bit value."""
     per = 32 // bits
-    return F.flatten(F.transform(words, lambda w: let(
-        F.pmod(w.cast("bigint"), F.lit(1 << 32)),
-        lambda u: F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.pmod(
-            (u / F.pow(F.lit(2.0), i * bits)).cast("bigint"), F.lit(1 << bits)).cast("int")))))
+    return F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.lit(per - 1)),
+        lambda i: F.call_function("shiftrightunsigned", w.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)), i * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))))
 
 
 def dequant_packed_int(words: Column, scales: Column, bits: int, group: int, width: Column,
@@ -193,7 +155,7 @@ def dequant_packed_int(words: Column, scales: Column, bits: int, group: int, wid
     def one(v, i):
         g = F.floor(i / group).cast("int") + 1
         return ((v - F.element_at(z, g)).cast("float") * F.element_at(scales, g)).cast("float")
-    return F.transform(q, one)
+    return let(q, lambda codes: F.transform(codes, one))
 
 
 def dequant_grouped(codes: Column, zeros_words: Column, scales: Column, group_index: Column, bits: int,
@@ -207,6 +169,6 @@ def dequant_grouped(codes: Column, zeros_words: Column, scales: Column, group_in
     z = unpack_words(zeros_words, bits)
     if format_v1:
         z = F.transform(z, lambda v: v + 1)
-    return F.transform(q, lambda v, i: (
-        (v - F.element_at(z, F.element_at(group_index, i + 1) + 1)).cast("float")
-        * F.element_at(scales, F.element_at(group_index, i + 1) + 1)).cast("float"))
+    return let(z, lambda zero: F.transform(q, lambda v, i: (
+        (v - F.element_at(zero, F.element_at(group_index, i + 1) + 1)).cast("float")
+        * F.element_at(scales, F.element_at(group_index, i + 1) + 1)).cast("float")))

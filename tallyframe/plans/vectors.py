@@ -1,5 +1,5 @@
-"""VEC plans over ``embeddings`` (64 float32 per row: two 32-blocks; the
-256-wide ternary codecs take the F16 fallback)."""
+"""VEC plans over ``embeddings`` (64 float32 per row: two 32-blocks; four
+rows joined make the 256-wide rows of the ternary formats)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.blocks import E2M1_DOUBLED, LAYOUT
+from tallyframe.functions.util import let
 from tallyframe.operators import vectors as VQ
 from tallyframe.plans.common import t
 
@@ -21,11 +23,20 @@ def q8_codes(spark: SparkSession, sf_dir: str):
                     F.array_join(F.col("blk.codes").cast("array<string>"), ",").alias("codes"))
 
 
+def wide_rows(spark, sf_dir):
+    """Rows of up to 256 values: the vectors of four consecutive ids."""
+    e = t(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("g"), F.struct("vec_id", "embedding").alias("x"))
+    return e.groupBy("g").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["embedding"])).alias("embedding"))
+
+
 def roundtrip(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Every format over the 256-wide rows, and a ternary one over the 64-wide
+    rows, which it does not fit."""
+    wide = wide_rows(spark, sf_dir).select("embedding")
+    narrow = t(spark, sf_dir, "embeddings").select("embedding")
     parts = []
-    for q in ROUNDTRIP_TYPES:
-        r = VQ.quant_error(e, "embedding", q).withColumn("requested", F.lit(q))
+    for q, rows, label in [*[(q, wide, q) for q in ROUNDTRIP_TYPES], ("TQ2_0", narrow, "TQ2_0 narrow")]:
+        r = VQ.quant_error(rows, "embedding", q).withColumn("requested", F.lit(label))
         parts.append(r.select("requested", "qtype", "n_bytes", "rmse", "max_abs_err"))
     u = reduce(lambda a, b: a.unionByName(b), parts)
     return u.groupBy("requested", "qtype").agg(
@@ -77,10 +88,9 @@ def _pack4(codes):
     """Pack 4-bit codes, 8 per 32-bit word (lowest field first), as unsigned
     values in BIGINT."""
     nw = F.floor((F.size(codes) + 7) / 8).cast("int")
-    return F.transform(F.sequence(F.lit(0), nw - 1), lambda w: F.aggregate(
+    return let(codes, lambda c: F.transform(F.sequence(F.lit(0), nw - 1), lambda w: F.aggregate(
         F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint"),
-        lambda acc, j: acc + F.coalesce(F.try_element_at(codes, w * 8 + j + 1), F.lit(0)).cast("bigint")
-        * F.pow(F.lit(16.0), j).cast("bigint")))
+        lambda acc, j: acc + F.coalesce(F.get(c, w * 8 + j), F.lit(0)).cast("bigint") * F.pow(F.lit(16.0), j).cast("bigint"))))
 
 
 def packed_int(spark, sf_dir):
@@ -207,9 +217,73 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(2 * count(*) AS BIGINT) AS blocks,
        CAST(max(worst_bits) AS INTEGER) AS worst_bits
 FROM r"""
 
+
+def _sql_grid(x: str, mantissa: int, least: int) -> str:
+    """``x`` rounded half to even on a floating grid."""
+    step = f"pow(2.0, greatest(floor(log2(abs({x}::DOUBLE))), {least}) - {mantissa})"
+    return f"CAST(CASE WHEN {x} = 0 THEN 0 ELSE round_even({x}::DOUBLE / {step}, 0) * {step} END AS FLOAT)"
+
+
+def _sql_half(x: str) -> str:
+    return _sql_grid(x, 10, -14)
+
+
+def _sql_round_away(x: str) -> str:
+    return f"sign({x}) * (floor(abs({x}::DOUBLE)) + floor(2 * (abs({x}::DOUBLE) - floor(abs({x}::DOUBLE)))))"
+
+
+def _sql_roundtrip() -> str:
+    """One SELECT per format: parameters per block, decoded values, errors."""
+    absmax = "list_max(list_transform(v, lambda y: abs(y)))"
+    extreme = f"list_filter(v, lambda y: abs(y) = {absmax})[1]"
+    inv = "CASE WHEN d = 0 THEN CAST(0 AS FLOAT) ELSE CAST(1.0 / d::DOUBLE AS FLOAT) END"
+    f = "CAST({} AS FLOAT)".format
+    trunc = lambda x, top: f"CAST(least(trunc({x}), {top}) AS FLOAT)"
+    points = "[" + ", ".join(f"CAST({k} AS FLOAT)" for k in E2M1_DOUBLED) + "]"
+    err = f"list_transform({points}, lambda k: abs({f(f('d * k') + ' - y')}))"
+    rules = {  # scale, offset, decoded value of y
+        "Q8_0": (f(f"{absmax}::DOUBLE / 127"), "0", f(f"{_sql_half('d')} * CAST({_sql_round_away(f('y * i'))} AS FLOAT)")),
+        "TQ1_0": (absmax, "0", f(f"{_sql_half('d')} * CAST({_sql_round_away(f('y * i'))} AS FLOAT)")),
+        "TQ2_0": (absmax, "0", f(f"{_sql_half('d')} * CAST({_sql_round_away(f('y * i'))} AS FLOAT)")),
+        "MXFP4": (f(f"CASE WHEN {absmax} > 0 THEN pow(2.0, floor(log2({absmax}::DOUBLE)) - 3) ELSE pow(2.0, -128) END"), "0",
+                  f(f"d * {points}[list_position({err}, list_min({err}))]")),
+    }
+    for name, mid in (("Q4_0", 8), ("Q5_0", 16)):
+        rules[name] = (f(f"{extreme}::DOUBLE / -{mid}"), "0",
+                       f(f"{_sql_half('d')} * ({trunc(f(f('y * i') + f' + CAST({mid}.5 AS FLOAT)'), 2 * mid - 1)} - {mid})"))
+    for name, top in (("Q4_1", 15), ("Q5_1", 31)):
+        rules[name] = (f(f"(list_max(v) - list_min(v))::DOUBLE / {top}"), "list_min(v)",
+                       f(f("%s * %s" % (_sql_half("d"), trunc(f(f(f("y - m") + " * i") + " + CAST(0.5 AS FLOAT)"), top))) + " + " + _sql_half("m")))
+    plain = {"F32": "y", "F16": _sql_half("y"), "BF16": _sql_grid("y", 7, -126)}
+    selects = []
+    for label, source in [*[(q, "wide") for q in ROUNDTRIP_TYPES], ("TQ2_0 narrow", "narrow")]:
+        q = label.split()[0]
+        size, width = LAYOUT[q]
+        fits = f"len(e) % {size} = 0"
+        if q in plain:
+            values = f"SELECT r, e, list_transform(e, lambda y: {plain[q]}) AS w FROM {source}"
+        else:
+            d, m, value = rules[q]
+            values = f"""SELECT r, any_value(e) AS e, flatten(list(w ORDER BY b)) AS w FROM (
+  SELECT r, b, e, list_transform(v, lambda y: {value}) AS w FROM (
+    SELECT *, {inv} AS i FROM (SELECT r, b, e, v, {d} AS d, {f(m)} AS m FROM (
+      SELECT r, e, b, e[b * {size} + 1 : b * {size} + {size}] AS v FROM (SELECT r, e, unnest(range(len(e) // {size})) AS b FROM {source} WHERE {fits}))))) GROUP BY r
+UNION ALL SELECT r, e, list_transform(e, lambda y: {plain["F16"]}) FROM {source} WHERE NOT {fits}"""
+        selects.append(f"""SELECT '{label}' AS requested, CASE WHEN {fits} THEN '{q}' ELSE 'F16' END AS qtype,
+  CASE WHEN {fits} THEN len(e) // {size} * {width} ELSE len(e) * 2 END AS n_bytes,
+  list_transform(list_zip(w, e), lambda p: p[1]::DOUBLE - p[2]::DOUBLE) AS err FROM ({values})""")
+    return """WITH wide AS MATERIALIZED (SELECT vec_id // 4 AS r, flatten(list(embedding ORDER BY vec_id)) AS e FROM embeddings GROUP BY 1),
+narrow AS (SELECT vec_id AS r, embedding AS e FROM embeddings),
+u AS (""" + "\nUNION ALL\n".join(selects) + """)
+SELECT requested, qtype, count(*) AS rows, CAST(sum(n_bytes) AS BIGINT) AS bytes,
+  round(avg(sqrt(list_sum(list_transform(err, lambda x: x * x)) / len(err))), 9) AS avg_rmse,
+  round(max(list_max(list_transform(err, lambda x: abs(x)))), 9) AS max_abs_err
+FROM u GROUP BY requested, qtype"""
+
+
 QUERIES = {
     "vec_q8_0_codes": (q8_codes, SQL_Q8_CODES),
-    "vec_quant_roundtrip": (roundtrip, None),
+    "vec_quant_roundtrip": (roundtrip, _sql_roundtrip()),
     "vec_compare_blocks": (compare, SQL_COMPARE_BLOCKS),
     "vec_dequantize_q4_1": (roundtrip_values, SQL_Q4_1),
     "vec_dequant_scaled": (scaled, SQL_SCALED),

@@ -1,68 +1,137 @@
-"""Vector codecs: native vs numpy, round trips, packing edge cases."""
+"""Block formats: bytes and values against plain Python arithmetic on them."""
+
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.functions import codecs
+from tallyframe.functions import blocks as B
 from tallyframe.functions.pyformat import py_fixed
 from tallyframe.operators import vectors as VQ
 
+BLOCKED = [q for q, (size, _) in B.LAYOUT.items() if size > 1]
+
 
 @pytest.fixture(scope="module")
 def rows():
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(64, 256)).astype(np.float32)
+    x = (rng.normal(size=(24, 256)) * 10.0 ** rng.integers(-6, 4, size=(24, 1))).astype(np.float32)
     x[0] = 0.0                                     # a zero block
     x[1, :32] = np.float32(3.0)                    # a constant block
+    x[2] = np.linspace(-1, 1, 256, dtype=np.float32)
     return x
 
 
-@pytest.mark.parametrize("qtype", ["Q8_0", "Q4_0", "Q4_1", "Q5_0", "Q5_1", "MXFP4", "TQ1_0", "TQ2_0", "BF16", "F16"])
-def test_roundtrip_error_bounds(rows, qtype):
-    packed = codecs.quantize(rows, qtype)
-    bs, ts = codecs.LAYOUT[qtype]
-    assert packed.shape == (rows.shape[0], rows.shape[1] // bs * ts)
-    back = codecs.dequantize(packed, qtype)
-    assert back.shape == rows.shape
-    assert np.all(back[0] == 0.0)
-    blocks = rows.reshape(-1, bs)
-    err = np.abs(back.reshape(-1, bs) - blocks).max(axis=1)
-    amax = np.abs(blocks).max(axis=1)
-    tol = {"Q8_0": 1 / 127, "Q4_0": 1 / 8, "Q4_1": 1 / 15, "Q5_0": 1 / 16, "Q5_1": 1 / 31,
-           "MXFP4": 0.5, "TQ1_0": 1.0, "TQ2_0": 1.0, "BF16": 1 / 128, "F16": 1e-3}[qtype]
-    assert np.all(err <= amax * tol * 1.01 + 1e-6)
-
-
-def test_ternary_exact_on_ternary_input():
+@pytest.fixture(scope="module")
+def table(spark, rows):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "i int, e array<float>").cache()
+
+
+def read_bytes(qtype, block):
+    """(scale, offset, codes) of one block's bytes, by the public layout."""
+    size = B.LAYOUT[qtype][0]
+    half = lambda at: struct.unpack("<e", block[at:at + 2])[0]
+    nib = lambda b: [x & 15 for x in b] + [x >> 4 for x in b]
+    if qtype == "MXFP4":
+        return 2.0 ** (block[0] - 128), 0.0, nib(block[1:])
+    if qtype == "Q8_0":
+        return half(0), 0.0, [x - 256 if x > 127 else x for x in block[2:]]
+    if qtype in ("TQ1_0", "TQ2_0"):
+        q = [0] * size
+        if qtype == "TQ2_0":
+            for i in range(256):
+                q[i] = block[i // 128 * 32 + i % 32] >> (2 * (i % 128 // 32)) & 3
+        else:
+            at = 0
+            for start, groups, width in ((0, 5, 32), (160, 5, 16), (240, 4, 4)):
+                for j in range(width):
+                    b = block[at + j]
+                    for k in range(groups):
+                        q[start + width * k + j], b = b * 3 // 256, b * 3 % 256
+                at += width
+        return half(len(block) - 2), 0.0, q
+    two = qtype.endswith("1")
+    at = 4 if two else 2
+    if qtype.startswith("Q5"):
+        high = int.from_bytes(block[at:at + 4], "little")
+        q = [n | (high >> i & 1) << 4 for i, n in enumerate(nib(block[at + 4:]))]
+    else:
+        q = nib(block[at:])
+    return half(0), half(2) if two else 0.0, q
+
+
+def value(qtype, d, m, q):
+    shift = {"Q4_0": 8, "Q5_0": 16, "TQ1_0": 1, "TQ2_0": 1}.get(qtype, 0)
+    if qtype == "MXFP4":
+        return d * B.E2M1_DOUBLED[q]
+    return d * (q - shift) + m
+
+
+@pytest.mark.parametrize("qtype", BLOCKED)
+def test_bytes_hold_the_nearest_codes(table, rows, qtype):
+    size, width = B.LAYOUT[qtype]
+    e = B.encode(F.col("e"), qtype)
+    got = table.select("i", B.pack(e, qtype).alias("p")).select("i", "p", VQ.unpacked(F.col("p"), qtype).alias("w")).collect()
+    for r in got:
+        p = bytes(r.p)
+        assert len(p) == 256 // size * width
+        back = np.array(r.w)
+        for b in range(256 // size):
+            x = rows[r.i][b * size:(b + 1) * size].astype(float)
+            d, m, codes = read_bytes(qtype, p[b * width:(b + 1) * width])
+            mine = np.array([value(qtype, d, m, q) for q in codes])
+            top = np.abs(x).max()
+            assert np.allclose(back[b * size:(b + 1) * size], mine, rtol=1e-6, atol=1e-30)
+            if qtype in ("Q4_1", "Q5_1"):
+                span, levels = x.max() - x.min(), 15 if qtype == "Q4_1" else 31
+                assert np.isclose(d, np.float16(span / levels), rtol=2e-3, atol=1e-7) and np.isclose(m, np.float16(x.min()), rtol=2e-3, atol=1e-7)
+            elif qtype != "MXFP4":
+                parts = {"Q8_0": 127, "Q4_0": 8, "Q5_0": 16}.get(qtype, 1)
+                assert np.isclose(abs(d), top / parts, rtol=2e-3, atol=1e-7)
+            # no code is farther off than half a step; the stored half precision and the clipped end may add to it
+            step = 2 * abs(d) if qtype == "MXFP4" else abs(d)
+            slack = {"Q4_0": 0.5, "Q5_0": 0.5, "MXFP4": 1.0}.get(qtype, 0.0) * step + np.abs(x).max() * 2e-3 + 5e-6  # and the scale may underflow
+            assert (np.abs(mine - x) <= step / 2 + slack).all()
+
+
+def test_ternary_is_exact_on_ternary_input(spark):
     x = (np.random.default_rng(5).integers(-1, 2, size=(4, 256)) * 0.5).astype(np.float32)
     x[:, 0] = 0.5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, e array<float>")
     for q in ("TQ1_0", "TQ2_0"):
-        assert np.array_equal(codecs.dequantize(codecs.quantize(x, q), q), x)
+        for r in VQ.dequantize_column(VQ.quantize_column(df, "e", q, "p"), "p", "p_type", "w").collect():
+            assert r.p_type == q and r.w == x[r.i].tolist()
 
 
-def test_bf16_rounding():
-    x = np.array([[1.0, 1.00390625, 1.01171875, np.nan, -2.5]], dtype=np.float32)
-    b = codecs.dequantize(codecs.quantize(x, "BF16"), "BF16")[0]
-    assert b[0] == 1.0 and b[1] == 1.0 and b[2] == np.float32(1.015625) and np.isnan(b[3]) and b[4] == -2.5
+def test_plain_types_against_struct(spark, table, rows):
+    edge = [0.0, -0.0, 1.0, -2.5, 65504.0, 65520.0, -1e6, 6e-8, 2.0 ** -24, 2.0 ** -25, 1.00390625, 1.01171875, 3.4e38, 1e-40, 0.1]
+    df = table.unionByName(spark.createDataFrame([(1000, edge)], "i int, e array<float>"))
+    for r in df.select("i", "e", VQ.packed_bytes(F.col("e"), "F16").alias("h"), VQ.packed_bytes(F.col("e"), "BF16").alias("b"),
+                       VQ.packed_bytes(F.col("e"), "F32").alias("f")).collect():
+        x = np.array(r.e, np.float32)
+        with np.errstate(over="ignore"):
+            assert bytes(r.h) == x.astype(np.float16).tobytes()
+        assert bytes(r.f) == x.tobytes()
+        for k, v in enumerate(x):
+            u = struct.unpack("<I", struct.pack("<f", v))[0]
+            low, high = u & 0xFFFF, u >> 16
+            want = high + (low > 0x8000 or (low == 0x8000 and high & 1))
+            assert bytes(r.b)[2 * k:2 * k + 2] == struct.pack("<H", want)
+    back = df.select("e", VQ.unpacked(VQ.packed_bytes(F.col("e"), "F32"), "F32").alias("w")).collect()
+    assert all(r.e == r.w for r in back)
 
 
-def test_not_divisible_raises():
-    with pytest.raises(codecs.NotDivisible):
-        codecs.quantize(np.zeros((1, 48), np.float32), "Q8_0")
+def test_native_q8_codes_equal_packed_codes(table):
+    for r in table.select(VQ.q8_0_codes(F.col("e")).alias("b"), B.encode(F.col("e"), "Q8_0").alias("x")).collect():
+        assert [b.codes for b in r.b] == [b.codes for b in r.x]
 
 
-def test_native_q8_codes_equal_numpy(spark, rows):
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows[:, :64])], "id int, e array<float>")
-    got = df.select("id", VQ.q8_0_codes(F.col("e")).alias("b")).orderBy("id").collect()
-    packed = codecs.quantize(rows[:, :64], "Q8_0").reshape(-1, 34)
-    want_codes = packed[:, 2:].view(np.int8)
-    k = 0
-    for r in got:
-        for blk in r.b:
-            assert list(blk.codes) == want_codes[k].tolist()
-            assert np.float16(blk.d) == packed[k, :2].view(np.float16)[0]
-            k += 1
+def test_quant_error_is_that_of_the_values(table, rows):
+    for r in VQ.quant_error(table, "e", "Q5_1").join(VQ.dequantize_column(VQ.quantize_column(table, "e", "Q5_1", "p"), "p", "p_type", "w"), "i").collect():
+        diff = np.array(r.w, float) - rows[r.i].astype(float)
+        assert r.qtype == "Q5_1" and r.n_bytes == 8 * 24
+        assert np.isclose(r.rmse, np.sqrt((diff ** 2).mean())) and np.isclose(r.max_abs_err, np.abs(diff).max())
 
 
 def test_quantize_column_fallback_and_dequantize(spark):
@@ -79,7 +148,14 @@ def test_compare_blocks(spark):
     df = spark.createDataFrame([(a, b), (a, a)], "a binary, b binary")
     r = VQ.compare_blocks(df, "a", "b", 34).collect()
     assert (r[0].n_blocks, r[0].bad_blocks, r[0].diff_bits, r[0].worst_block, r[0].worst_bits) == (2, 1, 8, 1, 8)
-    assert (r[1].bad_blocks, r[1].diff_bits) == (0, 0)
+    assert (r[1].bad_blocks, r[1].diff_bits, r[1].worst_block) == (0, 0, None)
+
+
+def test_compare_blocks_counts_the_short_last_block(spark):
+    a = bytes(40)
+    rows = [(a, a[:34] + b"\xff" * 6), (a, a[:36]), (a, None), (b"", b"")]
+    r = VQ.compare_blocks(spark.createDataFrame(rows, "a binary, b binary"), "a", "b", 34).collect()
+    assert [(x.n_blocks, x.bad_blocks, x.diff_bits, x.worst_block) for x in r] == [(2, 1, 48, 1), (2, 1, 32, 1), (None,) * 4, (0, 0, 0, None)]
 
 
 def test_python_style_fixed_point(spark):
