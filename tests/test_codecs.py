@@ -91,7 +91,7 @@ def test_bytes_hold_the_nearest_codes(table, rows, qtype):
                 assert np.isclose(abs(d), top / parts, rtol=2e-3, atol=1e-7)
             # no code is farther off than half a step; the stored half precision and the clipped end may add to it
             step = 2 * abs(d) if qtype == "MXFP4" else abs(d)
-            slack = {"Q4_0": 0.5, "Q5_0": 0.5, "MXFP4": 1.0}.get(qtype, 0.0) * step + np.abs(x).max() * 2e-3 + 5e-6  # and the scale may underflow
+            slack = {"Q4_0": 0.5, "Q5_0": 0.5, "MXFP4": 1.6}.get(qtype, 0.0) * step + np.abs(x).max() * 2e-3 + 5e-6  # and the scale may underflow
             assert (np.abs(mine - x) <= step / 2 + slack).all()
 
 
