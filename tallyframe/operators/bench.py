@@ -64,7 +64,8 @@ def summarize_runs(runs: DataFrame, keys: Sequence[str] = ("variant", "batch_siz
     """A1: per (variant, batch_size) - null keys form their own group - the
     run count and the mean of each metric over its numeric values only
     (booleans count 0/1); a metric with no numeric value gives null."""
-    present = set(runs.columns)
+    # a text column holds no numbers, whatever its texts look like
+    present = {f.name for f in runs.schema.fields if f.dataType.simpleString() != "string"}
     aggs = [F.count(F.lit(1)).cast("bigint").alias("runs")]
     for m in metrics:
         v = F.col(m).try_cast("double") if m in present else F.lit(None).cast("double")

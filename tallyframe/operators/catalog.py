@@ -101,6 +101,11 @@ def type_size(dtype: Column) -> Column:
 
 
 # ----------------------------------------------------------- scalars
+def whole_div(a: Column, b: Column) -> Column:
+    """Quotient of whole numbers in integer arithmetic (exact above 2^53)."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
+
+
 def n_elements(shape: Column) -> Column:
     """Product of dims (1 for a scalar shape)."""
     return F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x.cast("bigint"))
@@ -111,12 +116,12 @@ def n_bytes(shape: Column, dtype: Column) -> Column:
     dim is not a multiple of the block size."""
     last = F.element_at(shape, -1).cast("bigint")
     ok = (last % block_size(dtype)) == 0
-    return F.when(ok, F.floor(n_elements(shape) * type_size(dtype) / block_size(dtype)).cast("bigint"))
+    return F.when(ok, whole_div(n_elements(shape) * type_size(dtype), block_size(dtype)))
 
 
 def pad_to(n: Column, align: int = DATA_ALIGNMENT) -> Column:
     """Round up to a multiple of the alignment."""
-    return ((n + (align - 1)) / align).cast("bigint") * align
+    return whole_div(n + (align - 1), F.lit(align)) * align
 
 
 def disk_dims(shape: Column) -> Column:
@@ -401,42 +406,55 @@ def map_names(names: DataFrame, mapping: DataFrame, name: str = "name", src: str
     return d.withColumn("mapped", mapped).drop("__sfx", "__stem", "__exact", "__viastem")
 
 
+# Keys with rules of their own.
+ARCHITECTURE_KEY, CHAT_TEMPLATE_KEY, VIRTUAL_PREFIX = "general.architecture", "tokenizer.chat_template", "GGUF."
+
+
 def merge_metadata(base: DataFrame, new: DataFrame, removed: DataFrame | None = None,
                    keys: Sequence[str] = ("key",), key: str = "key", value: str = "value",
                    drop_keys: Sequence[str] = ()) -> DataFrame:
-    """Per (entity..., key) - drop virtual/architecture keys and removed
-    keys; a new value replaces the old; new keys are appended; null values
-    are dropped. ``origin`` tells kept / replaced / added."""
+    """New metadata over old, per (entity..., key).
+
+    Of the base, virtual (``GGUF.*``) and architecture keys, removed keys and,
+    where the entity gets a new chat template, all old template keys are left
+    out. A key that is in both has the new value, even a null one; a new key
+    is added, also one that was removed from the base. Rows with a null value
+    are dropped; ``origin`` tells kept / replaced / added."""
     ks = list(keys)
-    b = base.select(*ks, F.col(value).alias("__old"))
-    n = new.select(*ks, F.col(value).alias("__new"))
+    entity = [k for k in ks if k != key]
+    b = base.select(*ks, F.col(value).alias("__old")).filter((F.col(key) != ARCHITECTURE_KEY) & ~F.col(key).startswith(VIRTUAL_PREFIX))
+    n = new.select(*ks, F.col(value).alias("__new"), F.lit(True).alias("__is_new"))
     if drop_keys:
         b = b.filter(~F.col(key).isin(*drop_keys))
         n = n.filter(~F.col(key).isin(*drop_keys))
-    j = b.join(n, ks, "full_outer")
     if removed is not None:
-        j = j.join(removed.select(*ks), ks, "left_anti")
-    j = j.withColumn(value, F.coalesce(F.col("__new"), F.col("__old"))) \
-        .withColumn("origin", F.when(F.col("__new").isNotNull() & F.col("__old").isNotNull(), F.lit("replaced"))
-                    .when(F.col("__new").isNotNull(), F.lit("added")).otherwise(F.lit("kept")))
-    return j.filter(F.col(value).isNotNull()).drop("__new", "__old")
+        b = b.join(removed.select(*ks), ks, "left_anti")
+    fresh = n.filter(F.col(key) == CHAT_TEMPLATE_KEY).select(*[F.col(k).alias(f"__t_{k}") for k in entity], F.lit(CHAT_TEMPLATE_KEY).alias("__t")).distinct()
+    template = F.when(F.col(key).startswith(CHAT_TEMPLATE_KEY), F.lit(CHAT_TEMPLATE_KEY))
+    same = template == F.col("__t")
+    for k in entity:
+        same = same & (F.col(k) == F.col(f"__t_{k}"))
+    b = b.join(fresh, same, "left_anti").withColumn("__is_old", F.lit(True))
+    j = b.join(n, ks, "full_outer")
+    j = j.withColumn(value, F.when(F.col("__is_new"), F.col("__new")).otherwise(F.col("__old"))) \
+        .withColumn("origin", F.when(F.col("__is_new") & F.col("__is_old"), F.lit("replaced"))
+                    .when(F.col("__is_new"), F.lit("added")).otherwise(F.lit("kept")))
+    return j.filter(F.col(value).isNotNull()).drop("__new", "__old", "__is_new", "__is_old")
 
 
 def resolve_special(types: DataFrame, added: DataFrame, n_vocab: int | Column,
                     type_col: str = "type", content: str = "content", tid: str = "id",
                     pos: str = "pos") -> DataFrame:
     """Per special type, the first added token (by position) whose
-    content equals the type's content; ids outside [0, n_vocab) are skipped;
-    negative ids are reported as invalid."""
+    content equals the type's content, and no later one: its id if that lies
+    in [0, n_vocab), else null; a negative first id is reported as invalid."""
     nv = F.lit(n_vocab) if isinstance(n_vocab, int) else n_vocab
-    a = added.select(F.col(content).alias("__c"), F.col(tid).alias("__id"), F.col(pos).alias("__p"))
-    a = a.withColumn("__neg", F.col("__id") < 0).filter(F.col("__neg") | (F.col("__id") < nv))
+    a = added.select(F.col(content).alias("__c"), F.struct(F.col(tid).alias("v")).alias("__id"), F.col(pos).alias("__p"))
     j = types.join(a, types[content] == a["__c"], "left")
-    keys = [c for c in types.columns]
-    r = j.groupBy(*keys).agg(
-        F.min_by(F.when(~F.col("__neg"), F.col("__id")), F.when(~F.col("__neg"), F.col("__p"))).alias(tid),
-        F.max(F.col("__neg").cast("int")).alias("__anyneg"))
-    return r.withColumn("invalid", F.coalesce(F.col("__anyneg") == 1, F.lit(False))).drop("__anyneg")
+    r = j.groupBy(*types.columns).agg(F.min_by("__id", "__p").alias("__first"))
+    first = F.col("__first.v")
+    return r.withColumn(tid, F.when((first >= 0) & (first < nv), first)) \
+        .withColumn("invalid", F.coalesce(first < 0, F.lit(False))).drop("__first")
 
 
 # Hyper-parameter alias lists (first present alias wins).
@@ -489,19 +507,20 @@ def parameter_count(tensors: DataFrame, model: str = "model", name: str = "name"
 
     Expert tensors (``_exps.`` in the name) count ``size // expert_count``
     with the expert dim at -2 for biases, -3 otherwise (last dim for low
-    rank). A ``.lora_b`` takes its partner ``.lora_a``'s last dim (partner =
-    the immediately preceding tensor, found by a self-join on position); an
-    unpaired ``.lora_b`` zeroes the model; any lora negates the total."""
+    rank). A ``.lora_b`` takes the last dim of the last ``.lora_a`` before it,
+    which must be its namesake; else the model counts as zero; any lora
+    negates the total. Only lora tensors go through the ordered window."""
     t = tensors.select(model, pos, name, shape)
-    prev = t.select(F.col(model).alias("__m"), (F.col(pos) + 1).alias("__p"),
-                    F.col(name).alias("__pname"), F.col(shape).alias("__pshape"))
-    j = t.join(prev, (t[model] == prev["__m"]) & (t[pos] == prev["__p"]), "left").drop("__m", "__p")
     is_a = F.col(name).endswith(".lora_a")
     is_b = F.col(name).endswith(".lora_b")
+    before = Window.partitionBy(model).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(is_a, F.struct(F.col(name).alias("n"), F.element_at(shape, -1).alias("d"))), ignorenulls=True).over(before)
+    lora = t.where(is_a | is_b).withColumn("__a", last)
+    j = t.where(~(is_a | is_b)).unionByName(lora, allowMissingColumns=True)
     partner = F.concat(F.substring(F.col(name), F.lit(1), F.char_length(name) - 1), F.lit("a"))
-    paired = is_b & F.coalesce(F.col("__pname") == partner, F.lit(False))
+    paired = is_b & F.coalesce(F.col("__a.n") == partner, F.lit(False))
     sh = F.when(paired, F.concat(F.slice(F.col(shape), 1, F.size(shape) - 1),
-                                 F.array(F.element_at(F.col("__pshape"), -1)))).otherwise(F.col(shape))
+                                 F.array(F.col("__a.d")))).otherwise(F.col(shape))
     size = n_elements(sh)
     nd = F.size(sh)
     exp_cnt = F.when(F.col(name).contains(".bias"),
@@ -512,7 +531,7 @@ def parameter_count(tensors: DataFrame, model: str = "model", name: str = "name"
     r = j.groupBy(model).agg(
         F.sum(F.when(counted, size).otherwise(0)).alias("__total"),
         F.sum(F.when(counted & ~is_exp, size).otherwise(0)).alias("__shared"),
-        F.sum(F.when(counted & is_exp, F.floor(size / exp_cnt)).otherwise(0)).alias("__expert"),
+        F.sum(F.when(counted & is_exp, whole_div(size, exp_cnt)).otherwise(0)).alias("__expert"),
         F.sum(F.when(counted & is_exp, exp_cnt).otherwise(0)).alias("__esum"),
         F.sum(F.when(counted & is_exp, 1).otherwise(0)).alias("__en"),
         F.max(is_a.cast("int")).alias("__lora"),
@@ -524,7 +543,7 @@ def parameter_count(tensors: DataFrame, model: str = "model", name: str = "name"
         F.when(bad, 0).otherwise(total).cast("bigint").alias("total_params"),
         F.when(bad, 0).otherwise(F.col("__shared")).cast("bigint").alias("shared_params"),
         F.when(bad, 0).otherwise(F.col("__expert")).cast("bigint").alias("expert_params"),
-        F.when(bad | (F.col("__en") == 0), 0).otherwise(F.floor(F.col("__esum") / F.col("__en"))).cast("bigint")
+        F.when(bad | (F.col("__en") == 0), 0).otherwise(whole_div(F.col("__esum"), F.col("__en"))).cast("bigint")
         .alias("expert_count"))
 
 
@@ -590,18 +609,22 @@ def shard_totals(plan: DataFrame, shard_keys: list[str], nbytes: str = "n_bytes"
                                         F.sum(nbytes).cast("bigint").alias("bytes"))
 
 
-def complete_groups(parts: DataFrame, n: int, block: str = "block", proj: str = "projection",
+def complete_groups(parts: DataFrame, n: int, projections: Sequence[str], block: str = "block", proj: str = "projection",
                     part: str = "part", shape: str = "shape") -> DataFrame:
-    """Per (block, projection), groups with all ``n`` numbered parts are
-    merged (parts in part order; the shape gains a leading n); incomplete
-    groups are reported as leftovers."""
-    g = parts.groupBy(block, proj).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.array_sort(F.collect_list(F.col(part))).alias("parts"),
-        F.min_by(F.col(shape), F.struct(F.col(part), F.col(shape))).alias("__shape"))
-    return g.withColumn("complete", F.col("__n") == n).withColumn(
-        "merged_shape", F.when(F.col("complete"), F.concat(F.array(F.lit(n).cast("bigint")), F.col("__shape")))) \
-        .drop("__n", "__shape")
+    """A block is complete when all its ``projections`` have the parts
+    0..n-1; only then is each projection merged (the shape of part 0 with a
+    leading n). One row per (block, projection) with its distinct parts;
+    everything of an incomplete block, and parts outside the range, is left
+    over."""
+    one = parts.groupBy(block, proj, part).agg(F.min(shape).alias("__shape"))
+    wanted = F.col(proj).isin(*projections) & F.col(part).between(0, n - 1)
+    g = one.groupBy(block, proj).agg(
+        F.sort_array(F.collect_list(F.col(part))).alias("parts"), F.count(F.when(wanted, 1)).alias("__n"),
+        F.min(F.when(F.col(part) == 0, F.col("__shape"))).alias("__shape"))
+    whole = g.groupBy(block).agg(F.sum("__n").alias("__all")).where(F.col("__all") == n * len(projections)).select(block, F.lit(True).alias("__whole"))
+    g = g.join(whole, block, "left").withColumn("complete", F.coalesce("__whole", F.lit(False)) & (F.col("__n") == n))
+    return g.withColumn("merged_shape", F.when(F.col("complete"), F.concat(F.array(F.lit(n).cast("bigint")), F.col("__shape")))) \
+        .drop("__n", "__shape", "__whole")
 
 
 # ----------------------------------------------------------- windows
@@ -632,7 +655,7 @@ def _fold_shards_stream(max_tensors: int, max_bytes: int, small_first: bool):
 
 
 def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tensors: int = 0,
-                max_bytes: int = 0, small_first: bool = False, parallel_above: int = 5_000_000) -> DataFrame:
+                max_bytes: int = 0, small_first: bool = False) -> DataFrame:
     """Greedy split - a new shard opens when the current one is non-empty
     and its tensor count is reached or the next tensor would exceed the byte
     limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
@@ -643,9 +666,9 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     an order-dependent fold: rows are hash-partitioned by model, sorted by
     (model, pos) inside each partition, and folded by a streaming
     ``mapInPandas`` pass that carries its state across batches - no group
-    is ever held in memory, one Python call serves many models. Models with
-    more than ``parallel_above`` tensors take an exact parallel path
-    (``_plan_shards_parallel``) so that no model is a single task."""
+    is ever held in memory, one Python call serves many models. The fold is
+    sequential by its definition, so one model's narrow (position, bytes) rows
+    pass through one task."""
     base = 1 if small_first else 0
     if not max_bytes:
         if not max_tensors:
@@ -657,72 +680,13 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
             .drop("__one", "__rank")
     slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"),
                           F.coalesce(F.col(nbytes), F.lit(0)).cast("bigint").alias("__bytes"))
-    sizes = slim.groupBy("__m").agg(F.count(F.lit(1)).alias("__n"))
-    big = sizes.filter(F.col("__n") > parallel_above).select("__m")
-    # models above the threshold: exact parallel fold (no model in one task);
-    # the rest: the streaming fold, many models per Python call
-    small = slim.join(big, "__m", "left_anti")
-    ordered = small.repartition("__m").sortWithinPartitions("__m", "__pos")
+    ordered = slim.repartition("__m").sortWithinPartitions("__m", "__pos")
     schema = T.StructType(slim.schema.fields + [T.StructField("shard", T.LongType())])
     folded = ordered.mapInPandas(_fold_shards_stream(max_tensors, max_bytes, small_first), schema)
-    if big.limit(1).collect():
-        par = _plan_shards_parallel(slim.join(big, "__m", "left_semi"), max_tensors, max_bytes, small_first)
-        folded = folded.unionByName(par)
     return tensors.join(folded.select(F.col("__m").alias(model), F.col("__pos").alias(pos), "shard"),
                         [model, pos], "inner")
 
 
-def _plan_shards_parallel(t: DataFrame, max_tensors: int, max_bytes: int, small_first: bool,
-                          bucket_rows: int = 4096) -> DataFrame:
-    """Exact greedy shard split for very large models without a sequential
-    pass: with ``idx`` the dense position and ``P`` the inclusive prefix sum
-    of bytes (both two-level running aggregates), a shard starting at ``s``
-    ends before ``next(s) = min(s + max_tensors, first j with P[j] > P[s-1] +
-    max_bytes)``. ``next`` is found by binary lifting over ``P`` and the
-    shard starts - the orbit of 1 under ``next`` - by path doubling; every
-    step is an equi-join on the unique key (model, idx), so one model's
-    rows spread over all tasks. Doubling tables are written to the shared
-    checkpoint folder (they are reused)."""
-    from tallyframe.session import materialize
-    b = F.floor(F.col("__pos") / bucket_rows)
-    d = running_agg(t.withColumn("__one", F.lit(1)), ["__m"], ["__pos"], "__one", b, "__idx", "sum")
-    d = running_agg(d, ["__m"], ["__pos"], "__bytes", b, "__P", "sum").drop("__one")
-    d = materialize(d.withColumn("__idx", F.col("__idx").cast("bigint")), "shard-prefix")
-    n_max = d.agg(F.max("__idx")).first()[0] or 0
-    levels = max(1, int(n_max).bit_length())
-    sizes = d.groupBy("__m").agg(F.max("__idx").alias("__n"))
-    look = d.select("__m", F.col("__idx").alias("__cand"), F.col("__P").alias("__Pc"))
-    cur = d.select("__m", "__idx", (F.col("__P") - F.col("__bytes") + F.lit(max_bytes)).alias("__T"),
-                   F.col("__idx").alias("__at"))
-    for k in range(levels, -1, -1):
-        step = cur.withColumn("__cand", F.col("__at") + F.lit(1 << k))
-        step = step.join(look, ["__m", "__cand"], "left")
-        cur = step.select("__m", "__idx", "__T", F.when(F.col("__Pc").isNotNull() & (F.col("__Pc") <= F.col("__T")),
-                                                        F.col("__cand")).otherwise(F.col("__at")).alias("__at"))
-        cur = materialize(cur, "shard-lift")
-    nxt = cur.join(sizes, "__m").select(
-        "__m", F.col("__idx").alias("__s"),
-        F.least(F.col("__at") + 1,
-                (F.col("__idx") + F.lit(max_tensors)) if max_tensors else F.col("__n") + 1,
-                F.col("__n") + 1).alias("__to"))
-    sink = sizes.select("__m", (F.col("__n") + 1).alias("__s"), (F.col("__n") + 1).alias("__to"))
-    jumps = [materialize(nxt.unionByName(sink), "shard-jump")]
-    for _ in range(levels):
-        j = jumps[-1]
-        j2 = j.alias("a").join(j.alias("b"), (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__to") == F.col("b.__s"))) \
-            .select(F.col("a.__m").alias("__m"), F.col("a.__s").alias("__s"), F.col("b.__to").alias("__to"))
-        jumps.append(materialize(j2, "shard-jump"))
-    starts = sizes.select("__m", F.lit(1).cast("bigint").alias("__s"))
-    for j in reversed(jumps):
-        moved = starts.join(j, ["__m", "__s"]).select("__m", F.col("__to").alias("__s"))
-        starts = materialize(starts.unionByName(moved).distinct(), "shard-starts")
-    flagged = d.join(starts.withColumnRenamed("__s", "__idx").withColumn("__start", F.lit(1)), ["__m", "__idx"], "left")
-    flagged = flagged.withColumn("__start", F.coalesce(F.col("__start"), F.lit(0)))
-    numbered = running_agg(flagged, ["__m"], ["__pos"], "__start", b, "__k", "sum")
-    base = 1 if small_first else 0
-    return numbered.select("__m", "__pos", "__bytes", (F.col("__k") - 1 + base).cast("bigint").alias("shard"))
-
-
 def aligned_offsets(tensors: DataFrame, keys: list[str], pos: str, nbytes: str,
                     align: int = DATA_ALIGNMENT, bucket_rows: int = 4096) -> DataFrame:
     """Data offset = running sum of the earlier tensors' sizes padded to
@@ -776,12 +740,14 @@ SCORE_ADDED = -1000.0
 
 
 def densify_vocab(spark, tokens: DataFrame, n_vocab: int, tid: str = "id", token: str = "token",
-                  priority: str = "priority", score: str | None = None) -> DataFrame:
+                  priority: str = "priority", score: str | None = None, bytes_by_look: bool = False) -> DataFrame:
     """Ids 0..n-1 - layered token sources override by id (highest
     priority wins), out-of-range ids are dropped; an absent id becomes
-    ``[PAD{i}]`` of type UNUSED with score -10000; an added (priority > 0)
-    token scores -1000 and is USER_DEFINED unless it is a byte or looks
-    special (P17)."""
+    ``[PAD{i}]`` of type UNUSED with score -10000. A base token is NORMAL,
+    whatever it looks like. An added (priority > 0) token scores -1000; it is
+    CONTROL if it looks special (P17) and else USER_DEFINED with the space
+    mark U+2581 as a space. ``bytes_by_look`` is the sentence-piece form, in
+    which tokens of either layer that look like bytes are BYTE."""
     sc = F.col(score) if score else F.lit(0.0)
     t = tokens.filter((F.col(tid) >= 0) & (F.col(tid) < n_vocab)).select(
         F.col(tid).alias("id"), F.struct(F.col(priority).alias("p"), F.col(token).alias("t"),
@@ -791,12 +757,13 @@ def densify_vocab(spark, tokens: DataFrame, n_vocab: int, tid: str = "id", token
     j = ids.join(best, "id", "left")
     kind = token_type(F.col("__b.t"))
     ttype = (F.when(F.col("__b").isNull(), F.lit(TOKTYPE["UNUSED"]))
-             .when(kind == "BYTE", F.lit(TOKTYPE["BYTE"]))
+             .when(F.lit(bytes_by_look) & (kind == "BYTE"), F.lit(TOKTYPE["BYTE"]))
+             .when(F.col("__b.p") <= 0, F.lit(TOKTYPE["NORMAL"]))
              .when(kind == "CONTROL", F.lit(TOKTYPE["CONTROL"]))
-             .when(F.col("__b.p") > 0, F.lit(TOKTYPE["USER_DEFINED"]))
-             .otherwise(F.lit(TOKTYPE["NORMAL"])))
+             .otherwise(F.lit(TOKTYPE["USER_DEFINED"])))
+    text = F.when(ttype == TOKTYPE["USER_DEFINED"], F.replace(F.col("__b.t"), F.lit("\u2581"), F.lit(" "))).otherwise(F.col("__b.t"))
     return j.select("id",
-                    F.coalesce(F.col("__b.t"), F.concat(F.lit("[PAD"), F.col("id").cast("string"), F.lit("]"))).alias("token"),
+                    F.coalesce(text, F.concat(F.lit("[PAD"), F.col("id").cast("string"), F.lit("]"))).alias("token"),
                     ttype.cast("int").alias("toktype"),
                     F.when(F.col("__b").isNull(), F.lit(SCORE_ABSENT))
                     .when(F.col("__b.p") > 0, F.lit(SCORE_ADDED)).otherwise(F.col("__b.s")).alias("score"))

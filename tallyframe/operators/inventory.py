@@ -78,22 +78,19 @@ def prefixes(name: Column, max_len: int | None = None) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(ln, F.lit(1))), lambda i: F.substring(name, F.lit(1), i))
 
 
-def missing_required(required: DataFrame, files: DataFrame, name: str = "name",
+def missing_required(required: DataFrame, files: DataFrame, backups: DataFrame, name: str = "name",
                      mtime: str = "mtime") -> DataFrame:
     """Required names absent from the listing (anti join); for each, the
-    newest file whose name starts with the required name's stem (text before
-    the last dot), via an equi-join of stems to the exploded prefixes of file
+    newest backup whose name starts with the whole required name (extension
+    included), via an equi-join of names to the exploded prefixes of backup
     names - no theta join. ``abort`` when no candidate exists."""
     miss = required.select(name).distinct().join(files.select(name), name, "left_anti")
-    miss = miss.withColumn("stem", F.regexp_replace(F.col(name), r"\.[^.]*$", ""))
-    stems = miss.select("stem").distinct()
-    # each file contributes one row per prefix: bounded by its name length
-    cand = (files.select(F.col(name).alias("candidate"), F.col(mtime).alias("__mt"))
-            .withColumn("stem", F.explode(F.array_distinct(prefixes(F.col("candidate")))))
-            .join(stems, "stem", "left_semi"))
-    best = cand.groupBy("stem").agg(F.max_by(F.col("candidate"), F.struct(F.col("__mt"), F.col("candidate"))).alias("candidate"))
-    out = miss.join(best, "stem", "left")
-    return out.withColumn("abort", F.col("candidate").isNull())
+    # each backup contributes one row per prefix: bounded by its name length
+    cand = (backups.select(F.col(name).alias("candidate"), F.col(mtime).alias("__mt"))
+            .withColumn(name, F.explode(F.array_distinct(prefixes(F.col("candidate")))))
+            .join(miss, name, "left_semi"))
+    best = cand.groupBy(name).agg(F.max_by(F.col("candidate"), F.struct(F.col("__mt"), F.col("candidate"))).alias("candidate"))
+    return miss.join(best, name, "left").withColumn("abort", F.col("candidate").isNull())
 
 
 def verify_checksums(a: DataFrame, b: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
@@ -170,8 +167,8 @@ def recommend(file_exists: Column, size: Column, quantize_available: Column, rss
               rss_after: Column, exit_code: Column, import_errors: Column) -> Column:
     """The list of recommendation messages whose conditions hold."""
     stub = ~file_exists | (size < STUB_MAX_BYTES)
-    loaded = F.coalesce((rss_after - rss_before >= LOADED_RSS_DELTA_MB) | (rss_after >= LOADED_RSS_MB),
-                        F.lit(False))
+    measured = rss_before.isNotNull() & rss_after.isNotNull()
+    loaded = F.when(measured, (rss_after - rss_before >= LOADED_RSS_DELTA_MB) | (rss_after >= LOADED_RSS_MB)).otherwise(F.lit(False))
     has_imp = F.coalesce(F.size(import_errors) > 0, F.lit(False))
     bad_exit = exit_code.isNotNull() & (exit_code != 0)
     return F.array_compact(F.array(

@@ -84,9 +84,19 @@ def storage(spark, sf_dir):
     return c.select("model", "pos", "name", req.alias("requested"), st.alias("storage"))
 
 
+def _with_lora(c):
+    """Some tensors as a low-rank pair with a plain tensor between its halves;
+    a few second halves stand alone."""
+    def row(step, suffix):
+        return F.struct((F.col("pos") * 4 + step).alias("pos"), F.concat("name", F.lit(suffix)).alias("name"))
+
+    rows = (F.when(F.col("p_size") % 5 == 1, F.array(row(0, ".lora_a"), row(1, ".mid"), row(2, ".lora_b")))
+            .when(F.col("p_size") % 25 == 2, F.array(row(0, ".lora_b"))).otherwise(F.array(row(0, ""))))
+    return c.select("model", "shape", F.explode(rows).alias("r")).select("model", "shape", "r.*")
+
+
 def param_count(spark, sf_dir):
-    c = catalog(spark, sf_dir)
-    r = C.parameter_count(c)
+    r = C.parameter_count(_with_lora(catalog(spark, sf_dir)))
     return r.withColumn("size_label", C.size_label(F.col("total_params"), F.col("shared_params"),
                                                    F.col("expert_params"), F.col("expert_count")))
 
@@ -173,17 +183,22 @@ def mapped_names(spark, sf_dir):
 
 def merged_metadata(spark, sf_dir):
     cu = t(spark, sf_dir, "customer")
+    seg, poor = F.col("c_mktsegment"), F.col("c_acctbal") < 0
     base = cu.select("c_custkey", F.explode(F.create_map(
-        F.lit("general.name"), F.col("c_name"), F.lit("general.segment"), F.col("c_mktsegment"),
-        F.lit("general.nation"), F.col("c_nationkey").cast("string"))).alias("key", "value"))
+        F.lit("general.name"), F.col("c_name"), F.lit("general.segment"), seg,
+        F.lit("general.nation"), F.col("c_nationkey").cast("string"), F.lit("general.architecture"), F.lit("x"), F.lit("GGUF.version"), F.lit("3"),
+        F.lit("tokenizer.chat_template"), F.lit("old"), F.lit("tokenizer.chat_template.tool"), F.lit("old tool"))).alias("key", "value"))
     o = t(spark, sf_dir, "orders")
     latest = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max_by(F.struct("o_orderpriority", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("l"))
     new = latest.select("c_custkey", F.explode(F.create_map(
         F.lit("general.segment"), F.col("l.o_orderpriority"),
+        F.lit("general.nation"), F.when(F.col("l.o_orderstatus") == "O", F.lit("new")),
         F.lit("general.status"), F.when(F.col("l.o_orderstatus") != "P", F.col("l.o_orderstatus")))).alias("key", "value"))
-    removed = cu.filter(F.col("c_acctbal") < 0).select("c_custkey", F.lit("general.nation").alias("key"))
-    return C.merge_metadata(base, new, removed, keys=["c_custkey", "key"])
+    template = latest.where(F.col("l.o_orderpriority").startswith("1")).select("c_custkey", F.lit("tokenizer.chat_template").alias("key"), F.lit("new").alias("value"))
+    removed = cu.filter(poor).select("c_custkey", F.lit("general.nation").alias("key")) \
+        .unionAll(cu.filter(poor).select("c_custkey", F.lit("general.segment").alias("key")))
+    return C.merge_metadata(base, new.unionByName(template), removed, keys=["c_custkey", "key"])
 
 
 def special_tokens(spark, sf_dir):
@@ -192,8 +207,8 @@ def special_tokens(spark, sf_dir):
     n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cu = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     added = cu.join(n, cu["c_nationkey"] == n["n_nationkey"]).select(
-        F.col("n_name").alias("content"), (F.col("c_custkey") - 5).alias("id"), F.col("c_custkey").alias("pos"))
-    return C.resolve_special(types, added, 1000).select("type", "content", "id", "invalid")
+        F.col("n_name").alias("content"), (F.col("c_custkey") * 7 % 101 - 10).alias("id"), F.col("c_custkey").alias("pos"))
+    return C.resolve_special(types, added, 60).select("type", "content", "id", "invalid")
 
 
 def canonical(spark, sf_dir):
@@ -242,10 +257,12 @@ def token_types(spark, sf_dir):
 
 def vocab(spark, sf_dir):
     n_vocab = t(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] + 11
-    base = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("token"),
-                                              F.lit(0).alias("priority"))
-    added = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("token"),
-                                               F.lit(1).alias("priority"))
+    special = F.concat(F.lit("<|"), F.col("c_name"), F.lit("|>"))
+    base = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 7, special)
+                                              .otherwise(F.col("c_name")).alias("token"), F.lit(0).alias("priority"))
+    added = t(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("<unused"), F.col("s_suppkey").cast("string"), F.lit(">")))
+        .otherwise(F.concat(F.lit("\u2581"), F.col("s_name"))).alias("token"), F.lit(1).alias("priority"))
     return densify(spark, base.unionByName(added), n_vocab)
 
 
@@ -283,9 +300,9 @@ def previews(spark, sf_dir):
 
 def groups_complete(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("block"), F.col("l_returnflag").alias("projection"),
-        F.col("l_linenumber").alias("part"), F.array(F.col("l_quantity").cast("bigint")).alias("shape"))
-    r = C.complete_groups(li, 3)
+        F.col("l_partkey").alias("block"), F.col("l_returnflag").alias("projection"),
+        (F.col("l_linenumber") - 1).alias("part"), F.array(F.col("l_quantity").cast("bigint")).alias("shape"))
+    r = C.complete_groups(li, 2, ("A", "N", "R"))
     return r.select("block", "projection", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"),
                     "complete", F.array_join(F.col("merged_shape").cast("array<string>"), ",").alias("merged_shape"))
 
@@ -376,16 +393,33 @@ def _sql_count_label(x: str) -> str:
 
 
 SQL_PARAM_COUNT = f"""WITH {_SQL_CAT},
+x AS (
+  SELECT model, shape, pos * 4 + step AS pos, name || suffix AS name FROM (
+    SELECT *, unnest(CASE WHEN p_size % 5 = 1 THEN [0, 1, 2] ELSE [0] END) AS step,
+           unnest(CASE WHEN p_size % 5 = 1 THEN ['.lora_a', '.mid', '.lora_b'] WHEN p_size % 25 = 2 THEN ['.lora_b'] ELSE [''] END) AS suffix FROM catalog)),
+y AS (
+  SELECT *, last_value(CASE WHEN name LIKE '%.lora\\_a' ESCAPE '\\' THEN name END IGNORE NULLS) OVER w AS an,
+         last_value(CASE WHEN name LIKE '%.lora\\_a' ESCAPE '\\' THEN shape[-1] END IGNORE NULLS) OVER w AS ad
+  FROM x WINDOW w AS (PARTITION BY model ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (
+  SELECT model, name, CASE WHEN name LIKE '%.lora\\_b' ESCAPE '\\' AND an = name[:-2] || 'a' THEN list_concat(shape[:-2], [ad]) ELSE shape END AS shape,
+         CASE WHEN name LIKE '%.lora\\_b' ESCAPE '\\' AND an IS DISTINCT FROM name[:-2] || 'a' THEN 1 ELSE 0 END AS bad,
+         CASE WHEN name LIKE '%.lora\\_a' ESCAPE '\\' THEN 1 ELSE 0 END AS is_a FROM y),
+lo AS (SELECT model, max(bad) AS bad, max(is_a) AS lora FROM z GROUP BY model),
 e AS (
-  SELECT model, name, n_elements AS size, name LIKE '%\\_exps.%' ESCAPE '\\' AS is_exp,
+  SELECT model, name, CAST(list_reduce(shape, lambda a, b: a * b) AS BIGINT) AS size, name LIKE '%\\_exps.%' ESCAPE '\\' AS is_exp,
          CAST(CASE WHEN name LIKE '%.bias%' THEN CASE WHEN len(shape) >= 2 THEN shape[-2] ELSE shape[-1] END
               ELSE CASE WHEN len(shape) >= 3 THEN shape[-3] ELSE shape[-1] END END AS BIGINT) AS ec
-  FROM catalog),
-r AS (
+  FROM z WHERE is_a = 0),
+r0 AS (
   SELECT model, sum(size) AS total, sum(CASE WHEN NOT is_exp THEN size ELSE 0 END) AS shared,
          sum(CASE WHEN is_exp THEN size // ec ELSE 0 END) AS expert,
          sum(CASE WHEN is_exp THEN ec ELSE 0 END) AS esum, sum(CASE WHEN is_exp THEN 1 ELSE 0 END) AS en
-  FROM e GROUP BY model)
+  FROM e GROUP BY model),
+r AS (
+  SELECT model, CASE WHEN bad = 1 THEN 0 WHEN lora = 1 THEN -total ELSE total END AS total, CASE WHEN bad = 1 THEN 0 ELSE shared END AS shared,
+         CASE WHEN bad = 1 THEN 0 ELSE expert END AS expert, esum, CASE WHEN bad = 1 THEN 0 ELSE en END AS en
+  FROM r0 JOIN lo USING (model))
 SELECT model, CAST(total AS BIGINT) AS total_params, CAST(shared AS BIGINT) AS shared_params,
        CAST(expert AS BIGINT) AS expert_params, CAST(CASE WHEN en = 0 THEN 0 ELSE esum // en END AS BIGINT) AS expert_count,
        CASE WHEN en > 0 THEN CAST(esum // en AS VARCHAR) || 'x' || {_sql_count_label('(abs(shared) + abs(expert))::DOUBLE')}
@@ -490,33 +524,31 @@ LEFT JOIN m s ON s.source = CASE WHEN n.name LIKE '%.weight' THEN left(n.name, l
                                  WHEN n.name LIKE '%.bias' THEN left(n.name, length(n.name) - 5) END"""
 
 SQL_MERGED = """
-WITH base AS (
-  SELECT c_custkey, 'general.name' AS key, c_name AS value FROM customer
-  UNION ALL SELECT c_custkey, 'general.segment', c_mktsegment FROM customer
-  UNION ALL SELECT c_custkey, 'general.nation', CAST(c_nationkey AS VARCHAR) FROM customer),
-l AS (SELECT o_custkey AS c_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS pr,
+WITH l AS (SELECT o_custkey AS c_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS pr,
              arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS st FROM orders GROUP BY o_custkey),
 new AS (
   SELECT c_custkey, 'general.segment' AS key, pr AS value FROM l
-  UNION ALL SELECT c_custkey, 'general.status', CASE WHEN st <> 'P' THEN st END FROM l),
-removed AS (SELECT c_custkey, 'general.nation' AS key FROM customer WHERE c_acctbal < 0),
-j AS (
-  SELECT coalesce(b.c_custkey, n.c_custkey) AS c_custkey, coalesce(b.key, n.key) AS key,
-         coalesce(n.value, b.value) AS value,
-         CASE WHEN n.value IS NOT NULL AND b.value IS NOT NULL THEN 'replaced'
-              WHEN n.value IS NOT NULL THEN 'added' ELSE 'kept' END AS origin
-  FROM base b FULL OUTER JOIN new n ON b.c_custkey = n.c_custkey AND b.key = n.key)
-SELECT * FROM j WHERE value IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM removed r WHERE r.c_custkey = j.c_custkey AND r.key = j.key)"""
+  UNION ALL SELECT c_custkey, 'general.nation', CASE WHEN st = 'O' THEN 'new' END FROM l
+  UNION ALL SELECT c_custkey, 'general.status', CASE WHEN st <> 'P' THEN st END FROM l
+  UNION ALL SELECT c_custkey, 'tokenizer.chat_template', 'new' FROM l WHERE starts_with(pr, '1')),
+base AS (
+  SELECT c_custkey, 'general.name' AS key, c_name AS value FROM customer
+  UNION ALL SELECT c_custkey, 'general.segment', c_mktsegment FROM customer WHERE NOT c_acctbal < 0
+  UNION ALL SELECT c_custkey, 'general.nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE NOT c_acctbal < 0
+  UNION ALL SELECT c_custkey, unnest(['tokenizer.chat_template', 'tokenizer.chat_template.tool']), unnest(['old', 'old tool']) FROM customer
+    WHERE c_custkey NOT IN (SELECT c_custkey FROM l WHERE starts_with(pr, '1')))
+SELECT coalesce(b.c_custkey, n.c_custkey) AS c_custkey, coalesce(b.key, n.key) AS key,
+       CASE WHEN n.key IS NOT NULL THEN n.value ELSE b.value END AS value,
+       CASE WHEN n.key IS NOT NULL AND b.key IS NOT NULL THEN 'replaced' WHEN n.key IS NOT NULL THEN 'added' ELSE 'kept' END AS origin
+FROM base b FULL OUTER JOIN new n ON b.c_custkey = n.c_custkey AND b.key = n.key
+WHERE CASE WHEN n.key IS NOT NULL THEN n.value ELSE b.value END IS NOT NULL"""
 
 SQL_SPECIAL = """
-WITH a AS (
-  SELECT n.n_name AS content, c.c_custkey - 5 AS id, c.c_custkey AS pos
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey - 5 < 1000)
-SELECT 'tok_' || n.n_nationkey AS type, n.n_name AS content,
-       arg_min(CASE WHEN a.id >= 0 THEN a.id END, CASE WHEN a.id >= 0 THEN a.pos END) AS id,
-       coalesce(max(CASE WHEN a.id < 0 THEN 1 ELSE 0 END) = 1, false) AS invalid
-FROM nation n LEFT JOIN a ON a.content = n.n_name GROUP BY 1, 2"""
+WITH f AS (
+  SELECT n.n_name AS content, arg_min(c.c_custkey * 7 % 101 - 10, c.c_custkey) AS id
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1)
+SELECT 'tok_' || n.n_nationkey AS type, n.n_name AS content, CASE WHEN f.id >= 0 AND f.id < 60 THEN f.id END AS id, coalesce(f.id < 0, false) AS invalid
+FROM nation n LEFT JOIN f ON f.content = n.n_name"""
 
 SQL_CANONICAL = """
 WITH cfg AS (
@@ -568,15 +600,15 @@ SELECT DISTINCT token, CASE WHEN regexp_full_match(token, '<0x[0-9A-Fa-f]{2}>')
 SQL_VOCAB = """
 WITH n AS (SELECT max(c_custkey) + 11 AS n FROM customer),
 toks AS (
-  SELECT c_custkey AS id, c_name AS token, 0 AS pr FROM customer
-  UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier),
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 7 THEN '<|' || c_name || '|>' ELSE c_name END AS token, 0 AS pr FROM customer
+  UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '<unused' || s_suppkey || '>' ELSE chr(9601) || s_name END, 1 FROM supplier),
 best AS (SELECT id, arg_max(token, pr) AS token, max(pr) AS pr FROM toks, n WHERE id >= 0 AND id < n.n GROUP BY id),
 ids AS (SELECT range AS id FROM n, range(0, n.n))
-SELECT ids.id, coalesce(best.token, '[PAD' || ids.id || ']') AS token,
+SELECT ids.id, coalesce(CASE WHEN best.pr > 0 AND NOT starts_with(best.token, '<') THEN replace(best.token, chr(9601), ' ') ELSE best.token END,
+                        '[PAD' || ids.id || ']') AS token,
        CAST(CASE WHEN best.token IS NULL THEN 5
-                 WHEN regexp_full_match(best.token, '<0x[0-9A-Fa-f]{2}>') THEN 6
-                 WHEN starts_with(best.token, '<|') AND ends_with(best.token, '|>') THEN 3
-                 WHEN best.pr > 0 THEN 4 ELSE 1 END AS INTEGER) AS toktype,
+                 WHEN best.pr = 0 THEN 1 WHEN starts_with(best.token, '<unused') AND ends_with(best.token, '>') THEN 3
+                 ELSE 4 END AS INTEGER) AS toktype,
        round(CASE WHEN best.token IS NULL THEN -10000.0 WHEN best.pr > 0 THEN -1000.0 ELSE 0.0 END, 6) AS score
 FROM ids LEFT JOIN best ON ids.id = best.id"""
 
@@ -612,10 +644,12 @@ SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE tex
 FROM documents"""
 
 SQL_GROUPS_COMPLETE = """
-SELECT l_orderkey AS block, l_returnflag AS projection,
-       array_to_string(list_sort(list(l_linenumber)), ',') AS parts, count(*) = 3 AS complete,
-       CASE WHEN count(*) = 3 THEN '3,' || CAST(CAST(trunc(first(l_quantity ORDER BY l_linenumber, l_quantity)) AS BIGINT) AS VARCHAR) END AS merged_shape
-FROM lineitem GROUP BY 1, 2"""
+WITH o AS (SELECT l_partkey AS block, l_returnflag AS projection, l_linenumber - 1 AS part, min(CAST(trunc(l_quantity) AS BIGINT)) AS q
+           FROM lineitem GROUP BY 1, 2, 3),
+w AS (SELECT block FROM o WHERE projection IN ('A', 'N', 'R') AND part IN (0, 1) GROUP BY block HAVING count(*) = 6)
+SELECT block, projection, array_to_string(list_sort(list(part)), ',') AS parts, block IN (SELECT block FROM w) AS complete,
+       CASE WHEN block IN (SELECT block FROM w) THEN '2,' || CAST(min(CASE WHEN part = 0 THEN q END) AS VARCHAR) END AS merged_shape
+FROM o GROUP BY 1, 2"""
 
 SQL_MODEL_DIGEST = f"""WITH {_SQL_CAT},
 t AS (SELECT model, pos, sha256(name || ',' || '[' || array_to_string(shape, ', ') || ']') AS d FROM catalog),

@@ -41,8 +41,11 @@ def collected_runs(spark, sf_dir):
     """S2 -> A1 -> S3: run files (JSON arrays of at most 1000 runs) are read
     back, summarised and written as the fixed-header CSV, which is read."""
     runs = PB.quant_runs(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    # every fourth run gives a latency as text, which is no number to average
+    text = F.struct(*[F.col(c).cast("string").alias(c) if c == "p50_ms" else F.col(c) for c in runs.columns])
+    run = F.when(F.col("event_id") % 4 == 0, F.to_json(text)).otherwise(F.to_json(F.struct(*runs.columns)))
     chunks = runs.groupBy("variant", (F.col("event_id") / 1000).cast("bigint").alias("chunk")).agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in runs.columns])))).alias("value"))
+        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(run)), ","), F.lit("]")).alias("value"))
     path = scratch_path(spark, "runs")
     chunks.select("value").write.option("maxRecordsPerFile", 1).text(path)
     s = B.summarize_runs(S.read_runs(spark, path, glob="*.txt"))
@@ -118,7 +121,8 @@ def fronted(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     txt = F.when(F.col("doc_id") % 3 == 0, F.concat(
         F.lit("---\ntitle: doc-"), F.col("doc_id").cast("string"), F.lit("\nlang:\t"), F.col("lang"),
-        F.lit("\n---\n"), F.col("text"))).otherwise(F.col("text"))
+        F.lit("\n---\n"), F.col("text"))).when(F.col("doc_id") % 6 == 1, F.concat(
+            F.lit("---\ntitle: open-"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     return d.select("doc_id", S.front_matter(txt).alias("front_matter"))
 
 
@@ -238,7 +242,7 @@ SQL_CORPUS = """
 SELECT doc_id, doc_id % 10 IN (0, 1) AS is_fallback, CASE WHEN doc_id % 10 NOT IN (0, 1) THEN md5(text) END AS text_md5
 FROM documents"""
 
-SQL_COLLECTED_RUNS = PB.SQL_SUMMARIZE
+SQL_COLLECTED_RUNS = PB.SQL_SUMMARIZE.replace("round(avg(p50_ms), 6)", "round(avg(CASE WHEN event_id % 4 <> 0 THEN p50_ms END), 6)")
 
 SQL_SNAPSHOT = """
 SELECT CAST(e.vec_id AS VARCHAR) AS id,
@@ -267,7 +271,8 @@ WITH w AS (SELECT turn, regexp_split_to_array(trim(text), '\\s+') AS ws FROM con
 SELECT ws[1] AS "left", ws[2] AS "right" FROM w WHERE turn % 4 = 2 AND len(ws) >= 2"""
 
 SQL_FRONTED = """
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"lang": "' || lang || '", "title": "doc-' || doc_id || '"}' END AS front_matter
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"lang": "' || lang || '", "title": "doc-' || doc_id || '"}'
+  WHEN doc_id % 6 = 1 THEN '{"title": "open-' || doc_id || '"}' END AS front_matter
 FROM documents"""
 
 SQL_REPORT = f"""WITH {PV._SQL_CASCADE},

@@ -72,7 +72,13 @@ def required(spark, sf_dir):
                      (F.lit("2024-01-01 00:00:00").cast("timestamp") +
                       F.make_interval(hours=F.col("doc_id").cast("int"))).alias("mtime"))
     req = t(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
-    return I.missing_required(req, files).select("name", "stem", "candidate", "abort")
+    # two generations of backups; some are only named like the file without its extension
+    gen = d.withColumn("gen", F.explode(F.array(F.lit(1), F.lit(2))))
+    old = gen.where(F.col("doc_id") % 3 < 2).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit(".txt.")).otherwise(F.lit("-")),
+                 F.col("gen").cast("string")).alias("name"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=(F.col("gen") * (F.col("doc_id") % 2 * 2 - 1)).cast("int"))).alias("mtime"))
+    return I.missing_required(req, files, old).select("name", "candidate", "abort")
 
 
 def checksums(spark, sf_dir):
@@ -118,7 +124,7 @@ def report_lines(spark, sf_dir):
 def recommendations(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     rec = I.recommend(F.col("lang") != "es", F.col("n_chars") * 100000, F.col("lang") == "en",
-                      F.lit(100.0), F.col("n_chars") / 10.0,
+                      F.when(F.col("doc_id") % 5 != 0, F.lit(100.0)), F.when(F.col("doc_id") % 7 != 0, F.col("n_chars") / 10.0),
                       F.when(F.col("lang") == "fr", F.lit(1)).when(F.col("lang") == "de", F.lit(0)),
                       F.when(F.col("source") == "src1", F.array(F.lit("IMPORT_ERROR x")))
                       .otherwise(F.array().cast("array<string>")))
@@ -176,17 +182,14 @@ SELECT doc_id, CAST(len(tl) AS INTEGER) AS n_lines, md5(array_to_string(tl, chr(
 SQL_TAIL_EVENTS = "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50"
 
 SQL_REQUIRED = """
-WITH files AS (
-  SELECT 'doc-' || doc_id || CASE WHEN lang = 'en' THEN '.txt' ELSE '-' || lang || '.txt' END AS name,
-         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS mtime
-  FROM documents),
+WITH files AS (SELECT 'doc-' || doc_id || CASE WHEN lang = 'en' THEN '.txt' ELSE '-' || lang || '.txt' END AS name FROM documents),
+old AS (
+  SELECT 'doc-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt.' ELSE '-' END || gen AS name, gen * (doc_id % 2 * 2 - 1) AS mtime
+  FROM documents, (VALUES (1), (2)) g(gen) WHERE doc_id % 3 < 2),
 req AS (SELECT DISTINCT 'doc-' || doc_id || '.txt' AS name FROM labels),
-miss AS (SELECT name, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM req WHERE name NOT IN (SELECT name FROM files)),
-cand AS (
-  SELECT m.stem, arg_max(f.name, (f.mtime, f.name)) AS candidate
-  FROM (SELECT DISTINCT stem FROM miss) m JOIN files f ON starts_with(f.name, m.stem) GROUP BY m.stem)
-SELECT miss.name, miss.stem, cand.candidate, cand.candidate IS NULL AS abort
-FROM miss LEFT JOIN cand ON miss.stem = cand.stem"""
+miss AS (SELECT name FROM req WHERE name NOT IN (SELECT name FROM files)),
+cand AS (SELECT m.name, arg_max(f.name, (f.mtime, f.name)) AS candidate FROM miss m JOIN old f ON starts_with(f.name, m.name) GROUP BY m.name)
+SELECT miss.name, cand.candidate, cand.candidate IS NULL AS abort FROM miss LEFT JOIN cand ON miss.name = cand.name"""
 
 SQL_CHECKSUMS = f"""WITH {_SQL_LISTING}
 SELECT path, sha256(text) = sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' ' ELSE text END) AS match FROM files"""
@@ -223,10 +226,11 @@ SELECT doc_id, coalesce(json_valid(ls[-1]), false) AS last_is_json,
 
 SQL_RECOMMEND = """
 WITH r AS (
-  SELECT doc_id, lang <> 'es' AS fe, n_chars * 100000 AS sz, lang = 'en' AS qa, 100.0 AS rb, n_chars / 10.0 AS ra,
+  SELECT doc_id, lang <> 'es' AS fe, n_chars * 100000 AS sz, lang = 'en' AS qa, CASE WHEN doc_id % 5 <> 0 THEN 100.0 END AS rb,
+         CASE WHEN doc_id % 7 <> 0 THEN n_chars / 10.0 END AS ra,
          CASE WHEN lang = 'fr' THEN 1 WHEN lang = 'de' THEN 0 END AS ec, source = 'src1' AS imp
   FROM documents),
-s AS (SELECT *, (NOT fe OR sz < 200000000) AS stub, coalesce((ra - rb >= 500) OR (ra >= 500), false) AS loaded FROM r)
+s AS (SELECT *, (NOT fe OR sz < 200000000) AS stub, rb IS NOT NULL AND ra IS NOT NULL AND ((ra - rb >= 500) OR (ra >= 500)) AS loaded FROM r)
 SELECT doc_id, array_to_string(list_filter([
   CASE WHEN stub THEN 'Replace models/gpt-oss-20b.gguf with a real gguf (size several GB).' END,
   CASE WHEN NOT qa THEN 'Install/build quantize tool (link: README/Runbook) or use remote inference.' END,

@@ -85,6 +85,9 @@ def read_runs(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
     cols = []
     for f in RUN_FIELDS.fields:
         val = F.try_variant_get("r", f"$.{f.name}", f.dataType.simpleString())
+        if f.dataType.simpleString() == "double":  # a text that looks like a number is no metric
+            kind = F.schema_of_variant(F.try_variant_get("r", f"$.{f.name}", "variant"))
+            val = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), val)
         if f.name == "variant":
             present = F.array_contains(F.map_keys(F.try_variant_get("r", "$", "map<string,variant>")), "variant")
             val = F.when(present, val).otherwise(F.split(stem, "_").getItem(0))
@@ -267,12 +270,12 @@ def _yaml_udf():
 
 def front_matter(text: Column) -> Column:
     """YAML front matter as JSON text - the first line must be ``---``;
-    lines up to the next ``---``; tabs become two spaces and a bare ``- no``
+    lines up to the next ``---`` or the end; tabs become two spaces and a bare ``- no``
     is quoted; the YAML must be a mapping (else null). The block is cut out
     with a native regex; only the YAML parse runs in a pandas UDF."""
-    block = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---(\r?\n|$)", 1)
-    has = text.rlike(r"(?s)^---\r?\n.*?\r?\n---(\r?\n|$)")
-    return _yaml_udf()(F.when(has, block))
+    opened = text.rlike(r"\A---\r?\n")
+    block = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)(?:(?:\r?\n|(?<=\n))---(?:\r?\n|\z)|\z)", 1)
+    return _yaml_udf()(F.when(opened, block))
 
 
 def write_report_json(summary: DataFrame, details: DataFrame, path: str) -> None:

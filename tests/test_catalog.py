@@ -89,7 +89,7 @@ def test_plan_shards_count_only(spark):
     assert got == [(1, 5, 0), (1, 9, 0), (1, 12, 0), (1, 40, 1), (1, 41, 1), (1, 5000, 1), (1, 9000, 2), (2, 3, 0)]
 
 
-def test_plan_shards_parallel_path_equals_greedy(spark):
+def test_plan_shards_equals_greedy(spark):
     import numpy as np
     rng = np.random.default_rng(4)
     rows = []
@@ -100,7 +100,7 @@ def test_plan_shards_parallel_path_equals_greedy(spark):
     df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
     for max_t, max_b in ((0, 20), (5, 20)):
         got = {(r.model, r.pos): r.shard for r in
-               C.plan_shards(df, "model", "pos", "nbytes", max_t, max_b, parallel_above=0).collect()}
+               C.plan_shards(df, "model", "pos", "nbytes", max_t, max_b).collect()}
         for m in range(3):
             seq = sorted((p, b) for mm, p, b in rows if mm == m)
             shard, cnt, size = 0, 0, 0
@@ -112,11 +112,55 @@ def test_plan_shards_parallel_path_equals_greedy(spark):
                 size += b
 
 
-def test_plan_shards_parallel_small_first(spark):
+def test_plan_shards_small_first(spark):
     rows = [(7, p, b) for p, b in enumerate([5, 5, 1, 9, 2, 2, 2, 2, 10, 1])]
     df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
-    seq = C.plan_shards(df, "model", "pos", "nbytes", 3, 10, small_first=True)
-    par = C.plan_shards(df, "model", "pos", "nbytes", 3, 10, small_first=True, parallel_above=0)
-    a = sorted((r.pos, r.shard) for r in seq.collect())
-    b = sorted((r.pos, r.shard) for r in par.collect())
-    assert a == b and a[0] == (0, 1)
+    got = sorted((r.pos, r.shard) for r in C.plan_shards(df, "model", "pos", "nbytes", 3, 10, small_first=True).collect())
+    assert got == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (6, 3), (7, 4), (8, 5), (9, 6)]
+
+
+def test_sizes_are_exact_above_2_53(spark):
+    df = spark.createDataFrame([([3002399751580331, 3], "F32"), ([3, 3002399751580331], "F32")], "shape array<bigint>, dtype string")
+    got = [tuple(r) for r in df.select(C.n_bytes(F.col("shape"), F.col("dtype")), C.pad_to(F.element_at("shape", 1) * 3 + 1, 32)).collect()]
+    assert got[0] == (36028797018963972, (3002399751580331 * 3 + 1 + 31) // 32 * 32) and got[1][0] == 36028797018963972
+
+
+def test_lora_half_pairs_with_the_last_seen_one(spark):
+    rows = [(1, 0, "x.lora_a", [4, 8]), (1, 1, "norm", [5]), (1, 2, "x.lora_b", [16, 4]), (2, 0, "x.lora_a", [4, 8]), (2, 1, "y.lora_a", [4, 8]),
+            (2, 2, "x.lora_b", [16, 4]), (3, 0, "x.lora_b", [16, 4])]
+    df = spark.createDataFrame(rows, "model int, pos int, name string, shape array<bigint>")
+    got = {r.model: (r.total_params, r.shared_params) for r in C.parameter_count(df).collect()}
+    assert got == {1: (-133, 133), 2: (0, 0), 3: (0, 0)}
+
+
+def test_merge_metadata_rules(spark):
+    s = "e int, key string, value string"
+    base = spark.createDataFrame([(1, "a", "old"), (1, "b", "old"), (1, "c", "old"), (1, "GGUF.version", "3"), (1, "general.architecture", "x"),
+                                  (1, "tokenizer.chat_template", "t"), (1, "tokenizer.chat_template.tool", "t"), (2, "tokenizer.chat_template.tool", "t")], s)
+    new = spark.createDataFrame([(1, "a", "new"), (1, "b", None), (1, "tokenizer.chat_template", "n")], s)
+    removed = spark.createDataFrame([(1, "a"), (1, "c")], "e int, key string")
+    got = {(r.e, r.key): (r.value, r.origin) for r in C.merge_metadata(base, new, removed, keys=["e", "key"]).collect()}
+    assert got == {(1, "a"): ("new", "added"), (1, "tokenizer.chat_template"): ("n", "added"), (2, "tokenizer.chat_template.tool"): ("t", "kept")}
+
+
+def test_special_token_takes_only_the_first_match(spark):
+    types = spark.createDataFrame([("bos", "<s>"), ("eos", "</s>"), ("pad", "<p>"), ("unk", "?")], "type string, content string")
+    added = spark.createDataFrame([("<s>", 99, 0), ("<s>", 1, 1), ("</s>", -1, 0), ("</s>", 2, 1), ("<p>", 3, 0)], "content string, id int, pos int")
+    got = {r.type: (r.id, r.invalid) for r in C.resolve_special(types, added, 10).collect()}
+    assert got == {"bos": (None, False), "eos": (None, True), "pad": (3, False), "unk": (None, False)}
+
+
+def test_complete_groups_wait_for_all_projections(spark):
+    rows = [(1, w, p, [5]) for w in "abc" for p in (0, 1)] + [(2, "a", 0, [5]), (2, "a", 1, [5]), (2, "b", 0, [5]), (3, "a", 0, [5]), (3, "a", 0, [5])]
+    df = spark.createDataFrame(rows, "block int, projection string, part int, shape array<bigint>")
+    got = {(r.block, r.projection): (r.complete, r.merged_shape) for r in C.complete_groups(df, 2, "abc").collect()}
+    assert all(got[(1, w)] == (True, [2, 5]) for w in "abc")
+    assert got[(2, "a")] == (False, None) and got[(2, "b")] == (False, None) and got[(3, "a")] == (False, None)
+
+
+def test_vocabulary_types_by_look_only_for_added_tokens(spark):
+    t = spark.createDataFrame([(0, "<|x|>", 0), (1, "<|y|>", 1), (2, "\u2581z", 1), (3, "<0x0A>", 0)], "id bigint, token string, priority int")
+    got = {r.id: (r.token, r.toktype) for r in C.densify_vocab(spark, t, 5).collect()}
+    k = C.TOKTYPE
+    assert got == {0: ("<|x|>", k["NORMAL"]), 1: ("<|y|>", k["CONTROL"]), 2: (" z", k["USER_DEFINED"]), 3: ("<0x0A>", k["NORMAL"]), 4: ("[PAD4]", k["UNUSED"])}
+    assert {r.id: r.toktype for r in C.densify_vocab(spark, t, 5, bytes_by_look=True).collect()}[3] == k["BYTE"]
