@@ -1,15 +1,15 @@
 """Retrieval operators: exact k-NN (J1), metadata attach (J2), top-k (T1),
 substring search (F1).
 
-Exact k-NN design (no cross join, no all-pairs output):
+Exact k-NN design (both sides are DataFrames of any size, one plan for all):
 
-* the query side is read in blocks whose row count is checked before it is
-  broadcast (``max_queries_per_pass``);
-* every corpus partition computes distances to the broadcast block inside an
-  Arrow ``mapInPandas`` task and emits only its local top-k per query;
-* a final ``row_number`` window per query merges the partial lists. The
-  shuffle carries ``n_queries * k * n_partitions`` narrow rows, independent
-  of the corpus size per partition.
+* queries fall into hash blocks of about ``QUERY_BLOCK`` rows, the corpus into
+  slices; every (block, slice) pair is one group of rows, queries first;
+* a ``mapInArrow`` pass over the sorted groups holds one block of queries and
+  their best k so far, and streams the slice past it batch by batch, so a
+  task's memory does not depend on the size of either side;
+* a final ``row_number`` window per query merges the partial lists. It reads
+  ``n_queries * k * n_slices`` narrow rows.
 
 Ties are broken by the corpus key (insertion position), as the reference does
 with its stable sort.
@@ -18,154 +18,135 @@ with its stable sort.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import scratch_path
+#: Cells of one distance matrix inside a task.
+_CELLS = 4_000_000
+#: Queries of a block, and corpus rows of a slice (more rows, more tasks).
+QUERY_BLOCK, CORPUS_SLICE = 4096, 262_144
 
-# Corpus rows per numpy distance block inside a task (bounds task memory to
-# roughly n_queries * block * 8 bytes per temporary).
-_BLOCK_ELEMS = 4_000_000
-# Query blocks with more than this many query*dimension cells use the BLAS
-# form |q|^2 + |c|^2 - 2 q.c; smaller ones accumulate exact squared
-# differences dimension by dimension.
-_GEMM_CELLS = 1 << 16
 
+def _vectors(col: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Width -> (row numbers, float64 matrix) of a list column."""
+    width = np.asarray(col.value_lengths())
+    flat = np.asarray(col.flatten(), dtype=np.float64)
+    start = np.concatenate([[0], np.cumsum(width)[:-1]])
+    out = {}
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        out[int(w)] = (rows, flat[start[rows][:, None] + np.arange(w)])
+    return out
 
-def _distances(qmat: np.ndarray, qsq: np.ndarray, blk: np.ndarray) -> np.ndarray:
-    nq, dim = qmat.shape
-    if nq * dim >= _GEMM_CELLS:
-        d = qsq[:, None] + np.einsum("ij,ij->i", blk, blk)[None, :] - 2.0 * (qmat @ blk.T)
-        return np.maximum(d, 0.0)
-    d = np.zeros((nq, blk.shape[0]))
-    for j in range(dim):
-        diff = qmat[:, j][:, None] - blk[:, j][None, :]
-        d += diff * diff
-    return d
 
+def _ids(col: pa.Array) -> np.ndarray:
+    return col.to_numpy() if pa.types.is_integer(col.type) else np.array(col.to_pylist())
 
-def _partial_topk_fn(bq, k: int, dim: int, cid_is_int: bool):
-    def run(batches):
-        qids, qmat = bq.value
-        nq = len(qids)
-        qsq = np.einsum("ij,ij->i", qmat, qmat)
-        best_d = np.full((nq, k), np.inf)
-        best_i = np.zeros((nq, k), dtype=np.int64 if cid_is_int else object)
-        best_ok = np.zeros((nq, k), dtype=bool)
-        seen = False
-        for pdf in batches:
-            if pdf.empty or nq == 0:
-                continue
-            seen = True
-            ids = pdf["cid"].to_numpy()
-            mat = np.stack(pdf["cvec"].to_numpy()).astype(np.float64)
-            step = max(1, _BLOCK_ELEMS // max(1, nq))
-            for s in range(0, len(ids), step):
-                blk = mat[s:s + step]
-                bid = ids[s:s + step]
-                d = _distances(qmat, qsq, blk)
-                # only columns that can still enter some query's top-k
-                # (<= keeps ties, whose smaller ids may win)
-                keep = (d <= best_d[:, -1][:, None]).any(axis=0)
-                if not keep.any():
-                    continue
-                d, bid = d[:, keep], bid[keep]
-                cd = np.concatenate([best_d, d], axis=1)
-                ci = np.concatenate([best_i, np.broadcast_to(bid, d.shape)], axis=1)
-                cok = np.concatenate([best_ok, np.ones(d.shape, dtype=bool)], axis=1)
-                # order by (valid first, distance, corpus id)
-                order = np.lexsort((ci, cd, ~cok), axis=1)[:, :k]
-                best_d = np.take_along_axis(cd, order, axis=1)
-                best_i = np.take_along_axis(ci, order, axis=1)
-                best_ok = np.take_along_axis(cok, order, axis=1)
-        if not seen:
+
+class _Best:
+    """The best k corpus rows of every query of one block, by (distance, id)."""
+
+    def __init__(self, k: int):
+        self.k, self.queries, self.blocks = k, [], None
+
+    def add_queries(self, batch: pa.RecordBatch) -> None:
+        self.queries.append(batch)
+
+    def add_corpus(self, batch: pa.RecordBatch) -> None:
+        if not self.queries:
+            return
+        if self.blocks is None:
+            table = pa.Table.from_batches(self.queries).combine_chunks()
+            self.qid = table.column("qid").combine_chunks()
+            n = len(self.qid)
+            self.blocks = _vectors(table.column("vec").combine_chunks())
+            self.dist, self.ok = np.full((n, self.k), np.inf), np.zeros((n, self.k), bool)
+            self.cid = np.zeros((n, self.k), dtype=_ids(batch.column("cid")).dtype)
+        ids = _ids(batch.column("cid"))
+        if ids.dtype.kind == "U" and ids.dtype > self.cid.dtype:
+            self.cid = self.cid.astype(ids.dtype)
+        for wide, (rows, mat) in _vectors(batch.column("vec")).items():
+            for width, (mine, q) in self.blocks.items():
+                step = max(1, _CELLS // max(1, len(mine)))
+                for s in range(0, len(rows), step):
+                    self._merge(mine, q, mat[s:s + step], ids[rows[s:s + step]], min(wide, width))
+
+    def _merge(self, mine: np.ndarray, q: np.ndarray, c: np.ndarray, ids: np.ndarray, width: int) -> None:
+        d = np.zeros((len(q), len(c)))
+        for j in range(width):  # squared differences, always: the shorter vector's width counts
+            diff = q[:, j][:, None] - c[:, j][None, :]
+            d += diff * diff
+        near = ~self.ok[mine][:, -1:] | (d <= self.dist[mine][:, -1:])  # a tie may win by its id
+        keep = near.any(axis=0)
+        if not keep.any():
             return
-        qi, kk = np.nonzero(best_ok)
-        yield pd.DataFrame({
-            "qid": np.asarray(qids, dtype=object)[qi] if qids.dtype == object else qids[qi],
-            "cid": best_i[qi, kk],
-            "dist": best_d[qi, kk],
-        })
+        d, ids = d[:, keep], ids[keep]
+        dist = np.concatenate([self.dist[mine], d], axis=1)
+        cid = np.concatenate([self.cid[mine], np.broadcast_to(ids, d.shape)], axis=1)
+        ok = np.concatenate([self.ok[mine], np.ones(d.shape, bool)], axis=1)
+        first = np.lexsort((cid, dist, ~ok), axis=1)[:, :self.k]
+        self.dist[mine], self.cid[mine], self.ok[mine] = (np.take_along_axis(x, first, axis=1) for x in (dist, cid, ok))
+
+    def result(self, kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        if self.blocks is None:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (*kinds, pa.float64())], names=["qid", "cid", "dist"])
+        row, at = np.nonzero(self.ok)
+        return pa.RecordBatch.from_arrays([self.qid.take(pa.array(row)), pa.array(self.cid[row, at].tolist(), kinds[1]), pa.array(self.dist[row, at])],
+                                          names=["qid", "cid", "dist"])
+
+
+def _nearest(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best, kinds = None, None, None
+        for batch in batches:
+            kinds = kinds or (batch.schema.field("qid").type, batch.schema.field("cid").type)
+            key = np.stack([batch.column(c).to_numpy() for c in ("i", "j", "side")])
+            cuts = np.flatnonzero(np.r_[True, (np.diff(key, axis=1) != 0).any(axis=0)]) if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                here = (key[0, a], key[1, a])
+                if here != at:
+                    if best:
+                        yield best.result(kinds)
+                    at, best = here, _Best(k)
+                part = batch.slice(a, b - a)
+                best.add_queries(part) if key[2, a] == 0 else best.add_corpus(part)
+        if best:
+            yield best.result(kinds)
     return run
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
         query_key: str = "qid", corpus_key: str = "pos", vector: str = "embedding",
-        corpus_vector: str | None = None, max_queries_per_pass: int | None = None,
-        max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+        corpus_vector: str | None = None, query_block: int = QUERY_BLOCK, corpus_slice: int = CORPUS_SLICE) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance.
 
-    The query side is broadcast in blocks of at most ``max_queries_per_pass``
-    rows (default: as many as fit in ``max_broadcast_bytes``, at most 65536).
     Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
     ties by ascending ``corpus_key``; k larger than the corpus gives the whole
-    corpus; an empty corpus gives no rows. Corpus vectors of a different
-    width than the query vectors are skipped (the reference would zip them to
-    the shorter length).
+    corpus; an empty corpus gives no rows. Two vectors of different widths are
+    compared over the shorter one's width; null vectors are left out. The
+    answer to a query does not depend on the other queries or on the blocks.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = queries.sparkSession
-    corpus_vector = corpus_vector or vector
-    q = queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("qvec")) \
-        .filter(F.col("qvec").isNotNull())
-    c = corpus.select(F.col(corpus_key).alias("cid"), F.col(corpus_vector).alias("cvec")) \
-        .filter(F.col("cvec").isNotNull())
-    qid_type = q.schema["qid"].dataType
-    cid_type = c.schema["cid"].dataType
-    cid_is_int = isinstance(cid_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-
-    if max_queries_per_pass is None:
-        # size the broadcast block by bytes: narrow vectors -> more queries per pass
-        first = q.limit(1).collect()
-        width = len(first[0]["qvec"]) if first else 1
-        max_queries_per_pass = max(256, min(1 << 16, max_broadcast_bytes // (8 * max(1, width))))
-    # Bounded read of the query side: never more than max+1 rows reach the driver.
-    head = q.limit(max_queries_per_pass + 1).collect()
-    if len(head) <= max_queries_per_pass:
-        blocks = [head]
-        corpus_in = c
-    else:
-        # Large query side: hash-split it into blocks of checked size and make
-        # one pass over a materialised narrow copy of the corpus per block.
-        n = q.count()
-        n_blocks = math.ceil(2 * n / max_queries_per_pass)
-        qb = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-        path = scratch_path(spark, "knn-corpus")
-        c.write.parquet(path)
-        corpus_in = spark.read.parquet(path)
-        blocks = []
-        for b in range(n_blocks):
-            rows = qb.filter(F.col("_blk") == b).drop("_blk").limit(2 * max_queries_per_pass + 1).collect()
-            if len(rows) > 2 * max_queries_per_pass:
-                raise RuntimeError("query block exceeds its broadcast bound; raise max_queries_per_pass")
-            blocks.append(rows)
-
-    dim = len(head[0]["qvec"]) if head else 0
-    corpus_in = corpus_in.filter(F.size("cvec") == F.lit(dim))
-    out_schema = T.StructType([
-        T.StructField("qid", qid_type), T.StructField("cid", cid_type),
-        T.StructField("dist", T.DoubleType())])
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        qids = np.array([r["qid"] for r in rows],
-                        dtype=object if not isinstance(qid_type, (T.LongType, T.IntegerType)) else np.int64)
-        qmat = np.array([r["qvec"] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(corpus_in.mapInPandas(_partial_topk_fn(bq, k, dim, cid_is_int), out_schema))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([
-            T.StructField(query_key, qid_type), T.StructField("rank", T.IntegerType()),
-            T.StructField(corpus_key, cid_type), T.StructField("dist", T.DoubleType())]))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
+    q = queries.select(F.col(query_key).alias("qid"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    c = corpus.select(F.col(corpus_key).alias("cid"), F.col(corpus_vector or vector).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    qid, cid = q.schema["qid"].dataType.simpleString(), c.schema["cid"].dataType.simpleString()
+    blocks, slices = max(1, math.ceil(q.count() / query_block)), max(1, math.ceil(c.count() / corpus_slice))
+    slices = max(slices, min(16, math.ceil(c.count() / 64)) if blocks == 1 else 1)
+
+    def spread(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = q.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("i"), spread(slices).alias("j"), F.lit(0).alias("side"), "qid", F.lit(None).cast(cid).alias("cid"), "vec")
+    right = c.select(spread(blocks).alias("i"), F.pmod(F.xxhash64("cid"), F.lit(slices)).cast("int").alias("j"), F.lit(1).alias("side"), F.lit(None).cast(qid).alias("qid"), "cid", "vec")
+    rows = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    partial = rows.mapInArrow(_nearest(k), f"qid {qid}, cid {cid}, dist double")
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("cid").asc())
     return (partial.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)

@@ -62,7 +62,7 @@ def test_knn_blocked_query_side_equals_single_pass(spark):
     c = spark.createDataFrame(corpus, "pos long, embedding array<double>").repartition(5)
     q = spark.createDataFrame(queries, "qid long, embedding array<double>")
     one = sorted(tuple(r) for r in knn(q, c, 3).collect())
-    blocked = sorted(tuple(r) for r in knn(q, c, 3, max_queries_per_pass=8).collect())
+    blocked = sorted(tuple(r) for r in knn(q, c, 3, query_block=8, corpus_slice=5).collect())
     assert one == blocked
     assert [(a, b, c_) for a, b, c_, _ in one] == [(a, b, c_) for a, b, c_, _ in sorted(_brute(queries, corpus, 3))]
 
@@ -80,13 +80,26 @@ def test_top_k_stable(spark):
     assert [r.pos for r in top_k(df, 3, "score", tie="pos").collect()] == [0, 2, 4]
 
 
-def test_knn_gemm_path(spark, monkeypatch):
-    import tallyframe.operators.retrieval as RM
-    monkeypatch.setattr(RM, "_GEMM_CELLS", 1)      # force the BLAS form
+def test_knn_answer_does_not_depend_on_other_queries(spark):
     rng = np.random.default_rng(3)
-    corpus = [(i, rng.integers(-3, 4, size=6).astype(float).tolist()) for i in range(200)]
-    queries = [(1000 + j, rng.integers(-3, 4, size=6).astype(float).tolist()) for j in range(30)]
-    c = spark.createDataFrame(corpus, "pos long, embedding array<double>").repartition(4)
-    q = spark.createDataFrame(queries, "qid long, embedding array<double>")
-    got = sorted((a, b, c_) for a, b, c_, _ in knn(q, c, 4).collect())
-    assert got == sorted((a, b, c_) for a, b, c_, _ in _brute(queries, corpus, 4))
+    near = lambda n: 1000 + 1e-4 * rng.normal(size=(n, 16))  # noqa: E731  far from the origin and close together
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near(300))], "pos long, embedding array<double>")
+    few, many = near(40), near(10_000)
+    s = "qid long, embedding array<double>"
+    alone = knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(few)], s), corpus, 3).collect()
+    rows = [(i, v.tolist()) for i, v in enumerate(few)] + [(100 + i, v.tolist()) for i, v in enumerate(many)]
+    among = knn(spark.createDataFrame(rows, s), corpus, 3).where("qid < 100").collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, among)) and len(alone) == 120
+    c = {r.pos: np.array(r.embedding) for r in corpus.collect()}
+    for i, v in enumerate(few):
+        d = sorted((sum((v[j] - x[j]) ** 2 for j in range(16)), p) for p, x in c.items())[:3]
+        assert [(r.cid if hasattr(r, "cid") else r.pos) for r in sorted(alone, key=lambda r: r.rank) if r.qid == i] == [p for _, p in d]
+
+
+def test_knn_compares_over_the_shorter_width(spark):
+    c = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 5.0, 9.0]), ("c", [3.0]), ("d", None), ("long-name", [1.0, 2.0, 3.0])], "pos string, embedding array<double>")
+    q = spark.createDataFrame([("x", [1.0, 2.0, 3.0]), ("y", [3.0]), (None, [0.0])], "qid string, embedding array<double>")
+    got = {(r.qid, r.rank): (r.pos, r.dist) for r in knn(q, c, 4).collect()}
+    assert [got[("x", i)] for i in (1, 2, 3, 4)] == [("a", 0.0), ("long-name", 0.0), ("c", 4.0), ("b", 45.0)]
+    assert [got[("y", i)] for i in (1, 2, 3, 4)] == [("c", 0.0), ("a", 4.0), ("b", 4.0), ("long-name", 4.0)]
+    assert got[(None, 1)] == ("a", 1.0)
