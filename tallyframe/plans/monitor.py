@@ -27,7 +27,7 @@ def totals_stream(spark, sf_dir):
     """R1 + R2: hourly totals per process name from the event stream
     (watermarked tumbling windows, drained with AvailableNow)."""
     s = E.windowed_totals(_event_stream(spark, sf_dir), "ts", "event_type", "value", "1 hour", "2 hours")
-    r = E.run_available_now(s, "complete", "totals")
+    r = E.run_available_now(s, "update", "totals", ["window_start", "name"])
     return r.select("window_start", "name", F.round("total", 6).alias("total"), "n_samples",
                     F.round("peak", 6).alias("peak"))
 
@@ -35,7 +35,7 @@ def totals_stream(spark, sf_dir):
 def breaches_stream(spark, sf_dir):
     """R3 on the stream: windows over the limit, then the newest per name."""
     s = E.windowed_totals(_event_stream(spark, sf_dir), "ts", "event_type", "value", "1 hour", "2 hours")
-    r = E.run_available_now(s, "complete", "breaches")
+    r = E.run_available_now(s, "update", "breaches", ["window_start", "name"])
     b = E.breach_alerts(r, BREACH_LIMIT_MB)
     return E.latest_breach(b).select("name", "window_start", F.round("total", 6).alias("total"))
 
@@ -56,9 +56,11 @@ def absence(spark, sf_dir):
 
 
 def absence_streamed(spark, sf_dir):
+    from tallyframe.session import scratch_path
     s = _event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("name"))
-    r = E.run_available_now(E.absence_stream(s, "ts", "name", POLL_SECONDS, "2 hours"), "append", "absence")
-    return r.select("name", "window_start", "action")
+    alerts, state = scratch_path(spark, "absence-alerts"), scratch_path(spark, "absence-state")
+    E.absence_stream(s, "ts", "name", alerts, state, scratch_path(spark, "absence-ckpt"), POLL_SECONDS)
+    return E.read_absences(spark, alerts, state, POLL_SECONDS)
 
 
 def rss(spark, sf_dir):
@@ -143,7 +145,7 @@ FROM w WHERE total > {BREACH_LIMIT_MB} GROUP BY name"""
 
 SQL_ABSENCE = f"""
 WITH s AS (SELECT DISTINCT event_type AS name, CAST(floor(epoch(ts) / {POLL_SECONDS}) * {POLL_SECONDS} AS BIGINT) AS slot FROM events),
-sp AS (SELECT name, min(slot) AS lo, max(slot) AS hi FROM s GROUP BY name),
+sp AS (SELECT name, min(slot) AS lo, (SELECT max(slot) FROM s) AS hi FROM s GROUP BY name),
 e AS (SELECT name, unnest(range(lo, hi + 1, {POLL_SECONDS})) AS slot FROM sp)
 SELECT e.name, make_timestamp(e.slot * 1000000) AS window_start, 'start' AS action
 FROM e ANTI JOIN s ON e.name = s.name AND e.slot = s.slot"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import validate as V
 from tallyframe.operators.retrieval import knn
 from tallyframe.functions.embed import hash_embed
+from tallyframe.plans.retrieval import SQL_KNN_DOCUMENTS
 from tallyframe.plans.common import t
 
 
@@ -123,8 +124,10 @@ def retrieve_then_score(spark, sf_dir):
     r = V.resolve_cascade(j, None, None, "snippets", "prompt")
     r = V.plan_fields(V.validate_contract(r, "plan"), "plan")
     a = V.obedience_rollup(r)
+    # which document each prompt retrieved, as one number
+    pairs = top.select(F.sum((F.col("item_id") + 1) * (F.col("doc_id") + 1)).cast("bigint")).scalar()
     return a.select("total", "valid_count", F.round("valid_rate", 6).alias("valid_rate"),
-                    "extra_field_count", F.round("avg_confidence", 6).alias("avg_confidence"))
+                    "extra_field_count", F.round("avg_confidence", 6).alias("avg_confidence"), pairs.alias("retrieved"))
 
 
 # ------------------------------------------------------------------ oracle SQL
@@ -276,11 +279,13 @@ SELECT doc_id, CAST(length(tr) AS INTEGER) AS n_chars, md5(tr) AS md5
 FROM (SELECT doc_id, CASE WHEN length(text) > 4000 THEN left(text, 4000) || '...(truncated)' ELSE text END AS tr
       FROM documents)"""
 
-SQL_RETRIEVE_THEN_SCORE = """
+SQL_RETRIEVE_THEN_SCORE = f"""
+WITH knn AS ({SQL_KNN_DOCUMENTS})
 SELECT CAST(count(*) AS BIGINT) AS total,
        CAST(count(*) AS BIGINT) AS valid_count, 1.0::DOUBLE AS valid_rate,
-       CAST(0 AS BIGINT) AS extra_field_count, 0.4::DOUBLE AS avg_confidence
-FROM benchmark"""
+       CAST(0 AS BIGINT) AS extra_field_count, 0.4::DOUBLE AS avg_confidence,
+       CAST(sum((item_id + 1) * (doc_id + 1)) AS BIGINT) AS retrieved
+FROM knn WHERE rank = 1"""
 
 QUERIES = {
     "val_validate_contract": (validate_plans, SQL_VALIDATE),

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.sources import versions as V
+
 # Text decodings tried for report files, in order.
 REPORT_ENCODINGS = ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "ISO-8859-1")
 SUMMARY_COLUMNS = ("variant", "batch_size", "runs", "p50_ms_avg", "p95_ms_avg", "peak_rss_mb_avg",
@@ -99,8 +101,8 @@ def write_summary_csv(df: DataFrame, path: str, single_file: bool = False) -> No
     """S3: the fixed nine-column summary with a header; null as empty. A
     summary is one row per group, so ``single_file`` may coalesce it."""
     out = df.select(*SUMMARY_COLUMNS)
-    if single_file:
-        out = out.coalesce(1)
+    if single_file:  # only the finished rows meet in one task
+        out = out.repartition(1)
     out.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)
 
 
@@ -116,15 +118,15 @@ def write_snapshot_json(records: DataFrame, path: str, version: str) -> None:
     scale past one task)."""
     out = records.select("id", "embedding", "payload", F.col("created_at").cast("string").alias("created_at"),
                          F.lit(version).alias("version"))
-    out.write.mode("overwrite").json(os.path.join(path, "records"))
+    out.write.mode("overwrite").json(f"{path.rstrip('/')}/records")
 
 
 def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
     """Restore records from the line form, or from a nested
     ``{records: [...], version}`` document (exploded)."""
     schema = ("id string, embedding array<float>, payload string, created_at string, version string")
-    rec = os.path.join(path, "records")
-    if os.path.isdir(rec):
+    rec = f"{path.rstrip('/')}/records"
+    if V.exists(spark, rec):
         return spark.read.schema(schema).json(rec)
     doc = spark.read.option("multiLine", "true").schema(
         f"records array<struct<{schema.replace(' string', ':string').replace(' array<float>', ':array<float>')}>>, version string").json(path)
@@ -145,20 +147,18 @@ def upsert_snapshot(target: DataFrame, updates: DataFrame, key: str = "id", seq:
 
 def upsert_stream(updates_stream: DataFrame, target_path: str, checkpoint: str, key: str = "id",
                   seq: str = "seq", once: bool = True):
-    """Continuous S5 - each micro-batch is upserted into the parquet
-    table at ``target_path`` (new version folder, then the pointer file is
-    switched), so a failed batch never leaves a half-written table."""
+    """Continuous S5 - each micro-batch is upserted into the versioned
+    table at ``target_path``: the newest version and the batch give the next
+    version, and the version that is read is never written to. A replayed
+    batch is left out, and a second run goes on from the newest version."""
     spark = updates_stream.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        cur = _current_version(target_path)
-        nxt = os.path.join(target_path, f"v{epoch + 1:08d}")
-        target = spark.read.parquet(cur)
-        upsert_snapshot(target, batch, key, seq).write.mode("overwrite").parquet(nxt)
-        with open(os.path.join(target_path, "_CURRENT.tmp"), "w") as fh:
-            fh.write(nxt)
-        os.replace(os.path.join(target_path, "_CURRENT.tmp"), os.path.join(target_path, "_CURRENT"))
+        if not V.is_written(batch.sparkSession, target_path, epoch):
+            V.write_version(upsert_snapshot(V.read_latest(batch.sparkSession, target_path), batch, key, seq), target_path, epoch)
 
+    if V.read_latest(spark, target_path) is None:
+        raise ValueError(f"{target_path} holds no version yet; start with init_versioned_table")
     w = updates_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if once else w).start()
     if once:
@@ -166,20 +166,13 @@ def upsert_stream(updates_stream: DataFrame, target_path: str, checkpoint: str,
     return q
 
 
-def _current_version(target_path: str) -> str:
-    with open(os.path.join(target_path, "_CURRENT")) as fh:
-        return fh.read().strip()
-
-
 def init_versioned_table(df: DataFrame, target_path: str) -> None:
-    first = os.path.join(target_path, "v00000000")
-    df.write.mode("overwrite").parquet(first)
-    with open(os.path.join(target_path, "_CURRENT"), "w") as fh:
-        fh.write(first)
+    """The rows as the next version, whatever the table held before."""
+    V.write_version(df, target_path, -1)
 
 
 def read_versioned_table(spark: SparkSession, target_path: str) -> DataFrame:
-    return spark.read.parquet(_current_version(target_path))
+    return V.read_latest(spark, target_path)
 
 
 def read_prompts(spark: SparkSession, path: str, n: int = 50) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.session import scratch_path
+from tallyframe.sources import versions as V
 
 DEFAULT_POLL = "30 seconds"
 MIN_POLL_SECONDS = 1
@@ -39,30 +40,26 @@ def utc_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_available_now(stream: DataFrame, mode: str = "complete", name: str = "stream",
+def run_available_now(stream: DataFrame, mode: str = "append", name: str = "stream",
                       key_cols: list[str] | None = None) -> DataFrame:
     """Run a streaming DataFrame until its input is drained and return the
     result as a batch DataFrame read back from shared storage.
 
-    ``complete``: every micro-batch carries the whole result, which replaces
-    the table. ``append``/``update``: micro-batches are appended; with
-    ``key_cols`` an update stream keeps the last version per key."""
+    Every micro-batch is a folder of its own, so a replayed batch writes over
+    itself. ``append``: all rows; ``update`` with ``key_cols``: the last
+    version of every key, which needs no state beyond the watermark."""
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/__epoch=-1")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(os.path.join(out, "current"))
-        else:
-            batch.withColumn("__epoch", F.lit(epoch)).write.mode("append").parquet(os.path.join(out, "log"))
+        batch.write.mode("overwrite").parquet(f"{out}/__epoch={epoch}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    if mode == "complete":
-        return spark.read.parquet(os.path.join(out, "current"))
-    log = spark.read.parquet(os.path.join(out, "log"))
+    log = spark.read.parquet(out)
     if key_cols:
         latest = log.groupBy(*key_cols).agg(F.max("__epoch").alias("__last"))
         log = log.join(latest, key_cols).filter(F.col("__epoch") == F.col("__last")).drop("__last")
@@ -118,59 +115,78 @@ def latest_breach(breaches: DataFrame, name: str = "name", start: str = "window_
         .select(name, F.col(f"m.{start}").alias(start), F.col(f"m.{total}").alias(total))
 
 
+def _slots(events: DataFrame, ts: str, name: str, poll_seconds: int) -> DataFrame:
+    step = max(MIN_POLL_SECONDS, int(poll_seconds))
+    return events.select(F.col(name).alias("name"), (F.floor(F.unix_timestamp(ts) / step) * step).cast("bigint").alias("slot")).distinct()
+
+
+def _alerts(missing: DataFrame) -> DataFrame:
+    return missing.select("name", F.timestamp_seconds("slot").alias("window_start"), F.lit("start").alias("action"))
+
+
 def absence_alerts(polls: DataFrame, ts: str, name: str, poll_seconds: int = 30) -> DataFrame:
-    """R4 (batch): for each name, every poll window between its first and
-    last sighting in which it was not seen -> a start action. Expected
-    windows come from ``sequence`` per name (bounded by the time span),
-    observed ones are removed by an anti join."""
+    """R4 (batch): for each name, every poll window after its first sighting,
+    up to the latest poll of any name, in which it was not seen -> a start
+    action; a process that never comes back is reported at every poll.
+    Expected windows come from ``sequence`` per name (bounded by the time
+    span), observed ones are removed by an anti join."""
     step = max(MIN_POLL_SECONDS, int(poll_seconds))
-    w = polls.select(F.col(name).alias("name"),
-                     (F.floor(F.unix_timestamp(ts) / step) * step).cast("bigint").alias("slot"))
-    seen = w.distinct()
-    span = seen.groupBy("name").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    expected = span.select("name", F.explode(F.sequence("lo", "hi", F.lit(step).cast("bigint"))).alias("slot"))
-    missing = expected.join(seen, ["name", "slot"], "left_anti")
-    return missing.select("name", F.timestamp_seconds("slot").alias("window_start"),
-                          F.lit("start").alias("action"))
-
-
-def _absence_state_fn(poll_seconds: int):
-    """applyInPandasWithState body for R4 on a stream: remember the last
-    sighting per name; emit an alert for every fully elapsed poll slot
-    without a sighting; event-time timeout fires when the stream goes quiet."""
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        (nm,) = key
-        if state.hasTimedOut:
-            state.remove()
+    seen = _slots(polls, ts, name, step)
+    latest = seen.select(F.max("slot")).scalar()
+    first = seen.groupBy("name").agg(F.min("slot").alias("lo"))
+    expected = first.select("name", F.explode(F.sequence("lo", latest, F.lit(step).cast("bigint"))).alias("slot"))
+    return _alerts(expected.join(seen, ["name", "slot"], "left_anti"))
+
+
+def absence_stream(events: DataFrame, ts: str, name: str, alerts_path: str, state_path: str, checkpoint: str,
+                   poll_seconds: int = 30, once: bool = True):
+    """R4 (stream): each micro-batch closes the polls before its latest one.
+
+    The state is a versioned table with one row per name: the poll up to which
+    it is ``closed`` and whether it was ``seen`` in the newest, still open one.
+    A batch turns its events into distinct (name, poll) pairs, reports the
+    expected pairs that are not among them, however long the gap, and writes
+    alerts and state by epoch, so that a replayed batch changes nothing.
+    Sightings in polls already closed come too late."""
+    step = max(MIN_POLL_SECONDS, int(poll_seconds))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if V.is_written(spark, state_path, epoch):
             return
-        last = state.get[0] if state.exists else None
-        slots: set = set()
-        for pdf in pdfs:
-            secs = pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).to_numpy().astype("datetime64[s]").astype("int64")
-            slots.update((secs // poll_seconds * poll_seconds).tolist())
-        rows = []
-        for s in sorted(slots):
-            if last is not None and s <= last:
-                continue          # late or repeated sighting
-            if last is not None:
-                for m in range(last + poll_seconds, s, poll_seconds):
-                    rows.append((nm, pd.Timestamp(m, unit="s"), "start"))
-            last = s
-        state.update((last,))
-        state.setTimeoutTimestamp((last + 10 * poll_seconds) * 1000)
-        if rows:
-            yield pd.DataFrame(rows, columns=["name", "window_start", "action"])
-    return fn
-
-
-def absence_stream(events: DataFrame, ts: str, name: str, poll_seconds: int = 30,
-                   watermark: str = "10 minutes") -> DataFrame:
-    """R4 (stream): ``applyInPandasWithState`` per name with event-time
-    timeout; gaps inside one micro-batch and across batches are reported."""
-    d = events.withWatermark(ts, watermark).select(F.col(name).alias("name"), F.col(ts).alias("ts"))
-    out = "name string, window_start timestamp, action string"
-    return d.groupBy("name").applyInPandasWithState(
-        _absence_state_fn(poll_seconds), out, "last long", "append", "EventTimeTimeout")
+        seen = _slots(batch, ts, name, step)
+        known = V.read_latest(spark, state_path)
+        if known is None:
+            known = spark.createDataFrame([], "name string, closed bigint, seen boolean")
+        newest = seen.select("slot").unionAll(known.select((F.col("closed") + step).alias("slot"))).agg(F.max("slot")).first()[0]
+        if newest is None:
+            return
+        open_seen = known.where(F.col("seen") & (F.col("closed") + step <= newest)).select("name", (F.col("closed") + step).alias("slot"))
+        pairs = seen.unionAll(open_seen).distinct()
+        start = seen.groupBy("name").agg(F.min("slot").alias("first")).join(known.select("name", "closed"), "name", "full_outer")
+        start = start.select("name", F.coalesce("closed", "first").alias("closed"))
+        expected = start.where(F.col("closed") + step < newest).select(
+            "name", F.explode(F.sequence(F.col("closed") + step, F.lit(newest - step), F.lit(step).cast("bigint"))).alias("slot"))
+        _alerts(expected.join(pairs, ["name", "slot"], "left_anti")).write.mode("overwrite").parquet(f"{alerts_path}/query={V.query_id(spark)}/epoch={epoch}")
+        here = pairs.where(F.col("slot") == newest).select("name", F.lit(True).alias("seen"))
+        V.write_version(start.select("name").join(here, "name", "left").select(
+            "name", F.lit(newest - step).cast("bigint").alias("closed"), F.coalesce("seen", F.lit(False)).alias("seen")), state_path, epoch)
+
+    q = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    q = (q.trigger(availableNow=True) if once else q).start()
+    if once:
+        q.awaitTermination()
+    return q
+
+
+def read_absences(spark: SparkSession, alerts_path: str, state_path: str, poll_seconds: int = 30) -> DataFrame:
+    """The alerts written so far and, as of now, those of the newest poll."""
+    step = max(MIN_POLL_SECONDS, int(poll_seconds))
+    state = V.read_latest(spark, state_path)
+    if state is None:
+        return spark.createDataFrame([], "name string, window_start timestamp, action string")
+    now = _alerts(state.where(~F.col("seen")).select("name", (F.col("closed") + step).alias("slot")))
+    return spark.read.parquet(alerts_path).select("name", "window_start", "action").unionByName(now)
 
 
 def event_counts(events: DataFrame, kind: str = "event") -> DataFrame:
@@ -195,23 +211,24 @@ def breach_stream(totals_stream: DataFrame, limit: float, log_path: str, marker_
                   checkpoint: str, total: str = "total", name: str = "name",
                   start: str = "window_start", once: bool = True):
     """R3 as a running stream: window totals in update mode; every micro-batch
-    appends its breaches (strictly above ``limit``; ``limit <= 0`` disables)
-    to the log table, and the marker table keeps only the newest breach per
-    name (previous marker rows anti-joined out, then rewritten as a new
-    version folder)."""
-    spark = totals_stream.sparkSession
-
+    writes its breaches (strictly above ``limit``; ``limit <= 0`` disables)
+    to its own folder of the log table, and the versioned marker table keeps
+    only the newest breach per name. A replayed batch writes over its folder
+    and leaves the marker as it is."""
     def newest_per_name(df: DataFrame) -> DataFrame:
         # a window re-emitted in a later batch (update mode) supersedes itself
         m = df.groupBy(name).agg(F.max_by(F.struct(start, total, "epoch"), F.struct(start, "epoch")).alias("m"))
         return m.select(name, "m.*")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        br = breach_alerts(batch, limit, total).select(name, start, total).withColumn("epoch", F.lit(epoch))
-        br.write.mode("append").parquet(log_path)
-        prev = _latest_version(marker_path)
-        cand = br if prev is None else br.unionByName(spark.read.parquet(prev))
-        newest_per_name(cand).write.mode("overwrite").parquet(os.path.join(marker_path, f"v{epoch:08d}"))
+        spark = batch.sparkSession
+        br = breach_alerts(batch, limit, total).select(name, start, total)
+        br.write.mode("overwrite").parquet(f"{log_path}/query={V.query_id(spark)}/epoch={epoch}")
+        if V.is_written(spark, marker_path, epoch):
+            return
+        prev = V.read_latest(spark, marker_path)
+        br = br.withColumn("epoch", F.lit(epoch).cast("bigint"))
+        V.write_version(newest_per_name(br if prev is None else br.unionByName(prev)), marker_path, epoch)
 
     q = (totals_stream.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint))
@@ -221,22 +238,12 @@ def breach_stream(totals_stream: DataFrame, limit: float, log_path: str, marker_
     return q
 
 
-def _latest_version(root: str) -> str | None:
-    if not os.path.isdir(root):
-        return None
-    vs = sorted(d for d in os.listdir(root) if d.startswith("v") and
-                os.path.exists(os.path.join(root, d, "_SUCCESS")))
-    return os.path.join(root, vs[-1]) if vs else None
-
-
 def read_marker(spark: SparkSession, marker_path: str) -> DataFrame:
     """The newest breach per name written by ``breach_stream``."""
-    v = _latest_version(marker_path)
-    if v is None:
-        return spark.createDataFrame([], "name string, window_start timestamp, total double")
-    return spark.read.parquet(v)
+    m = V.read_latest(spark, marker_path)
+    return spark.createDataFrame([], "name string, window_start timestamp, total double") if m is None else m
 
 
 __all__ = ["event_stream", "utc_event_time", "run_available_now", "windowed_totals", "rss_total",
            "breach_alerts", "latest_breach", "absence_alerts", "absence_stream", "event_counts",
-           "append_events", "decision_log", "rss_pids", "breach_stream", "read_marker"]
+           "append_events", "read_absences", "decision_log", "rss_pids", "breach_stream", "read_marker"]

@@ -1,25 +1,68 @@
 """MON: streams drained with AvailableNow agree with batch forms; state ops."""
 
 import datetime as dt
+import json
+import os
 
 
 from tallyframe.operators import state as S
 from tallyframe.streaming import events as E
 
 
-def test_absence_stream_equals_batch(spark, tmp_path):
+def _absence(spark, tmp_path, files, per_batch=None, runs=1):
+    """Alerts of the stream over ``files`` (one list of (slot, name) each) and of the batch form."""
     base = dt.datetime(2024, 1, 1)
-    seen = [0, 1, 2, 5, 6, 9]
-    rows = [(base + dt.timedelta(seconds=30 * s + 3), "svc") for s in seen]
-    rows += [(base + dt.timedelta(seconds=30 * s + 7), "db") for s in range(0, 10, 2)]
     src = tmp_path / "ev"
-    spark.createDataFrame(rows, "ts timestamp, name string").write.parquet(str(src))
-    batch = sorted(tuple(r) for r in E.absence_alerts(spark.read.parquet(str(src)), "ts", "name", 30).collect())
-    stream = E.event_stream(spark, str(src), "ts timestamp, name string")
-    got = sorted(tuple(r) for r in E.run_available_now(E.absence_stream(stream, "ts", "name", 30, "5 minutes"),
-                                                        "append", "t-abs").collect())
+    src.mkdir()
+    for i, rows in enumerate(files):
+        f = src / f"f{i}.json"
+        f.write_text("\n".join(json.dumps({"ts": (base + dt.timedelta(seconds=30 * s + 3)).isoformat(), "name": n}) for s, n in rows))
+        os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    schema = "ts timestamp, name string"
+    out, state = str(tmp_path / "alerts"), str(tmp_path / "state")
+    for run in range(runs):
+        stream = E.event_stream(spark, "file:" + str(src), schema, fmt="json", max_files_per_trigger=per_batch)
+        E.absence_stream(stream, "ts", "name", "file:" + out, "file:" + state, str(tmp_path / "ck"), 30)
+    got = sorted(tuple(r) for r in E.read_absences(spark, "file:" + out, "file:" + state, 30).collect())
+    batch = sorted(tuple(r) for r in E.absence_alerts(spark.read.schema(schema).json(str(src)), "ts", "name", 30).collect())
+    slots = [(n, int((w - base).total_seconds()) // 30) for n, w, _ in batch]
+    return got, batch, slots
+
+
+def test_absence_stream_equals_batch(spark, tmp_path):
+    rows = [(s, "svc") for s in (0, 1, 2, 5, 6, 9)] + [(s, "db") for s in range(0, 10, 2)]
+    got, batch, slots = _absence(spark, tmp_path, [rows])
+    assert got == batch and [x for n, x in slots if n == "svc"] == [3, 4, 7, 8]
+
+
+def test_absence_of_a_process_that_never_returns_and_of_any_length(spark, tmp_path):
+    files = [[(0, "gone"), (0, "svc"), (1, "svc")], [(2, "svc"), (3, "late"), (4, "svc")], [(100, "svc")], [(181, "late"), (181, "svc")]]
+    got, batch, slots = _absence(spark, tmp_path, files, per_batch=1, runs=2)
     assert got == batch
-    assert [(n, w.second + 60 * w.minute) for n, w, _ in batch if n == "svc"] == [("svc", 90), ("svc", 120), ("svc", 210), ("svc", 240)]
+    assert [x for n, x in slots if n == "gone"] == list(range(1, 182)) and len([x for n, x in slots if n == "late"]) == 177
+
+
+def test_upsert_stream_survives_second_runs_and_replays(spark, tmp_path):
+    from tallyframe.sources import files as S2
+    from tallyframe.sources import versions as V
+    root, src = "file:" + str(tmp_path / "table"), tmp_path / "up"
+    schema = "id string, payload string, seq long"
+    S2.init_versioned_table(spark.createDataFrame([("a", "0", 0), ("b", "0", 0)], schema), root)
+    for run in range(3):
+        spark.createDataFrame([("a", str(run + 1), run), (f"n{run}", "x", 0)], schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = E.event_stream(spark, str(src), schema, max_files_per_trigger=1)
+        S2.upsert_stream(stream, root, str(tmp_path / ("same" if run < 2 else "fresh")))
+    rows = {r.id: r.payload for r in S2.read_versioned_table(spark, root).collect()}
+    assert set(rows) == {"a", "b", "n0", "n1", "n2"} and rows["b"] == "0" and rows["a"] in "123"
+    # a replayed epoch of the last query is left out
+    found = V.versions(spark, root)
+    number, query, epoch, _ = found[-1]
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", query)
+    try:
+        assert V.is_written(spark, root, epoch) and not V.is_written(spark, root, epoch + 1)
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    assert [n for n, *_ in found] == list(range(len(found)))
 
 
 def test_breach_edges(spark):
@@ -105,6 +148,7 @@ def test_breach_stream_marker_and_log(spark, tmp_path):
     totals = E.windowed_totals(stream, "ts", "name", "rss", "1 minute", "10 minutes")
     log, marker = str(tmp_path / "log"), str(tmp_path / "marker")
     E.breach_stream(totals, 100.0, log, marker, str(tmp_path / "ck"))
+    E.breach_stream(totals, 100.0, log, marker, str(tmp_path / "ck"))  # a second start from the same checkpoint adds nothing
     logged = sorted((r.name, r.window_start.minute, r.total) for r in spark.read.parquet(log).collect())
     # window a@[0,60) crosses 100 only after the second file (60 + 50)
     assert logged == [("a", 0, 110.0), ("b", 1, 200.0)]
