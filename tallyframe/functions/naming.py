@@ -121,7 +121,7 @@ def parse_artifact_name(model_id: Column, total_params: Column | None = None) ->
     has_org = model_id.contains("/")
     org = F.when(has_org, F.substring_index(model_id, "/", 1))
     org = F.when(org.isNotNull() & (F.char_length(org) > 0) & org.startswith("."), F.lit(None)).otherwise(org)
-    full = F.when(has_org, F.substring(model_id, F.instr(model_id, "/") + 1, 1 << 20)).otherwise(model_id)
+    full = F.when(has_org, F.substring(model_id, F.instr(model_id, "/") + 1, F.char_length(model_id))).otherwise(model_id)
 
     def parse(m):
         parts = F.filter(F.split(m["full"], "-"), lambda p: p != "")

@@ -97,15 +97,15 @@ def _refine(vals: DataFrame, st: DataFrame, keys: list[str], max_band_rows: int,
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
-                      accuracy: int = 10000, max_band_rows: int = 2_000_000, max_rounds: int = 4,
-                      grid: int = 64) -> DataFrame:
+                      accuracy: int = 10000, max_band_rows: int = 2_000_000, grid: int = 64) -> DataFrame:
     """Exact linear-interpolated percentiles per group.
 
     ``ps`` maps output column name -> fraction in [0, 1]. Null values are
     ignored; groups with no values are absent (callers default them). The
     common case is three passes (sketch, counts, bracket ranking) for all
     requested percentiles together; brackets larger than ``max_band_rows``
-    (hot groups) get up to ``max_rounds`` refinement rounds first."""
+    (hot groups) are refined until none is larger or no bracket shrinks any
+    more, so no window ranks a whole hot group."""
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     names = list(ps)
     margin = 3.0 / accuracy
@@ -133,11 +133,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
     # the bracket table is small (groups x percentiles): write it once so the
     # size check and the later passes do not recompute the sketch and counts
     st = materialize(st, "pct-brackets")
-    for _ in range(max_rounds):
+    left = None
+    while True:
         open_big = st.filter((F.col("_band") > max_band_rows)
                              & ~F.coalesce(F.col("_bmin") == F.col("_bmax"), F.lit(False)))
-        if not open_big.limit(1).collect():
+        size = open_big.agg(F.sum("_band")).first()[0]
+        if size is None or size == left:  # none is large, or only equal neighbours are left in the large ones
             break
+        left = size
         st = materialize(_refine(vals, st, keys, max_band_rows, grid, accuracy), "pct-brackets")
     # a bracket holding one repeated value is solved without ranking
     solved = F.coalesce(F.col("_bmin") == F.col("_bmax"), F.lit(False))

@@ -106,15 +106,6 @@ def threshold_gate(results: DataFrame, p95: str = "p95_ms", rss: str = "rss_mb",
             .withColumn("passed", p95_ok & rss_ok & pr_ok))
 
 
-def _policy_rules(rules) -> list[dict]:
-    if isinstance(rules, DataFrame):
-        rows = rules.limit(10001).collect()
-        if len(rows) > 10000:
-            raise ValueError("policy rule table exceeds 10000 rows")
-        return [r.asDict() for r in rows]
-    return [dict(r) for r in rules]
-
-
 def choose_variant(samples: DataFrame, free_gb: str, policy: dict) -> DataFrame:
     """As-of rule match - the rule with the highest ``min_free_gb`` that is
     <= the sample (missing threshold = -1, equal thresholds keep listing
@@ -125,7 +116,7 @@ def choose_variant(samples: DataFrame, free_gb: str, policy: dict) -> DataFrame:
     force = policy.get("force_variant")
     if force:
         return samples.withColumn("variant", F.lit(force)).withColumn("reason", F.lit("force_variant"))
-    rules = sorted(_policy_rules(policy.get("rules") or []),
+    rules = sorted((dict(r) for r in policy.get("rules") or []),
                    key=lambda r: r.get("min_free_gb", -1) if r.get("min_free_gb") is not None else -1,
                    reverse=True)
     fb_v = F.lit(variants[-1]) if variants else F.lit(None).cast("string")
@@ -178,9 +169,10 @@ def running_peak(samples: DataFrame, keys: list[str], ts: str, tie: str, value:
     return running_agg(samples, keys, [ts, tie], value, b, out, "max")
 
 
-def compare_variants(latest: DataFrame, variant: str, metrics: list[str]) -> DataFrame:
-    """One wide row with each metric per variant (pivot)."""
-    return latest.groupBy().pivot(variant).agg(*[F.first(F.col(m), ignorenulls=True).alias(m) for m in metrics])
+def compare_variants(latest: DataFrame, variant: str, metrics: list[str], variants: Sequence[str]) -> DataFrame:
+    """One wide row with each metric of the policy's ``variants``; the
+    long form is ``latest`` itself. One aggregate, no job for the values."""
+    return latest.agg(*[F.max(F.when(F.col(variant) == v, F.col(m))).alias(f"{v}_{m}") for v in variants for m in metrics])
 
 
 def gate_status(df: DataFrame, valid_rate: str | None = None, p95: str | None = None,

@@ -277,9 +277,8 @@ def _py_title(w: Column) -> Column:
 def expand_abbrev(name: Column) -> Column:
     """Dotted words through the abbreviation dictionary (title-cased),
     other words title-cased, joined by spaces."""
-    m = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    return F.array_join(F.transform(F.split(name, r"\."), lambda w: _py_title(
-        F.coalesce(m[F.lower(F.trim(w))], w))), " ")
+    m = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v.title()))])
+    return F.array_join(F.transform(F.split(name, r"\."), lambda w: F.coalesce(m[F.lower(F.trim(w))], _py_title(w))), " ")
 
 
 # Added tokens that are control tokens although not marked special.
@@ -349,6 +348,28 @@ def preview_array(a: Column, n: int = 6) -> Column:
     return F.concat(F.lit("[ "), shown, F.when(F.size(a) > n, F.lit(", ...")).otherwise(F.lit("")), F.lit(" ]"))
 
 
+def inline_code(s: Column) -> Column:
+    """A string as markdown code: one back-tick more around it than its
+    longest run of them, and blanks inside where it begins or ends with one."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(s, F.lit("`+"), 0), F.char_length)), F.lit(0))
+    pad = F.when(s.startswith("`") | s.endswith("`"), F.lit(" ")).otherwise(F.lit(""))
+    return let(F.repeat(F.lit("`"), longest + 1), lambda mark: F.concat(mark, pad, s, pad, mark))
+
+
+def preview_strings(a: Column, n: int = 5, limit: int = 30) -> Column:
+    """P5: the first five strings as code, each cut to its first and last 15 characters."""
+    h = limit // 2
+    cut = lambda x: F.when(F.char_length(x) > limit, F.concat(
+        inline_code(F.substring(x, 1, h)), F.lit("..."), inline_code(F.substring(x, -h, h)))).otherwise(inline_code(x))
+    shown = F.transform(F.slice(a, 1, n), cut)
+    return F.concat(F.lit("[ "), F.trim(F.array_join(shown, ", ")), F.when(F.size(a) > n, F.lit(", ...")).otherwise(F.lit("")), F.lit(" ]"))
+
+
+def preview_numbers(a: Column) -> Column:
+    """P5: the first seven numbers."""
+    return preview_array(a, 7)
+
+
 def skip_suffixes(df: DataFrame, name: str = "name") -> DataFrame:
     """drop names ending with a skipped suffix."""
     c = F.col(name)
@@ -467,6 +488,13 @@ HPARAM_ALIASES = {
     "layer_norm_rms_epsilon": ("rms_norm_eps", "norm_eps"),
     "layer_norm_epsilon": ("layer_norm_eps", "layer_norm_epsilon", "norm_epsilon"),
     "expert_gating_func": ("score_function", "scoring_func", "score_func"),
+    "rope_freq_base": ("rope_theta",),
+    "expert_count": ("num_local_experts",),
+    "expert_used_count": ("num_experts_per_tok",),
+    "expert_group_count": ("n_group",),
+    "expert_group_used_count": ("topk_group",),
+    "attention_key_length": ("head_dim",),
+    "attention_value_length": ("head_dim",),
 }
 # Enumerated values of canonical keys.
 HPARAM_VALUES = {"expert_gating_func": {"softmax": "1", "sigmoid": "2"}}
@@ -790,23 +818,47 @@ def layered_metadata(sources: DataFrame, entity: str = "entity", key: str = "key
     return scal.unionByName(lists)
 
 
-# Companion tensor suffixes and the merged kinds they form.
-COMPANION_SUFFIXES = (".weight", ".weight_scale", ".weight_scale_inv", ".qweight", ".qzeros", ".scales", ".g_idx")
+# Companion tensor suffixes and the kinds of merged tensors they form, first match wins.
+COMPANION_SUFFIXES = (".weight", ".weight_scale", ".weight_scale_inv", ".qweight", ".qzeros", ".scales",
+                      ".weight_packed", ".weight_shape", ".weight_zero_point", ".g_idx")
+COMPANION_KINDS = (("fp8_scale_inv", (".weight", ".weight_scale_inv")), ("scaled", (".weight", ".weight_scale")),
+                   ("gptq", (".qweight", ".qzeros", ".scales")), ("packed", (".weight_packed", ".weight_shape", ".weight_scale")))
+#: Parts that a kind uses when they are there.
+COMPANION_EXTRAS = {"gptq": (".g_idx",), "packed": (".weight_zero_point",)}
 
 
 def companions(catalog: DataFrame, model: str = "model", name: str = "name") -> DataFrame:
     """Group tensors by base name (name minus a companion suffix) and
     classify each group: weight + scale_inv, weight + scale, qweight + qzeros
-    + scales (+ g_idx) form one dequantizable tensor under the base name; a
-    group with other parts keeps its parts. Groups hold a few parts each."""
+    + scales (+ g_idx), or packed + shape + scale (+ zero point) form one
+    dequantizable tensor; a group with other parts keeps its parts. One flag
+    per suffix, so the aggregate combines before the shuffle."""
     alts = "|".join(s.replace(".", r"\.") for s in COMPANION_SUFFIXES)
     sfx = F.regexp_extract(F.col(name), f"({alts})$", 1)
     base = F.when(sfx != "", F.substring(F.col(name), F.lit(1), F.char_length(name) - F.char_length(sfx))).otherwise(F.col(name))
-    g = catalog.select(model, base.alias("base"), F.when(sfx != "", sfx).otherwise(F.lit("")).alias("part")) \
-        .groupBy(model, "base").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    has = lambda p: F.array_contains("parts", p)
-    kind = (F.when(has(".weight") & has(".weight_scale_inv"), F.lit("fp8_scale_inv"))
-            .when(has(".weight") & has(".weight_scale"), F.lit("scaled"))
-            .when(has(".qweight") & has(".qzeros") & has(".scales"), F.lit("gptq"))
-            .otherwise(F.lit("plain")))
-    return g.withColumn("kind", kind).withColumn("merged", F.col("kind") != "plain")
+    known = ("", *COMPANION_SUFFIXES)
+    flags = [F.max(F.when(F.col("part") == p, F.lit(p))).alias(f"__p{i}") for i, p in enumerate(known)]
+    g = catalog.select(model, base.alias("base"), sfx.alias("part")).groupBy(model, "base").agg(*flags)
+    has = {p: F.col(f"__p{i}").isNotNull() for i, p in enumerate(known)}
+    kind = F.lit("plain")
+    for label, parts in reversed(COMPANION_KINDS):
+        whole = has[parts[0]]
+        for p in parts[1:]:
+            whole = whole & has[p]
+        kind = F.when(whole, F.lit(label)).otherwise(kind)
+    g = g.withColumn("parts", F.array_sort(F.array_compact(F.array(*[F.col(f"__p{i}") for i in range(len(known))])))).withColumn("kind", kind)
+    return g.select(model, "base", "parts", "kind", (F.col("kind") != "plain").alias("merged"))
+
+
+def merge_companions(catalog: DataFrame, model: str = "model", name: str = "name") -> DataFrame:
+    """J11 result: the tensor names after merging. The parts that a merged
+    tensor uses go and ``<base>.weight`` takes their place (``origin`` is its
+    kind); all other parts stay (``kept``)."""
+    g = companions(catalog, model, name)
+    used = F.array().cast("array<string>")
+    for label, parts in COMPANION_KINDS:
+        used = F.when(F.col("kind") == label, F.array(*[F.lit(p) for p in (*parts, *COMPANION_EXTRAS.get(label, ()))])).otherwise(used)
+    rest = F.transform(F.array_except("parts", used), lambda p: F.struct(F.concat(F.col("base"), p).alias("name"), F.lit("kept").alias("origin")))
+    new = F.struct(F.concat(F.col("base"), F.lit(".weight")).alias("name"), F.col("kind").alias("origin"))
+    rows = F.when(F.col("merged"), F.concat(F.array(new), rest)).otherwise(rest)
+    return g.select(model, F.explode(rows).alias("r")).select(model, F.col("r.name").alias(name), "r.origin")

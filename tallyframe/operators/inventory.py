@@ -125,16 +125,18 @@ def match_by_size(active: DataFrame, variants: DataFrame, length: str = "length"
 def mark_reclaimable(files: DataFrame, now: Column, root: str = "root", cls: str = "class",
                      path: str = "path", mtime: str = "mtime", keep_backups: int = 3, log_days: int = 7,
                      archive_class: str = "archive", backup_class: str = "backup",
-                     log_class: str = "log") -> DataFrame:
+                     log_class: str = "log", archive_dir: str | None = None) -> DataFrame:
     """A5 rule: a file is reclaimable when it is an archive candidate, a
     backup beyond the newest ``keep_backups`` of its root (W1), or a log
-    strictly older than ``log_days`` (F2)."""
+    strictly older than ``log_days`` (F2) whose path does not begin with
+    ``archive_dir``."""
     old_backups = keep_newest(files.filter(F.col(cls) == backup_class), [root], keep_backups, mtime, path) \
         .select(path, F.lit(True).alias("__old_backup"))
     j = files.join(old_backups, path, "left")
+    archived = F.col(path).startswith(archive_dir) if archive_dir else F.lit(False)
     return j.withColumn("reclaimable", (F.col(cls) == archive_class)
                         | F.coalesce(F.col("__old_backup"), F.lit(False))
-                        | ((F.col(cls) == log_class) & older_than(F.col(mtime), now, log_days))).drop("__old_backup")
+                        | ((F.col(cls) == log_class) & ~archived & older_than(F.col(mtime), now, log_days))).drop("__old_backup")
 
 
 def space_report(files: DataFrame, root: str = "root", cls: str = "class",

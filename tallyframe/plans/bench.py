@@ -26,6 +26,8 @@ VARIANT_POLICY = {
 TWO_LEVEL_POLICY = {"ram_low_gb": 4, "ram_medium_gb": 8,
                     "preferred_variant": "q8_0", "fallback_variant": "q4_0"}
 RUN_BATCH_SIZES = (1, 4, 8)
+#: Variants of the wide comparison, as a policy lists them.
+COMPARED = ("click", "error", "purchase", "signup", "view")
 
 
 def quant_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +90,12 @@ def gate(spark, sf_dir):
                     "p95_ok", "rss_ok", "pass_rate_ok", "passed")
 
 
+def as_policy_samples(part):
+    return part.select("p_partkey", (F.col("p_size") / 4.0).alias("free_gb"))
+
+
 def policy_samples(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 4.0).alias("free_gb"))
+    return as_policy_samples(t(spark, sf_dir, "part"))
 
 
 def choose(spark, sf_dir):
@@ -125,7 +131,7 @@ def peak(spark, sf_dir):
 
 def compare(spark, sf_dir):
     l = latest(spark, sf_dir)
-    return B.compare_variants(l, "variant", ["p95_ms", "peak_rss_mb"])
+    return B.compare_variants(l, "variant", ["p95_ms", "peak_rss_mb"], COMPARED)
 
 
 def gates(spark, sf_dir):

@@ -217,6 +217,9 @@ def canonical(spark, sf_dir):
         F.lit("hidden_size"), F.col("p_size").cast("string"),
         F.lit("n_embd"), F.when(F.col("p_size") > 25, (F.col("p_size") * 2).cast("string")),
         F.lit("dim"), (F.col("p_size") * 3).cast("string"),
+        F.lit("rope_theta"), F.when(F.col("p_size") % 3 == 0, F.lit("10000.0")), F.lit("num_local_experts"), F.when(F.col("p_size") % 5 == 0, F.lit("8")),
+        F.lit("num_experts_per_tok"), F.when(F.col("p_size") % 5 == 0, F.lit("2")), F.lit("n_group"), F.when(F.col("p_size") % 7 == 0, F.lit("4")),
+        F.lit("topk_group"), F.when(F.col("p_size") % 7 == 1, F.lit("3")), F.lit("head_dim"), F.when(F.col("p_size") % 4 == 1, F.lit("128")),
         F.lit("n_ctx"), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") * 100).cast("string")),
         F.lit("scoring_func"), F.when(F.col("p_type") == "SMALL", F.lit("sigmoid"))
         .when(F.col("p_type") == "LARGE", F.lit("softmax")).when(F.col("p_type") == "PROMO", F.lit("relu")))
@@ -295,7 +298,9 @@ def previews(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", C.preview(F.col("text")).alias("preview"),
                     C.preview_ends(F.col("text")).alias("preview_ends"),
-                    C.preview_array(F.split("text", " ")).alias("preview_words"))
+                    C.preview_array(F.split("text", " ")).alias("preview_words"),
+                    C.preview_strings(F.split(F.translate("text", "|", "`"), "\n")).alias("preview_lines"),
+                    C.preview_numbers(F.transform(F.split("text", " "), F.char_length)).alias("preview_lengths"))
 
 
 def groups_complete(spark, sf_dir):
@@ -558,13 +563,20 @@ WITH cfg AS (
   UNION ALL SELECT p_partkey, 'n_ctx', CAST(p_size * 100 AS VARCHAR) FROM part WHERE p_size % 2 = 0
   UNION ALL SELECT p_partkey, 'scoring_func', CASE p_type WHEN 'SMALL' THEN 'sigmoid' WHEN 'LARGE' THEN 'softmax'
                                                           WHEN 'PROMO' THEN 'relu' END FROM part
-            WHERE p_type IN ('SMALL', 'LARGE', 'PROMO')),
+            WHERE p_type IN ('SMALL', 'LARGE', 'PROMO')
+  UNION ALL SELECT p_partkey, 'rope_theta', '10000.0' FROM part WHERE p_size % 3 = 0
+  UNION ALL SELECT p_partkey, unnest(['num_local_experts', 'num_experts_per_tok']), unnest(['8', '2']) FROM part WHERE p_size % 5 = 0
+  UNION ALL SELECT p_partkey, 'n_group', '4' FROM part WHERE p_size % 7 = 0
+  UNION ALL SELECT p_partkey, 'topk_group', '3' FROM part WHERE p_size % 7 = 1
+  UNION ALL SELECT p_partkey, 'head_dim', '128' FROM part WHERE p_size % 4 = 1),
 al(alias, canonical, priority) AS (VALUES
   ('max_position_embeddings', 'context_length', 0), ('n_ctx', 'context_length', 1),
   ('n_positions', 'context_length', 2), ('max_length', 'context_length', 3),
   ('hidden_size', 'embedding_length', 0), ('n_embd', 'embedding_length', 1), ('dim', 'embedding_length', 2),
   ('score_function', 'expert_gating_func', 0), ('scoring_func', 'expert_gating_func', 1),
-  ('score_func', 'expert_gating_func', 2)),
+  ('score_func', 'expert_gating_func', 2), ('rope_theta', 'rope_freq_base', 0), ('num_local_experts', 'expert_count', 0),
+  ('num_experts_per_tok', 'expert_used_count', 0), ('n_group', 'expert_group_count', 0), ('topk_group', 'expert_group_used_count', 0),
+  ('head_dim', 'attention_key_length', 0), ('head_dim', 'attention_value_length', 0)),
 r AS (SELECT entity, canonical, arg_min(value, priority) AS value, arg_min(alias, priority) AS alias
       FROM cfg JOIN al ON cfg.key = al.alias GROUP BY entity, canonical)
 SELECT entity, canonical,
@@ -636,12 +648,23 @@ SELECT p_partkey, spec,
             CASE right(spec, 1) WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'G' THEN 1000000000 ELSE 1 END END AS bytes
 FROM s"""
 
+def _sql_code(x: str) -> str:
+    mark = f"repeat('`', 1 + CAST(coalesce(list_max(list_transform(regexp_extract_all({x}, '`+'), lambda r: length(r))), 0) AS BIGINT))"
+    pad = f"CASE WHEN starts_with({x}, '`') OR ends_with({x}, '`') THEN ' ' ELSE '' END"
+    return f"({mark} || {pad} || {x} || {pad} || {mark})"
+
+
 SQL_PREVIEWS = """
 SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS preview,
        CASE WHEN length(text) > 60 THEN left(text, 30) || '...' || right(text, 30) ELSE text END AS preview_ends,
        '[ ' || array_to_string(list_slice(string_split(text, ' '), 1, 6), ', ')
-           || CASE WHEN len(string_split(text, ' ')) > 6 THEN ', ...' ELSE '' END || ' ]' AS preview_words
-FROM documents"""
+           || CASE WHEN len(string_split(text, ' ')) > 6 THEN ', ...' ELSE '' END || ' ]' AS preview_words,
+       '[ ' || trim(array_to_string(list_transform(list_slice(ls, 1, 5), lambda x: CASE WHEN length(x) > 30
+           THEN """ + _sql_code("left(x, 15)") + """ || '...' || """ + _sql_code("right(x, 15)") + """ ELSE """ + _sql_code("x") + """ END), ', '))
+           || CASE WHEN len(ls) > 5 THEN ', ...' ELSE '' END || ' ]' AS preview_lines,
+       '[ ' || array_to_string(list_transform(list_slice(string_split(text, ' '), 1, 7), lambda x: CAST(length(x) AS VARCHAR)), ', ')
+           || CASE WHEN len(string_split(text, ' ')) > 7 THEN ', ...' ELSE '' END || ' ]' AS preview_lengths
+FROM (SELECT *, string_split(translate(text, '|', '`'), chr(10)) AS ls FROM documents)"""
 
 SQL_GROUPS_COMPLETE = """
 WITH o AS (SELECT l_partkey AS block, l_returnflag AS projection, l_linenumber - 1 AS part, min(CAST(trunc(l_quantity) AS BIGINT)) AS q

@@ -17,7 +17,7 @@ from tallyframe.plans import bench as PB
 from tallyframe.plans import catalog as PC
 from tallyframe.plans import validate as PV
 from tallyframe.plans.common import pin_utc, t
-from tallyframe.session import scratch_path
+from tallyframe.session import materialize, scratch_path
 from tallyframe.sources import files as S
 from tallyframe.sources import packed as PK
 from tallyframe.streaming import events as E
@@ -26,15 +26,19 @@ N_TENSOR_FILES = 8
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text goes into a corpus line: as ``text``, as a list, or, beside
+    an empty or a missing ``text``, under another name."""
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    obj = (F.when(F.col("doc_id") % 10 == 0, F.to_json(F.struct("doc_id", F.lit("untitled").alias("title"))))
-           .when(F.col("doc_id") % 10 == 1, F.to_json(F.struct("doc_id", F.lit("").alias("text"))))
+    other = F.col("text").alias("body")
+    obj = (F.when(F.col("doc_id") % 10 == 0, F.to_json(F.struct("doc_id", other)))
+           .when(F.col("doc_id") % 10 == 1, F.to_json(F.struct("doc_id", F.lit("").alias("text"), other)))
            .otherwise(F.to_json(F.struct("doc_id", "text"))))
     path = scratch_path(spark, "corpus")
     d.select(obj.alias("value")).write.text(path)
     c = S.read_corpus(spark, path, glob="*.txt")
+    body = F.try_variant_get(F.try_parse_json("text"), "$.body", "string")
     return c.select(F.try_variant_get("raw", "$.doc_id", "bigint").alias("doc_id"), "is_fallback",
-                    F.when(~F.col("is_fallback"), F.md5("text")).alias("text_md5"))
+                    F.md5(F.when(F.col("is_fallback"), body).otherwise(F.col("text"))).alias("text_md5"))
 
 
 def collected_runs(spark, sf_dir):
@@ -109,11 +113,15 @@ def digests(spark, sf_dir):
 
 
 def merges(spark, sf_dir):
+    """Every word of every conversation text, in lines of one to three words,
+    some lines blank; each file may begin with a comment line."""
     c = t(spark, sf_dir, "conversations")
-    words = F.split(F.trim("text"), r"\s+")
-    line = F.array_join(F.slice(words, 1, (F.col("turn") % 4).cast("int")), " ")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    width = (F.col("turn") % 3 + 1).cast("int")
+    n = F.size("ws")
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int")), lambda i: F.array_join(F.slice("ws", i * width + 1, width), " "))
     path = scratch_path(spark, "merges")
-    c.select(F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(line).alias("value")).write.text(path)
+    c.select(words.alias("ws"), "turn").where("size(ws) > 0").select(F.explode(lines).alias("value")).write.text(path)
     return S.scan_merges(spark, path).select("left", "right")
 
 
@@ -127,7 +135,7 @@ def fronted(spark, sf_dir):
 
 
 def report(spark, sf_dir):
-    res = PV.cascade(spark, sf_dir)
+    res = materialize(PV.cascade(spark, sf_dir), "cascade")
     summary = V.obedience_rollup(res)
     path = scratch_path(spark, "report")
     S.write_report_json(summary, res.select("conv_id", "turn", "valid", "confidence", "extra_fields"), path)
@@ -239,8 +247,7 @@ def appended_events(spark, sf_dir):
 
 
 SQL_CORPUS = """
-SELECT doc_id, doc_id % 10 IN (0, 1) AS is_fallback, CASE WHEN doc_id % 10 NOT IN (0, 1) THEN md5(text) END AS text_md5
-FROM documents"""
+SELECT doc_id, doc_id % 10 IN (0, 1) AS is_fallback, md5(text) AS text_md5 FROM documents"""
 
 SQL_COLLECTED_RUNS = PB.SQL_SUMMARIZE.replace("round(avg(p50_ms), 6)", "round(avg(CASE WHEN event_id % 4 <> 0 THEN p50_ms END), 6)")
 
@@ -267,8 +274,9 @@ WITH f AS (SELECT source, doc_id // {DOCS_PER_CHUNK} AS chunk, string_agg(text |
 SELECT source AS root, CAST(chunk AS BIGINT) AS chunk, sha256(body) AS sha256, md5(body) AS text_md5 FROM f"""
 
 SQL_MERGES = """
-WITH w AS (SELECT turn, regexp_split_to_array(trim(text), '\\s+') AS ws FROM conversations)
-SELECT ws[1] AS "left", ws[2] AS "right" FROM w WHERE turn % 4 = 2 AND len(ws) >= 2"""
+WITH w AS (SELECT turn % 3 + 1 AS k, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
+l AS (SELECT k, ws[i * k + 1 : i * k + k] AS p FROM (SELECT k, ws, unnest(range(0, CAST(ceil(len(ws) / k) AS BIGINT))) AS i FROM w))
+SELECT p[1] AS "left", p[2] AS "right" FROM l WHERE len(p) = 2"""
 
 SQL_FRONTED = """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"lang": "' || lang || '", "title": "doc-' || doc_id || '"}'
@@ -276,8 +284,9 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"lang": "' || lang || '", "title"
 FROM documents"""
 
 SQL_REPORT = f"""WITH {PV._SQL_CASCADE},
-r AS (SELECT CASE WHEN chosen_by = 'fallback' THEN 0.4 ELSE json_extract(mv, '$.confidence')::DOUBLE END AS conf FROM c)
-SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS valid_count, 1.0::DOUBLE AS valid_rate,
+r AS (SELECT {PV.SQL_CHOSEN} FROM c)
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE valid) AS BIGINT) AS valid_count,
+       round(avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END), 6) AS valid_rate,
        round(avg(conf), 6) AS avg_confidence, CAST(count(*) AS BIGINT) AS n_details FROM r"""
 
 SQL_TENSOR_HEADERS = f"""WITH {PC._SQL_CAT}

@@ -106,7 +106,8 @@ def by_size(spark, sf_dir):
 
 
 def space(spark, sf_dir):
-    f = I.mark_reclaimable(listing(spark, sf_dir), F.lit(NOW).cast("timestamp"), keep_backups=3, log_days=7)
+    f = I.mark_reclaimable(listing(spark, sf_dir), F.lit(NOW).cast("timestamp"), keep_backups=3, log_days=7,
+                           archive_dir="src1/")
     return I.space_report(f)
 
 
@@ -211,7 +212,7 @@ SQL_SPACE = f"""WITH {_SQL_LISTING},
 rb AS (SELECT path, row_number() OVER (PARTITION BY root ORDER BY mtime DESC, path) AS rn FROM files WHERE class = 'backup'),
 f AS (
   SELECT f.*, (class = 'archive' OR coalesce(rb.rn > 3, false)
-               OR (class = 'log' AND mtime < TIMESTAMP '{NOW}' - INTERVAL 7 DAY)) AS reclaimable
+               OR (class = 'log' AND NOT starts_with(f.path, 'src1/') AND mtime < TIMESTAMP '{NOW}' - INTERVAL 7 DAY)) AS reclaimable
   FROM files f LEFT JOIN rb ON f.path = rb.path)
 SELECT root, class, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(length) AS BIGINT) AS bytes,
        CAST(sum(CASE WHEN reclaimable THEN length ELSE 0 END) AS BIGINT) AS reclaimable_bytes

@@ -14,6 +14,7 @@ from tallyframe.operators import validate as V
 from tallyframe.plans import bench as PB
 from tallyframe.plans import validate as PV
 from tallyframe.plans.common import t, tu
+from tallyframe.session import scratch_path
 from tallyframe.streaming import events as E
 
 
@@ -69,20 +70,46 @@ def layered(spark, sf_dir):
 def companion_groups(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     p = t(spark, sf_dir, "part").select("p_partkey", "p_type")
-    sfx = F.element_at(F.array(*[F.lit(s) for s in (".g_idx",) + C.COMPANION_SUFFIXES[:-1]]),
-                       (F.col("l_linenumber") % 7 + 1).cast("int"))
-    cat = li.join(p, li["l_partkey"] == p["p_partkey"]).select(
-        F.col("l_orderkey").alias("model"), F.concat(F.lit("blk.0."), F.lower("p_type"), sfx).alias("name"))
-    r = C.companions(cat)
+    return _companion_groups(li, p)
+
+
+def _companion_catalog(li, p):
+    """Seven of the suffixes by line number; every third model holds packed parts."""
+    packed = F.col("l_orderkey") % 3 == 0
+    four = F.array(*[F.lit(s) for s in (".weight_packed", ".weight_shape", ".weight_scale", ".weight_zero_point")])
+    seven = F.array(*[F.lit(s) for s in (".g_idx",) + C.COMPANION_SUFFIXES[:6]])
+    sfx = F.when(packed, F.element_at(four, (F.col("l_linenumber") % 4 + 1).cast("int"))) \
+        .otherwise(F.element_at(seven, (F.col("l_linenumber") % 7 + 1).cast("int")))
+    kind = F.when(packed, F.lit("packed")).otherwise(F.lower("p_type"))
+    return li.join(p, li["l_partkey"] == p["p_partkey"]).select(
+        F.col("l_orderkey").alias("model"), F.concat(F.lit("blk.0."), kind, sfx).alias("name"))
+
+
+def _companion_groups(li, p):
+    r = C.companions(_companion_catalog(li, p))
     return r.select("model", "base", F.array_join("parts", ",").alias("parts"), "kind", "merged")
 
 
+def merged_companions(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return C.merge_companions(_companion_catalog(li, t(spark, sf_dir, "part").select("p_partkey", "p_type")))
+
+
 def decisions(spark, sf_dir):
     """One decision record per policy evaluation (value, choice, reason)."""
     s = PB.policy_samples(spark, sf_dir)
     return E.decision_log(B.choose_variant(s, "free_gb", PB.VARIANT_POLICY), "free_gb")
 
 
+def decisions_streamed(spark, sf_dir):
+    """The same decisions as a stream over the sample rows, read back from the log."""
+    schema = t(spark, sf_dir, "part").schema
+    samples = PB.as_policy_samples(E.event_stream(spark, sf_dir, schema, glob="part.parquet"))
+    path = scratch_path(spark, "decision-log")
+    E.decision_stream(samples, lambda b: B.choose_variant(b, "free_gb", PB.VARIANT_POLICY), "free_gb", path, scratch_path(spark, "decision-ckpt"))
+    return spark.read.schema("value double, choice string, reason string").json(path).select("value", "choice", "reason")
+
+
 def fingerprints(spark, sf_dir):
     p = PV.plan_texts(spark, sf_dir).select("conv_id", "turn", V.json_fragment(F.col("plan_text")).alias("v"))
     return p.select("conv_id", "turn", V.fingerprint(F.col("v")).alias("fingerprint"))
@@ -90,8 +117,9 @@ def fingerprints(spark, sf_dir):
 
 def contexts(spark, sf_dir):
     c = t(spark, sf_dir, "conversations")
-    ctx = V.context_json(F.array(F.col("role")), F.struct(F.col("turn").alias("turn")), F.col("role"))
-    return c.select("conv_id", "turn", ctx.alias("context"))
+    # the text's lines are the snippets, the whole text is the query
+    ctx = V.context_json(F.split("text", "\n"), F.struct(F.col("turn").alias("turn")), F.col("text"))
+    return c.select("conv_id", "turn", F.md5(ctx).alias("context_md5"))
 
 
 def _model_ids(spark, sf_dir):
@@ -168,22 +196,30 @@ UNION ALL
 SELECT p_partkey, 'tags', CAST(to_json(list_distinct_ordered) AS VARCHAR) FROM (
   SELECT p_partkey, CASE WHEN p_type = p_brand THEN [p_type] ELSE [p_type, p_brand] END AS list_distinct_ordered FROM part)"""
 
-SQL_COMPANIONS = """
-WITH c AS (
-  SELECT l.l_orderkey AS model, 'blk.0.' || lower(p.p_type) AS base,
-         ['.g_idx', '.weight', '.weight_scale', '.weight_scale_inv', '.qweight', '.qzeros', '.scales'][l.l_linenumber % 7 + 1] AS part
+_SQL_COMPANION_GROUPS = """c AS (
+  SELECT l.l_orderkey AS model, 'blk.0.' || CASE WHEN l.l_orderkey % 3 = 0 THEN 'packed' ELSE lower(p.p_type) END AS base,
+         CASE WHEN l.l_orderkey % 3 = 0 THEN ['.weight_packed', '.weight_shape', '.weight_scale', '.weight_zero_point'][l.l_linenumber % 4 + 1]
+              ELSE ['.g_idx', '.weight', '.weight_scale', '.weight_scale_inv', '.qweight', '.qzeros', '.scales'][l.l_linenumber % 7 + 1] END AS part
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
-g AS (SELECT model, base, list_sort(list_distinct(list(part))) AS parts FROM c GROUP BY model, base)
-SELECT model, base, array_to_string(parts, ',') AS parts,
-       CASE WHEN list_contains(parts, '.weight') AND list_contains(parts, '.weight_scale_inv') THEN 'fp8_scale_inv'
-            WHEN list_contains(parts, '.weight') AND list_contains(parts, '.weight_scale') THEN 'scaled'
-            WHEN list_contains(parts, '.qweight') AND list_contains(parts, '.qzeros') AND list_contains(parts, '.scales') THEN 'gptq'
-            ELSE 'plain' END AS kind,
-       NOT (CASE WHEN list_contains(parts, '.weight') AND list_contains(parts, '.weight_scale_inv') THEN false
-            WHEN list_contains(parts, '.weight') AND list_contains(parts, '.weight_scale') THEN false
-            WHEN list_contains(parts, '.qweight') AND list_contains(parts, '.qzeros') AND list_contains(parts, '.scales') THEN false
-            ELSE true END) AS merged
-FROM g"""
+g0 AS (SELECT model, base, list_sort(list_distinct(list(part))) AS parts FROM c GROUP BY model, base),
+g AS (
+  SELECT *, CASE WHEN list_has_all(parts, ['.weight', '.weight_scale_inv']) THEN 'fp8_scale_inv'
+            WHEN list_has_all(parts, ['.weight', '.weight_scale']) THEN 'scaled'
+            WHEN list_has_all(parts, ['.qweight', '.qzeros', '.scales']) THEN 'gptq'
+            WHEN list_has_all(parts, ['.weight_packed', '.weight_shape', '.weight_scale']) THEN 'packed' ELSE 'plain' END AS kind FROM g0)"""
+
+SQL_COMPANIONS = f"""
+WITH {_SQL_COMPANION_GROUPS}
+SELECT model, base, array_to_string(parts, ',') AS parts, kind, kind <> 'plain' AS merged FROM g"""
+
+SQL_MERGED_COMPANIONS = f"""
+WITH {_SQL_COMPANION_GROUPS}
+SELECT model, base || '.weight' AS name, kind AS origin FROM g WHERE kind <> 'plain'
+UNION ALL
+SELECT model, base || part, 'kept' FROM (SELECT model, base, kind, unnest(parts) AS part FROM g)
+WHERE NOT list_contains(CASE kind WHEN 'fp8_scale_inv' THEN ['.weight', '.weight_scale_inv'] WHEN 'scaled' THEN ['.weight', '.weight_scale']
+  WHEN 'gptq' THEN ['.qweight', '.qzeros', '.scales', '.g_idx']
+  WHEN 'packed' THEN ['.weight_packed', '.weight_shape', '.weight_scale', '.weight_zero_point'] ELSE [''] END, part)"""
 
 SQL_DECISIONS = """
 SELECT CAST(p_size / 4.0 AS DOUBLE) AS value,
@@ -192,7 +228,8 @@ SELECT CAST(p_size / 4.0 AS DOUBLE) AS value,
 FROM part"""
 
 SQL_CONTEXTS = """
-SELECT conv_id, turn, '{"user_query":"' || role || '","retrieval_snippets":["' || role || '"],"state_snapshot":{"turn":' || turn || '}}' AS context
+SELECT conv_id, turn, md5('{"user_query":' || to_json(text) || ',"retrieval_snippets":' || to_json(string_split(text, chr(10)))
+  || ',"state_snapshot":{"turn":' || turn || '}}') AS context_md5
 FROM conversations"""
 
 QUERIES = {
@@ -202,7 +239,9 @@ QUERIES = {
     "cat_distinct_ordered": (ordered_words, SQL_ORDERED_WORDS),
     "cat_layered_metadata": (layered, SQL_LAYERED),
     "cat_companions": (companion_groups, SQL_COMPANIONS),
+    "cat_merge_companions": (merged_companions, SQL_MERGED_COMPANIONS),
     "mon_decision_log": (decisions, SQL_DECISIONS),
+    "mon_decision_log_stream": (decisions_streamed, SQL_DECISIONS),
     "val_plan_fingerprint": (fingerprints, None),
     "val_context_json": (contexts, SQL_CONTEXTS),
     "cat_parse_artifact_name": (artifact_names, None),

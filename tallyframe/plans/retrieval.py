@@ -42,14 +42,13 @@ def knn_embeddings(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """each benchmark item's first two words as a case-insensitive
+    """each whole line of a benchmark text as a case-insensitive
     substring query over every document; first k hits by doc_id."""
-    qs = t(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"),
-        F.array_join(F.slice(F.split(F.col("text"), " "), 1, 2), " ").alias("query"))
+    qs = t(spark, sf_dir, "benchmark").select(F.col("item_id"), F.posexplode(F.split("text", "\n")).alias("line", "query"))
+    qs = qs.select(F.concat_ws(":", "item_id", "line").alias("qid"), "query").where("query <> ''")
     docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
     return R.substring_search(docs, qs, k).select(
-        F.col("qid").alias("item_id"), "rank", F.col("pos").alias("doc_id"), "score")
+        F.col("qid").alias("line_id"), "rank", F.col("pos").alias("doc_id"), "score")
 
 
 def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,13 +116,11 @@ FROM ranked WHERE rank <= 5"""
 
 SQL_SEARCH_DOCUMENTS = """
 WITH q AS (
-  SELECT item_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')) AS q
-  FROM benchmark),
-hits AS (
-  SELECT q.item_id, d.doc_id FROM q JOIN documents d ON contains(lower(d.text), q.q)),
-ranked AS (
-  SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM hits)
-SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(0.9 AS DOUBLE) AS score FROM ranked WHERE rank <= 5"""
+  SELECT item_id || ':' || CAST(i - 1 AS VARCHAR) AS line_id, lower(ls[i]) AS q
+  FROM (SELECT item_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM benchmark) WHERE ls[i] <> ''),
+hits AS (SELECT q.line_id, d.doc_id FROM q JOIN documents d ON contains(lower(d.text), q.q)),
+ranked AS (SELECT line_id, doc_id, row_number() OVER (PARTITION BY line_id ORDER BY doc_id) AS rank FROM hits)
+SELECT line_id, CAST(rank AS INTEGER) AS rank, doc_id, 0.9::DOUBLE AS score FROM ranked WHERE rank <= 5"""
 
 SQL_SNAPSHOT_RECORDS = """
 SELECT e.vec_id AS pos,

@@ -58,7 +58,9 @@ def cascade(spark, sf_dir):
     p = p.select("conv_id", "turn", "role",
                  F.when(F.col("role") == "user", F.col("plan_text")).alias("remote"),
                  F.col("alt_text").alias("local"),
-                 F.array(F.when(F.col("turn") % 3 == 0, F.col("alt_text")).otherwise(F.col("text"))).alias("snippets"),
+                 # a snippet whose step has a label of the wrong type makes the fallback itself invalid
+                 F.array(F.when(F.col("turn") % 5 == 4, F.lit('{"steps":[{"step_label":7}]}'))
+                         .when(F.col("turn") % 3 == 0, F.col("alt_text")).otherwise(F.col("text"))).alias("snippets"),
                  F.concat(F.lit("conv "), F.col("conv_id").cast("string"), F.lit(" turn "),
                           F.col("turn").cast("string")).alias("query"))
     r = V.resolve_cascade(p, "remote", "local", "snippets", "query")
@@ -230,20 +232,26 @@ m AS (
 c AS (
   SELECT *, CASE WHEN src IS NOT NULL AND {_sql_nerr('mv')} = 0
                       AND coalesce(json_extract(mv, '$.confidence')::DOUBLE, 0.0) >= 0.5
-                 THEN src ELSE 'fallback' END AS chosen_by FROM m)"""
+                 THEN src WHEN turn % 5 = 4 THEN 'failure' ELSE 'fallback' END AS chosen_by FROM m)"""
 
-SQL_CASCADE = f"""WITH {_SQL_CASCADE}
+#: Confidence, validity and extra fields of the chosen plan: the failure record is invalid by its empty steps and its error key.
+SQL_CHOSEN = """CASE chosen_by WHEN 'fallback' THEN 0.4 WHEN 'failure' THEN 0.0 ELSE json_extract(mv, '$.confidence')::DOUBLE END AS conf,
+  chosen_by <> 'failure' AS valid, CAST(CASE WHEN chosen_by = 'failure' THEN 1 ELSE 0 END AS INTEGER) AS extra"""
+
+SQL_CASCADE = f"""WITH {_SQL_CASCADE},
+r AS (SELECT *, {SQL_CHOSEN} FROM c)
 SELECT conv_id, turn, role, chosen_by,
-       CASE WHEN chosen_by = 'fallback' THEN query ELSE json_extract_string(mv, '$.intent') END AS intent,
-       round(CASE WHEN chosen_by = 'fallback' THEN 0.4 ELSE json_extract(mv, '$.confidence')::DOUBLE END, 6) AS confidence,
-       CAST(CASE WHEN chosen_by = 'fallback' THEN 1 ELSE json_array_length(mv, '$.steps') END AS INTEGER) AS n_steps,
-       true AS valid, 0 AS extra_fields
-FROM c"""
+       CASE WHEN chosen_by IN ('fallback', 'failure') THEN query ELSE json_extract_string(mv, '$.intent') END AS intent,
+       round(conf, 6) AS confidence,
+       CAST(CASE chosen_by WHEN 'fallback' THEN 1 WHEN 'failure' THEN 0 ELSE json_array_length(mv, '$.steps') END AS INTEGER) AS n_steps,
+       valid, extra AS extra_fields
+FROM r"""
 
 SQL_ROLLUP = f"""WITH {_SQL_CASCADE},
-r AS (SELECT role, CASE WHEN chosen_by = 'fallback' THEN 0.4 ELSE json_extract(mv, '$.confidence')::DOUBLE END AS conf FROM c)
-SELECT role, CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS valid_count, 1.0::DOUBLE AS valid_rate,
-       CAST(0 AS BIGINT) AS extra_field_count, round(avg(conf), 6) AS avg_confidence
+r AS (SELECT role, {SQL_CHOSEN} FROM c)
+SELECT role, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE valid) AS BIGINT) AS valid_count,
+       round(avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END), 6) AS valid_rate,
+       CAST(sum(extra) AS BIGINT) AS extra_field_count, round(avg(conf), 6) AS avg_confidence
 FROM r GROUP BY role"""
 
 SQL_NORMALIZED = f"""WITH {_SQL_TEXTS},

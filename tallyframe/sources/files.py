@@ -201,7 +201,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Recursive listing with length and last-write time; a missing
     root gives no rows. Only metadata columns are selected, so file content
     is never read (``binaryFile`` prunes it)."""
-    if not os.path.exists(root):
+    if not V.exists(spark, root):
         return spark.createDataFrame([], "path string, length long, mtime timestamp")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return df.select(F.col("path"), F.col("length"), F.col("modificationTime").alias("mtime"))
@@ -222,8 +222,8 @@ def decode_report(content: Column) -> Column:
     bom_le = F.substring(F.hex(content), 1, 4) == "FFFE"
     bom_be = F.substring(F.hex(content), 1, 4) == "FEFF"
     even = (F.length(content) % 2) == 0
-    u16 = F.when(bom_be, F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE")) \
-        .when(bom_le, F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE")) \
+    u16 = F.when(bom_be, F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16BE")) \
+        .when(bom_le, F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16LE")) \
         .when(even, F.decode(content, "UTF-16LE"))
     u16_ok = u16.isNotNull() & ~u16.contains("�")
     return F.coalesce(utf8, F.when(u16_ok, u16), F.decode(content, "ISO-8859-1"))

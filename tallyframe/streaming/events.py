@@ -8,10 +8,8 @@ queries can return an ordinary DataFrame.
 
 from __future__ import annotations
 
-import os
-from typing import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,6 +205,20 @@ def decision_log(samples: DataFrame, value: str, choice: str = "variant", reason
     return samples.select(F.col(value).alias("value"), F.col(choice).alias("choice"), F.col(reason).alias("reason"))
 
 
+def decision_stream(samples_stream: DataFrame, choose: Callable[[DataFrame], DataFrame], value: str, log_path: str, checkpoint: str, once: bool = True):
+    """R7 as a running stream: every micro-batch of samples is decided by
+    ``choose`` (J6) and its decision records are appended to the JSON-lines
+    log, one folder per epoch, so that a replayed batch writes over itself."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        decision_log(choose(batch), value).write.mode("overwrite").json(f"{log_path}/query={V.query_id(batch.sparkSession)}/epoch={epoch}")
+
+    q = samples_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    q = (q.trigger(availableNow=True) if once else q).start()
+    if once:
+        q.awaitTermination()
+    return q
+
+
 def breach_stream(totals_stream: DataFrame, limit: float, log_path: str, marker_path: str,
                   checkpoint: str, total: str = "total", name: str = "name",
                   start: str = "window_start", once: bool = True):
@@ -246,4 +258,4 @@ def read_marker(spark: SparkSession, marker_path: str) -> DataFrame:
 
 __all__ = ["event_stream", "utc_event_time", "run_available_now", "windowed_totals", "rss_total",
            "breach_alerts", "latest_breach", "absence_alerts", "absence_stream", "event_counts",
-           "append_events", "read_absences", "decision_log", "rss_pids", "breach_stream", "read_marker"]
+           "append_events", "read_absences", "decision_stream", "decision_log", "rss_pids", "breach_stream", "read_marker"]

@@ -103,7 +103,7 @@ def test_exact_percentiles_refinement_rounds(spark):
     ps = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
     for acc in (50, 3):          # 3: sketch brackets miss and widen to the whole group
         got = {r.g: r for r in exact_percentiles(df, ["g"], "v", ps, accuracy=acc, max_band_rows=40,
-                                                 grid=8, max_rounds=6).collect()}
+                                                 grid=8).collect()}
         for g in ("hot", "dup", "small"):
             vals = [v for k, v in rows if k == g]
             for name, p in ps.items():
