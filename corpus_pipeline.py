@@ -19,9 +19,7 @@ from tallyframe.sources.tables import read_table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie within the robust distance
     limit of their language and source; the others go."""
-    stats = written(quality.base_statistics(docs, prefix="__q_"), "pipeline-quality")
-    judged = quality.judge(stats, ["lang", "source"], prefix="__q_")
-    return judged.where("__q_kept").select(*[f"`{c}`" for c in docs.columns])
+    return quality.keep_good(docs, ["lang", "source"])
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

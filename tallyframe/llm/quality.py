@@ -255,7 +255,8 @@ def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float =
                            F.array(*[F.col(f"r_{i}_{j}") for i in range(p) for j in range(i + 1)]).alias("__mcd_r"))
     served = chosen.select(*[F.col(v).alias(f"{v}g") for v in own], "level",
                            *[F.when(F.col("level") > i, F.col(v)).alias(v) for i, v in enumerate(own)])
-    served = _group_join(served, params, ["level", *own]).select(*[f"{v}g" for v in own], "__mcd_m", "__mcd_r")
+    # one row per group, written so that the planner knows its size before it shuffles the rows
+    served = written(_group_join(served, params, ["level", *own]).select(*[f"{v}g" for v in own], "__mcd_m", "__mcd_r"), "mcd")
     cond = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"{v}g")) for k, v in zip(keys, own, strict=True)])
     out = stats.join(served, cond, "left")
 
@@ -266,3 +267,15 @@ def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float =
     near = F.coalesce(F.col(f"`{prefix}distance`") <= max_distance, F.lit(False))
     out = out.withColumn(f"{prefix}kept", ~F.col(f"`{prefix}base_failed`") & near)
     return out.drop("__mcd_x", "__mcd_m", "__mcd_r", *[f"{v}g" for v in own])
+
+
+def keep_good(docs: DataFrame, keys: list[str], text_col: str = "text", **rule) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects; all columns stay.
+
+    The rows are written once with their statistics and read back for the
+    verdict, so the texts are taken apart once and the wide rows are never
+    shuffled: the groups' estimates come to them. Names that begin with
+    ``__mcd_`` are reserved.
+    """
+    stats = written(base_statistics(docs, text_col, "__mcd_s_"), "quality-stats")
+    return judge(stats, keys, "__mcd_s_", **rule).where(F.col("__mcd_s_kept")).select(*[f"`{c}`" for c in docs.columns])
