@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     twins = members.where("stays")
     d = docs.withColumn("__text_hash", F.xxhash64(text_of(F.col(f"`{text_col}`"))))
     same = (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-    out = d.join(members, same, "left_anti").drop("__text_hash")
+    # the rows to drop grow with the documents: one plan for all sizes, no broadcast
+    out = d.join(members.hint("merge"), same, "left_anti").drop("__text_hash")
     if twins.isEmpty():
         return out
     one = d.join(twins, same, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
