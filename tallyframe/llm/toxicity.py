@@ -18,12 +18,13 @@ learned from). Scoring reads every text whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +32,41 @@ from tallyframe.llm.common import text_of
 
 SAMPLE = 4_000
 MAX_CHARS = 50_000
-BUCKETS = 1 << 17
+BUCKET_BITS = 17
 SIZES = (3, 4, 5)
 DIM = 8
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers the scores of before it starts afresh.
-MEMORY = 500_000
-
-
-def subwords(word: str) -> list[int]:
-    """Distinct buckets of the n-grams of the word with its borders marked."""
-    w = f"<{word}>"
-    return sorted({crc32(w[i:i + n].encode()) % BUCKETS for n in SIZES for i in range(len(w) - n + 1)})
+MEMORY = 1_000_000
 
 
 def word_set(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(word number, bucket)`` of every character n-gram of every word, its
+    borders marked; word numbers ascend."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = "<" + "><".join(words) + ">" if words else ""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.cumsum(size)[word] - np.arange(len(code)) if len(words) else np.empty(0, np.int64)  # characters from here to the word's end
+    owners, buckets = [], []
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, max(SIZES) + 1):
+        m = max(0, len(code) - n + 1)
+        h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:n - 1 + m]
+        if n in SIZES:
+            at = np.flatnonzero(left[:m] >= n)
+            x = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            owners.append(word[at])
+            buckets.append((x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order]
+
+
 class Model:
     """``weight`` per n-gram bucket (its vector times the softmax direction)
     and ``bias``: all that scoring needs of the trained pair."""
@@ -60,55 +78,62 @@ class Model:
     def __getstate__(self):
         return {"weight": self.weight, "bias": self.bias, "_memory": {}}
 
-    def _odds(self, word: str) -> float:
-        """-log of the probability that the word is not toxic."""
-        if (v := self._memory.get(word)) is None:
-            g = subwords(word)
-            v = float(np.logaddexp(0.0, self.bias + (float(self.weight[g].mean()) if g else 0.0)))
-            if len(self._memory) >= MEMORY:
-                self._memory.clear()
-            self._memory[word] = v
-        return v
+    def _learn(self, words: list[str]) -> None:
+        """Remember -log of the probability that a word is not toxic."""
+        owner, bucket = subwords(words)
+        n = np.bincount(owner, minlength=len(words))
+        mean = np.bincount(owner, self.weight[bucket], len(words)) / np.maximum(n, 1)
+        self._memory.update(zip(words, np.logaddexp(0.0, self.bias + mean).tolist(), strict=True))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        """Probability that a text is toxic: 1 minus the product over its distinct words."""
+        sets = [word_set(t) for t in texts]
+        if len(self._memory) > MEMORY:
+            self._memory.clear()
+        new = set().union(*sets).difference(self._memory)
+        self._learn(sorted(new))
+        get = self._memory.__getitem__
+        return [-math.expm1(-math.fsum(map(get, s))) for s in sets]  # the exact sum: the order of a set does not matter
 
     def score(self, text: str) -> float:
-        return float(-np.expm1(-sum(map(self._odds, sorted(word_set(text))))))
-
-
-def train(docs: list[tuple[list[str], int]], dim: int = DIM, epochs: int = 80, rate: float = 0.05, drop: float = 0.3,
-          word_drop: float = 0.5, decay: float = 1e-5, min_docs: int = 2, seed: int = 7) -> Model:
-    """Joint full-batch Adam steps on n-gram vectors, softmax weights and bias
-    for ``(distinct words, label)`` documents. Words of fewer than ``min_docs``
-    documents are not learned from. Without both labels the score is a
-    constant: the share of label 1."""
-    y = np.array([label for _, label in docs], float)
-    if len(docs) == 0 or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))) if len(y) and y.min() == 1 else -30.0)
-    seen: dict[str, int] = {}
-    for words, _ in docs:
-        for w in set(words):
-            seen[w] = seen.get(w, 0) + 1
-    vocab = sorted(w for w, n in seen.items() if n >= min_docs)
+        return self.scores([text])[0]
+
+
+def train(docs: list[tuple[list[str], int]], **rule) -> Model:
+    """``train_indexed`` for ``(words, label)`` documents."""
+    vocab = sorted({w for words, _ in docs for w in words})
     index = {w: i for i, w in enumerate(vocab)}
-    grams = [subwords(w) for w in vocab]
-    kept = [i for i, g in enumerate(grams) if g]
-    # incidence of words and n-grams, n-grams renumbered to those in use
-    word_of = np.repeat(np.arange(len(kept)), [len(grams[i]) for i in kept])
-    used, gram_of = np.unique(np.concatenate([grams[i] for i in kept]) if kept else np.empty(0, int), return_inverse=True)
-    place = np.full(len(vocab), -1)
-    place[kept] = np.arange(len(kept))
-    pairs = [(d, place[index[w]]) for d, (words, _) in enumerate(docs) for w in sorted(set(words)) if w in index and place[index[w]] >= 0]
-    doc_of, in_doc = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, int), np.empty(0, int))
-    if not pairs:  # no word to learn from: the share of label 1 for every text
-        return train([([], 1), ([], 1)]) if y.mean() >= 0.5 else train([([], 0)])
-    word_starts = np.flatnonzero(np.r_[True, np.diff(word_of) > 0])
+    sets = [sorted({index[w] for w in words}) for words, _ in docs]
+    doc = np.repeat(np.arange(len(docs)), [len(x) for x in sets])
+    return train_indexed(doc, np.array([w for x in sets for w in x], np.int64), vocab, np.array([y for _, y in docs], float), **rule)
+
+
+def train_indexed(doc: np.ndarray, word: np.ndarray, vocab: list[str], y: np.ndarray, dim: int = DIM, epochs: int = 80, rate: float = 0.05,
+                  drop: float = 0.3, word_drop: float = 0.5, decay: float = 1e-5, min_docs: int = 2, seed: int = 7) -> Model:
+    """Joint full-batch Adam steps on n-gram vectors, softmax weights and bias.
+
+    Document ``doc[i]`` holds word ``vocab[word[i]]`` (each pair once), and
+    ``y`` are the labels. Words of fewer than ``min_docs`` documents are not
+    learned from. Where there are not both labels, or no such word, the score
+    is one for all texts with a word: about the only or more frequent label."""
+    weight = np.zeros(1 << BUCKET_BITS)
+    often = np.bincount(word, minlength=len(vocab)) >= min_docs
+    pairs = often[word]
+    if len(y) == 0 or y.min() == y.max() or not pairs.any():
+        return Model(weight, 30.0 if len(y) and y.mean() > 0.5 else -30.0)
+    number = np.cumsum(often) - 1
+    doc_of, in_doc = doc[pairs], number[word[pairs]]
+    kept = [w for w, o in zip(vocab, often, strict=True) if o]
+    word_of, bucket = subwords(kept)
+    used, gram_of = np.unique(bucket, return_inverse=True)
+    word_starts = np.flatnonzero(np.r_[True, np.diff(word_of) > 0])  # every word has an n-gram: its borders count
     by_gram = np.argsort(gram_of, kind="stable")
     gram_starts = np.flatnonzero(np.r_[True, np.diff(gram_of[by_gram]) > 0])
 
     rng = np.random.default_rng(seed)
     z = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     v = rng.normal(0, 1.0, (dim, 2)).astype(np.float32)
-    bias = np.log(max(y.mean(), 1e-3) / max(1.0, len(pairs) / len(docs)))
+    bias = np.log(max(y.mean(), 1e-3) / max(1.0, len(doc_of) / len(y)))
     state = [[np.zeros_like(z), np.zeros_like(z)], [np.zeros_like(v), np.zeros_like(v)], [np.zeros(1), np.zeros(1)]]
     for step in range(1, epochs + 1):
         mask = (rng.random(len(gram_of), dtype=np.float32) >= drop).astype(np.float32)
@@ -118,16 +143,15 @@ def train(docs: list[tuple[list[str], int]], dim: int = DIM, epochs: int = 80, r
         delta = logits[:, 1] - logits[:, 0] + bias
         p = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
         here = rng.random(len(doc_of), dtype=np.float32) >= np.where(y[doc_of] == 1, word_drop, 0.0)
-        total = np.bincount(doc_of, np.logaddexp(0.0, delta)[in_doc] * here, len(docs))
+        total = np.bincount(doc_of, np.logaddexp(0.0, delta)[in_doc] * here, len(y))
         prob = np.clip(-np.expm1(-total), 1e-6, 1 - 1e-6)
         # log-likelihood of the label with respect to a word's log-odds
         pull = np.where(y == 1, (1 - prob) / prob, -1.0)
-        g_delta = p * np.bincount(in_doc, pull[doc_of] * here, len(kept)) / len(docs)
-        g_logits = np.stack([-g_delta, g_delta], axis=1)
+        g_delta = p * np.bincount(in_doc, pull[doc_of] * here, len(kept)) / len(y)
+        g_logits = np.stack([-g_delta, g_delta], axis=1).astype(np.float32)
         g_v = e.T @ g_logits - decay * v
         g_e = (g_logits @ v.T) / size[:, None]
-        flat = (g_e.astype(np.float32)[word_of] * mask[:, None])[by_gram]
-        g_z = np.add.reduceat(flat, gram_starts) - decay * z
+        g_z = np.add.reduceat((g_e[word_of] * mask[:, None])[by_gram], gram_starts) - decay * z
         for (m1, m2), x, g in zip(state, (z, v, None), (g_z, g_v, np.array([g_delta.sum()])), strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
@@ -136,7 +160,6 @@ def train(docs: list[tuple[list[str], int]], dim: int = DIM, epochs: int = 80, r
                 bias += float(up[0])
             else:
                 x += up.astype(np.float32)
-    weight = np.zeros(BUCKETS)
     weight[used] = z @ (v[:, 1] - v[:, 0])
     return Model(weight, bias)
 
@@ -163,8 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
     both = text.where(drawn).join(known.where(drawn), "id").select("id", "text", "label")
     kind = both.schema["id"].dataType.simpleString()
-    rows = both.mapInArrow(_words, f"id {kind}, words array<string>, label int").collect()
-    return train(sorted(((r["words"], r["label"]) for r in rows), key=lambda r: (r[1], r[0])))
+    table = both.mapInArrow(_words, f"id {kind}, words array<string>, label int").toArrow()
+    table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("label", "ascending")]))
+    words = table.column("words").combine_chunks()
+    size = np.asarray(pc.list_value_length(words), dtype=np.int64)
+    coded = pa.chunked_array([pc.list_flatten(words)]).combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    vocab = coded.dictionary.to_pylist()
+    order = np.array(sorted(range(len(vocab)), key=vocab.__getitem__), dtype=np.int64)  # the same numbers on every run
+    rank = np.empty(len(vocab), np.int64)
+    rank[order] = np.arange(len(vocab))
+    return train_indexed(np.repeat(np.arange(len(size)), size), rank[np.asarray(coded.indices, dtype=np.int64)] if len(vocab) else np.empty(0, np.int64),
+                         [vocab[i] for i in order], np.asarray(table.column("label"), dtype=float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([model.score(t.as_py()) for t in batch.column("text")], float)
+            s = np.array(model.scores(batch.column("text").to_pylist()), float)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              names=["id", "held_out", "score", "predicted"])
     return src.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")

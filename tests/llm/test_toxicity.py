@@ -40,6 +40,8 @@ def test_no_labels_and_one_label():
     assert toxicity.train([(["a"], 0)]).score("some text") < 0.5
     assert toxicity.train([(["a"], 1)]).score("some text") >= 0.5
     assert 0 <= toxicity.train([([], 1), ([], 0)]).score("") <= 1
+    owner, bucket = toxicity.subwords(["a", "", "b\U0001f600c", "a"])
+    assert owner.tolist() == [0, 2, 2, 2, 2, 2, 2, 3] and bucket[0] == bucket[-1] and len(toxicity.subwords([])[0]) == 0
 
 
 def test_awkward_rows(spark, model):
