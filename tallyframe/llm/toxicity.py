@@ -37,7 +37,9 @@ SIZES = (3, 4, 5)
 DIM = 8
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers the scores of before it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 300_000
+#: Texts whose words are looked up together.
+CHUNK = 256
 
 
 def word_set(text: str) -> set[str]:
@@ -86,14 +88,18 @@ class Model:
         self._memory.update(zip(words, np.logaddexp(0.0, self.bias + mean).tolist(), strict=True))
 
     def scores(self, texts: list[str]) -> list[float]:
-        """Probability that a text is toxic: 1 minus the product over its distinct words."""
-        sets = [word_set(t) for t in texts]
-        if len(self._memory) > MEMORY:
-            self._memory.clear()
-        new = set().union(*sets).difference(self._memory)
-        self._learn(sorted(new))
-        get = self._memory.__getitem__
-        return [-math.expm1(-math.fsum(map(get, s))) for s in sets]  # the exact sum: the order of a set does not matter
+        """Probability that a text is toxic: 1 minus the product over its
+        distinct words. ``CHUNK`` texts at a time, so that a worker holds the
+        words of few texts beside those it remembers."""
+        out = []
+        for i in range(0, len(texts), CHUNK):
+            sets = [word_set(t) for t in texts[i:i + CHUNK]]
+            if len(self._memory) > MEMORY:
+                self._memory.clear()
+            self._learn(sorted(set().union(*sets).difference(self._memory)))
+            get = self._memory.__getitem__
+            out += [-math.expm1(-math.fsum(map(get, s))) for s in sets]  # the exact sum: the order of a set does not matter
+        return out
 
     def score(self, text: str) -> float:
         return self.scores([text])[0]
