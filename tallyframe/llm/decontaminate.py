@@ -64,11 +64,10 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     d = d.select("id", F.xxhash64("t").alias("text_hash"), words(F.col("t")).alias("w")).withColumn("n_words", F.size("w"))
     # position -1 is the document itself: it passes without a hit, so one scan serves both
     d = d.withColumn("pos", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.col("n_words") - min(lengths, default=window)))))
-    if len(lengths) == 1:
-        d = d.withColumn("k", F.lit(lengths[0]))
-    else:
-        fits = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: (F.col("pos") >= 0) & (F.col("pos") + k <= F.col("n_words")))
-        d = d.withColumn("k", F.explode_outer(fits.cast("array<int>")))
+    # plain generators and filters only, so that the words are never copied per position
+    first = lengths[0] if lengths else window
+    d = d.withColumn("k", F.explode(F.array(*[F.lit(k) for k in lengths or [window]])))
+    d = d.where(((F.col("pos") < 0) & (F.col("k") == first)) | ((F.col("pos") >= 0) & (F.col("pos") + F.col("k") <= F.col("n_words"))))
     h = F.xxhash64("id", "text_hash")
     for k in lengths:
         h = F.when((F.col("k") == k) & (F.col("pos") >= 0), _hash("w", F.col("pos"), k)).otherwise(h)

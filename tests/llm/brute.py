@@ -205,7 +205,7 @@ def awkward_documents(spark, extra=()):
     """Nulls in every column, empty and long texts, repeated rows, equal ids
     with other texts, and extra columns named like inner ones."""
     base = " ".join(f"word{i % 97} and{i % 13}" for i in range(40))
-    long = " ".join(f"w{i * 7919 % 5003}" for i in range(30_000))
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(4_000))
     rows = [(1, base, "en", "a"), (1, base, "en", "a"), (2, base + " more", "en", "b"), (None, base, "en", None), (3, None, "en", "a"), (4, "", None, "b"),
             (4, "other text here", None, "b"), (5, long, "en", "a"), (6, long + " tail", "en", "a"), (7, "!!! ###", "de", "a"), (None, None, None, None),
             (8, "x@y.org +1 (523) 555-1055 then 523 555 1055 and 10.0.0.1 é\n\n" + base, "en", "c"), *extra]
