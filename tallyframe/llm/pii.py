@@ -47,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _PIECE = re.compile(r"[0-9@]\S*")
 _SPACE = re.compile(r"\s")
+_OCTET = re.compile(r"[0-9]{1,3}")
 
 
 def luhn(digits: str) -> bool:
@@ -122,7 +123,7 @@ def shape(s: str) -> int:
     n = len(digits)
     size = 0 if n == 0 else 1 if n < 4 else 2 if n < 7 else 3 if n < 10 else 4 if n < 14 else 5 if n < 20 else 6
     parts = s.split(".")
-    ip = len(parts) == 4 and all(x.isdigit() and len(x) < 4 and int(x) <= 255 for x in parts)
+    ip = len(parts) == 4 and all(_OCTET.fullmatch(x) and int(x) <= 255 for x in parts)
     local, at, domain = s.partition("@")
     flags = (ip, bool(at and local and domain), bool(at) and "." in domain.strip("."), 14 <= n <= 19 and luhn(digits),
              s.startswith("+"), any(c.isalpha() for c in s))

@@ -73,3 +73,13 @@ def test_mask_keeps_rows_and_columns(spark):
 
 def test_mask_joins_overlaps():
     assert pii.mask_text("a1234b", [(1, 2, 4), (2, 3, 5)]) == "a<CARD>b"
+
+
+def test_digits_that_are_no_ascii_digits(spark):
+    assert pii.shape("192.168.1.1²") != pii.shape("192.168.1.1") and pii.shape("①.2.3.4") != pii.shape("1.2.3.4")
+    texts = ["see 192.168.1.1² there", "① 1.2.3.④ and ٣.٣.٣.٣ 1", "192.168.1.1"]
+    docs = awkward_documents(spark, [(20 + i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.id: r.base_sha256 for r in pii.find_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[20 + i] == hashlib.sha256(pii.spell(base_spans(t)).encode()).hexdigest()
+    assert pii.mask(docs, model=field()).count() == docs.count()
