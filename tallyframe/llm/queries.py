@@ -174,8 +174,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op9_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy word-piece token count of every document."""
-    return word_pieces.count_pieces(read_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+    """Greedy word-piece token count of every document, all characters counted."""
+    return word_pieces.count_pieces(read_table(spark, sf_dir, "documents"), VOCABULARY, spelled=True).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {

@@ -6,6 +6,10 @@ that greedy longest match takes off the text read so far when the next
 character does not fit, and the node of the rest that remains to be matched
 (its failure link). So a word is read once, character by character, and the
 length of its greedy segmentation is added up without building a piece.
+
+A word that no beginning fits can start with the bare word mark, where that is
+a piece, and go on in the continuations; a character in no piece can count as
+its bytes. Without these a word is one unknown token.
 """
 
 from __future__ import annotations
@@ -40,11 +44,24 @@ def read_pieces(path: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in pieces if len(p) > 1 and p[0] == "▁"], [p for p in pieces if "▁" not in p]
 
 
+def read_spelling(path: str) -> tuple[bool, bool]:
+    """Whether the vocabulary file has the bare word mark, and all 256 bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return not model.is_unknown(model.piece_to_id("▁")), sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+
+
 class Automaton:
     """``count(word)``: pieces of the greedy longest match, or None if some
-    part of the word is in no piece."""
+    part of the word is in no piece.
+
+    With ``mark`` the bare word mark is a beginning of no characters that
+    counts one; with ``by_bytes`` a character in no piece counts its UTF-8
+    bytes."""
 
-    def __init__(self, beginnings: Iterable[str], continuations: Iterable[str]):
+    def __init__(self, beginnings: Iterable[str], continuations: Iterable[str], mark: bool = False, by_bytes: bool = False):
+        self.by_bytes = by_bytes
         self.next: list[dict[str, int]] = [{}, {}]
         ends = set()
         for root, pieces in ((START, beginnings), (REST, continuations)):
@@ -61,6 +78,8 @@ class Automaton:
                 if piece:
                     ends.add(at)
         self.fail, self.pops = [-1] * len(self.next), [0] * len(self.next)
+        if mark:
+            self.fail[START], self.pops[START] = REST, 1
         queue = deque([START, REST])  # nearer to a root first: a link leads to a node of fewer characters
         while queue:
             node = queue.popleft()
@@ -75,6 +94,8 @@ class Automaton:
                     at = self.fail[at]
                 if at >= 0:
                     self.fail[to], self.pops[to] = self.next[at][c], popped
+                elif by_bytes:
+                    self.fail[to], self.pops[to] = REST, popped + len(c.encode())
 
     def count(self, word: str) -> int | None:
         at, n = START, 0
@@ -83,7 +104,11 @@ class Automaton:
                 n += self.pops[at]
                 at = self.fail[at]
                 if at < 0:
-                    return None
+                    if not self.by_bytes:
+                        return None
+                    n += len(c.encode())
+                    to = REST
+                    break
             at = to
         while at > REST:
             n += self.pops[at]
@@ -93,17 +118,20 @@ class Automaton:
         return n
 
 
-def count_pieces(docs: DataFrame, vocabulary: str | tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_pieces(docs: DataFrame, vocabulary: str | tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text",
+                 spelled: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_words``, ``n_tokens`` (a word
     that no pieces make up is one unknown token) and ``n_unknown``.
 
     ``vocabulary`` is a vocabulary file's path, read on the driver, or
-    ``(beginnings, continuations)``. Null and empty texts count 0; whole texts
+    ``(beginnings, continuations)``. With ``spelled`` the file's bare word mark
+    and byte pieces serve as well, so that every character is counted. Null and empty texts count 0; whole texts
     are read row by row, so repeated rows, null ids and extra columns do not
     matter; an empty table gives an empty result.
     """
     beginnings, continuations = read_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(beginnings, continuations))
+    mark, by_bytes = read_spelling(vocabulary) if spelled and isinstance(vocabulary, str) else (False, False)
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(beginnings, continuations, mark, by_bytes))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(F.col(f"`{text_col}`")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from brute import awkward_documents, empty_like
 from tokenizers import models
 
 from tallyframe.llm import word_pieces as P
-from tallyframe.llm.queries import VOCABULARY
+from tallyframe.llm.queries import VOCABULARY, op9_word_piece_counts
 
 
 def greedy(word, start, rest):
@@ -53,3 +53,38 @@ def test_awkward_rows(spark):
         want.append((str(d.doc_id), len(n), sum(x or 1 for x in n), n.count(None)))
     assert sorted((str(r.id), r.n_words, r.n_tokens, r.n_unknown) for r in got) == sorted(want)
     assert P.count_pieces(empty_like(docs), vocabulary).count() == 0
+
+
+def spelled(word, pieces):
+    """Greedy longest match over all pieces of the file, bytes for the rest."""
+    n, at, word = 0, 0, "▁" + word
+    while at < len(word):
+        end = next((e for e in range(min(len(word), at + 60), at, -1) if word[at:e] in pieces), None)
+        n, at = (n + 1, end) if end else (n + len(word[at].encode()), at + 1)
+    return n
+
+
+def test_random_vocabularies_with_the_bare_mark():
+    rng = random.Random(2)
+    for _ in range(300):
+        word = lambda m: "".join(rng.choice("abcé") for _ in range(rng.randint(1, m)))
+        start, rest = {word(5) for _ in range(8)}, {word(4) for _ in range(8)}
+        a = P.Automaton(start, rest, mark=True, by_bytes=True)
+        pieces = {"▁", *("▁" + w for w in start), *rest}
+        for w in [word(12) for _ in range(60)]:
+            assert a.count(w) == spelled(w, pieces), (w, start, rest)
+
+
+def test_every_character_is_counted(spark):
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    docs = spark.createDataFrame([(1, "中文日本語" * 40), (2, "ñción"), (3, "ع" * 9), (4, "\U00012000a ß")], "doc_id int, text string")
+    got = {r.id: r for r in P.count_pieces(docs, VOCABULARY, spelled=True).collect()}
+    for d in docs.collect():
+        assert got[d.doc_id].n_tokens == sum(spelled(w, pieces) for w in P._WORD.findall(d.text)) and got[d.doc_id].n_unknown == 0
+    assert got[1].n_tokens > 100
+    sf = "/root/testdata/sf0.001"
+    table = {r.doc_id: r for r in op9_word_piece_counts(spark, sf).collect()}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect():
+        assert table[d.doc_id].n_tokens == sum(spelled(w, pieces) for w in P._WORD.findall(d.text or "")) and table[d.doc_id].n_unknown == 0
