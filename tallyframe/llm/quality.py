@@ -7,6 +7,13 @@ share ``support`` of the rows with the smallest Mahalanobis distances gives
 the next mean and covariance. Rows farther than ``max_distance`` robust
 standard deviations from their group are rejected.
 
+Such an estimate withstands a share of ``1 - support`` of bad rows. A second
+one with the greatest breakdown point (half of the rows from a median /
+absolute deviation start, then reweighted) is made beside it, and takes its
+place in every group in which it finds more bad rows than that, so a group of
+copies does not shape the estimate that judges it. Estimates shared by small
+groups mix sources, a part of which may differ as a whole; they keep the first.
+
 Only DataFrame functions run. A concentration step is one scan of the narrow
 statistics table: distances fall into logarithmic bins, counts and moments are
 summed per (group, bin) with partial aggregation, and a window over the at
@@ -35,6 +42,9 @@ UNIT = 100
 #: statistic that is constant over the support set stays usable.
 RIDGE = (0.05, 0.05, 0.05, 0.05, 0.10, 0.10)
 BINS_PER_OCTAVE = 4
+#: Support of the estimate with the greatest breakdown point, and the share of
+#: a normal sample that its reweighting keeps.
+HALF, CORE = 0.5, 0.975
 
 
 def base_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -126,14 +136,18 @@ def chi2_cdf(x: float, p: int) -> float:
     return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
 
 
-def consistency(support: float, p: int) -> float:
-    """Factor that makes the covariance of the central ``support`` share of a
-    normal sample unbiased."""
+def chi2_quantile(share: float, p: int) -> float:
     lo, hi = 0.0, 1000.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_cdf(mid, p) < support else (lo, mid)
-    return support / chi2_cdf(hi, p + 2)
+        lo, hi = (mid, hi) if chi2_cdf(mid, p) < share else (lo, mid)
+    return hi
+
+
+def consistency(support: float, p: int) -> float:
+    """Factor that makes the covariance of the central ``support`` share of a
+    normal sample unbiased."""
+    return support / chi2_cdf(chi2_quantile(support, p), p + 2)
 
 
 def _group_join(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,29 +188,58 @@ def squared_distance(p: int) -> Column:
     return F.expr(" + ".join(f"pow({y}, 2)" for y in rows))
 
 
-def _start(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Median and interquartile scale of every statistic and group, from exact
-    counts of the whole-number values (sums over mergeable counts)."""
+def _counts(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Exact counts of the whole-number values of every statistic and group."""
     long = rows.select(*keys, F.posexplode(F.array(*[F.col(f"x_{i}") for i in range(p)])).alias("dim", "x"))
-    counts = long.groupBy(*keys, "dim", "x").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*keys, "dim", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked(counts: DataFrame, keys: list[str], x: str) -> DataFrame:
     by = Window.partitionBy(*keys, "dim")
-    c = counts.withColumn("cum", F.sum("n").over(by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))) \
-              .withColumn("all", F.sum("n").over(by))
+    return counts.withColumn("cum", F.sum("n").over(by.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))) \
+                 .withColumn("all", F.sum("n").over(by))
+
 
-    def quantile(q: float) -> Column:
-        return F.min(F.when(F.col("cum") >= F.col("all") * q, F.col("x")))
+def _quantile(x: str, q: float) -> Column:
+    return F.min(F.when(F.col("cum") >= F.col("all") * q, F.col(x)))
 
-    g = c.groupBy(*keys, "dim").agg(quantile(0.25).alias("a"), quantile(0.5).alias("m"), quantile(0.75).alias("b"))
+
+def _wide(g: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """One row per group of the rows ``dim``, ``m`` and ``scale``."""
     wide = g.groupBy(*keys).agg(
         *[F.max(F.when(F.col("dim") == i, F.col("m"))).alias(f"m_{i}") for i in range(p)],
-        *[F.max(F.when(F.col("dim") == i, F.pow((F.col("b") - F.col("a")) / 1.349, 2))).alias(f"v_{i}_{i}") for i in range(p)])
+        *[F.max(F.when(F.col("dim") == i, F.pow(F.col("scale"), 2))).alias(f"v_{i}_{i}") for i in range(p)])
     for i in range(p):
         for j in range(i):
             wide = wide.withColumn(f"v_{i}_{j}", F.lit(0.0))
     return wide
 
 
-def fit(rows: DataFrame, keys: list[str], support: float = 0.75, steps: int = 4) -> DataFrame:
+def _start(counts: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Median and interquartile scale of every statistic and group."""
+    g = _ranked(counts, keys, "x").groupBy(*keys, "dim").agg(_quantile("x", 0.25).alias("a"), _quantile("x", 0.5).alias("m"), _quantile("x", 0.75).alias("b"))
+    return _wide(g.withColumn("scale", (F.col("b") - F.col("a")) / 1.349), keys, p)
+
+
+def _firm_start(counts: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Median and median absolute deviation of every statistic and group."""
+    c = _ranked(counts, keys, "x").withColumn("m", _quantile("x", 0.5).over(Window.partitionBy(*keys, "dim")))
+    c = c.groupBy(*keys, "dim", "m", F.abs(F.col("x") - F.col("m")).alias("off")).agg(F.sum("n").alias("n"))
+    g = _ranked(c, keys, "off").groupBy(*keys, "dim").agg(F.max("m").alias("m"), _quantile("off", 0.5).alias("off"))
+    return _wide(g.withColumn("scale", F.col("off") * 1.4826), keys, p)
+
+
+def _sums(p: int) -> list[str]:
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    return ["count(1) as n", *[f"sum(x_{i}) as s_{i}" for i in range(p)], *[f"sum(x_{i} * x_{j}) as q_{i}_{j}" for i, j in pairs]]
+
+
+def _moments(sums: DataFrame, keys: list[str], p: int) -> DataFrame:
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    return sums.selectExpr(*keys, *[f"s_{i} / n as m_{i}" for i in range(p)], *[f"q_{i}_{j} / n - (s_{i} / n) * (s_{j} / n) as v_{i}_{j}" for i, j in pairs])
+
+
+def _concentrated(rows: DataFrame, keys: list[str], start: DataFrame, support: float, steps: int) -> DataFrame:
     """Location ``m_i`` and inverse root ``r_i_j`` of every group.
 
     ``rows`` holds ``keys`` and the whole-number statistics ``x_0..``. The
@@ -205,23 +248,42 @@ def fit(rows: DataFrame, keys: list[str], support: float = 0.75, steps: int = 4)
     the result does not depend on the order of the rows.
     """
     p = len(FEATURES)
-    params = written(_inverse_root(_start(rows, keys, p), p, 1.0), "mcd")
+    params = written(_inverse_root(start, p, 1.0), "mcd")
+    names = [x.split(" as ")[1] for x in _sums(p)]
     for step in range(steps):
         d = _group_join(rows, params, keys).withColumn("d2", squared_distance(p))
         d = d.withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0 ** -6) * BINS_PER_OCTAVE))
-        pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-        sums = [F.expr(x) for x in ["count(1) as n", *[f"sum(x_{i}) as s_{i}" for i in range(p)], *[f"sum(x_{i} * x_{j}) as q_{i}_{j}" for i, j in pairs]]]
-        bins = d.groupBy(*keys, "bin").agg(*sums)
+        bins = d.groupBy(*keys, "bin").agg(*[F.expr(x) for x in _sums(p)])
         by = Window.partitionBy(*keys)
         before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inner = bins.withColumn("before", before).withColumn("all", F.sum("n").over(by)).where(F.col("before") < F.col("all") * support)
-        g = inner.groupBy(*keys).agg(*[F.expr(f"sum({x}) as {x}") for x in ["n", *[f"s_{i}" for i in range(p)], *[f"q_{i}_{j}" for i, j in pairs]]])
-        g = g.selectExpr(*keys, *[f"s_{i} / n as m_{i}" for i in range(p)], *[f"q_{i}_{j} / n - (s_{i} / n) * (s_{j} / n) as v_{i}_{j}" for i, j in pairs])
+        g = inner.groupBy(*keys).agg(*[F.expr(f"sum({x}) as {x}") for x in names])
         factor = consistency(support, p) if step == steps - 1 else 1.0
-        params = written(_inverse_root(g, p, factor), "mcd")
+        params = written(_inverse_root(_moments(g, keys, p), p, factor), "mcd")
     return params
 
 
+def fit(rows: DataFrame, keys: list[str], support: float = 0.75, steps: int = 4, max_distance: float = 5.5,
+        guarded: Column | None = None) -> DataFrame:
+    """Location ``m_i`` and inverse root ``r_i_j`` of every group, by the
+    ``support`` share of its rows, or by the reweighted estimate from half of
+    them where that finds a larger share than ``1 - support`` beyond
+    ``max_distance``; the second only for groups of ``guarded`` rows."""
+    p = len(FEATURES)
+    counts = written(_counts(rows, keys, p), "mcd")
+    plain = _concentrated(rows, keys, _start(counts, keys, p), support, steps)
+    if guarded is not None:
+        rows, counts = rows.where(guarded), counts.where(guarded)
+    half = _concentrated(rows, keys, _firm_start(counts, keys, p), HALF, steps)
+    core = _group_join(rows, half, keys).where(squared_distance(p) <= chi2_quantile(CORE, p))
+    firm = written(_inverse_root(_moments(core.groupBy(*keys).agg(*[F.expr(x) for x in _sums(p)]), keys, p), p, consistency(CORE, p)), "mcd")
+    far = F.avg((squared_distance(p) > max_distance ** 2).cast("double"))
+    spoilt = written(_group_join(rows, firm, keys).groupBy(*keys).agg(far.alias("far")).where(F.col("far") > 1 - support).drop("far"), "mcd")
+    same = [F.col(f"__p_{k}").eqNullSafe(F.col(k)) for k in keys]
+    kept = plain.join(spoilt.select(*[F.col(k).alias(f"__p_{k}") for k in keys]), reduce(lambda a, b: a & b, same), "left_anti")
+    return written(kept.unionByName(_group_join(firm, spoilt, keys)), "mcd")
+
+
 def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float = 0.75, steps: int = 4,
           max_distance: float = 5.5, min_group: int = 50) -> DataFrame:
     """``stats`` (from ``base_statistics``, as a written table: it is read
@@ -250,7 +312,7 @@ def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float =
 
     xs = [f"x_{i}" for i in range(p)]
     levels = reduce(DataFrame.unionByName, [fit_rows.select(F.lit(k).alias("level"), *at(k), *xs) for k in needed or [0]])
-    params = fit(levels, ["level", *own], support, steps)
+    params = fit(levels, ["level", *own], support, steps, max_distance, F.col("level") == len(keys))
     params = params.select("level", *own, F.array(*[F.col(f"m_{i}") for i in range(p)]).alias("__mcd_m"),
                            F.array(*[F.col(f"r_{i}_{j}") for i in range(p) for j in range(i + 1)]).alias("__mcd_r"))
     served = chosen.select(*[F.col(v).alias(f"{v}g") for v in own], "level",

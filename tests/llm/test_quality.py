@@ -75,3 +75,16 @@ def test_statistics_of_one_text(spark, text):
 
 def test_chi_square():
     assert math.isclose(Q.chi2_cdf(22.458, 6), 0.999, abs_tol=1e-5) and math.isclose(Q.chi2_cdf(2.0, 2), 1 - math.exp(-1), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("bad", ["w# " * 3 + "a b c # d e f g h i j k l m n o p q r s t u v w x y z", "AB. CDE; FGH, IJ! " + " ".join(f"KLMNOPQRSTUVW{chr(65 + i)}" for i in range(20))])
+def test_a_third_of_a_group_is_one_bad_text(spark, bad):
+    rng = np.random.default_rng(3)
+
+    def text():
+        return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) + ("." if rng.random() < 0.1 else "") for _ in range(60))
+
+    rows = [(i, text(), "en", "big", None) for i in range(120)] + [(200 + i, bad, "en", "big", None) for i in range(60)]
+    rows += [(400 + i, text(), "en", "clean", None) for i in range(60)]
+    got = run(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == {i for i, *_ in rows if not 200 <= i < 300}
