@@ -4,9 +4,10 @@ Every page becomes a tree of elements. A node's composite density is its
 characters per tag, weighed down by the share of link characters and link tags
 beneath it; its density sum adds up its children's densities and its own text.
 The node with the largest sum is the page's core. The lowest density on the
-path from it up to the body is the threshold: the core is widened to the
-enclosing article, or, where the page marks none, joined by the largest-sum
-subtrees of the other nodes that reach the threshold.
+path from it up to the body is the threshold: the core is joined by the
+largest-sum subtrees of the other nodes that reach the threshold. An article
+or main element that covers all of these is taken whole, else each of them
+widens to the outermost article around it.
 
 Elements that never hold an article's text (menus, page headers and footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
@@ -215,15 +216,11 @@ def core(page: Page) -> list[tuple[int, int]]:
     best = max(range(n), key=lambda i: (total[i], -i))
     if total[best] <= 0:
         return []
-    path, article = [], None
+    path = []
     at = best
     while at > 0 and page.tag[at] not in ("body", "html"):
         path.append(at)
         at = page.parent[at]
-    for name in ("article", "main"):
-        article = next((i for i in path if page.tag[i] == name), article)
-        if article is not None:
-            return [(article, page.end[article])]
     threshold = min((density[i] for i in [*path, at]), default=0.0)
     keep = [(best, page.end[best])]
     i = 1
@@ -237,7 +234,19 @@ def core(page: Page) -> list[tuple[int, int]]:
             if total[top] > 0:
                 keep.append((top, page.end[top]))
             i = page.end[i]
-    return sorted(keep)
+    keep.sort()
+    for name in ("article", "main"):
+        over = next((j for j in range(1, n) if page.tag[j] == name and j <= keep[0][0] and keep[-1][1] <= page.end[j]), None)
+        if over is not None:
+            return [(over, page.end[over])]
+    wide: list[tuple[int, int]] = []
+    for a, b in keep:
+        at = top = a
+        while at > 0:
+            top, at = (at if page.tag[at] == "article" else top), page.parent[at]
+        if not wide or wide[-1][1] <= a:
+            wide.append((top, page.end[top]))
+    return wide
 
 
 def main_text(source: str) -> str:

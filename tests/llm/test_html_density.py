@@ -61,3 +61,16 @@ def test_rows_and_nulls(spark):
     got = sorted(((r.id, r.url, r.text, r.n_chars) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0), (2, None, "", 0), (3, "v", ("word " * 200_000).strip(), 999_999)], key=str)
     assert extract(df.where("1 = 0")).count() == 0
+
+
+SECOND = "Another part of the same text follows in a block of its own, with a fair number of plain words as well."
+
+
+def test_sibling_and_nested_articles():
+    one, two = f"<article><h1>One</h1><p>{PROSE}</p><p>{PROSE}</p></article>", f"<article><p>{SECOND}</p><p>{SECOND}</p></article>"
+    menu = "<ul>" + "<li><a href=x>Go</a></li>" * 12 + "</ul>"
+    want = f"One\n{PROSE}\n{PROSE}\n{SECOND}\n{SECOND}"
+    assert main_text(f"<body>{menu}<main>{one}{two}</main></body>") == want
+    assert main_text(f"<body>{menu}<div>{one}{two}</div></body>") == want
+    nested = f"<article><p>{PROSE}</p><article><p>{SECOND}</p><p>{SECOND}</p><p>{SECOND}</p></article><p>{PROSE}</p></article>"
+    assert main_text(f"<body>{menu}{nested}</body>") == "\n".join([PROSE, SECOND, SECOND, SECOND, PROSE])
