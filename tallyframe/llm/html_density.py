@@ -11,7 +11,8 @@ widens to the outermost article around it.
 
 Elements that never hold an article's text (menus, page headers and footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
-out of the tree by their tag or by the words of their class, id and role.
+out of the tree by their tag or by their class, id and role, unless they hold
+an article or main element, or, where the page has none, the densest subtree.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +46,13 @@ CHROME = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist discussion "
     "disqus reply replies respond breadcrumb breadcrumbs share sharing social newsletter subscribe subscription signup login popup modal "
     "overlay related recommended widget pagination pager toolbar alert search form skip".split())
+#: Words that stand beside those in a name that is still one of chrome.
+BESIDE = frozenset("site page top bottom left right primary secondary inner outer box block wrapper wrap container area section list item items "
+                   "links link bar content posts articles buttons icons policy".split())
+#: Words that also name parts of an article: there the density decides.
+EITHER = frozenset("header notice alert share sharing related recommended search form skip discussion reply replies respond subscription promotion widget".split())
 FRAME = frozenset(("html", "body", "article", "main"))
+STRONG, WEAK = 2, 1
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""")
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -57,12 +65,15 @@ class Page:
 
     def __init__(self, source: str, by_name: bool = True):
         self.tag, self.parent, self.end, self.pieces = ["#"], [-1], [0], []
+        self._named = [0]
         self._stack: list[tuple[str, int, bool]] = [("#", 0, False)]
         self._open_p = -1
         self._by_name = by_name
         self._read(source)
         self._cut(1)
         self.end[0] = len(self.tag)
+        if any(self._named):
+            self._prune()
 
     def _cut(self, depth: int) -> None:
         """Close all elements from ``depth`` of the stack on."""
@@ -75,12 +86,44 @@ class Page:
         if self._open_p >= depth:
             self._open_p = -1
 
-    def _chrome(self, tag: str, attrs: str) -> bool:
-        if tag in NOT_TEXT or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self._stack)):
-            return True
+    def _prune(self) -> None:
+        """Drop the elements named as chrome."""
+        density, total = densities(self)
+        holders = [i for i, t in enumerate(self.tag) if t in ("article", "main")]
+        holders = holders or [max(range(len(self.tag)), key=lambda i: (total[i], -i))]
+        gone = [False] * len(self.tag)
+        for i, how in enumerate(self._named):
+            if gone[i] or not how or (how == WEAK and density[i] >= density[0]):
+                continue
+            at = bisect_left(holders, i)
+            if at == len(holders) or holders[at] >= self.end[i]:
+                gone[i:self.end[i]] = [True] * (self.end[i] - i)
+        new, n = [], 0
+        for x in gone:
+            new.append(n)
+            n += not x
+        new.append(n)
+        stay = [i for i, x in enumerate(gone) if not x]
+        self.pieces = [(new[i], text) for i, text in self.pieces if not gone[i]]
+        self.parent = [-1 if self.parent[i] < 0 else new[self.parent[i]] for i in stay]
+        self.end = [new[self.end[i]] for i in stay]
+        self.tag = [self.tag[i] for i in stay]
+        self._named = [self._named[i] for i in stay]
+
+    def _skipped(self, tag: str) -> bool:
+        return tag in NOT_TEXT or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self._stack))
+
+    def _chrome(self, tag: str, attrs: str) -> int:
         if not self._by_name or tag in FRAME or not attrs or tag not in BLOCK and tag not in ("span", "a"):
-            return False
-        return any(w in CHROME for m in _NAMES.finditer(attrs) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
+            return 0
+        found = 0
+        for m in _NAMES.finditer(attrs):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                words = _WORDS.findall(name)
+                if all(w in CHROME or w in BESIDE or w.isdigit() for w in words):
+                    sure = any(w in CHROME and (w not in EITHER or m[1].lower() == "role") for w in words)
+                    found = max(found, STRONG if sure else WEAK if any(w in EITHER for w in words) else 0)
+        return found
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK and self._open_p >= 0:
@@ -97,15 +140,17 @@ class Page:
         if tag in VOID:
             if not skipped:
                 self.tag.append(tag)
+                self._named.append(0)
                 self.parent.append(at)
                 self.end.append(len(self.tag))
                 self.pieces.append((at, None if tag == "hr" else " " if tag == "br" else ""))
             return
-        if skipped or self._chrome(tag, attrs):
+        if skipped or self._skipped(tag):
             self._stack.append((tag, at, True))
             return
         node = len(self.tag)
         self.tag.append(tag)
+        self._named.append(self._chrome(tag, attrs))
         self.parent.append(at)
         self.end.append(0)
         if tag in BLOCK:

@@ -74,3 +74,10 @@ def test_sibling_and_nested_articles():
     assert main_text(f"<body>{menu}<div>{one}{two}</div></body>") == want
     nested = f"<article><p>{PROSE}</p><article><p>{SECOND}</p><p>{SECOND}</p><p>{SECOND}</p></article><p>{PROSE}</p></article>"
     assert main_text(f"<body>{menu}{nested}</body>") == "\n".join([PROSE, SECOND, SECOND, SECOND, PROSE])
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "content-with-sidebar", "post-header", "ad-free", "share-price", "sidebar", "related"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "{}"])
+def test_wrappers_named_like_chrome_stay(name, inner):
+    text = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    assert main_text(f'<body><p>One line.</p><div class="{name}">{inner.format(text)}</div></body>').endswith(f"{PROSE}\n{PROSE}")
