@@ -118,8 +118,8 @@ from r
 
 def op3_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: listed rules, else trust and distrust
-    spread over the links between hosts."""
-    return url_graph.judge(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    spread over the links between hosts, in the rounds that its SQL unrolls."""
+    return url_graph.judge(read_table(spark, sf_dir, "pages"), rounds=url_graph.ROUNDS).withColumnRenamed("id", "page_id")
 
 
 def _sql_url_graph() -> str:

@@ -18,7 +18,11 @@ from tallyframe.llm.common import written
 #: (verdict, host, path): fixed by the task.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
+#: Rounds that the query's SQL unrolls.
 ROUNDS = 10
+#: Largest relative change of any host's value over ``CHUNK`` rounds at which the spread has settled.
+TOLERANCE = 1e-6
+CHUNK = 5
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host of an absolute or scheme-relative link.
@@ -50,11 +54,14 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return e.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``(host, trust, distrust)`` of every host that gets any.
 
     ``seeds`` has ``(kind, host)``, kind ``t`` or ``b``; each kind's seeds
-    share mass 1. Mass that reaches a host without links on is lost.
+    share mass 1. Mass that reaches a host without links on is lost. Rounds go
+    on until no host is newly reached and no value changes by more than
+    ``TOLERANCE`` of itself, however far a host lies from the seeds; a given
+    number of ``rounds`` is run as it is.
     """
     seeds = written(seeds.distinct(), "seeds")
     total = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -68,17 +75,25 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
         back = edges.join(into, "dst").select(F.lit("b").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.lit(1.0) / F.col("n")).alias("w"))
         flows = written(forth.unionByName(back), "flows")
         again = start.select("kind", "host", (F.col("v") * (1 - damping)).alias("v"))
-        for step in range(1, rounds + 1):
+        before, step = start, 0
+        while rounds is None or step < rounds:
+            step += 1
             moved = flows.join(state, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("v") * F.col("w") * damping).alias("v"))
             state = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("v").alias("v"))
-            if step % 5 == 0:
+            if step % CHUNK == 0:
                 state = written(state, "spread")
+                if rounds is None:
+                    was = before.select("kind", "host", F.col("v").alias("was"))
+                    moves = F.col("was").isNull() | (F.abs(F.col("v") - F.col("was")) > F.col("v") * TOLERANCE)
+                    if state.join(was, ["kind", "host"], "left").where(moves).isEmpty():
+                        break
+                    before = state
     return state.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"),
                                      F.sum(F.when(F.col("kind") == "b", F.col("v")).otherwise(0.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES,
-          threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+          threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
     """One row per row of ``pages``: ``id``, ``host``, ``path``, ``rule``,
     ``verdict`` and the host's ``distrust`` share (null where it gets none).
 

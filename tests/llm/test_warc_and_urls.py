@@ -72,3 +72,33 @@ def test_spread_equals_power_iteration(spark):
     t, b = power(edges, {"h0": 0.5, "h1": 0.5}), power([(y, x) for x, y in edges], {"h5": 1.0})
     for h in hosts:
         assert abs(got.get(h, (0, 0))[0] - t.get(h, 0)) < 1e-12 and abs(got.get(h, (0, 0))[1] - b.get(h, 0)) < 1e-12
+
+
+def test_spread_settles_beyond_ten_links(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(14)] + [("c14", "bad"), ("good", "c3"), ("c3", "c1"), ("c7", "good")]
+    got = {r.host: (r.trust, r.distrust) for r in url_graph.spread(
+        spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("t", "good"), ("b", "bad")], "kind string, host string")).collect()}
+
+    def settle(pairs, seed):
+        out = {}
+        for a, _ in pairs:
+            out[a] = out.get(a, 0) + 1
+        v = {seed: 1.0}
+        for _ in range(600):
+            nxt = {seed: 0.15}
+            for a, b in pairs:
+                nxt[b] = nxt.get(b, 0) + 0.85 * v.get(a, 0) / out[a]
+            v = nxt
+        return v
+
+    t, b = settle(chain, "good"), settle([(y, x) for x, y in chain], "bad")
+    for h in {x for e in chain for x in e}:
+        for have, want in zip(got.get(h, (0, 0)), (t.get(h, 0), b.get(h, 0)), strict=True):
+            assert abs(have - want) <= 1e-5 * want
+    assert got["c0"][1] > 0
+
+
+def test_distrust_reaches_a_host_fifteen_links_away(spark):
+    rows = [(i, f"http://h{i}.com/", f"<a href='http://{'bad.net' if i == 14 else f'h{i + 1}.com'}/'>x</a>") for i in range(15)] + [(99, "http://bad.net/", "")]
+    got = {r.id: r.verdict for r in url_graph.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}
