@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and their registered queries.
+"""Training-data operators: thirteen corpus operators and their registered queries.
 
 Nothing else in the library imports this subpackage. Each module holds one
 operator with its general interface; ``queries`` registers the thin query of

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, html_density, mixture, ngram_join, pii, quality, toxicity, url_graph, warc, word_pieces
+from tallyframe.llm import (decontaminate, html_density, infill, mixture, ngram_join, packing, pii, quality, toxicity, url_graph,
+                            warc, whitening, word_pieces)
 from tallyframe.llm.common import written
 from tallyframe.sources.tables import read_table
 
@@ -178,6 +179,52 @@ def op9_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.count_pieces(read_table(spark, sf_dir, "documents"), VOCABULARY, spelled=True).withColumnRenamed("id", "doc_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, one row per vector and component."""
+    w = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    cells = w.select(F.col("id").alias("vec_id"), "n", "deviation", "deviation_digits", "identity_error",
+                     F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return cells.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+                        F.col("c.explained").alias("explained"), "identity_error", "deviation_digits")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    pieces = packing.tokenized(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")), "pack-pieces")  # the ids stay in the table
+    return packing.pack(pieces.drop("ids")).withColumnRenamed("id", "doc_id").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and its text rebuilt."""
+    f = infill.infill(read_table(spark, sf_dir, "documents"))
+    return f.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+SQL_INFILL = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (
+  select *, string_split(text, chr(10)) as parts, len(string_split(text, chr(10))) - case when text = '' or right(text, 1) = chr(10) then 1 else 0 end as n,
+    [cast('0x' || substr(h, 1 + 8 * i, 8) as bigint) for i in [0, 1, 2, 3]] as r from d),
+c as (
+  select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 100 then 'plain'
+      when r[4] % 100 < 50 then 'spm' else 'psm' end as form from u),
+e as (
+  select *, case when a = n then text when a = 0 then '' else array_to_string(parts[1:a], chr(10)) || chr(10) end as p,
+    case when b = n then text when b = 0 then '' else array_to_string(parts[1:b], chr(10)) || chr(10) end as pm from c),
+f as (select *, substr(pm, length(p) + 1) as m, substr(text, length(pm) + 1) as s from e)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+from f
+"""
+
+
 QUERIES = {
     "op1_html_text_density": (op1_html_text_density, None),
     "op2_warc_archive": (op2_warc_archive, SQL_WARC),
@@ -189,4 +236,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": (op8_ngram_jaccard_join, None),
     "op9_word_piece_counts": (op9_word_piece_counts, None),
     "op10_source_mixture": (op10_source_mixture, SQL_MIXTURE),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
+    "op12_best_fit_packing": (op12_best_fit_packing, None),
+    "op13_fill_in_middle": (op13_fill_in_middle, SQL_INFILL),
 }
