@@ -27,7 +27,7 @@ COMPONENTS = 32
 BLOCK = 4096
 #: Larger numbers are held here, so that they stay whole 64-bit numbers.
 LARGEST = 2 ** 61
-#: An eigenvalue below this share of the largest counts as none.
+#: An eigenvalue below this share of its component's summed variances counts as none.
 NONE = 1e-13
 _LIMB = 32
 
@@ -171,7 +171,7 @@ class Whitening:
         e, q = eigenvectors(cov)
         trace = sum(n * cross[i, i] - sums[i] ** 2 for i in range(width)) / square
         k = min(components, width)
-        self.held = e[:k] > NONE * max(e.max(initial=0.0), 0.0)
+        self.held = e[:k] > NONE * (np.diag(cov) @ q[:, :k] ** 2)
         self.root = np.where(self.held, np.sqrt(np.where(self.held, e[:k], 1.0)), np.nan)
         self.components = q[:, :k]
         self.explained = np.where(self.held, e[:k] / trace if trace > 0 else 0.0, 0.0)
