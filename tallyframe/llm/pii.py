@@ -35,8 +35,10 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Documents whose base labels train the potentials (expected number).
 SAMPLE = 20_000
-ROUNDS = 10
-DAMPING = 0.3
+#: Share of the old message in a new one; rounds between two looks at the
+#: messages, and the largest change of a document's that has settled; rounds
+#: after which the damping grows, so that every document settles.
+DAMPING, LOOK, SETTLED, PATIENCE = 0.3, 8, 1e-6, 200
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -75,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x := part.lstrip("0")) < 4 and int(x or "0") <= 255 for part in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -231,36 +233,53 @@ class Field:
         # a value that is none of the kinds in one place is weak evidence for another place
         self.skip[NONE, NONE] = min(self.skip[NONE, NONE], 1.0)
 
-    def marginals(self, codes: np.ndarray, seen: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Label marginals after ``ROUNDS`` rounds of damped messages."""
+    def marginals(self, codes: np.ndarray, seen: np.ndarray, chain: np.ndarray, skip: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Label beliefs after damped messages have settled, document by
+        document (``doc`` names a node's), so that a label does not depend on
+        the documents beside it. Damping grows with the rounds, so messages
+        that swing come to rest as well."""
         node = self.unary[codes].copy()
         known = np.flatnonzero(seen >= 0)
         node[known] = -30.0
         node[known, seen[known]] = 0.0
+        out_belief = node.copy()
         ends = np.vstack([chain.reshape(-1, 2), skip.reshape(-1, 2)]).astype(np.int64)
-        if not len(ends):
-            return node
         n = len(ends)
         src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
         psi = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
         psi = np.concatenate([psi, psi])  # both potentials are symmetric
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         msg = np.zeros((2 * n, NONE + 1))
-        for _ in range(ROUNDS):
-            belief = node.copy()
-            np.add.at(belief, dst, msg)
-            out = (belief[src] - msg[back])[:, :, None] + psi
-            top = out.max(axis=1, keepdims=True)
-            new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-            new -= new.max(axis=1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
-        belief = node.copy()
-        np.add.at(belief, dst, msg)
-        return belief
+        damping, step = DAMPING, 0
+        while len(src):
+            nodes, at = np.unique(dst, return_inverse=True)  # every edge has its way back here
+            start = np.searchsorted(nodes, src)
+            for _ in range(LOOK):
+                belief = node[nodes]
+                np.add.at(belief, at, msg)
+                out = (belief[start] - msg[back])[:, :, None] + psi
+                top = out.max(axis=1, keepdims=True)
+                new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+                new -= new.max(axis=1, keepdims=True)
+                new = damping * msg + (1 - damping) * new
+                moved, msg = np.abs(new - msg).max(axis=1), new
+                step += 1
+                if step % PATIENCE == 0:
+                    damping = (1 + damping) / 2
+            docs, of = np.unique(doc[src], return_inverse=True)
+            worst = np.zeros(len(docs))
+            np.maximum.at(worst, of, moved)
+            rest = worst[of] <= SETTLED
+            if rest.any():
+                np.add.at(out_belief, dst[rest], msg[rest])
+                live = ~rest
+                back = (np.cumsum(live) - 1)[back[live]]
+                src, dst, psi, msg = src[live], dst[live], psi[live], msg[live]
+        return out_belief
 
     def find(self, texts: list[str]) -> list[tuple[list, list]]:
         """``(base spans, added spans)`` of every text."""
-        docs, codes, seen, chain, skip, open_docs = [], [], [], [], [], []
+        docs, codes, seen, chain, skip, open_docs, doc = [], [], [], [], [], [], []
         for t in texts:
             base, nodes, obs, c, s = graph(t)
             docs.append((base, []))
@@ -268,11 +287,12 @@ class Field:
                 at = len(codes)
                 codes += [shape(t[a:b]) for a, b in nodes]
                 seen += obs
+                doc += [len(docs)] * len(nodes)
                 chain += [(at + i, at + j) for i, j in c]
                 skip += [(at + i, at + j) for i, j in s]
                 open_docs.append((len(docs) - 1, at, nodes))
         if codes:
-            best = self.marginals(np.array(codes), np.array(seen), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)).argmax(axis=1)
+            best = self.marginals(np.array(codes), np.array(seen), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), np.array(doc)).argmax(axis=1)
             for d, at, nodes in open_docs:
                 docs[d][1].extend((a, int(best[at + i]), b) for i, (a, b) in enumerate(nodes) if seen[at + i] < 0 and best[at + i] != NONE)
         return docs

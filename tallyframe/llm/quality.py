@@ -1,18 +1,15 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Every text gets a vector of transformed statistics. For each (language,
-source) group the minimum covariance determinant is estimated over all rows
-of the group by concentration steps: from a median / interquartile start, the
-share ``support`` of the rows with the smallest Mahalanobis distances gives
-the next mean and covariance. Rows farther than ``max_distance`` robust
-standard deviations from their group are rejected.
-
-Such an estimate withstands a share of ``1 - support`` of bad rows. A second
-one with the greatest breakdown point (half of the rows from a median /
-absolute deviation start, then reweighted) is made beside it, and takes its
-place in every group in which it finds more bad rows than that, so a group of
-copies does not shape the estimate that judges it. Estimates shared by small
-groups mix sources, a part of which may differ as a whole; they keep the first.
+source) group the minimum covariance determinant of half of its rows is
+estimated by concentration steps: from a median / median absolute deviation
+start, the half of the rows with the smallest Mahalanobis distances gives the
+next mean and covariance. The estimate is reweighted once: the rows within the
+``CORE`` quantile of its distances give the final mean and covariance. Rows
+farther than ``max_distance`` robust standard deviations from their group are
+rejected. Half is the greatest breakdown point there is, so a group of copies
+does not shape the estimate that judges it; it is the same estimate for every
+group, whatever its size and its share of bad rows.
 
 Only DataFrame functions run. A concentration step is one scan of the narrow
 statistics table: distances fall into logarithmic bins, counts and moments are
@@ -42,8 +39,8 @@ UNIT = 100
 #: statistic that is constant over the support set stays usable.
 RIDGE = (0.05, 0.05, 0.05, 0.05, 0.10, 0.10)
 BINS_PER_OCTAVE = 4
-#: Support of the estimate with the greatest breakdown point, and the share of
-#: a normal sample that its reweighting keeps.
+#: Support of the estimate (the greatest breakdown point), and the share of a
+#: normal sample that its reweighting keeps.
 HALF, CORE = 0.5, 0.975
 
 
@@ -216,12 +213,6 @@ def _wide(g: DataFrame, keys: list[str], p: int) -> DataFrame:
 
 
 def _start(counts: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Median and interquartile scale of every statistic and group."""
-    g = _ranked(counts, keys, "x").groupBy(*keys, "dim").agg(_quantile("x", 0.25).alias("a"), _quantile("x", 0.5).alias("m"), _quantile("x", 0.75).alias("b"))
-    return _wide(g.withColumn("scale", (F.col("b") - F.col("a")) / 1.349), keys, p)
-
-
-def _firm_start(counts: DataFrame, keys: list[str], p: int) -> DataFrame:
     """Median and median absolute deviation of every statistic and group."""
     c = _ranked(counts, keys, "x").withColumn("m", _quantile("x", 0.5).over(Window.partitionBy(*keys, "dim")))
     c = c.groupBy(*keys, "dim", "m", F.abs(F.col("x") - F.col("m")).alias("off")).agg(F.sum("n").alias("n"))
@@ -263,28 +254,17 @@ def _concentrated(rows: DataFrame, keys: list[str], start: DataFrame, support: f
     return params
 
 
-def fit(rows: DataFrame, keys: list[str], support: float = 0.75, steps: int = 4, max_distance: float = 5.5,
-        guarded: Column | None = None) -> DataFrame:
-    """Location ``m_i`` and inverse root ``r_i_j`` of every group, by the
-    ``support`` share of its rows, or by the reweighted estimate from half of
-    them where that finds a larger share than ``1 - support`` beyond
-    ``max_distance``; the second only for groups of ``guarded`` rows."""
+def fit(rows: DataFrame, keys: list[str], support: float = HALF, steps: int = 4) -> DataFrame:
+    """Location ``m_i`` and inverse root ``r_i_j`` of every group: the estimate
+    from the ``support`` share of its rows, reweighted."""
     p = len(FEATURES)
-    counts = written(_counts(rows, keys, p), "mcd")
-    plain = _concentrated(rows, keys, _start(counts, keys, p), support, steps)
-    if guarded is not None:
-        rows, counts = rows.where(guarded), counts.where(guarded)
-    half = _concentrated(rows, keys, _firm_start(counts, keys, p), HALF, steps)
+    half = _concentrated(rows, keys, _start(_counts(rows, keys, p), keys, p), support, steps)
     core = _group_join(rows, half, keys).where(squared_distance(p) <= chi2_quantile(CORE, p))
-    firm = written(_inverse_root(_moments(core.groupBy(*keys).agg(*[F.expr(x) for x in _sums(p)]), keys, p), p, consistency(CORE, p)), "mcd")
-    far = F.avg((squared_distance(p) > max_distance ** 2).cast("double"))
-    spoilt = written(_group_join(rows, firm, keys).groupBy(*keys).agg(far.alias("far")).where(F.col("far") > 1 - support).drop("far"), "mcd")
-    same = [F.col(f"__p_{k}").eqNullSafe(F.col(k)) for k in keys]
-    kept = plain.join(spoilt.select(*[F.col(k).alias(f"__p_{k}") for k in keys]), reduce(lambda a, b: a & b, same), "left_anti")
-    return written(kept.unionByName(_group_join(firm, spoilt, keys)), "mcd")
+    sums = core.groupBy(*keys).agg(*[F.expr(x) for x in _sums(p)])
+    return written(_inverse_root(_moments(sums, keys, p), p, consistency(CORE, p)), "mcd")
 
 
-def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float = 0.75, steps: int = 4,
+def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float = HALF, steps: int = 4,
           max_distance: float = 5.5, min_group: int = 50) -> DataFrame:
     """``stats`` (from ``base_statistics``, as a written table: it is read
     several times) with ``base_failed``, ``distance`` and ``kept`` under
@@ -312,7 +292,7 @@ def judge(stats: DataFrame, keys: list[str], prefix: str = "", support: float =
 
     xs = [f"x_{i}" for i in range(p)]
     levels = reduce(DataFrame.unionByName, [fit_rows.select(F.lit(k).alias("level"), *at(k), *xs) for k in needed or [0]])
-    params = fit(levels, ["level", *own], support, steps, max_distance, F.col("level") == len(keys))
+    params = fit(levels, ["level", *own], support, steps)
     params = params.select("level", *own, F.array(*[F.col(f"m_{i}") for i in range(p)]).alias("__mcd_m"),
                            F.array(*[F.col(f"r_{i}_{j}") for i in range(p) for j in range(i + 1)]).alias("__mcd_r"))
     served = chosen.select(*[F.col(v).alias(f"{v}g") for v in own], "level",

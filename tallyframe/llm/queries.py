@@ -73,8 +73,8 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_MIXTURE = r"""
 with d as materialized (
-  select *, cast('0x' || substr(md5(concat('mix-1:', coalesce(cast(doc_id as varchar), ''), ':', cast(size as varchar))), 1, 15) as bigint) as draw
-  from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+  select * exclude (text), cast('0x' || substr(md5(concat('mix-1:', coalesce(cast(doc_id as varchar), ''), ':', md5(text))), 1, 15) as bigint) as draw
+  from (select doc_id, source, coalesce(text, '') as text, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) as bigint) as size from documents)),
 s as (select source, sum(size) as total, row_number() over (order by source nulls last) as rank from d group by source),
 w as (select *, [5, 2, 1][(rank - 1) % 3 + 1] as weight, 2 * total as cap from s),
@@ -85,15 +85,12 @@ l as (
   from w),
 t as (select source, total, least(cap::double, max(level) over () * weight) as target from l),
 p as (select source, total, target, case when total > 0 then floor(target / total) else 0 end as whole from t),
-e as (
-  select source, draw, sum(size) as size, sum(sum(size)) over (partition by source order by draw rows between unbounded preceding and 1 preceding) as before
-  from d group by source, draw),
-c as (
-  select p.source, coalesce(max(draw) filter (where coalesce(before, 0) + size / 2 < target - whole * total), -1) as cut
-  from p join e on p.source is not distinct from e.source group by p.source)
+o as (
+  select *, sum(size) over (partition by source order by draw, copy rows unbounded preceding) - size / 2 as middle
+  from (select *, row_number() over (partition by source, draw) as copy from d))
 select doc_id, size, cast(total as bigint) as source_size, target,
-  cast(size * (whole + case when draw <= cut then 1 else 0 end) as bigint) as taken
-from d join p on d.source is not distinct from p.source join c on d.source is not distinct from c.source
+  cast(size * (whole + case when middle < target - whole * total then 1 else 0 end) as bigint) as taken
+from o join p on o.source is not distinct from p.source
 """
 
 

@@ -39,7 +39,7 @@ def half_up(x):
     return math.floor(x + 0.5)
 
 
-def quality(docs, support=0.75, steps=4, max_distance=5.5, min_group=50):
+def quality(docs, support=0.5, steps=4, max_distance=5.5, min_group=50):
     """docs: (text, lang, source) -> (statistics, base_failed, distance or None, kept)."""
     from tallyframe.llm import quality as Q
 
@@ -53,18 +53,27 @@ def quality(docs, support=0.75, steps=4, max_distance=5.5, min_group=50):
 
     def estimate(members):
         y = x[members]
-        q = [np.sort(y, axis=0)[math.ceil(len(y) * f) - 1] for f in (0.25, 0.5, 0.75)]
-        mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
-        for step in range(steps + 1):
-            root = np.linalg.inv(np.linalg.cholesky(cov * (Q.consistency(support, p) if step == steps else 1.0) + ridge))
-            if step == steps:
-                return mean, root
-            d2 = (((y - mean) @ root.T) ** 2).sum(axis=1)
+
+        def middle(v):
+            return np.sort(v, axis=0)[math.ceil(len(v) / 2) - 1]
+
+        def root(cov, factor):
+            return np.linalg.inv(np.linalg.cholesky(cov * factor + ridge))
+
+        def moments(v):
+            mean = v.mean(axis=0)
+            return mean, v.T @ v / len(v) - np.outer(mean, mean)
+
+        mean = middle(y)
+        inverse = root(np.diag((1.4826 * middle(abs(y - mean))) ** 2), 1.0)
+        for step in range(steps):
+            d2 = (((y - mean) @ inverse.T) ** 2).sum(axis=1)
             bins = np.floor(np.log2(d2 + 2.0 ** -6) * Q.BINS_PER_OCTAVE)
             cut = next(b for b in sorted(set(bins)) if (bins <= b).sum() >= support * len(y))
-            inner = y[bins <= cut]
-            mean = inner.mean(axis=0)
-            cov = inner.T @ inner / len(inner) - np.outer(mean, mean)
+            mean, cov = moments(y[bins <= cut])
+            inverse = root(cov, Q.consistency(support, p) if step == steps - 1 else 1.0)
+        mean, cov = moments(y[(((y - mean) @ inverse.T) ** 2).sum(axis=1) <= Q.chi2_quantile(Q.CORE, p)])
+        return mean, root(cov, Q.consistency(Q.CORE, p))
 
     good = [i for i in range(len(docs)) if not failed[i]]
     keys = [[i for i in good if docs[i][1:] == k] for k in {docs[i][1:] for i in good}]
@@ -174,7 +183,7 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
 def mixture(docs):
     """docs: (doc_id, text, source) -> (size, target, times)."""
     size = [len(SPACE_WORD.findall(t or "")) for _, t, _ in docs]
-    draw = [int(hashlib.md5(f"mix-1:{'' if i is None else i}:{n}".encode()).hexdigest()[:15], 16) for (i, _, _), n in zip(docs, size)]
+    draw = [int(hashlib.md5(f"mix-1:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16) for i, t, _ in docs]
     total = Counter()
     for (_, _, s), n in zip(docs, size):
         total[s] += n
@@ -183,15 +192,9 @@ def mixture(docs):
     for s in total:
         whole = math.floor(goal[s] / total[s]) if total[s] else 0
         rest, before = goal[s] - whole * total[s], 0
-        mine = sorted((draw[i], i) for i in range(len(docs)) if docs[i][2] == s)
-        taken = set()
-        for d, group in itertools.groupby(mine, key=lambda x: x[0]):
-            n = sum(size[i] for _, i in group)
-            if before + n / 2 < rest:
-                taken.add(d)
-            before += n
-        for d, i in mine:
-            times[i] = whole + (d in taken)
+        for _, i in sorted((draw[i], i) for i in range(len(docs)) if docs[i][2] == s):
+            times[i] = whole + (before + size[i] / 2 < rest)
+            before += size[i]
     return [(n, goal[d[2]], t) for n, d, t in zip(size, docs, times)]
 
 

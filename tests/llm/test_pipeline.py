@@ -82,6 +82,23 @@ def test_mixture_against_plain_version(spark):
     assert Counter((str(r.id), r.size, round(r.target, 6), r.taken) for r in mixing.mixture(docs).collect()) == Counter(want)
 
 
+def test_equal_rows_are_taken_by_count(spark):
+    same = [(None, "word " * 10, "en", "a")] * 1000 + [(7, "other word", "en", "a")] * 333 + [(i, "one two three", "en", "b") for i in range(400)]
+    docs = spark.createDataFrame(same, "doc_id bigint, text string, lang string, source string").repartition(6)
+    rows = mixing.mixture(docs).toPandas()
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert (abs(by.taken - by.target) <= by.most / 2 + 1e-6).all() and len(rows) == len(same)
+    mixed = mixing.mix(docs)
+    assert Counter(r.source for r in mixed.collect() for _ in r.text.split()) == {s: int(t) for s, t in by.taken.items()}
+
+
+def test_a_large_bucket_is_refined(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 700, f"w{i % 900} " * (1 + i % 7), "en", f"s{i % 2}") for i in range(3000)], "doc_id bigint, text string, lang string, source string")
+    want = Counter((r.id, r.size, r.taken) for r in mixing.mixture(docs).collect())
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert Counter((r.id, r.size, r.taken) for r in mixing.mixture(docs).collect()) == want
+
+
 def test_oracle_is_absent_because_stages_are_iterative():
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_dedup", "benchmark_decontamination", "personal_data", "source_mix"]

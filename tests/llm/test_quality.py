@@ -88,3 +88,17 @@ def test_a_third_of_a_group_is_one_bad_text(spark, bad):
     rows += [(400 + i, text(), "en", "clean", None) for i in range(60)]
     got = run(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     assert not any(r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == {i for i, *_ in rows if not 200 <= i < 300}
+
+
+def test_small_sources_with_two_fifths_of_bad_rows(spark):
+    rng = np.random.default_rng(4)
+
+    def text():
+        return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) + ("." if rng.random() < 0.1 else "") for _ in range(60))
+
+    bad = "AB. CDE; FGH, IJ! " + " ".join(f"KLMNOPQRSTUVW{chr(65 + i)}" for i in range(20))
+    rows = [(100 * s + i, bad if i < 12 else text(), "en", f"s{s}", None) for s in range(10) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = run(docs)
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[1] != bad}
+    check(docs.collect(), got)
