@@ -226,7 +226,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast(places)
     before = written(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n"), "pack-ranks")
     names = [c for c in pieces.columns if c not in ("part", "rank")]
-    ranked = pieces.join(before, ["length", "part"]).select(*names, (F.col("rank") + F.col("before")).alias("__rank"))
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).select(*names, (F.col("rank") + F.col("before")).alias("__rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
