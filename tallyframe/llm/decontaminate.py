@@ -3,21 +3,23 @@
 Benchmark items are cut into windows of ten words (an item of fewer words is
 one window). The distinct windows' hashes form the set that every document
 window is looked up in; hits are verified on the words themselves. Only
-DataFrame functions run: one scan generates the windows of a document inside
+DataFrame functions run: a scan generates the windows of a document inside
 whole-stage code and lets go of all but the hits, so nothing but hits is
-shuffled. The hash set is broadcast up to ``BROADCAST_WINDOWS`` windows; a
-larger one is joined by the planner's shuffle join instead.
+shuffled. The hash set is broadcast in parts of about ``BROADCAST_WINDOWS``
+windows, one scan each, so a broadcast is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import text_of, written
 
 WINDOW = 10
-#: About 60 MB as a hash relation; a wider benchmark takes the shuffle join.
+#: About 60 MB as a hash relation.
 BROADCAST_WINDOWS = 1_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: One word of the text as it stands (capitals are word characters there), with the gap before it.
@@ -72,12 +74,16 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     for k in lengths:
         h = F.when((F.col("k") == k) & (F.col("pos") >= 0), _hash("w", F.col("pos"), k)).otherwise(h)
     d = d.withColumn("h", h)
-    known = windows.select(F.col("h").alias("wh"), F.col("k").alias("wk"), F.lit(True).alias("known")).distinct()
-    if windows.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    d = d.join(known, (F.col("h") == F.col("wh")) & (F.col("k") == F.col("wk")), "left")
-    d = d.where("pos < 0 or known")
-    found = written(d.select("id", "text_hash", "n_words", "pos", "k", F.when(F.col("pos") >= 0, F.array_join(F.expr("slice(w, pos + 1, k)"), " ")).alias("win")), "leak-found")
+    known = written(windows.select(F.col("h").alias("wh"), F.col("k").alias("wk"), F.lit(True).alias("known")).distinct(), "leak-hashes")
+    parts = max(1, -(-known.count() // BROADCAST_WINDOWS))
+
+    def hits_of(part: int) -> DataFrame:
+        some = F.broadcast(known.where(F.pmod("wh", F.lit(parts)) == part))
+        mine = (F.col("pos") < 0) if part == 0 else F.lit(False)
+        hit = d.where(mine | (F.col("pos") >= 0)).join(some, (F.col("h") == F.col("wh")) & (F.col("k") == F.col("wk")), "left").where(mine | F.col("known"))
+        return hit.select("id", "text_hash", "n_words", "pos", "k", F.when(F.col("pos") >= 0, F.array_join(F.expr("slice(w, pos + 1, k)"), " ")).alias("win"))
+
+    found = reduce(DataFrame.unionByName, [written(hits_of(part), "leak-found") for part in range(parts)])
     texts = found.where("pos < 0").groupBy("id", "text_hash", "n_words").agg(F.count(F.lit(1)).alias("copies"))
     hits = found.where("pos >= 0").join(windows.select("k", "win"), ["k", "win"]).select("id", "text_hash", "pos", "k", "win").distinct()
     return texts, hits, items

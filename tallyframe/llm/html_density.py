@@ -13,6 +13,8 @@ Elements that never hold an article's text (menus, page headers and footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
 out of the tree by their tag or by their class, id and role, unless they hold
 an article or main element, or, where the page has none, the densest subtree.
+A name of such words and others is a sure mark only for adverts, notices and
+reader comments; for the rest the element's density decides.
 """
 
 from __future__ import annotations
@@ -51,6 +53,10 @@ BESIDE = frozenset("site page top bottom left right primary secondary inner oute
                    "links link bar content posts articles buttons icons policy".split())
 #: Words that also name parts of an article: there the density decides.
 EITHER = frozenset("header notice alert share sharing related recommended search form skip discussion reply replies respond subscription promotion widget".split())
+#: Words that mark an element whatever stands beside them in the name, and words that turn a mark into its opposite.
+SURE = frozenset("comment comments commentlist disqus ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo cookie "
+                 "cookies consent gdpr newsletter".split())
+TURNED = frozenset("no non not without has have with free hide hoc".split())
 FRAME = frozenset(("html", "body", "article", "main"))
 STRONG, WEAK = 2, 1
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""")
@@ -67,6 +73,8 @@ class Page:
         self.tag, self.parent, self.end, self.pieces = ["#"], [-1], [0], []
         self._named = [0]
         self._stack: list[tuple[str, int, bool]] = [("#", 0, False)]
+        self._open: dict[str, list[int]] = {}  # depths at which a tag is open, ascending
+        self._blocks: list[int] = []  # and those of the open blocks
         self._open_p = -1
         self._by_name = by_name
         self._read(source)
@@ -78,6 +86,9 @@ class Page:
     def _cut(self, depth: int) -> None:
         """Close all elements from ``depth`` of the stack on."""
         for tag, node, skipped in reversed(self._stack[depth:]):
+            self._open[tag].pop()
+            if tag in BLOCK:
+                self._blocks.pop()
             if not skipped:
                 self.end[node] = len(self.tag)
                 if tag in BLOCK:
@@ -86,6 +97,16 @@ class Page:
         if self._open_p >= depth:
             self._open_p = -1
 
+    def _push(self, tag: str, node: int, skipped: bool) -> None:
+        self._open.setdefault(tag, []).append(len(self._stack))
+        if tag in BLOCK:
+            self._blocks.append(len(self._stack))
+        self._stack.append((tag, node, skipped))
+
+    def _depth(self, tags) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
     def _prune(self) -> None:
         """Drop the elements named as chrome."""
         density, total = densities(self)
@@ -111,7 +132,7 @@ class Page:
         self._named = [self._named[i] for i in stay]
 
     def _skipped(self, tag: str) -> bool:
-        return tag in NOT_TEXT or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self._stack))
+        return tag in NOT_TEXT or (tag == "header" and not self._depth(("article", "main")))
 
     def _chrome(self, tag: str, attrs: str) -> int:
         if not self._by_name or tag in FRAME or not attrs or tag not in BLOCK and tag not in ("span", "a"):
@@ -123,6 +144,8 @@ class Page:
                 if all(w in CHROME or w in BESIDE or w.isdigit() for w in words):
                     sure = any(w in CHROME and (w not in EITHER or m[1].lower() == "role") for w in words)
                     found = max(found, STRONG if sure else WEAK if any(w in EITHER for w in words) else 0)
+                elif not any(w in TURNED for w in words):
+                    found = max(found, STRONG if any(w in SURE for w in words) else WEAK if any(w in CHROME for w in words) else 0)
         return found
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -130,12 +153,8 @@ class Page:
             self._cut(self._open_p)
         if tag in SIBLINGS:
             closes, stop = SIBLINGS[tag]
-            for depth in range(len(self._stack) - 1, 0, -1):
-                if self._stack[depth][0] in closes:
-                    self._cut(depth)
-                    break
-                if self._stack[depth][0] in stop:
-                    break
+            if (depth := self._depth(closes)) > self._depth(stop):
+                self._cut(depth)
         _, at, skipped = self._stack[-1]
         if tag in VOID:
             if not skipped:
@@ -146,7 +165,7 @@ class Page:
                 self.pieces.append((at, None if tag == "hr" else " " if tag == "br" else ""))
             return
         if skipped or self._skipped(tag):
-            self._stack.append((tag, at, True))
+            self._push(tag, at, True)
             return
         node = len(self.tag)
         self.tag.append(tag)
@@ -157,16 +176,14 @@ class Page:
             self.pieces.append((node, None))
         if tag == "p":
             self._open_p = len(self._stack)
-        self._stack.append((tag, node, False))
+        self._push(tag, node, False)
 
     def _finish(self, tag: str) -> None:
-        inline = tag not in BLOCK
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self._stack[depth][0] == tag:
-                self._cut(depth)
-                return
-            if inline and self._stack[depth][0] in BLOCK:
-                return
+        """An end tag closes its element; one of an inline element does not
+        reach out of its block, and a stray one does nothing."""
+        depth = self._depth((tag,))
+        if depth and (tag in BLOCK or not self._blocks or depth > self._blocks[-1]):
+            self._cut(depth)
 
     def _text(self, s: str) -> None:
         _, at, skipped = self._stack[-1]

@@ -116,8 +116,8 @@ from r
 
 def op3_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: listed rules, else trust and distrust
-    spread over the links between hosts, in the rounds that its SQL unrolls."""
-    return url_graph.judge(read_table(spark, sf_dir, "pages"), rounds=url_graph.ROUNDS).withColumnRenamed("id", "page_id")
+    spread over the links between hosts until every host has settled."""
+    return url_graph.judge(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
 def _sql_url_graph() -> str:
@@ -125,13 +125,8 @@ def _sql_url_graph() -> str:
     href = url_graph._HREF.replace("'", "''")
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_graph.RULES)
     d = url_graph.DAMPING
-    rounds = "".join(f""",
-s{i + 1} as materialized (
-  select kind, host, sum(v) as v from (
-    select f.kind, f.dst as host, {d} * s.v * f.w as v from s{i} s join f on f.kind = s.kind and f.host = s.host
-    union all select kind, host, {1 - d!r} * v from s0) group by kind, host)""" for i in range(url_graph.ROUNDS))
     return f"""
-with p as materialized (
+with recursive p as materialized (
   select row_number() over () as rid, page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 r(verdict, rh, rp) as (values {rules}),
@@ -141,13 +136,19 @@ m as materialized (
 e as materialized (
   select distinct src, dst from (
     select host as src, {low("unnest(regexp_extract_all(coalesce(html, ''), '" + href + "', 1))")} as dst from p) where src <> '' and src <> dst),
-sd as (select distinct case when listed = 'allow' then 't' else 'b' end as kind, host from p join m using (rid) where host <> ''),
-s0 as materialized (select kind, host, 1.0::double / count(*) over (partition by kind) as v from sd),
+own as materialized (
+  select host, avg(case when listed = 'allow' then 1.0::double else 0 end) as t, avg(case when listed = 'block' then 1.0::double else 0 end) as b
+  from p left join m using (rid) where host <> '' group by host),
 f as materialized (
   select 't' as kind, src as host, dst, 1.0::double / count(*) over (partition by src) as w from e
-  union all select 'b', dst, src, 1.0::double / count(*) over (partition by dst) from e){rounds},
+  union all select 'b', dst, src, 1.0::double / count(*) over (partition by dst) from e),
+s(kind, host, v, step) as (
+  select kind, host, {1 - d!r} * weight, 0 from (select 't' as kind, host, t as weight from own union all select 'b', host, b from own) where weight > 0
+  union all
+  select f.kind, f.dst, sum({d} * s.v * f.w), max(step) + 1 from s join f on f.kind = s.kind and f.host = s.host where step < 250 group by f.kind, f.dst),
 sh as (
-  select host, round(sum(case when kind = 'b' then v else 0 end) / sum(v), 9) as distrust from s{url_graph.ROUNDS} group by host)
+  select host, round(distrust / (distrust + trust + coalesce(1 - t - b, 0) * case when coalesce(t + b, 0) > 0 then {1 - d!r} else 0 end), 4) as distrust
+  from (select host, sum(case when kind = 'b' then v else 0 end) as distrust, sum(case when kind = 't' then v else 0 end) as trust from s group by host) left join own using (host))
 select page_id, p.host, path, rule, coalesce(listed, case when distrust > {url_graph.THRESHOLD} then 'block' else 'allow' end) as verdict,
   case when distrust > 0 then distrust end as distrust
 from p left join m using (rid) left join sh on sh.host = p.host

@@ -3,9 +3,11 @@
 Listed rules decide the urls they fit. For the others the verdict is the
 host's: personalised PageRank from the hosts of allowed urls along links gives
 trust, the same from the hosts of blocked urls against the links gives
-distrust, and a host is blocked where distrust makes up more than ``THRESHOLD``
-of both. The graph is a table of distinct host pairs, and a round is one
-equi-join and one grouped sum.
+distrust. A host is a seed by the share of its own pages that rules list, and
+those of its pages that no rule lists are neutral evidence of the same kind: a
+host is blocked where distrust makes up more than ``THRESHOLD`` of trust,
+distrust and the neutral share of a host that has listed pages. The graph is a
+table of distinct host pairs, and a round is one equi-join and one grouped sum.
 """
 
 from __future__ import annotations
@@ -18,8 +20,6 @@ from tallyframe.llm.common import written
 #: (verdict, host, path): fixed by the task.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-#: Rounds that the query's SQL unrolls.
-ROUNDS = 10
 #: Largest relative change of any host's value over ``CHUNK`` rounds at which the spread has settled.
 TOLERANCE = 1e-6
 CHUNK = 5
@@ -57,35 +57,33 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``(host, trust, distrust)`` of every host that gets any.
 
-    ``seeds`` has ``(kind, host)``, kind ``t`` or ``b``; each kind's seeds
-    share mass 1. Mass that reaches a host without links on is lost. Rounds go
-    on until no host is newly reached and no value changes by more than
-    ``TOLERANCE`` of itself, however far a host lies from the seeds; a given
-    number of ``rounds`` is run as it is.
+    ``seeds`` has ``(kind, host, weight)``, kind ``t`` or ``b``, one row per
+    kind and host; a seed gives ``1 - damping`` of its weight in every round.
+    Mass that reaches a host without links on is lost. Rounds go on until no
+    host is newly reached and no value changes by more than ``TOLERANCE`` of
+    itself, however far a host lies from the seeds; a given number of
+    ``rounds`` is run as it is.
     """
-    seeds = written(seeds.distinct(), "seeds")
-    total = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    start = written(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("v")), "seeds")
+    start = written(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("v")), "seeds")
     edges = written(edges, "edges")
     state = start
-    if not edges.isEmpty():
+    if edges.take(1):
         out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
         into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
         forth = edges.join(out, "src").select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.lit(1.0) / F.col("n")).alias("w"))
         back = edges.join(into, "dst").select(F.lit("b").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.lit(1.0) / F.col("n")).alias("w"))
         flows = written(forth.unionByName(back), "flows")
-        again = start.select("kind", "host", (F.col("v") * (1 - damping)).alias("v"))
         before, step = start, 0
         while rounds is None or step < rounds:
             step += 1
             moved = flows.join(state, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("v") * F.col("w") * damping).alias("v"))
-            state = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+            state = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("v").alias("v"))
             if step % CHUNK == 0:
                 state = written(state, "spread")
                 if rounds is None:
                     was = before.select("kind", "host", F.col("v").alias("was"))
                     moves = F.col("was").isNull() | (F.abs(F.col("v") - F.col("was")) > F.col("v") * TOLERANCE)
-                    if state.join(was, ["kind", "host"], "left").where(moves).isEmpty():
+                    if not state.join(was, ["kind", "host"], "left").where(moves).take(1):
                         break
                     before = state
     return state.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"),
@@ -99,15 +97,24 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     A null url or one without ``://`` has empty host and path, no rule and is
     allowed, as is a host that neither trust nor distrust reaches. Null and
-    empty pages have no links; repeated rows stay; extra columns are not read.
+    empty pages have no links; repeated rows stay, and count in their host's
+    shares; extra columns are not read.
     """
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("listed", verdict)
-    seeds = rows.where("listed is not null and host <> ''").select(F.when(F.col("listed") == "allow", "t").otherwise("b").alias("kind"), "host")
-    share = spread(host_edges(pages, url_col, html_col), seeds, rounds)
-    share = share.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9).alias("distrust")).where("distrust > 0")
-    out = rows.join(written(share, "hosts"), "host", "left")
+
+    def share(what: str) -> Column:
+        return F.avg(F.when(F.col("listed") == what, 1.0).otherwise(0.0))
+
+    own = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("t"), share("block").alias("b")).where("t + b > 0")
+    own = written(own, "listed")
+    seeds = own.select("host", F.explode(F.map_from_arrays(F.array(F.lit("t"), F.lit("b")), F.array("t", "b"))).alias("kind", "weight")).where("weight > 0")
+    got = spread(host_edges(pages, url_col, html_col), seeds, rounds)
+    neutral = F.coalesce(1 - F.col("t") - F.col("b"), F.lit(0.0)) * (1 - DAMPING)
+    part = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust") + neutral), 4)
+    got = got.join(own, "host", "left").select("host", part.alias("distrust")).where("distrust > 0")
+    out = rows.join(written(got, "hosts"), "host", "left")
     method = F.when(F.col("distrust") > threshold, "block").otherwise("allow")
     return out.select("id", "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "distrust")

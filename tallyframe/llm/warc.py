@@ -22,6 +22,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 #: One capture time for all records: the pages carry none.
 DATE = "1970-01-01T00:00:00Z"
+#: Name of a record without an id. In a string id a per cent sign is escaped; an empty one is a bare per cent sign.
+NO_ID = "<urn:page:>"
 
 
 @dataclass(frozen=True)
@@ -48,12 +50,13 @@ def _line(name: str, value: Column) -> Column:
 def header_block(page_id: Column, url: Column, size: Column, sha1: Column, refers_to: Column) -> Column:
     """The header of one record up to and with its empty line."""
     def urn(c: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+        text = F.replace(c.cast("string"), F.lit("%"), F.lit("%25"))
+        return F.concat(F.lit("<urn:page:"), F.when(text == "", "%").otherwise(text), F.lit(">"))
 
     revisit = refers_to.isNotNull()
     return F.concat(
         F.lit(f"{VERSION}\r\n"), _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.coalesce(urn(page_id), F.lit("<urn:page:>"))), _line("WARC-Date", F.lit(DATE)),
+        _line("WARC-Record-ID", F.coalesce(urn(page_id), F.lit(NO_ID))), _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Target-URI", url), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         _line("WARC-Refers-To", urn(refers_to)), _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -111,9 +114,14 @@ def read_archive(spark: SparkSession, a: Archive) -> DataFrame:
     return r.select("header", record.alias("record"), "payload", verified.alias("verified"))
 
 
-def page_of(value: Column) -> Column:
-    """The page id in a record name."""
-    return F.regexp_extract(value, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+def page_of(value: Column, kind: str = "bigint") -> Column:
+    """The page id in a record name, in the ids' own type; null where the
+    record has none."""
+    inner = F.substring(value, F.lit(11), F.greatest(F.lit(0), F.length(value) - 11))
+    for mark, text in (("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
+        inner = F.replace(inner, F.lit(mark), F.lit(text))
+    inner = F.when(F.endswith(value, F.lit(":%>")), F.lit("")).otherwise(inner)
+    return F.when(value != NO_ID, inner if kind == "string" else inner.try_cast(kind))
 
 
 def archived(pages: DataFrame, root: str | None = None) -> DataFrame:
@@ -123,8 +131,8 @@ def archived(pages: DataFrame, root: str | None = None) -> DataFrame:
     ``verified``, all taken from the records read."""
     spark = pages.sparkSession
     r = read_archive(spark, write_archive(pages, root or scratch_path(spark, "warc")))
-    h = F.col("header")
+    h, kind = F.col("header"), pages.schema["page_id"].dataType.simpleString()
     return r.select(
-        page_of(field(h, "WARC-Record-ID")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        page_of(field(h, "WARC-Record-ID"), kind).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"), field(h, "WARC-Type").alias("record_type"),
-        page_of(field(h, "WARC-Refers-To")).alias("refers_to"), F.octet_length("record").cast("long").alias("record_bytes"), "verified")
+        page_of(field(h, "WARC-Refers-To"), kind).alias("refers_to"), F.octet_length("record").cast("long").alias("record_bytes"), "verified")

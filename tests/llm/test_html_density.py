@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -81,3 +84,61 @@ def test_sibling_and_nested_articles():
 def test_wrappers_named_like_chrome_stay(name, inner):
     text = f"<p>{PROSE}</p><p>{PROSE}</p>"
     assert main_text(f'<body><p>One line.</p><div class="{name}">{inner.format(text)}</div></body>').endswith(f"{PROSE}\n{PROSE}")
+
+
+@pytest.mark.parametrize("mark", ['class="user-comments"', 'id="disqus_thread"', 'class="ad-slot"', 'class="advert-unit"', 'class="post-comments-area"', "id=comment-42"])
+def test_comments_and_adverts_go_whatever_they_are_called(mark):
+    text, other = f"<p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>", f"<div {mark}><p>{SECOND}</p><p>{SECOND}</p></div>"
+    for page in (f"<article>{text}{other}</article>", f"<article>{text}</article>{other}", f"{other}<main>{text}</main>", f"<div><div>{text}</div>{other}</div>"):
+        assert main_text(f"<body>{page}</body>") == "\n".join([PROSE] * 3)
+    assert main_text(f"<body><div {mark}><article>{text}</article></div></body>") == "\n".join([PROSE] * 3)
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60_000 + "</section>" * 60_000, "<b>" * 120_000 + "</i>" * 120_000, "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000,
+                                    "<div>" * 60_000 + "<li></li>" * 60_000, "<div>" * 50_000 + "<header></header>" * 30_000, "</p>" * 250_000])
+def test_a_megabyte_of_stray_tags(source):
+    began = time.process_time()
+    assert main_text(source + "text") in ("text", "")
+    assert time.process_time() - began < 15
+
+
+def plain_density(page, i):
+    """Composite density of node ``i`` by walking its subtree."""
+    def chars(j, inside):
+        return sum(len(t.strip()) for n, t in page.pieces if t and j <= n < page.end[j] and (not inside or under_link(n)))
+
+    def under_link(n):
+        while n > 0:
+            if page.tag[n] == "a":
+                return True
+            n = page.parent[n]
+        return False
+
+    c, lc = chars(i, False), chars(i, True)
+    tags, link_tags = page.end[i] - i - 1, sum(page.tag[j] == "a" for j in range(i + 1, page.end[i]))
+    if not c:
+        return 0.0
+    all_c, all_l = chars(0, False), chars(0, True)
+    t, l, lt = max(1, tags), max(1, lc), max(1, link_tags)
+    base = math.log(c / max(1, c - lc) * lc + all_l / all_c * c + math.e)
+    value = math.log(c / l * t / lt) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(max(1.0, c / l * t / lt))
+    return c / t * max(0.0, value)
+
+
+def test_densities_of_random_trees():
+    rng = random.Random(6)
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randint(0, 3)):
+            tag = rng.choice(["div", "p", "a", "span", "section"])
+            out += rng.choice(["", "some words ", "x" * rng.randint(1, 90)]) + f"<{tag}>{tree(depth - 1) if depth else ''}</{tag}>"
+        return out + rng.choice(["", " tail of text"])
+
+    for _ in range(150):
+        page = Page(tree(4))
+        density, total = densities(page)
+        for i in range(len(page.tag)):
+            assert math.isclose(density[i], plain_density(page, i), rel_tol=1e-9, abs_tol=1e-12)
+            own = sum(len(t.strip()) for n, t in page.pieces if t and n == i)
+            assert math.isclose(total[i], own + sum(density[j] for j in range(len(page.tag)) if page.parent[j] == i), rel_tol=1e-9, abs_tol=1e-9)

@@ -88,3 +88,12 @@ def test_empty_benchmark_hits_nothing(spark, awkward):
     from tallyframe.llm.decontaminate import contamination
     r = contamination(spark.read.parquet(f"{awkward}/documents.parquet"), empty_like(benchmark(spark))).collect()
     assert len(r) == 21 and not any(x.contaminated or x.n_hit or x.n_items for x in r)
+
+
+def test_a_benchmark_of_several_broadcasts(spark, awkward, monkeypatch):
+    from tallyframe.llm import decontaminate
+    docs, bench = spark.read.parquet(f"{awkward}/documents.parquet"), spark.read.parquet(f"{awkward}/benchmark.parquet")
+    want = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    assert any("contaminated=True" in r for r in want)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 7)
+    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == want
