@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "vectors", "monitor", "files", "logs")
+MODULES = ("retrieval", "bench", "validate", "inventory", "catalog", "metadata", "vectors", "monitor", "files", "logs")
 
 
 def registry() -> dict:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.naming import parse_artifact_name, source_refs
 from tallyframe.operators import bench as B
 from tallyframe.operators import catalog as C
 from tallyframe.operators import logs as L
@@ -122,42 +121,6 @@ def contexts(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(ctx).alias("context_md5"))
 
 
-def _model_ids(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
-    name = F.concat(F.regexp_replace(F.initcap("p_name"), " ", "-"), F.lit("-"), F.col("p_size").cast("string"),
-                    F.when(F.col("p_size") % 4 == 0, F.lit("B")).when(F.col("p_size") % 4 == 1, F.lit("x7B"))
-                    .when(F.col("p_size") % 4 == 2, F.lit("k")).otherwise(F.lit("")),
-                    F.when(F.col("p_type") == "PROMO", F.lit("-Instruct")).when(F.col("p_type") == "SMALL", F.lit("-chat"))
-                    .otherwise(F.lit("")),
-                    F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("-v1."), (F.col("p_size") % 7).cast("string")))
-                    .otherwise(F.lit("")))
-    org = F.regexp_replace("p_brand", "#", "")
-    mid = F.when(F.col("p_partkey") % 5 == 0, name).otherwise(F.concat(org, F.lit("/"), name))
-    return p.select("p_partkey", mid.alias("model_id"), (F.col("p_retailprice") * 1e6).cast("bigint").alias("total_params"))
-
-
-def artifact_names(spark, sf_dir):
-    """P11 (+P12 titles) over every part-derived model id."""
-    from tallyframe.operators.catalog import title_case_id
-    m = _model_ids(spark, sf_dir)
-    x = m.select("p_partkey", "model_id", parse_artifact_name(F.col("model_id"), F.col("total_params")).alias("c"))
-    return x.select("p_partkey", "model_id", "c.*", title_case_id(F.col("c.full_name")).alias("title"))
-
-
-def base_model_refs(spark, sf_dir):
-    """P27 over model cards whose base model is an id, a hub URL, another
-    URL, a list or an object."""
-    m = _model_ids(spark, sf_dir)
-    card = (F.when(F.col("p_partkey") % 4 == 0, F.to_json(F.struct(F.col("model_id").alias("base_model"))))
-            .when(F.col("p_partkey") % 4 == 1, F.to_json(F.struct(F.array(
-                F.concat(F.lit("https://huggingface.co/"), F.col("model_id")), F.lit("ssh://mirror/x")).alias("base_model"))))
-            .when(F.col("p_partkey") % 4 == 2, F.to_json(F.struct(F.struct(F.col("model_id").alias("name")).alias("base_model"))))
-            .otherwise(F.lit('{"license": "mit"}')))
-    v = F.try_variant_get(F.try_parse_json(card), "$.base_model", "variant")
-    r = m.select("p_partkey", F.posexplode_outer(source_refs(v, F.col("total_params"))).alias("i", "ref"))
-    return r.select("p_partkey", "i", "ref.*")
-
-
 SQL_RECENT = """
 SELECT event_id, ts, event_type FROM events WHERE event_type IN ('error', 'signup')
 ORDER BY ts DESC, event_id DESC LIMIT 20"""
@@ -244,6 +207,4 @@ QUERIES = {
     "mon_decision_log_stream": (decisions_streamed, SQL_DECISIONS),
     "val_plan_fingerprint": (fingerprints, None),
     "val_context_json": (contexts, SQL_CONTEXTS),
-    "cat_parse_artifact_name": (artifact_names, None),
-    "cat_source_refs": (base_model_refs, None),
 }
