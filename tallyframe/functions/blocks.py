@@ -7,6 +7,11 @@ value. ``encode`` yields the blocks as structs (``d`` scale, ``m`` offset,
 ``decode`` the values. All arithmetic is float32 (products and sums of floats;
 quotients are computed in double and rounded, which gives the same), so bytes
 agree with other writers of the public formats.
+
+Every float has a code. NaN is stored as the quiet NaN without a sign, too
+large values as infinite, subnormal values on the grid. A block with a NaN or
+an infinite value, or whose span overflows, gets a NaN or infinite parameter,
+and what then has no whole number (NaN, infinite) takes the number 0.
 """
 
 from __future__ import annotations
@@ -33,12 +38,18 @@ def f32(x: Column) -> Column:
     return x.cast("float")
 
 
+def whole(x: Column) -> Column:
+    """The whole-number part; 0 for NaN and what is beyond 31 bits."""
+    return let(x, lambda v: F.when(F.abs(v) < 2.0 ** 31, v.cast("int")).otherwise(F.lit(0)))  # NaN is above all numbers
+
+
 def round_away(x: Column) -> Column:
-    """Nearest whole number, halves away from zero."""
+    """Nearest whole number, halves away from zero; 0 for NaN and what is
+    beyond 31 bits."""
     def parts(a: Column) -> Column:
-        return F.floor(a) + F.floor((a - F.floor(a)) * 2)
+        return F.when(a < 2.0 ** 31, F.floor(a) + F.floor((a - F.floor(a)) * 2)).otherwise(F.lit(0))
 
-    return (F.signum(x) * let(F.abs(x).cast("double"), parts)).cast("int")
+    return let(x, lambda v: (F.when(v < 0, -1).otherwise(1) * let(F.abs(v).cast("double"), parts)).cast("int"))
 
 
 def _binade(a: Column, least: int) -> Column:
@@ -51,7 +62,7 @@ def to_grid(x: Column, mantissa: int, least: int) -> Column:
     leading one, with subnormals below exponent ``least``; as a double."""
     def one(a: Column) -> Column:
         step = F.pow(F.lit(2.0), _binade(a, least) - mantissa)
-        return F.when(a == 0, F.lit(0.0)).otherwise(F.rint(a / step) * step)
+        return F.when(a == 0, F.lit(0.0)).when(a >= float("inf"), a).otherwise(F.rint(a / step) * step)
 
     return F.signum(x) * let(F.abs(x).cast("double"), one)
 
@@ -72,20 +83,21 @@ def grid_bits(x: Column, mantissa: int, bias: int) -> Column:
     def one(a: Column) -> Column:
         e = _binade(a, 1 - bias)
         scaled = (a / F.pow(F.lit(2.0), e - mantissa)).cast("bigint")  # holds the leading one unless subnormal
-        return F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(top)).otherwise((e + bias - 1) * (1 << mantissa) + scaled)
+        return (F.when(a == 0, F.lit(0)).when(F.isnan(a), F.lit(top + (1 << mantissa - 1))).when(a == float("inf"), F.lit(top))
+                .otherwise((e + bias - 1) * (1 << mantissa) + scaled))
 
     sign = F.when(x.cast("string").startswith("-"), F.lit((2 * bias + 2) << mantissa)).otherwise(F.lit(0))  # also of -0.0
     return let(F.abs(x).cast("double"), one).cast("bigint") + sign
 
 
 def from_bits(bits: Column, mantissa: int, bias: int) -> Column:
-    """Inverse of ``grid_bits``, as a float (infinite for the top exponent)."""
+    """Inverse of ``grid_bits``, as a float (infinite or NaN for the top exponent)."""
     one = 1 << mantissa
 
     def magnitude(b: Column) -> Column:
         e, f = F.floor(b / one), F.pmod(b, F.lit(one))
         normal = (f + one) * F.pow(F.lit(2.0), e - bias - mantissa)
-        return F.when(e == 2 * bias + 1, F.lit(float("inf"))).when(e == 0, f * F.lit(2.0 ** (1 - bias - mantissa))).otherwise(normal)
+        return F.when(e == 2 * bias + 1, F.when(f == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).when(e == 0, f * F.lit(2.0 ** (1 - bias - mantissa))).otherwise(normal)
 
     sign_bit = (2 * bias + 2) << mantissa
     return f32(let(bits.cast("bigint"), lambda b: let(magnitude(F.pmod(b, F.lit(sign_bit))), lambda v: F.when(b >= sign_bit, -v).otherwise(v))))
@@ -114,6 +126,11 @@ def _extreme(vals: Column) -> Column:
     return let(_absmax(vals), lambda a: F.get(F.filter(vals, lambda v: F.abs(v) == a), F.lit(0)))
 
 
+def _least(vals: Column) -> Column:
+    """The smallest value, NaN if one is."""
+    return let(F.array_max(vals), lambda top: F.when(F.isnan(top), top).otherwise(F.array_min(vals)))
+
+
 def _const(x: float) -> Column:
     return F.lit(x).cast("float")
 
@@ -122,15 +139,15 @@ def _by_extreme(levels: int) -> Rule:
     """The extreme value takes the lowest code; codes run to ``levels - 1``."""
     middle = levels // 2
     return Rule(lambda v: f32(_extreme(v) / -middle),
-                lambda v, inv, _: F.least((f32(v * inv) + _const(middle + 0.5)).cast("int"), F.lit(levels - 1)),
+                lambda v, inv, _: F.least(whole(f32(v * inv) + _const(middle + 0.5)), F.lit(levels - 1)),
                 lambda q, d, _: f32(d * f32(q - middle)))
 
 
 def _by_range(levels: int) -> Rule:
     """Codes divide the span from the smallest to the largest value."""
     return Rule(lambda v: f32((F.array_max(v) - F.array_min(v)) / (levels - 1)),
-                lambda v, inv, lo: F.least((f32(f32(v - lo) * inv) + _const(0.5)).cast("int"), F.lit(levels - 1)),
-                lambda q, d, m: f32(f32(d * f32(q)) + m), F.array_min)
+                lambda v, inv, lo: F.least(whole(f32(f32(v - lo) * inv) + _const(0.5)), F.lit(levels - 1)),
+                lambda q, d, m: f32(f32(d * f32(q)) + m), _least)
 
 
 def _by_absmax(divisor: int, shift: int) -> Rule:
@@ -144,8 +161,8 @@ RULES = {
 
 
 def _shared_exponent(vals: Column) -> Column:
-    """Stored exponent byte: that of the largest magnitude, two below it."""
-    return let(_absmax(vals).cast("double"), lambda a: F.when(a > 0, F.pmod((F.floor(F.log2(a)) + 125).cast("int"), F.lit(256))).otherwise(0))
+    """Stored exponent byte: that of the largest magnitude, two below it; 0 if that is no number."""
+    return let(_absmax(vals).cast("double"), lambda a: F.when((a > 0) & (a < float("inf")), F.pmod((F.floor(F.log2(a)) + 125).cast("int"), F.lit(256))).otherwise(0))
 
 
 def _e2m1_points() -> Column:

@@ -149,18 +149,13 @@ def _ref_from_text(s: Column, total: Column) -> Column:
         is_url = is_url | s.startswith(pre)
     hub_id = F.regexp_extract(s, HUB_ID_RE, 1)
 
-    def from_id(x, with_url):
-        def build(c):
-            url = F.when(c["org"].isNotNull() & c["full_name"].isNotNull(),
-                         F.concat(F.lit(HUB_URL), c["org"], F.lit("/"), c["full_name"]))
-            return F.struct(title_case_id(c["full_name"]).alias("name"), title_case_id(c["org"]).alias("organization"),
-                            c["version"].alias("version"), (url if with_url else s).alias("repo_url"))
-        return let(parse_artifact_name(x, total), build)
-    url_only = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("organization"),
-                        F.lit(None).cast("string").alias("version"), s.alias("repo_url"))
-    return (F.when(is_url & s.contains("huggingface.co") & (hub_id != ""), from_id(hub_id, False))
-            .when(is_url, url_only)
-            .otherwise(from_id(s, True)))
+    own = F.when(~is_url, s).when(s.contains("huggingface.co") & (hub_id != ""), hub_id)
+
+    def build(c):
+        url = F.when(c["org"].isNotNull() & c["full_name"].isNotNull(), F.concat(F.lit(HUB_URL), c["org"], F.lit("/"), c["full_name"]))
+        return F.struct(title_case_id(c["full_name"]).alias("name"), title_case_id(c["org"]).alias("organization"),
+                        c["version"].alias("version"), F.when(is_url, s).otherwise(url).alias("repo_url"))
+    return let(parse_artifact_name(own, total), build)
 
 
 def source_refs(value: Column, total_params: Column | None = None) -> Column:

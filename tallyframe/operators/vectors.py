@@ -69,16 +69,53 @@ def dequantize_column(df: DataFrame, col: str, type_col: str, out: str = "values
     return df.withColumn(out, value)
 
 
-def quant_error(df: DataFrame, col: str, qtype: str) -> DataFrame:
-    """Q11: round trip through ``qtype``: the type used, packed bytes, RMSE
-    and max absolute error per row (totals via ordinary aggregation)."""
-    d = dequantize_column(quantize_column(df, col, qtype, "__p"), "__p", "__p_type", "__w", tuple(dict.fromkeys((qtype, FALLBACK_TYPE))))
-    d = d.withColumn("__e", F.zip_with("__w", F.col(col), lambda w, v: w.cast("double") - v.cast("double")))
+def _round_trip(col: Column, qtype: str) -> Column:
+    """The values that ``col`` comes back with from ``qtype``: from the codes,
+    as the bytes hold the same; null where the width does not fit."""
+    if qtype == "F32":
+        return col
+    if qtype in ("F16", "BF16"):
+        return F.transform(col, B.half if qtype == "F16" else B.bfloat)
+    return B.decode(B.encode(col, qtype), qtype)
+
+
+def quant_errors(df: DataFrame, col: str, qtypes: list[str]) -> DataFrame:
+    """Q11: round trip of every row through every one of ``qtypes`` in one
+    scan: one row per row and type with ``requested``, the type used
+    (``qtype``: F16 where the width does not fit), ``n_bytes``, RMSE and
+    maximum absolute error, and the number of values that come back as NaN
+    (``n_nan``) and infinite (``n_inf``). NaN and infinite errors count in the
+    two errors as they are. A null row has nulls."""
+    c = F.col(col)
+
+    def one(q: str) -> Column:
+        size, width = B.LAYOUT[q]
+        fits = F.size(c) % size == 0
+        values = _round_trip(c, q)
+        if size > 1:
+            empty = F.array().cast("array<float>")
+            values = F.when(F.size(c) == 0, empty).when(fits, values).otherwise(_round_trip(c, FALLBACK_TYPE))
+        n_bytes = F.when(fits, (F.size(c) / size).cast("int") * width).otherwise(F.size(c) * 2)
+        return F.struct(F.lit(q).alias("requested"), packed_type(c, q).alias("qtype"), F.when(c.isNotNull(), n_bytes).alias("n_bytes"), values.alias("w"))
+
+    d = df.withColumn("__t", F.explode(F.array(*[one(q) for q in qtypes]))).select(*df.columns, "__t.*")
+    d = d.withColumn("__e", F.zip_with("w", c, lambda w, v: w.cast("double") - v.cast("double")))
     total = F.aggregate("__e", F.lit(0.0), lambda a, e: a + e * e)
     most = F.aggregate("__e", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
     n = F.size("__e")
-    return d.select(*df.columns, F.col("__p_type").alias("qtype"), F.length("__p").alias("n_bytes"),
-                    F.when(n > 0, F.sqrt(total / n)).when(n == 0, 0.0).alias("rmse"), F.when(n >= 0, most).alias("max_abs_err"))
+
+    def number(pred) -> Column:
+        return F.size(F.filter("w", pred))
+
+    return d.select(*df.columns, "requested", "qtype", "n_bytes",
+                    F.when(n > 0, F.sqrt(total / n)).when(n == 0, 0.0).alias("rmse"), F.when(n >= 0, most).alias("max_abs_err"),
+                    F.when(n >= 0, number(F.isnan)).alias("n_nan"), F.when(n >= 0, number(lambda w: F.abs(w) == float("inf"))).alias("n_inf"))
+
+
+def quant_error(df: DataFrame, col: str, qtype: str) -> DataFrame:
+    """Q11 for one type: the type used, packed bytes, RMSE and max absolute
+    error per row (totals via ordinary aggregation)."""
+    return quant_errors(df, col, [qtype]).drop("requested", "n_nan", "n_inf")
 
 
 def compare_blocks(df: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
@@ -119,8 +156,7 @@ def q8_0_codes(col: Column, block: int = 32) -> Column:
 
             def with_d(d):
                 inv = F.when(d == 0, F.lit(0.0).cast("float")).otherwise((F.lit(1.0) / d).cast("float"))
-                codes = F.transform(vals, lambda v: let((v * inv).cast("float"), lambda p: (
-                    F.signum(p) * (F.floor(F.abs(p)) + F.floor(F.abs(p) * 2 - F.floor(F.abs(p)) * 2))).cast("int")))
+                codes = F.transform(vals, lambda v: B.round_away((v * inv).cast("float")))
                 return F.struct(d.alias("d"), codes.alias("codes"))
             amax = F.array_max(F.transform(vals, lambda v: F.abs(v)))
             return let((amax / F.lit(127.0)).cast("float"), with_d)

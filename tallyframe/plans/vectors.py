@@ -3,8 +3,6 @@ rows joined make the 256-wide rows of the ternary formats)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +30,40 @@ def wide_rows(spark, sf_dir):
 def roundtrip(spark, sf_dir):
     """Every format over the 256-wide rows, and a ternary one over the 64-wide
     rows, which it does not fit."""
-    wide = wide_rows(spark, sf_dir).select("embedding")
-    narrow = t(spark, sf_dir, "embeddings").select("embedding")
-    parts = []
-    for q, rows, label in [*[(q, wide, q) for q in ROUNDTRIP_TYPES], ("TQ2_0", narrow, "TQ2_0 narrow")]:
-        r = VQ.quant_error(rows, "embedding", q).withColumn("requested", F.lit(label))
-        parts.append(r.select("requested", "qtype", "n_bytes", "rmse", "max_abs_err"))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
+    wide = VQ.quant_errors(wide_rows(spark, sf_dir).select("embedding"), "embedding", list(ROUNDTRIP_TYPES))
+    narrow = VQ.quant_errors(t(spark, sf_dir, "embeddings").select("embedding"), "embedding", ["TQ2_0"])
+    u = wide.unionByName(narrow.withColumn("requested", F.lit("TQ2_0 narrow")))
     return u.groupBy("requested", "qtype").agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum("n_bytes").cast("bigint").alias("bytes"),
         F.round(F.avg("rmse"), 9).alias("avg_rmse"), F.round(F.max("max_abs_err"), 9).alias("max_abs_err"))
 
 
+# Special floats and what stands around them in a row (the vector's values or zeros).
+SPECIALS = (("nan", "NaN", False), ("inf", "Infinity", False), ("-inf", "-Infinity", False), ("-0", "-0.0", False), ("least", "1e-45", False),
+            ("most", "3.4e38", False), ("tiny alone", "1e-42", True), ("least alone", "1e-45", True), ("zero alone", "0.0", True), ("two most", "3e38", False))
+
+
+def special_values(spark, sf_dir):
+    """Q0-Q8: every special float in a 256-wide row through every format: the
+    bytes of the plain formats' first value, and NaN and infinite values that
+    come back. The last case has a value of the other sign beside it."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    k = F.pmod("vec_id", F.lit(len(SPECIALS))).cast("int") + 1
+    first = F.element_at(F.array(*[F.lit(v).cast("float") for _, v, _ in SPECIALS]), k)
+    zeros = F.element_at(F.array(*[F.lit(z) for *_, z in SPECIALS]), k)
+    name = F.element_at(F.array(*[F.lit(n) for n, *_ in SPECIALS]), k)
+    row = F.transform(F.flatten(F.array_repeat("embedding", 4)), lambda v, i: F.when(i == 0, F.col("first"))
+                      .when((i == 1) & (F.col("special") == "two most"), -F.col("first")).when(F.col("zeros"), F.lit(0.0).cast("float")).otherwise(v))
+    rows = e.select("embedding", name.alias("special"), first.alias("first"), zeros.alias("zeros")).select("special", row.alias("embedding"))
+    r = VQ.quant_errors(rows, "embedding", list(ROUNDTRIP_TYPES))
+    one = F.slice("embedding", 1, 1)
+    head = F.lit(None).cast("string")
+    for q in ("F32", "F16", "BF16"):
+        head = F.when(F.col("requested") == q, F.hex(VQ.packed_bytes(one, q))).otherwise(head)
+    return r.groupBy("requested", "special", head.alias("head")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n_nan").cast("bigint").alias("n_nan"), F.sum("n_inf").cast("bigint").alias("n_inf"))
+
+
 def compare(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").select(
         "vec_id", "embedding",
@@ -281,7 +301,33 @@ SELECT requested, qtype, count(*) AS rows, CAST(sum(n_bytes) AS BIGINT) AS bytes
 FROM u GROUP BY requested, qtype"""
 
 
+# Bytes of a special float in the plain formats (F32, F16, BF16), and per format the NaN
+# and infinite values of a row that come back (where there are any).
+_SQL_HEADS = {"nan": ("0000C07F", "007E", "C07F"), "inf": ("0000807F", "007C", "807F"), "-inf": ("000080FF", "00FC", "80FF"), "-0": ("00000080", "0080", "0080"),
+              "least": ("01000000", "0000", "0000"), "most": ("9EC97F7F", "007C", "807F"), "tiny alone": ("CA020000", "0000", "0000"),
+              "least alone": ("01000000", "0000", "0000"), "zero alone": ("00000000", "0000", "0000"), "two most": ("E6B1617F", "007C", "627F")}
+_SQL_LOST = {
+    "nan": {"F32": (1, 0), "F16": (1, 0), "BF16": (1, 0), "Q8_0": (32, 0), "Q4_0": (32, 0), "Q4_1": (32, 0), "Q5_0": (32, 0), "Q5_1": (32, 0), "TQ1_0": (256, 0), "TQ2_0": (256, 0)},
+    "inf": {"F32": (0, 1), "F16": (0, 1), "BF16": (0, 1), "Q8_0": (32, 0), "Q4_0": (31, 1), "Q4_1": (32, 0), "Q5_0": (31, 1), "Q5_1": (32, 0), "TQ1_0": (256, 0), "TQ2_0": (256, 0)},
+    "most": {"F16": (0, 1), "BF16": (0, 1), "Q8_0": (31, 1), "Q4_0": (31, 1), "Q4_1": (31, 1), "Q5_0": (31, 1), "Q5_1": (31, 1), "TQ1_0": (255, 1), "TQ2_0": (255, 1)},
+    "two most": {"F16": (0, 2), "Q8_0": (30, 2), "Q4_0": (30, 2), "Q4_1": (32, 0), "Q5_0": (30, 2), "Q5_1": (32, 0), "TQ1_0": (254, 2), "TQ2_0": (254, 2)},
+}
+_SQL_LOST["-inf"] = _SQL_LOST["inf"]
+
+
+def _sql_special() -> str:
+    rows = []
+    for i, (name, *_) in enumerate(SPECIALS):
+        for q in ROUNDTRIP_TYPES:
+            head = f"'{_SQL_HEADS[name][('F32', 'F16', 'BF16').index(q)]}'" if q in ("F32", "F16", "BF16") else "NULL"
+            rows.append(f"({i}, '{name}', '{q}', {head}, {', '.join(map(str, _SQL_LOST.get(name, {}).get(q, (0, 0))))})")
+    return f"""WITH g(i, special, requested, head, nans, infs) AS (VALUES {', '.join(rows)})
+SELECT requested, special, head, count(*) AS rows, CAST(sum(nans) AS BIGINT) AS n_nan, CAST(sum(infs) AS BIGINT) AS n_inf
+FROM embeddings e JOIN g ON e.vec_id % {len(SPECIALS)} = g.i GROUP BY requested, special, head"""
+
+
 QUERIES = {
+    "vec_quant_special": (special_values, _sql_special()),
     "vec_q8_0_codes": (q8_codes, SQL_Q8_CODES),
     "vec_quant_roundtrip": (roundtrip, _sql_roundtrip()),
     "vec_compare_blocks": (compare, SQL_COMPARE_BLOCKS),

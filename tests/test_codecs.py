@@ -164,3 +164,18 @@ def test_python_style_fixed_point(spark):
     for d in (0, 1, 2):
         got = [r.t for r in df.select(py_fixed(F.col("x"), d).alias("t")).collect()]
         assert got == [f"{v:.{d}f}" for v in vals]
+
+
+@pytest.mark.parametrize("qtype", ["F32", "F16", "BF16", "Q8_0", "Q4_0", "Q4_1", "Q5_0", "Q5_1", "MXFP4", "TQ1_0", "TQ2_0"])
+def test_special_floats_have_bytes_that_read_back_as_the_codes(spark, qtype):
+    nan, inf = float("nan"), float("inf")
+    rows = []
+    for x in (nan, inf, -inf, -0.0, 1e-45, -1e-45, 1e-42, 3.4e38, -3.4e38, 65520.0, 6e-8):
+        rows += [[x] + [0.25 * i for i in range(255)], [x] + [0.0] * 255, [x, -x] * 128]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, v array<float>")
+    q = VQ.dequantize_column(VQ.quantize_column(df, "v", qtype), "packed", "packed_type", "back")
+    codes = {r.id: r for r in VQ.quant_errors(df, "v", [qtype]).collect()}
+    for r in q.select("id", "packed", "packed_type", "back", VQ._round_trip(F.col("v"), qtype).alias("short")).collect():
+        assert r.packed_type == qtype and len(r.packed) == codes[r.id].n_bytes and len(r.back) == 256
+        assert str(r.back) == str(r.short)
+        assert codes[r.id].n_nan == sum(np.isnan(r.back)) and codes[r.id].n_inf == sum(np.isinf(r.back))
