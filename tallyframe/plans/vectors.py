@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.blocks import E2M1_DOUBLED, LAYOUT
 from tallyframe.functions.util import let
+from tallyframe.operators import companions as CO
 from tallyframe.operators import vectors as VQ
 from tallyframe.plans.common import t
 
@@ -135,6 +136,80 @@ def grouped(spark, sf_dir):
     return p.select("vec_id", F.round(F.aggregate(deq, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("checksum"))
 
 
+#: Rows of a stand-in tensor; its kind follows from its number.
+TENSOR_ROWS = 5
+TENSOR_KINDS = ("fp8", "channel", "bitnet", "gptq", "packed", "packed zeros", "plain")
+
+
+def companion_parts(spark, sf_dir):
+    """``(parts, config)``: five vectors each are one tensor, stored as its
+    kind's parts; packed and grouped ones hold four-bit codes, 61 to a row."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    k = F.pmod(F.floor(F.col("vec_id") / TENSOR_ROWS), F.lit(len(TENSOR_KINDS))).cast("int")
+    e = e.select(F.floor(F.col("vec_id") / TENSOR_ROWS).alias("model"), (F.col("vec_id") % TENSOR_ROWS).alias("r"), "label", "embedding",
+                 F.element_at(F.array(*[F.lit(x) for x in TENSOR_KINDS]), k + 1).alias("kind"), F.slice(_codes4(F.col("embedding")), 1, 61).alias("codes"))
+    double = lambda c: c.cast("array<double>")
+
+    def row(name, row_no, values):
+        return F.struct(F.lit(f"blk.0.ffn{name}").alias("name"), row_no.cast("bigint").alias("row"), double(values).alias("values"))
+
+    r = F.col("r")
+    own = (F.when(F.col("kind") == "fp8", F.array(row(".weight", r, F.col("embedding"))))
+           .when(F.col("kind") == "channel", F.array(row(".weight", r, F.col("embedding")), row(".weight_scale", r, F.array((r + 1) / 8))))
+           .when(F.col("kind") == "bitnet", F.array(row(".weight", r, F.transform("codes", lambda c: sum(F.pmod(c + j, F.lit(3)) * 4 ** j for j in range(4))))))
+           .when(F.col("kind").startswith("packed"), F.array(row(".weight_packed", r, _pack4(F.col("codes"))),
+                                                             row(".weight_scale", r, F.array(*[(r + g + 1) / 16 for g in range(4)]))))
+           .when(F.col("kind") == "plain", F.array(row(".weight", r, F.col("embedding")))).otherwise(F.array()))
+    parts = e.select("model", F.explode(own).alias("x")).select("model", "x.*")
+
+    # what belongs to the tensor as a whole: gathered from its few rows
+    whole = e.groupBy("model", "kind").agg(F.sort_array(F.collect_list(F.struct("r", "label", _pack4(F.col("codes")).alias("words")))).alias("v"))
+    fp8 = [row(".weight_scale_inv", F.lit(i), F.array(*[F.lit(0.5 * (i + 1) + 0.25 * j) for j in range(2)])) for i in range(3)]
+
+    def each(of):
+        return lambda n: F.transform("v", lambda x: of(x, n))
+
+    zero = each(lambda x, g: F.pmod(x["label"] + x["r"] + g, F.lit(16)))
+    stored = each(lambda x, g: F.pmod(x["label"] + x["r"] + g, F.lit(15)))
+    scale = each(lambda x, g: (x["r"] + g + 1) / 16)
+    word = each(lambda x, w: x["words"][w])
+    grouped = [row(".scales", F.lit(g), scale(g)) for g in range(4)] + [row(".qzeros", F.lit(g), _pack4(stored(g))) for g in range(4)]
+    grouped += [row(".qweight", F.lit(w), word(w)) for w in range(8)]
+    grouped += [row(".g_idx", F.lit(0), F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.pmod(i * 3, F.lit(4))))]
+    shape = row(".weight_shape", F.lit(0), F.array(F.size("v"), F.lit(61)))
+    more = (F.when(F.col("kind") == "fp8", F.array(*fp8)).when(F.col("kind") == "bitnet", F.array(row(".weight_scale", F.lit(0), F.array(F.lit(4.0)))))
+            .when(F.col("kind") == "gptq", F.array(*grouped)).when(F.col("kind") == "packed", F.array(shape))
+            .when(F.col("kind") == "packed zeros", F.array(shape, row(".weight_zero_point", F.lit(0), F.flatten(F.array(*[_pack4(zero(g)) for g in range(4)]))))).otherwise(F.array()))
+    parts = parts.unionByName(whole.select("model", F.explode(more).alias("x")).select("model", "x.*"))
+    config = whole.select("model", F.col("kind").alias("method"), F.lit(4).alias("bits"), F.lit(16).alias("group_size"),
+                          F.when(F.col("kind") == "fp8", 2).alias("block_rows"), F.when(F.col("kind") == "fp8", 48).alias("block_cols"), F.lit(True).alias("format_v1"))
+    return parts, config
+
+
+def companion_values(spark, sf_dir):
+    """J11 with Q9, Q10, Q12: from stored parts to float rows, every kind."""
+    d = CO.dequantize_companions(*companion_parts(spark, sf_dir))
+    total = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return d.select("model", "name", "row", "origin", F.size("values").alias("n"), F.round(total, 4).alias("checksum"))
+
+
+_SQL_CODE = "least(greatest(CAST(round(embedding[i + 1]::DOUBLE * 7) AS INTEGER) + 8, 0), 15)"
+SQL_COMPANION_VALUES = f"""
+WITH e AS (
+  SELECT vec_id // {TENSOR_ROWS} AS model, vec_id % {TENSOR_ROWS} AS r, label, embedding, {list(TENSOR_KINDS)}[(vec_id // {TENSOR_ROWS}) % {len(TENSOR_KINDS)} + 1] AS kind,
+    count(*) OVER (PARTITION BY vec_id // {TENSOR_ROWS}) AS n_rows FROM embeddings),
+x AS (SELECT *, unnest(range(CASE WHEN kind IN ('fp8', 'channel', 'plain') THEN 64 ELSE 61 END)) AS i FROM e),
+c AS (SELECT *, CASE WHEN i < 61 THEN {_SQL_CODE} END AS code FROM x),
+v AS (
+  SELECT model, r AS row, 'fp8_scale_inv' AS origin, i, CAST(embedding[i + 1] * CAST(0.5 * (r // 2 + 1) + 0.25 * (i // 48) AS FLOAT) AS FLOAT) AS v FROM c WHERE kind = 'fp8'
+  UNION ALL SELECT model, r, 'scaled', i, CAST(embedding[i + 1] * CAST((r + 1) / 8 AS FLOAT) AS FLOAT) FROM c WHERE kind = 'channel'
+  UNION ALL SELECT model, j * n_rows + r, 'scaled', i, ((code + j) % 3 - 1) / 4 FROM c, range(4) t(j) WHERE kind = 'bitnet'
+  UNION ALL SELECT model, r, 'gptq', i, (code - ((label + r + (i * 3) % 4) % 15) - 1) * (r + (i * 3) % 4 + 1) / 16 FROM c WHERE kind = 'gptq'
+  UNION ALL SELECT model, r, 'packed', i, (code - CASE WHEN kind = 'packed' THEN 8 ELSE (label + r + i // 16) % 16 END) * (r + i // 16 + 1) / 16 FROM c WHERE starts_with(kind, 'packed')
+  UNION ALL SELECT model, r, 'kept', i, embedding[i + 1] FROM c WHERE kind = 'plain')
+SELECT model, 'blk.0.ffn.weight' AS name, row, origin, CAST(count(*) AS INTEGER) AS n, round(sum(v::DOUBLE * (i + 1)), 4) AS checksum
+FROM v GROUP BY model, row, origin"""
+
 SQL_Q8_CODES = """
 WITH x AS (SELECT vec_id, b AS block, embedding[b * 32 + 1: b * 32 + 32] AS v FROM embeddings, range(0, 2) r(b)),
 d AS (SELECT vec_id, block, v, CAST(list_max(list_transform(v, lambda y: abs(y)))::DOUBLE / 127.0 AS FLOAT) AS d FROM x),
@@ -327,6 +402,7 @@ FROM embeddings e JOIN g ON e.vec_id % {len(SPECIALS)} = g.i GROUP BY requested,
 
 
 QUERIES = {
+    "vec_dequant_companions": (companion_values, SQL_COMPANION_VALUES),
     "vec_quant_special": (special_values, _sql_special()),
     "vec_q8_0_codes": (q8_codes, SQL_Q8_CODES),
     "vec_quant_roundtrip": (roundtrip, _sql_roundtrip()),
