@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.quantiles import approx_percentiles, exact_percentiles
 from tallyframe.functions.util import running_agg
+from tallyframe.session import materialize
 
 # Metric names of a quant run summary, in output order.
 RUN_METRICS = ("p50_ms", "p95_ms", "peak_rss_mb", "load_time_ms",
@@ -160,13 +161,18 @@ def latest_result(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFram
     return df.groupBy(*keys).agg(packed.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in others])
 
 
-def running_peak(samples: DataFrame, keys: list[str], ts: str, tie: str, value: str,
-                 bucket: Column | None = None, out: str = "running_peak") -> DataFrame:
-    """Peak value so far per key in time order (skew-safe two-level scan;
-    default bucket = hour of ``ts``, so one key's rows are ranked an hour at
-    a time and the carry table has one row per key and hour)."""
-    b = bucket if bucket is not None else F.date_trunc("hour", F.col(ts))
-    return running_agg(samples, keys, [ts, tie], value, b, out, "max")
+def running_peak(samples: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str = "running_peak",
+                 buckets: int | None = None) -> DataFrame:
+    """Peak value so far per key in time order. The rows are cut into
+    ranges of (key, time, tie) by splitters from a sample of the rows, so the
+    ranges hold about equal numbers of rows whatever the clock or the share of
+    a key; a two-level scan runs inside the ranges and over their peaks. The
+    number of ranges is the shuffle width, or ``buckets``."""
+    n = buckets or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = samples.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], F.col(ts), F.col(tie))
+    # written, as the splitters of a second run of the sampling may differ
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()), "peak-ranges")
+    return running_agg(ranged, keys, [ts, tie], value, F.col("__range"), out, "max").drop("__range")
 
 
 def compare_variants(latest: DataFrame, variant: str, metrics: list[str], variants: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.pyformat import py_fixed, py_fixed_dynamic
 from tallyframe.functions.util import let, running_agg
+from tallyframe.session import materialize
 
 # Tensor element types (name, code, elements per block, bytes per block).
 QUANT_TYPES = [
@@ -604,19 +605,28 @@ def content_hashes(df: DataFrame, data: str = "data") -> DataFrame:
     return df.withColumn("sha1", F.sha1(F.col(data))).withColumn("sha256", F.sha2(F.col(data), 256))
 
 
-def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", bucket_rows: int = 4096) -> DataFrame:
-    """A8 re-aimed: a two-level (tree) digest per model - sha-256 over the
-    position-ordered tensor digests of each bucket of ``bucket_rows``
-    positions, then sha-256 over the ordered bucket digests. No step gathers
-    more than ``bucket_rows`` digests or one digest per bucket, so a huge
-    model is never collected into one task. Not byte-compatible with a
-    sequential whole-file digest."""
-    b = df.select(model, F.floor(F.col(pos) / bucket_rows).alias("__b"), pos, digest)
-    lvl1 = b.groupBy(model, "__b").agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(digest)))), lambda s: s[digest]), ""), 256).alias("__d"))
-    return lvl1.groupBy(model).agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("__b"), F.col("__d")))), lambda s: s["__d"]), ""), 256)
-        .alias("model_sha256"))
+def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", fan: int = 4096) -> DataFrame:
+    """A8 re-aimed: a tree digest per model. A level's digests fall into
+    groups of ``fan`` positions, and each group becomes the sha-256 of its
+    digests' texts in order; levels follow until the model has one digest, so
+    a model of up to ``fan`` positions has one level and no step ever gathers
+    more than ``fan`` digests. The number of levels of a model depends on its
+    largest position (from 0) alone. Not byte-compatible with a sequential
+    whole-file digest."""
+    top = df.groupBy(model).agg(F.max(F.col(pos)).cast("bigint").alias("__top"))
+    d = df.select(model, F.col(pos).cast("bigint").alias("__at"), F.col(digest).alias("__d")).join(top, model)
+    largest, level = top.agg(F.max("__top")).first()[0], 0
+    while level == 0 or (largest or 0) > 0:
+        if level:
+            d = materialize(d, "digest-level")
+        unit = F.lit(1) if level == 0 else F.when(F.col("__top") > 0, F.lit(1)).otherwise(F.lit(0))
+        group = F.floor(F.col("__at") / fan)
+        one = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__d"))), lambda x: x["__d"]), ""), 256)
+        d = d.withColumn("__open", unit == 1).groupBy(model, "__open", "__top", group.alias("__at")).agg(
+            F.when(F.col("__open"), one).otherwise(F.max("__d")).alias("__d"))
+        d = d.select(model, "__at", "__d", F.floor(F.col("__top") / fan).alias("__top"))
+        largest, level = (largest or 0) // fan, level + 1
+    return d.select(model, F.col("__d").alias("model_sha256"))
 
 
 def first_dtype(tensors: DataFrame, model: str = "model", pos: str = "pos", dtype: str = "dtype") -> DataFrame:
@@ -656,30 +666,42 @@ def complete_groups(parts: DataFrame, n: int, projections: Sequence[str], block:
 
 
 # ----------------------------------------------------------- windows
-def _fold_shards_stream(max_tensors: int, max_bytes: int, small_first: bool):
-    """Greedy shard fold over rows sorted by (model, pos); the state (model,
-    shard, count, bytes) is carried across Arrow batches, so memory is O(1)
-    per task whatever the size of one model."""
-    def run(batches):
-        import numpy as np
-        state = None  # (model, shard, count, size)
-        base = 1 if small_first else 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            models = pdf["__m"].tolist()
-            sizes = pdf["__bytes"].fillna(0).astype("int64").tolist()
-            out = np.empty(len(models), dtype=np.int64)
-            for i, (m, b) in enumerate(zip(models, sizes)):
-                if state is None or state[0] != m:
-                    state = (m, base, 0, 0)
-                _, shard, count, size = state
-                if count > 0 and ((max_tensors and count >= max_tensors) or (max_bytes and size + b > max_bytes)):
-                    shard, count, size = shard + 1, 0, 0
-                out[i] = shard
-                state = (m, shard, count + 1, size + b)
-            yield pdf.assign(shard=out)
-    return run
+#: Ranks of a model that one window holds.
+RANKS = 4096
+
+
+def _next_starts(t: DataFrame, max_tensors: int, max_bytes: int) -> DataFrame:
+    """``(m, s, t)``: where the shard that starts at rank ``s`` ends and the
+    next one starts (rank ``t``), for every rank with such a successor.
+
+    ``t`` holds ``m, rank, sum`` (bytes up to and with the rank) and ``bytes``.
+    The successor is one more than the number of ranks whose sum is at most the
+    sum before ``s`` plus the limit. Ranks come in blocks of ``RANKS``; sums
+    and limits both grow with the rank, so a block of starts meets few blocks
+    of sums, and only those pairs are merged, each in a window of its own.
+    """
+    block = F.floor((F.col("rank") - 1) / RANKS)
+    t = t.withColumn("limit", F.col("sum") - F.col("bytes") + max_bytes)
+    blocks = materialize(t.groupBy("m", block.alias("b")).agg(F.max("sum").alias("high"), F.min("limit").alias("low_limit"), F.max("limit").alias("high_limit")), "shard-blocks")
+
+    # block of sums in which a limit lies: the number of blocks whose highest sum is at most the limit
+    marks = blocks.select("m", F.explode(F.array(F.struct(F.col("high").alias("x"), F.lit(0).alias("kind"), "b"), F.struct(F.col("low_limit").alias("x"), F.lit(1).alias("kind"), "b"),
+                                                 F.struct(F.col("high_limit").alias("x"), F.lit(2).alias("kind"), "b"))).alias("r")).select("m", "r.*")
+    before = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(Window.partitionBy("m").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    ends = marks.withColumn("e", before).where("kind > 0").groupBy("m", "b").agg(F.min("e").alias("first"), F.max("e").alias("last"))
+    pairs = materialize(ends.select("m", "b", "first", F.explode(F.sequence("first", "last")).alias("e")), "shard-pairs")
+
+    sums = t.select("m", block.alias("e"), F.col("sum").alias("x")).join(pairs.select("m", "b", "e"), ["m", "e"])
+    starts = t.select("m", block.alias("b"), F.col("limit").alias("x"), F.col("rank").alias("s")).join(pairs.select("m", "b", "e"), ["m", "b"])
+    both = sums.select("m", "b", "e", "x", F.lit(None).cast("bigint").alias("s")).unionByName(starts.select("m", "b", "e", "x", "s"))
+    up = Window.partitionBy("m", "b", "e").orderBy("x", F.col("s").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("n", F.sum(F.when(F.col("s").isNull(), 1).otherwise(0)).over(up)).where("s is not null")
+    counted = inside.groupBy("m", "b", "s").agg(F.sum("n").alias("n")).join(pairs.select("m", "b", "first").distinct(), ["m", "b"])
+    after = F.greatest(F.col("first") * RANKS + F.col("n"), F.col("s")) + 1  # a tensor above the limit is a shard of its own
+    if max_tensors:
+        after = F.least(after, F.col("s") + max_tensors)
+    size = t.groupBy("m").agg(F.max("rank").alias("size"))
+    return counted.select("m", "s", after.alias("t")).join(size, "m").where("t <= size").select("m", "s", "t")
 
 
 def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tensors: int = 0,
@@ -687,32 +709,40 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     """Greedy split - a new shard opens when the current one is non-empty
     and its tensor count is reached or the next tensor would exceed the byte
     limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
-    unique within a model.
-
-    Count-only limits are arithmetic on the position rank (a two-level
-    running count, bucketed by position). A byte limit is
-    an order-dependent fold: rows are hash-partitioned by model, sorted by
-    (model, pos) inside each partition, and folded by a streaming
-    ``mapInPandas`` pass that carries its state across batches - no group
-    is ever held in memory, one Python call serves many models. The fold is
-    sequential by its definition, so one model's narrow (position, bytes) rows
-    pass through one task."""
+    unique within a model; null sizes are 0.
+
+    The fold is a chain of jumps: every rank has a successor, the start of the
+    next shard if a shard started there, found by a merge of prefix sums with
+    prefix sums plus the limit. The ranks that the chain from the first one
+    visits are found by pointer doubling: in each round the starts known so far
+    jump by twice as many shards as before, so the rounds are the logarithm of
+    the number of shards, and one model spreads over many tasks. Count-only
+    limits are arithmetic on the rank."""
     base = 1 if small_first else 0
+    if not max_tensors and not max_bytes:
+        return tensors.withColumn("shard", F.lit(base).cast("bigint"))
+    slim = tensors.select(F.col(model).alias("m"), F.col(pos).alias("p"), F.coalesce(F.col(nbytes), F.lit(0)).cast("bigint").alias("bytes"), F.lit(1).alias("one"))
+    by = F.floor(F.col("p") / RANKS)
+    ranked = running_agg(slim, ["m"], ["p"], "one", by, "rank", "sum")
     if not max_bytes:
-        if not max_tensors:
-            return tensors.withColumn("shard", F.lit(base).cast("bigint"))
-        # rank within the model by a two-level running count (no window over a whole model)
-        ranked = running_agg(tensors.withColumn("__one", F.lit(1)), [model], [pos], "__one",
-                             F.floor(F.col(pos) / 4096), "__rank", "sum")
-        return ranked.withColumn("shard", (F.floor((F.col("__rank") - 1) / max_tensors) + base).cast("bigint")) \
-            .drop("__one", "__rank")
-    slim = tensors.select(F.col(model).alias("__m"), F.col(pos).alias("__pos"),
-                          F.coalesce(F.col(nbytes), F.lit(0)).cast("bigint").alias("__bytes"))
-    ordered = slim.repartition("__m").sortWithinPartitions("__m", "__pos")
-    schema = T.StructType(slim.schema.fields + [T.StructField("shard", T.LongType())])
-    folded = ordered.mapInPandas(_fold_shards_stream(max_tensors, max_bytes, small_first), schema)
-    return tensors.join(folded.select(F.col("__m").alias(model), F.col("__pos").alias(pos), "shard"),
-                        [model, pos], "inner")
+        numbered = ranked.select("m", "p", (F.floor((F.col("rank") - 1) / max_tensors) + base).alias("shard"))
+    else:
+        t = materialize(running_agg(ranked, ["m"], ["p"], "bytes", by, "sum", "sum").drop("one"), "shard-ranks")
+        jump = materialize(_next_starts(t, max_tensors, max_bytes), "shard-jumps")
+        found = [t.where("rank = 1").select("m", F.col("rank").alias("s"))]
+        while True:
+            known = reduce(DataFrame.unionAll, found)
+            new = materialize(known.join(jump, ["m", "s"]).select("m", F.col("t").alias("s")), "shard-starts")
+            if not new.take(1):
+                break
+            found.append(new)
+            twice = jump.select("m", F.col("s").alias("t"), F.col("t").alias("u"))
+            jump = materialize(jump.join(twice, ["m", "t"]).select("m", "s", F.col("u").alias("t")), "shard-jumps")
+        starts = reduce(DataFrame.unionAll, found).select("m", F.col("s").alias("rank"), F.lit(1).alias("start"))
+        opened = t.join(starts, ["m", "rank"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+        numbered = running_agg(opened, ["m"], ["rank"], "start", F.floor(F.col("rank") / RANKS), "k", "sum").select("m", "p", (F.col("k") - 1 + base).alias("shard"))
+    numbered = numbered.select(F.col("m").alias(model), F.col("p").alias(pos), F.col("shard").cast("bigint").alias("shard"))
+    return tensors.join(numbered, [model, pos], "inner")
 
 
 def aligned_offsets(tensors: DataFrame, keys: list[str], pos: str, nbytes: str,

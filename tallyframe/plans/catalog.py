@@ -317,7 +317,9 @@ def digests(spark, sf_dir):
                                       F.concat_ws(",", F.col("name"), F.col("shape").cast("array<string>").cast("string"))
                                       .alias("data"))
     h = C.content_hashes(c, "data")
-    return C.model_digest(h, "model", "pos")
+    h = h.withColumn("pos", F.col("pos") - 1)
+    by_two = C.model_digest(h, "model", "pos", fan=2).withColumnRenamed("model_sha256", "by_two_sha256")
+    return C.model_digest(h, "model", "pos").join(by_two, "model")
 
 
 # ------------------------------------------------------------------ oracle SQL
@@ -675,9 +677,14 @@ SELECT block, projection, array_to_string(list_sort(list(part)), ',') AS parts,
 FROM o GROUP BY 1, 2"""
 
 SQL_MODEL_DIGEST = f"""WITH {_SQL_CAT},
-t AS (SELECT model, pos, sha256(name || ',' || '[' || array_to_string(shape, ', ') || ']') AS d FROM catalog),
-b AS (SELECT model, pos // 4096 AS bucket, sha256(string_agg(d, '' ORDER BY pos)) AS bd FROM t GROUP BY 1, 2)
-SELECT model, sha256(string_agg(bd, '' ORDER BY bucket)) AS model_sha256 FROM b GROUP BY model"""
+t AS (SELECT model, pos - 1 AS q, sha256(name || ',' || '[' || array_to_string(shape, ', ') || ']') AS d, max(pos - 1) OVER (PARTITION BY model) AS top FROM catalog),
+-- one level of two for every open model, as long as there is one
+l1 AS (SELECT model, q // 2 AS q, top // 2 AS top, sha256(string_agg(d, '' ORDER BY q)) AS d FROM t GROUP BY model, t.q // 2, top // 2),
+l2 AS (SELECT model, q // 2 AS q, top // 2 AS top, CASE WHEN any_value(top) > 0 THEN sha256(string_agg(d, '' ORDER BY q)) ELSE any_value(d) END AS d FROM l1 GROUP BY model, l1.q // 2, l1.top // 2),
+l3 AS (SELECT model, q // 2 AS q, top // 2 AS top, CASE WHEN any_value(top) > 0 THEN sha256(string_agg(d, '' ORDER BY q)) ELSE any_value(d) END AS d FROM l2 GROUP BY model, l2.q // 2, l2.top // 2),
+l4 AS (SELECT model, q // 2 AS q, top // 2 AS top, CASE WHEN any_value(top) > 0 THEN sha256(string_agg(d, '' ORDER BY q)) ELSE any_value(d) END AS d FROM l3 GROUP BY model, l3.q // 2, l3.top // 2),
+l5 AS (SELECT model, q // 2 AS q, top // 2 AS top, CASE WHEN any_value(top) > 0 THEN sha256(string_agg(d, '' ORDER BY q)) ELSE any_value(d) END AS d FROM l4 GROUP BY model, l4.q // 2, l4.top // 2)
+SELECT model, model_sha256, l5.d AS by_two_sha256 FROM l5 JOIN (SELECT model, sha256(string_agg(d, '' ORDER BY q)) AS model_sha256 FROM t GROUP BY model) USING (model)"""
 
 QUERIES = {
     "cat_tensor_sizes": (sizes, SQL_SIZES),

@@ -80,6 +80,19 @@ def test_summarize_runs_nulls_and_booleans(spark):
     assert got[(None, None)].p50_ms_avg is None
 
 
+def test_running_peak_of_one_crowded_hour(spark):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=i // 3), None if i % 5 == 0 else "p", None if i % 7 == 0 else float((i * 37) % 101)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, name string, v double")
+    got = {r.id: r.running_peak for r in B.running_peak(df, ["name"], "ts", "id", "v", buckets=16).collect()}
+    peaks = {}
+    for i, _, name, v in rows:
+        peaks[name] = v if peaks.get(name) is None else peaks[name] if v is None else max(peaks[name], v)
+        assert got[i] == peaks[name]
+    ranged = df.repartitionByRange(16, F.col("name").asc_nulls_first(), "ts", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranged) < 600
+
+
 def test_running_peak_two_level(spark):
     import datetime as dt
     base = dt.datetime(2024, 1, 1)

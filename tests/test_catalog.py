@@ -112,6 +112,44 @@ def test_plan_shards_equals_greedy(spark):
                 size += b
 
 
+def test_plan_shards_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(C, "RANKS", 8)
+    rng = np.random.default_rng(5)
+    sizes = {1: rng.choice([0, 1, 3, 7, 12, 40, 900], 700).tolist(), 2: [0] * 50 + [5] * 120 + [0] * 30, 3: [10 ** 6] + [1] * 200, 4: [1] * 200 + [10 ** 6] + [0] * 20, 5: [None, 3]}
+    df = spark.createDataFrame([(m, p, b) for m, v in sizes.items() for p, b in enumerate(v)], "model long, pos long, nbytes long")
+    for max_t, max_b in ((0, 20), (6, 50), (0, 10 ** 7), (3, 1)):
+        got = {(r.model, r.pos): r.shard for r in C.plan_shards(df, "model", "pos", "nbytes", max_t, max_b).collect()}
+        for m, v in sizes.items():
+            shard, cnt, size = 0, 0, 0
+            for p, b in enumerate(v):
+                b = b or 0
+                if cnt > 0 and ((max_t and cnt >= max_t) or size + b > max_b):
+                    shard, cnt, size = shard + 1, 0, 0
+                assert got[(m, p)] == shard, (max_t, max_b, m, p)
+                cnt, size = cnt + 1, size + b
+
+
+def test_model_digest_has_levels_until_one_is_left(spark):
+    import hashlib
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(m, p, f"d{m}-{p}") for m, n in ((1, 1), (2, 3), (3, 4), (4, 30)) for p in range(n)] + [(5, 0, "a"), (5, 20, "b")]
+
+    def tree(digests):
+        while True:
+            groups = {}
+            for p, d in sorted(digests.items()):
+                groups.setdefault(p // 3, []).append(d)
+            top = max(digests)
+            digests = {p: sha("".join(v)) for p, v in groups.items()}
+            if top // 3 == 0:
+                return digests[0]
+
+    got = {r.model: r.model_sha256 for r in C.model_digest(spark.createDataFrame(rows, "model long, pos long, sha256 string"), "model", "pos", fan=3).collect()}
+    assert got == {m: tree({p: d for mm, p, d in rows if mm == m}) for m in range(1, 6)}
+    assert C.model_digest(spark.createDataFrame([], "model long, pos long, sha256 string"), "model", "pos").count() == 0
+
+
 def test_plan_shards_small_first(spark):
     rows = [(7, p, b) for p, b in enumerate([5, 5, 1, 9, 2, 2, 2, 2, 10, 1])]
     df = spark.createDataFrame(rows, "model long, pos long, nbytes long")
