@@ -3,22 +3,30 @@ substring search (F1).
 
 Exact k-NN design (both sides are DataFrames of any size, one plan for all):
 
-* queries fall into hash blocks of about ``QUERY_BLOCK`` rows, the corpus into
-  slices; every (block, slice) pair is one group of rows, queries first;
-* a ``mapInArrow`` pass over the sorted groups holds one block of queries and
-  their best k so far, and streams the slice past it batch by batch, so a
-  task's memory does not depend on the size of either side;
-* a final ``row_number`` window per query merges the partial lists. It reads
-  ``n_queries * k * n_slices`` narrow rows.
-
-Ties are broken by the corpus key (insertion position), as the reference does
-with its stable sort.
+* a bounded sample of the corpus serves as pivots (broadcast); every corpus
+  vector goes to the cell of its nearest pivot with its distance to it, and
+  neighbouring cells form groups of about ``CORPUS_SLICE`` rows (a larger cell
+  is split). Corpus rows are shuffled once, whatever the number of queries;
+* from its distances to the pivots and each cell's smallest radii a query knows
+  a bound on its k-th neighbour; the triangle inequality rules out the cells
+  that lie beyond it, and the query goes to the groups of the others;
+* a ``mapInArrow`` pass holds one group's corpus rows, sorted by distance to
+  their pivots, and streams the group's queries past them in small blocks. A
+  cell is skipped, and within a cell only the rows in the ring that the bound
+  allows are compared, and the bound shrinks as neighbours are found;
+* a final ``row_number`` window per query merges the partial lists, at most
+  ``k`` narrow rows per query and group.
+
+The bounds only leave out what cannot be a neighbour, ties included, so the
+answer is exact. Ties are broken by the corpus key (insertion position), as the
+reference does with its stable sort.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,128 +35,275 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of one distance matrix inside a task.
-_CELLS = 4_000_000
-#: Queries of a block, and corpus rows of a slice (more rows, more tasks).
-QUERY_BLOCK, CORPUS_SLICE = 4096, 262_144
+from tallyframe.session import materialize
 
+#: Cells of one distance matrix inside a task, and queries compared at once.
+_CELLS, _TOGETHER = 4_000_000, 64
+#: Corpus rows of a group (more rows, more groups), and the most pivots.
+CORPUS_SLICE, MAX_PIVOTS = 65_536, 256
+#: Smallest distances to the pivot that are kept per cell for the bound.
+_NEAREST = 16
+#: Relative slack of every bound, far above rounding errors.
+_SLACK = 1e-9
 
-def _vectors(col: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Width -> (row numbers, float64 matrix) of a list column."""
-    width = np.asarray(col.value_lengths())
-    flat = np.asarray(col.flatten(), dtype=np.float64)
-    start = np.concatenate([[0], np.cumsum(width)[:-1]])
-    out = {}
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        out[int(w)] = (rows, flat[start[rows][:, None] + np.arange(w)])
-    return out
+
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    """First ``width`` entries of the vectors as a matrix."""
+    n = len(col)
+    return np.asarray(col.flatten(), dtype=np.float64).reshape(n, -1)[:, :width] if n else np.empty((0, width))
 
 
 def _ids(col: pa.Array) -> np.ndarray:
     return col.to_numpy() if pa.types.is_integer(col.type) else np.array(col.to_pylist())
 
 
-class _Best:
-    """The best k corpus rows of every query of one block, by (distance, id)."""
-
-    def __init__(self, k: int):
-        self.k, self.queries, self.blocks = k, [], None
-
-    def add_queries(self, batch: pa.RecordBatch) -> None:
-        self.queries.append(batch)
-
-    def add_corpus(self, batch: pa.RecordBatch) -> None:
-        if not self.queries:
-            return
-        if self.blocks is None:
-            table = pa.Table.from_batches(self.queries).combine_chunks()
-            self.qid = table.column("qid").combine_chunks()
-            n = len(self.qid)
-            self.blocks = _vectors(table.column("vec").combine_chunks())
-            self.dist, self.ok = np.full((n, self.k), np.inf), np.zeros((n, self.k), bool)
-            self.cid = np.zeros((n, self.k), dtype=_ids(batch.column("cid")).dtype)
-        ids = _ids(batch.column("cid"))
-        if ids.dtype.kind == "U" and ids.dtype > self.cid.dtype:
-            self.cid = self.cid.astype(ids.dtype)
-        for wide, (rows, mat) in _vectors(batch.column("vec")).items():
-            for width, (mine, q) in self.blocks.items():
-                step = max(1, _CELLS // max(1, len(mine)))
-                for s in range(0, len(rows), step):
-                    self._merge(mine, q, mat[s:s + step], ids[rows[s:s + step]], min(wide, width))
-
-    def _merge(self, mine: np.ndarray, q: np.ndarray, c: np.ndarray, ids: np.ndarray, width: int) -> None:
-        d = np.zeros((len(q), len(c)))
-        for j in range(width):  # squared differences, always: the shorter vector's width counts
-            diff = q[:, j][:, None] - c[:, j][None, :]
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of squared differences, dimension by dimension: one formula for every distance."""
+    d = np.zeros((len(a), len(b)))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for j in range(a.shape[1]):
+            diff = a[:, j][:, None] - b[:, j][None, :]
             d += diff * diff
-        near = ~self.ok[mine][:, -1:] | (d <= self.dist[mine][:, -1:])  # a tie may win by its id
-        keep = near.any(axis=0)
-        if not keep.any():
-            return
-        d, ids = d[:, keep], ids[keep]
-        dist = np.concatenate([self.dist[mine], d], axis=1)
-        cid = np.concatenate([self.cid[mine], np.broadcast_to(ids, d.shape)], axis=1)
-        ok = np.concatenate([self.ok[mine], np.ones(d.shape, bool)], axis=1)
-        first = np.lexsort((cid, dist, ~ok), axis=1)[:, :self.k]
-        self.dist[mine], self.cid[mine], self.ok[mine] = (np.take_along_axis(x, first, axis=1) for x in (dist, cid, ok))
-
-    def result(self, kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
-        if self.blocks is None:
+    return d
+
+
+class _Cells:
+    """Pivots, and per cell the rows' number, range of distances to the pivot
+    and smallest such distances; cell ``len(pivots)`` takes the rows without a
+    finite distance and is never left out."""
+
+    def __init__(self, pivots: np.ndarray, k: int):
+        self.pivots, self.k, self.n = pivots, k, len(pivots)
+        self.low, self.high = np.full(self.n + 1, np.inf), np.full(self.n + 1, -np.inf)
+        self.count = np.zeros(self.n + 1, np.int64)
+        self.between = np.sqrt(_squared(pivots, pivots))
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot) of every row."""
+        cell, dist = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), 4096):
+            d = np.sqrt(_squared(x[at:at + 4096], self.pivots))
+            d[np.isnan(d)] = np.inf
+            cell[at:at + 4096], dist[at:at + 4096] = d.argmin(axis=1), d.min(axis=1)
+        cell[~np.isfinite(dist)] = self.n
+        return cell, dist
+
+    def bound(self, to_pivots: np.ndarray) -> np.ndarray:
+        """Upper bound on every query's k-th neighbour distance."""
+        out = np.full(len(to_pivots), np.inf)
+        if self.near_weight.sum() < self.k:
+            return out
+        for at in range(0, len(out), 256):
+            value = to_pivots[at:at + 256, self.near_cell] + self.near_dist[None, :]
+            order = np.argsort(value, axis=1)
+            enough = (np.cumsum(self.near_weight[order], axis=1) >= self.k).argmax(axis=1)[:, None]
+            out[at:at + 256] = np.take_along_axis(value, np.take_along_axis(order, enough, axis=1), axis=1)[:, 0] * (1 + _SLACK)
+        out[~np.isfinite(out)] = np.inf
+        return out
+
+    def least(self, to_pivots: np.ndarray) -> np.ndarray:
+        """Lower bound on the distance from every query to every cell's rows."""
+        d = to_pivots
+        out = np.full((len(d), self.n + 1), -np.inf)
+        if self.n:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                ring = np.maximum(d - self.high[None, :-1], self.low[None, :-1] - d)
+                own = d.argmin(axis=1)
+                plane = (d ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * self.between[own])
+                out[:, :-1] = np.fmax(ring, np.where(np.isfinite(plane), plane, -np.inf)) - _SLACK * d
+        return out
+
+    def kept(self, least: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which cells may hold a neighbour within the bound."""
+        return ~(least > bound[:, None] * (1 + _SLACK)) & (self.count[None, :] > 0)
+
+
+class _Group:
+    """The corpus rows of one group, and the neighbours of queries among them."""
+
+    def __init__(self, cells: _Cells, width: int):
+        self.cells, self.width, self.batches, self.parts, self.compared = cells, width, [], None, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+
+    def _ready(self) -> None:
+        table = pa.Table.from_batches(self.batches).combine_chunks()
+        x, ids = _matrix(table.column("vec").combine_chunks(), self.width), _ids(table.column("cid").combine_chunks())
+        cell, dist = table.column("cell").to_numpy(), table.column("d").to_numpy()
+        self.batches, self.parts = [], {}
+        for c in np.unique(cell):
+            rows = np.flatnonzero(cell == c)
+            rows = rows[np.argsort(dist[rows], kind="stable")]
+            self.parts[int(c)] = (x[rows], ids[rows], dist[rows])
+
+    def nearest(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if self.parts is None:
+            self._ready()
+        k, out = self.cells.k, []
+        x, bound = _matrix(batch.column("vec"), self.width), batch.column("d").to_numpy()
+        to_pivots = np.sqrt(_squared(x, self.cells.pivots))
+        order = np.argsort(to_pivots.argmin(axis=1) if self.cells.n else np.zeros(len(x)), kind="stable")  # queries of one cell together
+        kinds = (batch.column("qid").type, batch.column("cid").type)
+        for at in range(0, len(x), _TOGETHER):
+            out.append(self._block(batch, order[at:at + _TOGETHER], x, bound, to_pivots, k, kinds))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(len(o) for o in out) else out[0]
+
+    def _block(self, batch, mine, x, bound, to_pivots, k, kinds) -> pa.RecordBatch:
+        q, limit, d = x[mine], bound[mine].copy(), to_pivots[mine]
+        dist, cid, ok = np.empty((len(q), 0)), None, np.empty((len(q), 0), bool)
+        least = self.cells.least(d)
+        for c in sorted(self.parts, key=lambda c: d[:, c].min() if c < self.cells.n else np.inf):
+            rows, ids, radius = self.parts[c]
+            some = np.flatnonzero(~(least[:, c] > limit * (1 + _SLACK)))
+            if not len(some):
+                continue
+            a, b = 0, len(rows)
+            if c < self.cells.n and np.isfinite(limit[some]).all() and np.isfinite(d[some, c]).all():
+                slack = limit[some] + _SLACK * (limit[some] + d[some, c])
+                a = np.searchsorted(radius, (d[some, c] - slack).min() * (1 - _SLACK), side="left")
+                b = np.searchsorted(radius, (d[some, c] + slack).max() * (1 + _SLACK), side="right")
+            step = max(1, _CELLS // len(some))
+            for s in range(a, b, step):
+                e = min(b, s + step)
+                new = _squared(q[some], rows[s:e])
+                self.compared += new.size
+                full = np.full((len(q), e - s), np.inf)
+                full[some] = new
+                fresh = np.zeros(full.shape, bool)
+                fresh[some] = True
+                dist, ok = np.concatenate([dist, full], axis=1), np.concatenate([ok, fresh], axis=1)
+                every = np.broadcast_to(ids[s:e], full.shape)
+                cid = every if cid is None else np.concatenate([cid, every], axis=1)
+                first = np.lexsort((cid, dist, ~ok), axis=1)[:, :k]
+                dist, cid, ok = (np.take_along_axis(v, first, axis=1) for v in (dist, cid, ok))
+                if dist.shape[1] == k:
+                    last = np.sqrt(np.where(ok[:, -1] & ~np.isnan(dist[:, -1]), dist[:, -1], np.inf))
+                    limit = np.minimum(limit, last * (1 + _SLACK))
+        if cid is None:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (*kinds, pa.float64())], names=["qid", "cid", "dist"])
-        row, at = np.nonzero(self.ok)
-        return pa.RecordBatch.from_arrays([self.qid.take(pa.array(row)), pa.array(self.cid[row, at].tolist(), kinds[1]), pa.array(self.dist[row, at])],
+        row, col = np.nonzero(ok)
+        return pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(mine[row])), pa.array(cid[row, col].tolist(), kinds[1]), pa.array(dist[row, col])],
                                           names=["qid", "cid", "dist"])
 
 
-def _nearest(k: int):
+def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_corpus: int, corpus_slice: int, max_pivots: int, compared) -> DataFrame:
+    """Partial neighbour lists ``(qid, cid, dist)`` over the first ``width``
+    entries; all vectors of a side have one length."""
+    spark = q.sparkSession
+    qid, cid = q.schema["qid"].dataType.simpleString(), c.schema["cid"].dataType.simpleString()
+    n_pivots = max(1, min(max_pivots, math.ceil(math.sqrt(n_corpus))))
+    sample = c.orderBy(F.xxhash64("cid"), "cid").limit(4 * n_pivots).select("vec").collect()  # bounded
+    points = np.unique(np.array([r.vec[:width] for r in sample], np.float64).reshape(len(sample), width), axis=0)
+    points = points[np.isfinite(points).all(axis=1)]
+    cells = _Cells(np.random.default_rng(7).permutation(points)[:n_pivots], k)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, dist = cells.assign(_matrix(batch.column("vec"), width)) if cells.n else (np.zeros(len(batch), np.int64), np.full(len(batch), np.inf))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("vec"), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["cid", "vec", "cell", "d"])
+
+    corpus = materialize(c.mapInArrow(assigned, f"cid {cid}, vec array<double>, cell int, d double"), "knn-cells")
+    ranked = corpus.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("r")).where(F.col("r") <= _NEAREST)
+    near = [(r.cell, r.d) for r in ranked.collect() if r.cell < cells.n]  # at most 16 numbers a cell
+    taken = np.zeros(cells.n + 1, np.int64)
+    for r in corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect():
+        cells.count[r.cell] = r.n
+        cells.low[r.cell], cells.high[r.cell] = (r.low, r.high) if r.cell < cells.n else (0.0, np.inf)
+    for at, _ in near:
+        taken[at] += 1
+    rest = [(i, cells.high[i], cells.count[i] - taken[i]) for i in range(cells.n) if cells.count[i] > taken[i]]
+    cells.near_cell = np.array([i for i, _ in near] + [i for i, *_ in rest], np.int64)
+    cells.near_dist = np.array([d for _, d in near] + [d for _, d, _ in rest], np.float64)
+    cells.near_weight = np.array([1] * len(near) + [w for *_, w in rest], np.int64)
+
+    # neighbouring cells share a group: along the chain of nearest pivots not yet visited
+    chain, left = [], set(range(cells.n))
+    while left:
+        here = min(left) if not chain else min(left, key=lambda i: cells.between[chain[-1], i])
+        chain.append(here)
+        left.remove(here)
+    group_of, parts_of, size, groups = np.zeros(cells.n + 1, np.int64), np.ones(cells.n + 1, np.int64), 0, 0
+    for i in [*chain, cells.n]:
+        n = int(cells.count[i])
+        if size and size + n > corpus_slice:
+            groups, size = groups + 1, 0
+        group_of[i], parts_of[i] = groups, max(1, -(-n // corpus_slice))
+        size += n
+        if parts_of[i] > 1:
+            groups, size = groups + int(parts_of[i]), 0
+    shared = spark.sparkContext.broadcast((cells, group_of, parts_of))
+
+    def numbers(v: np.ndarray):
+        return F.array(*[F.lit(int(x)) for x in v])
+
+    part = F.pmod(F.xxhash64("cid"), F.element_at(numbers(parts_of), F.col("cell") + 1).cast("bigint")).cast("int")
+    right = corpus.select((F.element_at(numbers(group_of), F.col("cell") + 1) + part).cast("int").alias("g"), F.lit(0).alias("side"), F.lit(None).cast(qid).alias("qid"), "cid", "vec", "cell", "d")
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, group, parts = shared.value
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                batch = whole.slice(at, 4096)
+                x = _matrix(batch.column("vec"), width)
+                d = np.sqrt(_squared(x, m.pivots))
+                bound = m.bound(d)
+                row, cell = np.nonzero(m.kept(m.least(d), bound))
+                times = parts[cell]  # to every part of a split cell
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                pairs = np.unique(np.stack([np.repeat(row, times), np.repeat(group[cell], times) + part]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.int32)), *[batch.column(n).take(pa.array(pairs[0])) for n in ("qid", "vec")], pa.array(bound[pairs[0]])], names=["g", "qid", "vec", "d"])
+
+    left = q.mapInArrow(sent, f"g int, qid {qid}, vec array<double>, d double")
+    left = left.select("g", F.lit(1).alias("side"), "qid", F.lit(None).cast(cid).alias("cid"), "vec", F.lit(None).cast("int").alias("cell"), "d")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, kinds = None, None, None
+        at, group = None, None
         for batch in batches:
-            kinds = kinds or (batch.schema.field("qid").type, batch.schema.field("cid").type)
-            key = np.stack([batch.column(c).to_numpy() for c in ("i", "j", "side")])
+            key = np.stack([batch.column(n).to_numpy() for n in ("g", "side")])
             cuts = np.flatnonzero(np.r_[True, (np.diff(key, axis=1) != 0).any(axis=0)]) if batch.num_rows else []
             for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                here = (key[0, a], key[1, a])
-                if here != at:
-                    if best:
-                        yield best.result(kinds)
-                    at, best = here, _Best(k)
-                part = batch.slice(a, b - a)
-                best.add_queries(part) if key[2, a] == 0 else best.add_corpus(part)
-        if best:
-            yield best.result(kinds)
-    return run
+                if key[0, a] != at:
+                    at, group = key[0, a], _Group(shared.value[0], width)
+                some = batch.slice(a, b - a)
+                if key[1, a] == 0:
+                    group.add(some)
+                elif group.batches or group.parts:
+                    before = group.compared
+                    yield group.nearest(some)
+                    if compared is not None:
+                        compared.add(group.compared - before)
+
+    rows = right.unionByName(left).repartition("g").sortWithinPartitions("g", "side")
+    return rows.mapInArrow(run, f"qid {qid}, cid {cid}, dist double")
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
         query_key: str = "qid", corpus_key: str = "pos", vector: str = "embedding",
-        corpus_vector: str | None = None, query_block: int = QUERY_BLOCK, corpus_slice: int = CORPUS_SLICE) -> DataFrame:
+        corpus_vector: str | None = None, corpus_slice: int = CORPUS_SLICE, max_pivots: int = MAX_PIVOTS, compared=None) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance.
 
     Returns ``(query_key, rank, corpus_key, dist)``; ``rank`` starts at 1,
     ties by ascending ``corpus_key``; k larger than the corpus gives the whole
     corpus; an empty corpus gives no rows. Two vectors of different widths are
-    compared over the shorter one's width; null vectors are left out. The
-    answer to a query does not depend on the other queries or on the blocks.
+    compared over the shorter one's width (every pair of widths that occurs is
+    a join of its own); null vectors are left out, and vectors with entries
+    that are not finite are compared with everything. The answer to a query
+    does not depend on the other queries, pivots or groups. ``compared`` may be
+    an accumulator that counts the distances computed.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     q = queries.select(F.col(query_key).alias("qid"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
     c = corpus.select(F.col(corpus_key).alias("cid"), F.col(corpus_vector or vector).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
-    qid, cid = q.schema["qid"].dataType.simpleString(), c.schema["cid"].dataType.simpleString()
-    blocks, slices = max(1, math.ceil(q.count() / query_block)), max(1, math.ceil(c.count() / corpus_slice))
-    slices = max(slices, min(16, math.ceil(c.count() / 64)) if blocks == 1 else 1)
-
-    def spread(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = q.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("i"), spread(slices).alias("j"), F.lit(0).alias("side"), "qid", F.lit(None).cast(cid).alias("cid"), "vec")
-    right = c.select(spread(blocks).alias("i"), F.pmod(F.xxhash64("cid"), F.lit(slices)).cast("int").alias("j"), F.lit(1).alias("side"), F.lit(None).cast(qid).alias("qid"), "cid", "vec")
-    rows = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side")
-    partial = rows.mapInArrow(_nearest(k), f"qid {qid}, cid {cid}, dist double")
+    q, c = materialize(q, "knn-queries"), materialize(c, "knn-corpus")
+    widths = [{r.w: r["count"] for r in d.groupBy(F.size("vec").alias("w")).count().collect()} for d in (q, c)]
+    parts = [_knn_of_width(q.where(F.size("vec") == a), c.where(F.size("vec") == b), k, min(a, b), n, corpus_slice, max_pivots, compared)
+             for a in sorted(widths[0]) for b, n in sorted(widths[1].items())]
+    if not parts:
+        parts = [q.sparkSession.createDataFrame([], f"qid {q.schema['qid'].dataType.simpleString()}, cid {c.schema['cid'].dataType.simpleString()}, dist double")]
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("cid").asc())
-    return (partial.withColumn("rank", F.row_number().over(w))
+    return (reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
             .select(F.col("qid").alias(query_key), "rank",
                     F.col("cid").alias(corpus_key), "dist"))

@@ -1,6 +1,7 @@
 """P1 hash embedding and J1 exact k-NN."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.embed import hash_embed
@@ -62,7 +63,7 @@ def test_knn_blocked_query_side_equals_single_pass(spark):
     c = spark.createDataFrame(corpus, "pos long, embedding array<double>").repartition(5)
     q = spark.createDataFrame(queries, "qid long, embedding array<double>")
     one = sorted(tuple(r) for r in knn(q, c, 3).collect())
-    blocked = sorted(tuple(r) for r in knn(q, c, 3, query_block=8, corpus_slice=5).collect())
+    blocked = sorted(tuple(r) for r in knn(q, c, 3, corpus_slice=5, max_pivots=4).collect())
     assert one == blocked
     assert [(a, b, c_) for a, b, c_, _ in one] == [(a, b, c_) for a, b, c_, _ in sorted(_brute(queries, corpus, 3))]
 
@@ -103,3 +104,33 @@ def test_knn_compares_over_the_shorter_width(spark):
     assert [got[("x", i)] for i in (1, 2, 3, 4)] == [("a", 0.0), ("long-name", 0.0), ("c", 4.0), ("b", 45.0)]
     assert [got[("y", i)] for i in (1, 2, 3, 4)] == [("c", 0.0), ("a", 4.0), ("b", 4.0), ("long-name", 4.0)]
     assert got[(None, 1)] == ("a", 1.0)
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_knn_leaves_out_cells_and_stays_exact(spark, k):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 20
+    x = np.concatenate([centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)), np.repeat(centres[:1], 400, axis=0)])  # a crowd of equal vectors
+    q = np.concatenate([x[::40], rng.normal(size=(20, 8)) * 30])
+    count = spark.sparkContext.accumulator(0)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
+    got = {(r.qid, r.rank): (r.pos, r.dist) for r in knn(queries, corpus, k, corpus_slice=150, compared=count).collect()}
+    d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    for i in range(len(q)):
+        for rank, pos in enumerate(np.lexsort((np.arange(len(x)), np.round(d[i], 9)))[:k], 1):
+            assert abs(got[(i, rank)][1] - d[i, pos]) < 1e-9 and abs(d[i, got[(i, rank)][0]] - d[i, pos]) < 1e-9
+    crowd = [got[(i, 1)][0] for i in range(len(q)) if (q[i] == centres[0]).all()]
+    assert crowd and set(crowd) == {900}  # the smallest id of the equal ones
+    assert 0 < count.value < 0.4 * d.size
+
+
+def test_knn_with_entries_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    vecs = [[0.0, 1.0], [nan, 1.0], [inf, 0.0], [3.0, 4.0], [0.0, 1.5], [1e200, 0.0]]
+    c = spark.createDataFrame(list(enumerate(vecs)), "pos long, embedding array<double>")
+    q = spark.createDataFrame([(0, [0.0, 0.0]), (1, [nan, 0.0]), (2, [inf, 1.0])], "qid long, embedding array<double>")
+    got = {}
+    for r in knn(q, c, 6, max_pivots=2).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.pos, r.dist))
+    assert [p for _, p, _ in sorted(got[0])][:3] == [0, 4, 3] and all(len(v) == 6 for v in got.values())
