@@ -7,12 +7,14 @@ number and width of the bands follow from the wanted recall at the threshold.
 Sets that share a band hash are candidates, and every candidate pair is
 verified on the full sets.
 
-Pairs are never emitted. Band buckets only yield star edges to their smallest
-member, whose connected components bundle the sets that have to be compared.
-A component is cut into blocks of ``BLOCK`` sets; one task compares one pair of
-blocks and emits, for every member, how many links it has and one edge to the
-smallest member it is linked with there. So a task holds at most two blocks,
-and the output is linear in the documents however large a group is.
+Pairs of sets are never emitted. Every set with a candidate goes into a cell of
+about ``BLOCK`` sets, those of its largest bucket, so sets that share many bands
+share a cell. Two cells are compared, in a task, if any bucket holds sets of
+both, so sets that no chain of equal bands links are never read together, and
+each pair of sets meets at most once. A comparison emits, for every member, how
+many links it has and one edge to the smallest member it is linked with there.
+So a task holds at most two cells, and the output is linear in the documents
+however large a group is. Classes grow from verified links alone.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tallyframe.llm.common import connected_components, text_of, written
 
 SHINGLE_WORDS = 5
 BLOCK = 256
+#: Bits of the broadcast table that keeps other texts out of a shuffle.
+MAX_BITS = 1 << 26
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,7 +147,7 @@ def _verify(k: int, t: Fraction):
     names = ["set_key", "root_key", "text_links", "doc_links"]
 
     def finish(group: list[tuple], i: int, j: int) -> list[tuple]:
-        group = sorted({g[0]: g for g in group}.values())  # by key: the first of a component is its smallest
+        group = sorted({g[0]: g for g in group}.values(), key=lambda g: g[0])  # the first of a component is its smallest
         if len(group) < 2:
             return []
         link = _compare([g[3] for g in group], np.array([g[1] for g in group]), i == j, t)
@@ -164,19 +168,37 @@ def _verify(k: int, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, out = None, [], []
         for batch in batches:
-            for root, i, j, key, chunk, copies, text in zip(*[batch.column(c) for c in ("root", "i", "j", "set_key", "chunk", "n_copies", "text")], strict=True):
-                here = (root.as_py(), i.as_py(), j.as_py())
+            for i, j, key, cell, copies, text in zip(*[batch.column(c) for c in ("i", "j", "set_key", "cell", "n_copies", "text")], strict=True):
+                here = (i.as_py(), j.as_py())
                 if here != at:
-                    out += finish(group, *at[1:]) if at else []
+                    out += finish(group, *at) if at else []
                     at, group = here, []
                     if len(out) >= 10_000:
                         yield table(out)
                         out = []
-                group.append((key.as_py(), chunk.as_py(), copies.as_py(), shingle_hashes(text.as_py(), k)))
-        yield table(out + (finish(group, *at[1:]) if at else []))
+                group.append((key.as_py(), cell.as_py(), copies.as_py(), shingle_hashes(text.as_py(), k)))
+        yield table(out + (finish(group, *at) if at else []))
     return run
 
 
+def _only(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` whose hash ``key`` may be among the wanted ones, before they are
+    shuffled: a table of bits, 16 for each wanted key but at most ``MAX_BITS``,
+    is broadcast. What it lets through by chance the join drops."""
+    bits = 1 << 16
+    n = wanted.count()
+    while bits < 16 * n and bits < MAX_BITS:
+        bits *= 2
+
+    def slot(c: str):
+        return F.pmod(F.xxhash64(c, F.lit(2)), F.lit(bits))
+
+    words = wanted.groupBy(F.shiftright(slot(wanted_key), 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot(wanted_key) % 64).cast("int"))).alias("__bits"))
+    words = F.broadcast(written(words, "ngram-bits"))
+    bit = F.call_function("shiftrightunsigned", F.col("__bits"), (slot(key) % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+    return rows.join(words, (F.shiftright(slot(key), 6) == F.col("__word")) & (bit == 1), "left_semi")
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                        recall: float = 0.9999, k: int = SHINGLE_WORDS, max_hashes: int = 200, seed: int = 20240) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``text_hash``, ``class_key``,
@@ -203,19 +225,26 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min(F.struct("id", "text_hash")).alias("rep"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("bands").alias("bands"))
     sets = written(sets.withColumn("u", F.xxhash64("set_key")), "ngram-sets")
 
-    # candidate components: a 64-bit name is enough here, as a clash only makes a group larger
+    # cells: a 64-bit name of a set is enough here, as a clash only makes a cell larger
     entry = sets.select("u", F.explode("bands").alias("h"))
-    bucket = written(entry.groupBy("h").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v <> w").select("h", "v"), "ngram-buckets")
-    comp = connected_components(entry.join(bucket, "h").where("u <> v").select("u", "v"))
-    size = comp.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    cand = sets.join(comp.withColumnRenamed("node", "u"), "u").join(size, "root")
-    cand = cand.select(F.col("rep.id").alias("c_id"), F.col("rep.text_hash").alias("c_hash"), "set_key", "n_copies", "root", "n_blocks")
-
-    text = src.join(cand, (src.text_hash == cand.c_hash) & src.id.eqNullSafe(cand.c_id)).drop("c_hash", "c_id", "id", "text_hash")
-    text = text.dropDuplicates(["set_key"]).withColumn("chunk", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("n_blocks")).cast("int"))
-    blocks = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    blocks = blocks.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "set_key", "chunk", "n_copies", "text")
-    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    shared = entry.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = written(entry.join(shared, "h"), "ngram-buckets")
+    home = member.groupBy("u").agg(F.max(F.struct("n", "h")).getField("h").alias("home"))
+    parts = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
+    cells = home.join(parts, "home").select("u", F.xxhash64("home", F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts"))).alias("cell"))
+    cells = written(cells, "ngram-cells")
+    met = member.select("u", "h").join(cells, "u").groupBy("h").agg(F.sort_array(F.collect_set("cell")).alias("c"))
+    pairs = met.select("c", F.explode("c").alias("i")).select("i", F.explode(F.filter("c", lambda x: x >= F.col("i"))).alias("j")).distinct()
+    pairs = written(pairs, "ngram-pairs")
+
+    cand = sets.join(cells, "u").select(F.col("rep.id").alias("c_id"), F.col("rep.text_hash").alias("c_hash"), "set_key", "n_copies", "cell")
+    cand = written(cand, "ngram-candidates")
+    text = _only(src, "text_hash", cand, "c_hash")
+    text = text.join(cand, (F.col("text_hash") == F.col("c_hash")) & F.col("id").eqNullSafe(F.col("c_id"))).drop("c_hash", "c_id", "id", "text_hash")
+    text = text.dropDuplicates(["set_key"])
+    sides = pairs.select(F.col("i").alias("cell"), "i", "j").unionAll(pairs.where("i <> j").select(F.col("j").alias("cell"), "i", "j"))
+    blocks = text.join(sides, "cell").select("i", "j", "set_key", "cell", "n_copies", "text")
+    blocks = blocks.repartition("i", "j").sortWithinPartitions("i", "j")
     found = written(blocks.mapInArrow(_verify(k, t), "set_key string, root_key string, text_links bigint, doc_links bigint"), "ngram-links")
 
     links = found.groupBy("set_key").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
