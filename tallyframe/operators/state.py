@@ -9,11 +9,9 @@ stay rows ordered by ``seq``.
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # Change kinds.
 KINDS_SET = ("set", "set_map")
@@ -88,69 +86,82 @@ def expected_mismatches(state: DataFrame, expected: DataFrame, entity: str, key:
     return e.join(s, [entity, key], "left").filter(~F.col("expected").eqNullSafe(F.col("current")))
 
 
-def _replay_state_fn():
-    """R6 body: per entity, the current map and an undo stack of deltas
-    (the key and its previous value), both JSON text in the state store.
-    ``undo`` pops one delta and restores it. State is linear in the entity's
-    history; each output row carries only the key it touched."""
-    import json
-
-    absent = {"__absent__": True}
-    pop_last = {"__pop__": True}      # undo of an append: drop the last item
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        (ent,) = key
-        if state.exists:
-            cur, stack = json.loads(state.get[0]), json.loads(state.get[1])
-        else:
-            cur, stack = {}, []
-        rows = []
-        frames = [p for p in pdfs]
-        if frames:
-            batch = pd.concat(frames).sort_values("seq", kind="stable")
-            for seq, kind, k, v in batch[["seq", "kind", "key", "value"]].itertuples(index=False):
-                touched = k
-                if kind == "undo":
-                    if stack:
-                        touched, prev = stack.pop()
-                        if prev == absent:
-                            cur.pop(touched, None)
-                        elif prev == pop_last:
-                            cur[touched].pop()
-                        else:
-                            cur[touched] = prev
-                elif kind == "append":
-                    old = cur.get(k, absent)
-                    if old == absent:
-                        stack.append([k, absent])
-                        cur[k] = [v]
-                    elif isinstance(old, list):
-                        stack.append([k, pop_last])
-                        old.append(v)
-                    else:
-                        stack.append([k, old])
-                        cur[k] = [old, v]
-                elif kind in ("set", "set_map"):
-                    stack.append([k, cur.get(k, absent)])
-                    cur[k] = v
-                else:
-                    continue
-                val = cur.get(touched)
-                is_list = isinstance(val, list)
-                rows.append((ent, int(seq), len(stack), touched,
-                             None if (val is None or is_list) else str(val), len(val) if is_list else None))
-        state.update((json.dumps(cur), json.dumps(stack)))
-        if rows:
-            yield pd.DataFrame(rows, columns=["entity", "seq", "depth", "key", "value", "list_len"])
-    return fn
-
-
-def stateful_replay(changes: DataFrame, entity: str = "entity") -> DataFrame:
-    """Streaming replay with undo via ``applyInPandasWithState``. The
-    state of one entity (current map + delta stack) lives in the state store,
-    linear in that entity's history; output is one row per applied change:
-    the touched key, its new scalar value, or the new length of a list."""
-    d = changes.select(F.col(entity).alias("entity"), "seq", "kind", "key", "value")
-    return d.groupBy("entity").applyInPandasWithState(
-        _replay_state_fn(), "entity long, seq long, depth int, key string, value string, list_len int",
-        "cur string, stack string", "append", "NoTimeout")
+#: State store of the operators with keyed state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Changes of an entity's current run that can be undone.
+MAX_UNDO = 1000
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Let streams started from now on keep their state in RocksDB, which
+    ``transformWithState`` needs: state beyond memory, one entry per cell."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class _Replay(StatefulProcessor):
+    """R6 body. ``cells``: key -> (value, length of a list or null), one entry
+    per live cell. ``undo``: number -> (key, the cell before the change), of
+    which ``ends`` names the first and the next number; older entries go."""
+
+    def __init__(self, max_undo: int):
+        self.max_undo = max_undo
+
+    def init(self, handle) -> None:
+        self.cells = handle.getMapState("cells", "key string", "value string, length int")
+        self.undo = handle.getMapState("undo", "number long", "key string, was boolean, value string, length int")
+        self.ends = handle.getValueState("ends", "first long, next long")
+
+    def _put(self, key: str, cell: tuple | None) -> None:
+        if cell is not None:
+            self.cells.updateValue((key,), cell)
+        elif self.cells.containsKey((key,)):
+            self.cells.removeKey((key,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, nxt = tuple(self.ends.get()) if self.ends.exists() else (0, 0)
+        # the shuffle does not keep the order of a micro-batch; what is sorted is this entity's part of it
+        for r in sorted(rows, key=lambda r: r.seq):
+            touched = "" if r.key is None else "=" + r.key
+            if r.kind == "begin":
+                for number in range(first, nxt):
+                    self.undo.removeKey((number,))
+                first = nxt
+                continue
+            if r.kind == "undo":
+                if nxt > first:
+                    nxt -= 1
+                    touched, was, value, length = tuple(self.undo.getValue((nxt,)))
+                    self.undo.removeKey((nxt,))
+                    self._put(touched, (value, length) if was else None)
+            elif r.kind in (*KINDS_SET, KIND_APPEND):
+                was = self.cells.containsKey((touched,))
+                value, length = tuple(self.cells.getValue((touched,))) if was else (None, None)
+                self.undo.updateValue((nxt,), (touched, was, value, length))
+                nxt += 1
+                if nxt - first > self.max_undo:
+                    self.undo.removeKey((first,))
+                    first += 1
+                self._put(touched, (r.value, None) if r.kind != KIND_APPEND else (None, 1 + (length if length is not None else int(was))))
+            else:
+                continue
+            now = tuple(self.cells.getValue((touched,))) if self.cells.containsKey((touched,)) else (None, None)
+            yield Row(entity=key[0], seq=r.seq, depth=nxt - first, key=touched[1:] if touched else None, value=now[0], list_len=now[1])
+        self.ends.update((first, nxt))
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_replay(changes: DataFrame, entity: str = "entity", max_undo: int = MAX_UNDO) -> DataFrame:
+    """Streaming replay with undo on ``transformWithState``: one row per
+    applied change with the touched key, its new scalar value or the new length
+    of a list, and the ``depth`` of the undo list.
+
+    The state of an entity is one entry per live key and one per change that
+    can still be undone: the last ``max_undo`` ones of the current run, which a
+    change of kind ``begin`` starts anew. A long history leaves nothing else."""
+    keyed_state(changes.sparkSession)
+    d = changes.select(F.col(entity).alias("entity"), F.col("seq").cast("long").alias("seq"), "kind", "key", "value")
+    kind = d.schema["entity"].dataType.simpleString()
+    return d.groupBy("entity").transformWithState(
+        _Replay(max_undo), f"entity {kind}, seq long, depth int, key string, value string, list_len int", "append", "None")

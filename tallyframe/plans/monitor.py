@@ -58,9 +58,9 @@ def absence(spark, sf_dir):
 def absence_streamed(spark, sf_dir):
     from tallyframe.session import scratch_path
     s = _event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("name"))
-    alerts, state = scratch_path(spark, "absence-alerts"), scratch_path(spark, "absence-state")
-    E.absence_stream(s, "ts", "name", alerts, state, scratch_path(spark, "absence-ckpt"), POLL_SECONDS)
-    return E.read_absences(spark, alerts, state, POLL_SECONDS)
+    log = scratch_path(spark, "absence-log")
+    E.absence_stream(s, "ts", "name", log, scratch_path(spark, "absence-ckpt"), POLL_SECONDS)
+    return E.read_absences(spark, log, POLL_SECONDS)
 
 
 def rss(spark, sf_dir):

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from tallyframe.operators.state import keyed_state
 from tallyframe.session import scratch_path
 from tallyframe.sources import versions as V
 
@@ -136,55 +138,89 @@ def absence_alerts(polls: DataFrame, ts: str, name: str, poll_seconds: int = 30)
     return _alerts(expected.join(seen, ["name", "slot"], "left_anti"))
 
 
-def absence_stream(events: DataFrame, ts: str, name: str, alerts_path: str, state_path: str, checkpoint: str,
-                   poll_seconds: int = 30, once: bool = True):
-    """R4 (stream): each micro-batch closes the polls before its latest one.
-
-    The state is a versioned table with one row per name: the poll up to which
-    it is ``closed`` and whether it was ``seen`` in the newest, still open one.
-    A batch turns its events into distinct (name, poll) pairs, reports the
-    expected pairs that are not among them, however long the gap, and writes
-    alerts and state by epoch, so that a replayed batch changes nothing.
-    Sightings in polls already closed come too late."""
+class _Absence(StatefulProcessor):
+    """R4 body, one per name: the poll up to which it is ``closed`` (and
+    whether a timer has closed one), and the later polls it was seen in. The
+    timer of the next poll's end closes that poll and all later ones that the
+    watermark has passed."""
+
+    def __init__(self, step: int):
+        self.step = step
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.closed = handle.getValueState("closed", "slot long, fired boolean")
+        self.seen = handle.getMapState("seen", "slot long", "at long")
+
+    def _wait(self, closed: int) -> None:
+        self.handle.registerTimer((closed + 2 * self.step) * 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        slots = sorted({r.slot for r in rows})
+        closed, fired = tuple(self.closed.get()) if self.closed.exists() else (slots[0] - self.step, False)
+        if not fired:
+            closed = min(closed, slots[0] - self.step)
+        for slot in slots:
+            if slot > closed and not self.seen.containsKey((slot,)):
+                self.seen.updateValue((slot,), (slot,))
+                yield Row(name=key[0], slot=slot, action="seen")
+        self.closed.update((closed, fired))
+        self._wait(closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, (closed, _) = timerValues.getCurrentWatermarkInMs(), tuple(self.closed.get())
+        while (closed + 2 * self.step) * 1000 <= now:
+            closed += self.step
+            if self.seen.containsKey((closed,)):
+                self.seen.removeKey((closed,))
+            else:
+                yield Row(name=key[0], slot=closed, action="start")
+        self.closed.update((closed, True))
+        self._wait(closed)
+
+    def close(self) -> None:
+        pass
+
+
+def absence_stream(events: DataFrame, ts: str, name: str, log_path: str, checkpoint: str, poll_seconds: int = 30,
+                   delay: str = "0 seconds", once: bool = True):
+    """R4 (stream): a log of polls per name, ``seen`` or a ``start`` action
+    where a name was expected and not seen, however long the gap.
+
+    Every name has an event-time timer at the end of its next open poll, so a
+    name that never returns is reported at every poll, and a batch touches the
+    names it holds and those whose polls the watermark closes. ``delay`` is how
+    much later than a newer event one may come; sightings in closed polls come
+    too late. A batch's log is a folder of its own: a replayed batch writes
+    over itself."""
     step = max(MIN_POLL_SECONDS, int(poll_seconds))
+    keyed_state(events.sparkSession)
+    slots = events.withWatermark(ts, delay).select(ts, F.col(name).alias("name"), (F.floor(F.unix_timestamp(ts) / step) * step).cast("bigint").alias("slot"))
+    log = slots.groupBy("name").transformWithState(_Absence(step), "name string, slot long, action string", "append", "EventTime")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if V.is_written(spark, state_path, epoch):
-            return
-        seen = _slots(batch, ts, name, step)
-        known = V.read_latest(spark, state_path)
-        if known is None:
-            known = spark.createDataFrame([], "name string, closed bigint, seen boolean")
-        newest = seen.select("slot").unionAll(known.select((F.col("closed") + step).alias("slot"))).agg(F.max("slot")).first()[0]
-        if newest is None:
-            return
-        open_seen = known.where(F.col("seen") & (F.col("closed") + step <= newest)).select("name", (F.col("closed") + step).alias("slot"))
-        pairs = seen.unionAll(open_seen).distinct()
-        start = seen.groupBy("name").agg(F.min("slot").alias("first")).join(known.select("name", "closed"), "name", "full_outer")
-        start = start.select("name", F.coalesce("closed", "first").alias("closed"))
-        expected = start.where(F.col("closed") + step < newest).select(
-            "name", F.explode(F.sequence(F.col("closed") + step, F.lit(newest - step), F.lit(step).cast("bigint"))).alias("slot"))
-        _alerts(expected.join(pairs, ["name", "slot"], "left_anti")).write.mode("overwrite").parquet(f"{alerts_path}/query={V.query_id(spark)}/epoch={epoch}")
-        here = pairs.where(F.col("slot") == newest).select("name", F.lit(True).alias("seen"))
-        V.write_version(start.select("name").join(here, "name", "left").select(
-            "name", F.lit(newest - step).cast("bigint").alias("closed"), F.coalesce("seen", F.lit(False)).alias("seen")), state_path, epoch)
-
-    q = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{log_path}/query={V.query_id(batch.sparkSession)}/epoch={epoch}")
+
+    q = log.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     q = (q.trigger(availableNow=True) if once else q).start()
     if once:
         q.awaitTermination()
     return q
 
 
-def read_absences(spark: SparkSession, alerts_path: str, state_path: str, poll_seconds: int = 30) -> DataFrame:
-    """The alerts written so far and, as of now, those of the newest poll."""
+def read_absences(spark: SparkSession, log_path: str, poll_seconds: int = 30, delay_seconds: int = 0) -> DataFrame:
+    """The alerts logged so far and, as of now, those of the polls that the
+    watermark has not closed: they lie within the delay and two polls of the
+    newest one."""
     step = max(MIN_POLL_SECONDS, int(poll_seconds))
-    state = V.read_latest(spark, state_path)
-    if state is None:
+    if not V.exists(spark, log_path):
         return spark.createDataFrame([], "name string, window_start timestamp, action string")
-    now = _alerts(state.where(~F.col("seen")).select("name", (F.col("closed") + step).alias("slot")))
-    return spark.read.parquet(alerts_path).select("name", "window_start", "action").unionByName(now)
+    log = spark.read.schema("name string, slot long, action string").option("recursiveFileLookup", "true").parquet(log_path)
+    newest = log.select(F.max("slot")).scalar()
+    oldest = F.floor((newest - delay_seconds) / step) * step - 2 * step
+    first = log.groupBy("name").agg(F.min("slot").alias("lo")).withColumn("lo", F.greatest("lo", oldest.cast("bigint")))
+    last = first.where(F.col("lo") <= newest).select("name", F.explode(F.sequence("lo", newest, F.lit(step).cast("bigint"))).alias("slot"))
+    return _alerts(log.where("action = 'start'").select("name", "slot").unionByName(last.join(log, ["name", "slot"], "left_anti")))
 
 
 def event_counts(events: DataFrame, kind: str = "event") -> DataFrame:

@@ -19,11 +19,11 @@ def _absence(spark, tmp_path, files, per_batch=None, runs=1):
         f.write_text("\n".join(json.dumps({"ts": (base + dt.timedelta(seconds=30 * s + 3)).isoformat(), "name": n}) for s, n in rows))
         os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
     schema = "ts timestamp, name string"
-    out, state = str(tmp_path / "alerts"), str(tmp_path / "state")
+    out = "file:" + str(tmp_path / "log")
     for run in range(runs):
         stream = E.event_stream(spark, "file:" + str(src), schema, fmt="json", max_files_per_trigger=per_batch)
-        E.absence_stream(stream, "ts", "name", "file:" + out, "file:" + state, str(tmp_path / "ck"), 30)
-    got = sorted(tuple(r) for r in E.read_absences(spark, "file:" + out, "file:" + state, 30).collect())
+        E.absence_stream(stream, "ts", "name", out, str(tmp_path / "ck"), 30)
+    got = sorted(tuple(r) for r in E.read_absences(spark, out, 30).collect())
     batch = sorted(tuple(r) for r in E.absence_alerts(spark.read.schema(schema).json(str(src)), "ts", "name", 30).collect())
     slots = [(n, int((w - base).total_seconds()) // 30) for n, w, _ in batch]
     return got, batch, slots
@@ -103,6 +103,37 @@ def test_stateful_replay_undo(spark, tmp_path):
         (5, 3, "clip", "b", None), (6, 2, "clip", "a", None), (7, 1, "logs", None, None)]
 
 
+def test_stateful_replay_keeps_live_cells_only_and_survives_restarts(spark, tmp_path):
+    schema = "entity long, seq long, kind string, key string, value string"
+    src, seq = tmp_path / "changes", 0
+    for batch in range(3):
+        rows = []
+        for i in range(40):
+            seq += 1
+            rows.append((1, seq, "set", f"k{i % 2}", str(seq)))
+        rows.append((1, seq + 1, "set", None, "none"))
+        rows += [(1, seq + 2 + j, "undo", None, None) for j in range(7)]
+        rows += [(2, seq + 20, "set", "a", "x"), (2, seq + 21, "begin", None, None), (2, seq + 22, "undo", None, None), (2, seq + 23, "noop", "a", "y")]
+        seq += 30
+        spark.createDataFrame(rows[::-1], schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = S.stateful_replay(E.event_stream(spark, str(src), schema), max_undo=5)
+        got = E.run_available_now(stream, "append", "t-r6").where("entity = 1").orderBy("seq").collect()
+        assert max(r.depth for r in got) == 5
+        # of the eight changes only five can be undone, then undo finds nothing
+        last = [(r.depth, r.key, r.value) for r in got[-7:]]
+        assert last[0] == (4, None, None) and [d for d, *_ in last] == [4, 3, 2, 1, 0, 0, 0]
+        assert [v for _, k, v in last[1:5]] == [str(int(r.value) - 2) if int(r.value) > 2 else None for r in reversed(got[-12:-8])]
+    ck = str(tmp_path / "ck")
+    for part in range(2):  # a second run from the same checkpoint goes on with the same state
+        folder = tmp_path / "more"
+        spark.createDataFrame([(9, 10 * part + 1, "append", "l", "x"), (9, 10 * part + 2, "set", "c", str(part))], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        out = str(tmp_path / f"out{part}")
+        w = S.stateful_replay(E.event_stream(spark, str(folder), schema)).writeStream.foreachBatch(lambda b, e, out=out: b.write.mode("append").parquet(out))
+        w.option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted((r.seq, r.depth, r.key, r.value, r.list_len) for r in spark.read.parquet(out).collect())
+    assert rows == [(11, 3, "l", None, 2), (12, 4, "c", "1", None)]
+
+
 def test_json_event_stream_watermark_append(spark, tmp_path):
     """R1 over JSON lines + R2 in append mode: a window is emitted once the
     watermark passes it; rows behind the watermark are dropped."""
