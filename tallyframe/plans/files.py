@@ -221,11 +221,11 @@ def upserted(spark, sf_dir):
 
 def upserted_stream(spark, sf_dir):
     root = scratch_path(spark, "upsert-table")
-    S.init_versioned_table(_snap_target(spark, sf_dir), root)
+    S.init_bucketed_table(_snap_target(spark, sf_dir), root)
     schema = t(spark, sf_dir, "labels").schema
     src = _snap_updates(E.event_stream(spark, sf_dir, schema, glob="labels.parquet"))
     S.upsert_stream(src, root, scratch_path(spark, "upsert-ckpt"))
-    return S.read_versioned_table(spark, root).select("id", "payload")
+    return S.read_bucketed_table(spark, root).select("id", "payload")
 
 
 def appended_runs(spark, sf_dir):

@@ -145,20 +145,72 @@ def upsert_snapshot(target: DataFrame, updates: DataFrame, key: str = "id", seq:
     return kept.unionByName(winners.select(*cols))
 
 
+#: Hash buckets of a keyed table; a bucket is the least that a batch rewrites.
+BUCKETS = 64
+
+
+def _bucket(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+
+
+def _write_buckets(rows: DataFrame, kept: DataFrame | None, root: str, key: str, n: int, epoch: int) -> None:
+    """Write ``rows`` as whole buckets of the next version, then the commit:
+    one row per bucket with the folder that holds it now. ``kept`` are the
+    commit's rows of the other buckets. Until the commit is there the version
+    does not count, and a repeated attempt writes over it."""
+    spark, at = rows.sparkSession, rows.columns
+    number = max((v for v, *_ in V.versions(spark, f"{root}/commits")), default=-1) + 1
+    folder = f"data/v{number:08d}-{V.query_id(spark)}-{epoch}"
+    placed = rows.withColumn("__bucket", _bucket(key, n))
+    placed.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{root}/{folder}")
+    schema = rows.schema.json()
+    # which buckets there are is in the folder's names; -1 stands for the table itself
+    there = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(f"{root}/{folder}").select("__bucket").distinct()
+    new = there.select(F.col("__bucket").alias("bucket"), F.lit(folder).alias("folder"), F.lit(schema).alias("schema"), F.lit(n).alias("buckets"))
+    if kept is None:
+        kept = spark.range(1).select(F.lit(-1).alias("bucket"), F.lit("").alias("folder"), F.lit(schema).alias("schema"), F.lit(n).alias("buckets"))
+    V.write_version(kept.unionByName(new).coalesce(1), f"{root}/commits", epoch)
+
+
+def init_bucketed_table(df: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS) -> None:
+    """The rows as the next version of a keyed table, whatever it held before."""
+    _write_buckets(df, None, path.rstrip("/"), key, buckets, -1)
+
+
+def _read_buckets(spark: SparkSession, root: str, commit: list) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(next(r.schema for r in commit if r.bucket < 0)))
+    paths = [f"{root}/{r.folder}/__bucket={r.bucket}" for r in commit if r.bucket >= 0]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_bucketed_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest commit."""
+    root = path.rstrip("/")
+    return _read_buckets(spark, root, V.read_latest(spark, f"{root}/commits").collect())  # one row per bucket
+
+
 def upsert_stream(updates_stream: DataFrame, target_path: str, checkpoint: str, key: str = "id",
                   seq: str = "seq", once: bool = True):
-    """Continuous S5 - each micro-batch is upserted into the versioned
-    table at ``target_path``: the newest version and the batch give the next
-    version, and the version that is read is never written to. A replayed
-    batch is left out, and a second run goes on from the newest version."""
-    spark = updates_stream.sparkSession
+    """Continuous S5 - each micro-batch is upserted into the bucketed table
+    at ``target_path``. Only the buckets that hold a key of the batch are read
+    and written again, and a commit names the folder of every bucket, so what
+    is written follows the batch and a reader sees whole versions. A replayed
+    batch is left out, and a second run goes on from the newest commit."""
+    spark, root = updates_stream.sparkSession, target_path.rstrip("/")
+    if V.read_latest(spark, f"{root}/commits") is None:
+        raise ValueError(f"{target_path} holds no version yet; start with init_bucketed_table")
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if not V.is_written(batch.sparkSession, target_path, epoch):
-            V.write_version(upsert_snapshot(V.read_latest(batch.sparkSession, target_path), batch, key, seq), target_path, epoch)
+        spark = batch.sparkSession
+        if V.is_written(spark, f"{root}/commits", epoch):
+            return
+        commit = V.read_latest(spark, f"{root}/commits")
+        rows = commit.collect()
+        n = rows[0].buckets
+        touched = {r[0] for r in batch.select(_bucket(key, n)).distinct().collect()}  # at most n
+        old = _read_buckets(spark, root, [r for r in rows if r.bucket < 0 or r.bucket in touched])
+        _write_buckets(upsert_snapshot(old, batch, key, seq), commit.where(~F.col("bucket").isin(*touched)) if touched else commit, root, key, n, epoch)
 
-    if V.read_latest(spark, target_path) is None:
-        raise ValueError(f"{target_path} holds no version yet; start with init_versioned_table")
     w = updates_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if once else w).start()
     if once:
@@ -166,15 +218,6 @@ def upsert_stream(updates_stream: DataFrame, target_path: str, checkpoint: str,
     return q
 
 
-def init_versioned_table(df: DataFrame, target_path: str) -> None:
-    """The rows as the next version, whatever the table held before."""
-    V.write_version(df, target_path, -1)
-
-
-def read_versioned_table(spark: SparkSession, target_path: str) -> DataFrame:
-    return V.read_latest(spark, target_path)
-
-
 def read_prompts(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
     """Each file holds a JSON array; its values become string rows with
     their position; only the first ``n`` per file are kept; a file that is

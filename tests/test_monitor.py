@@ -47,14 +47,15 @@ def test_upsert_stream_survives_second_runs_and_replays(spark, tmp_path):
     from tallyframe.sources import versions as V
     root, src = "file:" + str(tmp_path / "table"), tmp_path / "up"
     schema = "id string, payload string, seq long"
-    S2.init_versioned_table(spark.createDataFrame([("a", "0", 0), ("b", "0", 0)], schema), root)
+    S2.init_bucketed_table(spark.createDataFrame([("a", "0", 0), ("b", "0", 0)], schema), root)
     for run in range(3):
         spark.createDataFrame([("a", str(run + 1), run), (f"n{run}", "x", 0)], schema).coalesce(1).write.mode("append").parquet(str(src))
         stream = E.event_stream(spark, str(src), schema, max_files_per_trigger=1)
         S2.upsert_stream(stream, root, str(tmp_path / ("same" if run < 2 else "fresh")))
-    rows = {r.id: r.payload for r in S2.read_versioned_table(spark, root).collect()}
+    rows = {r.id: r.payload for r in S2.read_bucketed_table(spark, root).collect()}
     assert set(rows) == {"a", "b", "n0", "n1", "n2"} and rows["b"] == "0" and rows["a"] in "123"
     # a replayed epoch of the last query is left out
+    root += "/commits"
     found = V.versions(spark, root)
     number, query, epoch, _ = found[-1]
     spark.sparkContext.setLocalProperty("sql.streaming.queryId", query)
@@ -65,6 +66,30 @@ def test_upsert_stream_survives_second_runs_and_replays(spark, tmp_path):
     assert [n for n, *_ in found] == list(range(len(found)))
 
 
+def test_an_upsert_rewrites_the_touched_buckets_only(spark, tmp_path):
+    from tallyframe.sources import files as S2
+    from tallyframe.sources import versions as V
+    root, src = "file:" + str(tmp_path / "table"), tmp_path / "up"
+    schema = "id string, payload string, seq long"
+    S2.init_bucketed_table(spark.range(3000).selectExpr("cast(id as string) id", "'old' payload", "0L seq"), root, buckets=16)
+    before = {r.bucket: r.folder for r in V.read_latest(spark, f"{root}/commits").collect()}
+    spark.createDataFrame([("17", "a", 1), ("17", "b", 2), ("new", "c", 1)], schema).coalesce(1).write.parquet(str(src))
+    S2.upsert_stream(E.event_stream(spark, str(src), schema), root, str(tmp_path / "ck"))
+    rows = {r.id: r.payload for r in S2.read_bucketed_table(spark, root).collect()}
+    assert len(rows) == 3001 and rows["17"] == "b" and rows["new"] == "c" and sum(v == "old" for v in rows.values()) == 2999
+    after = {r.bucket: r.folder for r in V.read_latest(spark, f"{root}/commits").collect()}
+    changed = {b for b in after if after[b] != before[b]}
+    assert 1 <= len(changed) <= 2 and len(after) == 17
+    written = spark.read.parquet(*{f"{root}/{after[b]}" for b in changed}).count()
+    assert written < 3000 * 3 / 16 + 200
+    # an empty table takes its first rows
+    empty = "file:" + str(tmp_path / "empty")
+    S2.init_bucketed_table(spark.createDataFrame([], schema), empty)
+    assert S2.read_bucketed_table(spark, empty).count() == 0
+    S2.upsert_stream(E.event_stream(spark, str(src), schema), empty, str(tmp_path / "ck2"))
+    assert {r.id: r.payload for r in S2.read_bucketed_table(spark, empty).collect()} == {"17": "b", "new": "c"}
+
+
 def test_breach_edges(spark):
     df = spark.createDataFrame([("a", 10.0), ("b", 10.5)], "name string, total double")
     assert [r.name for r in E.breach_alerts(df, 10.0).collect()] == ["b"]
