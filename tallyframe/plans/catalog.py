@@ -153,21 +153,22 @@ def _qualified(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
-    q = _qualified(spark, sf_dir)
+    q = materialize(_qualified(spark, sf_dir), "catalog")  # both sides read it
     index = q.filter(F.col("l_discount") >= 0.01).select("name", "file")
     actual = q.filter(F.col("p_size") > 3).select("name")
     return C.reconcile(index, actual)
 
 
 def symdiff(spark, sf_dir):
-    q = _qualified(spark, sf_dir)
+    q = materialize(_qualified(spark, sf_dir), "catalog")
     a = q.filter(F.col("l_discount") >= 0.01).select("name")
     b = q.filter(F.col("p_size") > 3).select("name")
     return C.symmetric_difference(a, b)
 
 
 def mapped_names(spark, sf_dir):
-    c = catalog(spark, sf_dir).filter(~F.col("name").endswith(".rotary_emb.inv_freq"))
+    every = materialize(catalog(spark, sf_dir).select("model", "pos", "name", "role", "p_size"), "catalog")
+    c = every.filter(~F.col("name").endswith(".rotary_emb.inv_freq"))
     src_role = F.create_map(*[x for k, v in SOURCE_ROLE.items() for x in (F.lit(k), F.lit(v))])[F.col("role")]
     sfx = F.regexp_extract("name", r"(\.[a-z_]+)$", 1)
     src = (F.when(F.col("role") == "token_embd", F.concat(F.lit("model.embed_tokens"), sfx))
@@ -175,7 +176,7 @@ def mapped_names(spark, sf_dir):
                  F.concat(F.lit("model.layers."), (F.col("pos") - 1).cast("string"), F.lit(".self_attn.rotary"), sfx))
            .otherwise(F.concat(F.lit("model.layers."), (F.col("pos") - 1).cast("string"), F.lit("."), src_role, sfx)))
     names = c.select("model", "pos", src.alias("name"))
-    n_blocks = catalog(spark, sf_dir).select(F.max("pos")).scalar()
+    n_blocks = every.select(F.max("pos")).scalar()
     pats = spark.createDataFrame(NAME_PATTERNS, "source string, target string, priority int")
     mapping = C.expand_mapping(pats, n_blocks)
     return C.map_names(names, mapping).select("model", "pos", "name", "mapped")
@@ -295,12 +296,14 @@ def sizes_parsed(spark, sf_dir):
 
 
 def previews(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
+    # one part more than is shown tells whether there is more; the rest of a text stays in that part
+    d = t(spark, sf_dir, "documents").withColumns({"words": F.split("text", " ", 8), "lines": F.split("text", "\n", 6)})
+    lines = F.transform("lines", lambda x, i: F.when(i < 5, F.translate(x, "|", "`")).otherwise(F.lit("")))
     return d.select("doc_id", C.preview(F.col("text")).alias("preview"),
                     C.preview_ends(F.col("text")).alias("preview_ends"),
-                    C.preview_array(F.split("text", " ")).alias("preview_words"),
-                    C.preview_strings(F.split(F.translate("text", "|", "`"), "\n")).alias("preview_lines"),
-                    C.preview_numbers(F.transform(F.split("text", " "), F.char_length)).alias("preview_lengths"))
+                    C.preview_array(F.col("words")).alias("preview_words"),
+                    C.preview_strings(lines).alias("preview_lines"),
+                    C.preview_numbers(F.transform("words", F.char_length)).alias("preview_lengths"))
 
 
 def groups_complete(spark, sf_dir):

@@ -195,6 +195,18 @@ SELECT conv_id, turn, md5('{"user_query":' || to_json(text) || ',"retrieval_snip
   || ',"state_snapshot":{"turn":' || turn || '}}') AS context_md5
 FROM conversations"""
 
+# canonical form of the stand-in plan texts: keys in order, no blanks, numbers without trailing zeros
+SQL_FINGERPRINTS = """
+WITH c AS (SELECT *, (conv_id * 1000 + turn) % 7 AS n FROM conversations),
+j AS (
+  SELECT conv_id, turn, CASE WHEN n <> 6 THEN '{'
+      || CASE WHEN n = 1 THEN '' WHEN n = 4 THEN '"confidence":1.5,' WHEN turn % 10 = 0 THEN '"confidence":0,' ELSE '"confidence":0.' || turn % 10 || ',' END
+      || '"intent":"' || role || '",' || CASE WHEN n = 2 THEN '"note":"extra",' ELSE '' END
+      || '"slots":{"turn":' || turn || '},"sources":["conv-' || conv_id || '"],"steps":'
+      || CASE WHEN n = 3 THEN '[]' ELSE '[{"api_call":"append_log","args":{"turn":' || turn || '},"expected_state":{},"step_label":"s1"}]' END || '}' END AS doc
+  FROM c)
+SELECT conv_id, turn, CASE WHEN doc IS NOT NULL THEN sha256(doc) END AS fingerprint FROM j"""
+
 QUERIES = {
     "log_recent_errors": (recent_errors, SQL_RECENT),
     "log_context_lines": (context_lines, SQL_CONTEXT),
@@ -205,6 +217,6 @@ QUERIES = {
     "cat_merge_companions": (merged_companions, SQL_MERGED_COMPANIONS),
     "mon_decision_log": (decisions, SQL_DECISIONS),
     "mon_decision_log_stream": (decisions_streamed, SQL_DECISIONS),
-    "val_plan_fingerprint": (fingerprints, None),
+    "val_plan_fingerprint": (fingerprints, SQL_FINGERPRINTS),
     "val_context_json": (contexts, SQL_CONTEXTS),
 }
