@@ -29,11 +29,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.session import materialize
 
@@ -327,81 +325,48 @@ def top_k_per_group(df: DataFrame, k: int, group: str, score: str, *, tie: str,
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _substring_fn(bq, k: int):
-    def run(batches):
-        import heapq
-
-        import ahocorasick
-
-        pairs = bq.value
-        auto = ahocorasick.Automaton()
-        by_word: dict[str, list] = {}
-        match_all = []
-        for qid, q in pairs:
-            if q == "":
-                match_all.append(qid)
-            else:
-                by_word.setdefault(q, []).append(qid)
-        for w, ids in by_word.items():
-            auto.add_word(w, ids)
-        if by_word:
-            auto.make_automaton()
-        # per query: a max-heap (negated) of the k smallest positions seen
-        heaps: dict = {}
-
-        def offer(qid, pos):
-            h = heaps.setdefault(qid, [])
-            if len(h) < k:
-                heapq.heappush(h, -pos)
-            elif -h[0] > pos:
-                heapq.heapreplace(h, -pos)
-
-        for pdf in batches:
-            for pos, text in zip(pdf["_pos"].tolist(), pdf["_text"].tolist()):
-                if text is None:
-                    continue
-                for qid in match_all:
-                    offer(qid, pos)
-                if not by_word:
-                    continue
-                found = set()
-                for _, ids in auto.iter(text.lower()):
-                    found.update(ids)
-                for qid in found:
-                    offer(qid, pos)
-        rows_q, rows_p = [], []
-        for qid, h in heaps.items():
-            for v in h:
-                rows_q.append(qid)
-                rows_p.append(-v)
-        if rows_q:
-            yield pd.DataFrame({"_qid": rows_q, "_pos": rows_p})
-    return run
+#: What parts the words of a text, and queries without a whole word that are tried together on a text.
+_GAP, _BLOCK = r"[^\p{L}\p{N}]+", 512
 
 
 def substring_search(docs: DataFrame, queries: DataFrame, k: int, *, text: str = "text",
                      pos: str = "pos", query_key: str = "qid", query: str = "query",
-                     score: float = 0.9, max_queries: int = 100_000) -> DataFrame:
+                     score: float = 0.9) -> DataFrame:
     """per query, the first k documents (by position) whose text contains
-    the query, case-insensitively (Python ``str.lower``); constant score.
-
-    The query list is size-checked and broadcast as one Aho-Corasick automaton,
-    so each document is scanned once for all queries (linear in text length,
-    not in the number of queries). Each task emits at most k positions per
-    query; a per-query window merges them."""
-    spark = docs.sparkSession
-    qq = queries.select(F.col(query_key).alias("_qid"), F.col(query).alias("_q")) \
-        .filter(F.col("_q").isNotNull())
-    rows = qq.limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError("substring_search: query side exceeds its broadcast bound")
-    bq = spark.sparkContext.broadcast([(r["_qid"], r["_q"].lower()) for r in rows])
-    d = docs.select(F.col(pos).alias("_pos"), F.col(text).alias("_text"))
-    schema = T.StructType([T.StructField("_qid", qq.schema["_qid"].dataType),
-                           T.StructField("_pos", d.schema["_pos"].dataType)])
-    hits = d.mapInPandas(_substring_fn(bq, k), schema)
+    the query, case-insensitively; constant score. Null queries and texts give
+    nothing, an empty query every text.
+
+    A word that stands between two gaps of a query is a whole word of every
+    text that contains the query. So queries meet the texts that hold their
+    rarest such word, by an equi-join on words, and only those pairs are
+    compared. Queries without such a word (one or two words) are compared with
+    every text, in blocks of about ``_BLOCK`` queries, one scan each. The
+    number of queries is not bounded."""
+    q = queries.select(F.col(query_key).alias("_qid"), F.lower(F.col(query)).alias("_q")).where("_q is not null")
+    words = F.split("_q", _GAP)
+    whole = F.filter(F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>")), lambda w: w != "")
+    q = materialize(q.withColumn("_words", F.array_distinct(whole)), "search-queries")
+    d = docs.select(F.col(pos).alias("_pos"), F.lower(F.col(text)).alias("_low")).where("_low is not null")
+
+    wanted = q.select(F.explode("_words").alias("_word")).distinct()
+    held = d.select("_pos", F.explode(F.array_distinct(F.split("_low", _GAP))).alias("_word")).join(wanted, "_word", "left_semi")
+    held = materialize(held, "search-words")
+    often = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    # a query of which some word occurs nowhere has no hit
+    rare = q.where(F.size("_words") > 0).select("_qid", "_q", F.explode("_words").alias("_word")).join(often, "_word", "left")
+    rare = rare.groupBy("_qid", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("w"))).alias("_r")).where("_r.n > 0")
+    pairs = held.join(rare.select("_qid", "_q", F.col("_r.w").alias("_word")), "_word").select("_pos", "_qid", "_q")
+    hits = [d.join(pairs, "_pos").where(F.contains("_low", F.col("_q"))).select("_qid", "_pos")]
+
+    short = q.where(F.size("_words") == 0).select("_qid", "_q")
+    blocks = -(-short.count() // _BLOCK)
+    for block in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("_qid", "_q"), F.lit(blocks)) == block)
+        tried = some.select(F.collect_list(F.struct("_qid", "_q"))).scalar()
+        found = d.select("_pos", "_low", tried.alias("_tried")).select("_pos", F.explode(F.filter("_tried", lambda x: F.contains(F.col("_low"), x["_q"]))).alias("x"))
+        hits.append(found.select("x._qid", "_pos"))
     w = Window.partitionBy("_qid").orderBy("_pos")
-    return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_key), "rank", F.col("_pos").alias(pos),
                     F.lit(score).alias("score")))
 

@@ -76,6 +76,26 @@ def test_substring_search_first_k_by_position(spark):
     assert got == [(1, 1, 0), (1, 2, 1), (3, 1, 0), (3, 2, 1)]
 
 
+def test_substring_search_equals_a_scan(spark, monkeypatch):
+    import random
+
+    from tallyframe.operators import retrieval
+    monkeypatch.setattr(retrieval, "_BLOCK", 3)
+    rng = random.Random(5)
+    words = ["alpha", "Beta", "gam", "gamma", "x", "été", "ÉTÉ", "1", "12", "the"]
+    gaps = [" ", ", ", "\n", "--", " (", "."]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "the"]
+    asked = [t[a:a + rng.randint(1, 25)] for t in texts[:150] if t for a in [rng.randrange(len(t))]] + ["", None, "the", " the ", "not there at all", "alpha not there", ",", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "pos long, text string").repartition(5)
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, query string")
+    got = sorted((r.qid, r.rank, r.pos) for r in substring_search(docs, queries, 4).collect())
+    want = []
+    for i, q in enumerate(asked):
+        found = [p for p, t in enumerate(texts) if t is not None and q is not None and q.lower() in t.lower()][:4]
+        want += [(i, rank, p) for rank, p in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
 def test_top_k_stable(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(6)], "pos long, score double")
     assert [r.pos for r in top_k(df, 3, "score", tie="pos").collect()] == [0, 2, 4]
