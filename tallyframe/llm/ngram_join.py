@@ -7,14 +7,16 @@ number and width of the bands follow from the wanted recall at the threshold.
 Sets that share a band hash are candidates, and every candidate pair is
 verified on the full sets.
 
-Pairs of sets are never emitted. Every set with a candidate goes into a cell of
-about ``BLOCK`` sets, those of its largest bucket, so sets that share many bands
-share a cell. Two cells are compared, in a task, if any bucket holds sets of
-both, so sets that no chain of equal bands links are never read together, and
-each pair of sets meets at most once. A comparison emits, for every member, how
-many links it has and one edge to the smallest member it is linked with there.
-So a task holds at most two cells, and the output is linear in the documents
-however large a group is. Classes grow from verified links alone.
+Pairs of sets are never emitted. Buckets yield star edges to their smallest
+member, whose components bundle the sets that can meet at all. The sets of a
+component come in the order of their largest buckets and are cut into cells of
+about ``BLOCK`` sets, so sets that share many bands share a cell. Two cells are
+compared, in a task, if any bucket holds sets of both: in a component that
+chance collisions have chained together the unrelated cells are not read
+together, and each pair of sets meets at most once. A comparison emits, for
+every member, how many links it has and one edge to the smallest member it is
+linked with there. So a task holds at most two cells, and the output is linear
+in the documents however large a group is. Classes grow from verified links.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import connected_components, text_of, written
@@ -227,11 +229,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # cells: a 64-bit name of a set is enough here, as a clash only makes a cell larger
     entry = sets.select("u", F.explode("bands").alias("h"))
-    shared = entry.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = entry.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("v")).where("n > 1")
     member = written(entry.join(shared, "h"), "ngram-buckets")
-    home = member.groupBy("u").agg(F.max(F.struct("n", "h")).getField("h").alias("home"))
-    parts = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
-    cells = home.join(parts, "home").select("u", F.xxhash64("home", F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts"))).alias("cell"))
+    comp = connected_components(member.where("u <> v").select("u", "v"))
+    home = member.groupBy("u").agg(F.max(F.struct("n", "h")).alias("home")).join(comp.withColumnRenamed("node", "u"), "u")
+    home = written(home, "ngram-homes")
+    sizes = home.groupBy("root", "home").agg(F.count(F.lit(1)).alias("size"))
+    first = F.sum("size").over(Window.partitionBy("root").orderBy("home")) - F.col("size")  # one row per bucket of a component
+    place = F.col("first") + F.pmod(F.xxhash64("u", F.lit(1)), F.col("size"))
+    cells = home.join(sizes.withColumn("first", first), ["root", "home"]).select("u", F.xxhash64("root", F.floor(place / BLOCK)).alias("cell"))
     cells = written(cells, "ngram-cells")
     met = member.select("u", "h").join(cells, "u").groupBy("h").agg(F.sort_array(F.collect_set("cell")).alias("c"))
     pairs = met.select("c", F.explode("c").alias("i")).select("i", F.explode(F.filter("c", lambda x: x >= F.col("i"))).alias("j")).distinct()
