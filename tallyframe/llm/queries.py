@@ -162,7 +162,9 @@ def op1_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labelled documents
-    outside the held-out fold."""
+    outside the held-out fold. The subword bag and the softmax work on single
+    words; a document's score is the noisy-or over its words, so one insult in
+    a long text counts."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
