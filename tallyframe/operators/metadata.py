@@ -171,4 +171,6 @@ def resolve_metadata(models: DataFrame, entity: str, card: str | None = None, pa
     d = d.withColumn("__found", F.filter(_first_of_key(cands), lambda c: c["value"].isNotNull()))
     last = F.array(_candidate("name", 1000, F.col("__folder"), "directory"), _candidate("size_label", 1000, F.when(total > 0, F.col("__label")), "computed"))
     d = d.withColumn("__found", _first_of_key(F.concat("__found", F.filter(last, lambda c: c["value"].isNotNull()))))
-    return d.select(F.col(entity), F.explode("__found").alias("__r")).select(entity, "__r.key", "__r.value", "__r.source")
+    # a plain explode would be preceded by a filter on the size of its array, and so by all of the above once more
+    found = d.select(F.col(entity), F.explode_outer("__found").alias("__r")).where("__r is not null")
+    return found.select(entity, "__r.key", "__r.value", "__r.source")

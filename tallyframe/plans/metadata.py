@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.naming import parse_artifact_name, source_refs
 from tallyframe.operators.catalog import title_case_id
 from tallyframe.operators.metadata import resolve_metadata
-from tallyframe.plans.common import t
+from tallyframe.plans.common import spread, t
 
 # Model id, total parameters -> full name, organization, basename, finetune, version, size label, titles of name and organization.
 GOLDEN = [
@@ -60,8 +60,12 @@ GOLDEN = [
 ]
 
 
+#: A model takes about a millisecond.
+MODELS_A_TASK = 5_000
+
+
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    p = spread(t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey", MODELS_A_TASK)
     pick = F.pmod("p_partkey", F.lit(len(GOLDEN))).cast("int") + 1
     return p.withColumns({"model_id": F.element_at(F.array(*[F.lit(g[0]) for g in GOLDEN]), pick),
                           "total": F.element_at(F.array(*[F.lit(g[1]).cast("bigint") for g in GOLDEN]), pick)})

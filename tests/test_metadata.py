@@ -80,3 +80,19 @@ def test_documents_that_are_no_objects_and_sources(spark):
     assert all(got[i] == named | {"version": ("v2", "directory")} for i in range(len(odd)))
     assert got[100] == named | {"author": ("a", "card"), "version": ("3", "override")}
     assert got[101] == {"size_label": ("10M", "computed")} and 102 not in got and 103 not in got
+
+
+def test_resolution_is_planned_once(spark):
+    df = spark.createDataFrame([(1, '{"name": "a"}', "/m/b-7B")], "id int, card string, dir string")
+    plan = resolve_metadata(df, "id", card="card", directory="dir")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 400_000 and "size(" not in plan.split("Generate")[0] and not any(line.lstrip(" :+-").startswith("Filter (") and len(line) > 1000 for line in plan.split("\n"))
+
+
+def test_models_of_one_split_are_spread_over_tasks(spark, tmp_path):
+    from tallyframe.plans import metadata as PM
+    from tallyframe.plans.common import spread
+    n = 4 * PM.MODELS_A_TASK
+    spark.range(n).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type", "1 as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    models = PM._models(spark, str(tmp_path))
+    assert models.rdd.getNumPartitions() == 4 and models.count() == n
+    assert spread(spark.range(3), "id", 10).count() == 3
