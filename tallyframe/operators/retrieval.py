@@ -11,9 +11,11 @@ Exact k-NN design (both sides are DataFrames of any size, one plan for all):
   a bound on its k-th neighbour; the triangle inequality rules out the cells
   that lie beyond it, and the query goes to the groups of the others;
 * a ``mapInArrow`` pass holds one group's corpus rows, sorted by distance to
-  their pivots, and streams the group's queries past them in small blocks. A
-  cell is skipped, and within a cell only the rows in the ring that the bound
-  allows are compared, and the bound shrinks as neighbours are found;
+  their pivots, and streams a block of the group's queries past them, a few at
+  a time. A cell is skipped, and within a cell only the rows in the ring that
+  the bound allows are compared, and the bound shrinks as neighbours are found;
+  a matrix product with a bound on its rounding tells which pairs to compare by
+  the exact formula;
 * a final ``row_number`` window per query merges the partial lists, at most
   ``k`` narrow rows per query and group.
 
@@ -39,6 +41,8 @@ from tallyframe.session import materialize
 _CELLS, _TOGETHER = 4_000_000, 64
 #: Corpus rows of a group (more rows, more groups), and the most pivots.
 CORPUS_SLICE, MAX_PIVOTS = 65_536, 256
+#: Corpus rows and queries below which a task is not made smaller.
+_LEAST_SLICE, _QUERY_BLOCK = 8_192, 2_048
 #: Smallest distances to the pivot that are kept per cell for the bound.
 _NEAREST = 16
 #: Relative slack of every bound, far above rounding errors.
@@ -65,6 +69,39 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def _of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_squared`` of rows that stand side by side, in the same order of sums."""
+    d = np.zeros(len(a))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for j in range(a.shape[1]):
+            diff = a[:, j] - b[:, j]
+            d += diff * diff
+    return d
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.einsum("ij,ij->i", x, x)
+
+
+def _maybe_near(q: np.ndarray, rows: np.ndarray, rows_sq: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may be among a query's ``k`` nearest of these
+    rows and within its limit: by squared lengths and one matrix product, with
+    a bound on its rounding. What it cannot tell stays in."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = _lengths(q)[:, None] + rows_sq[None, :]
+        d = q @ rows.T
+        d *= -2
+        d += size
+        size *= 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps
+        size += 1e-300
+        most = (limit * (1 + _SLACK)) ** 2
+        if len(rows) >= k:
+            most = np.fmin(most, np.partition(d + size, k - 1, axis=1)[:, k - 1] * (1 + _SLACK))
+        d -= size
+        return np.nonzero(~(d > most[:, None]))
+
+
 class _Cells:
     """Pivots, and per cell the rows' number, range of distances to the pivot
     and smallest such distances; cell ``len(pivots)`` takes the rows without a
@@ -133,7 +170,7 @@ class _Group:
         for c in np.unique(cell):
             rows = np.flatnonzero(cell == c)
             rows = rows[np.argsort(dist[rows], kind="stable")]
-            self.parts[int(c)] = (x[rows], ids[rows], dist[rows])
+            self.parts[int(c)] = (x[rows], ids[rows], dist[rows], _lengths(x[rows]))
 
     def nearest(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         if self.parts is None:
@@ -149,10 +186,10 @@ class _Group:
 
     def _block(self, batch, mine, x, bound, to_pivots, k, kinds) -> pa.RecordBatch:
         q, limit, d = x[mine], bound[mine].copy(), to_pivots[mine]
-        dist, cid, ok = np.empty((len(q), 0)), None, np.empty((len(q), 0), bool)
+        row, dist, cid = np.empty(0, np.int64), np.empty(0), None
         least = self.cells.least(d)
         for c in sorted(self.parts, key=lambda c: d[:, c].min() if c < self.cells.n else np.inf):
-            rows, ids, radius = self.parts[c]
+            rows, ids, radius, lengths = self.parts[c]
             some = np.flatnonzero(~(least[:, c] > limit * (1 + _SLACK)))
             if not len(some):
                 continue
@@ -164,31 +201,29 @@ class _Group:
             step = max(1, _CELLS // len(some))
             for s in range(a, b, step):
                 e = min(b, s + step)
-                new = _squared(q[some], rows[s:e])
-                self.compared += new.size
-                full = np.full((len(q), e - s), np.inf)
-                full[some] = new
-                fresh = np.zeros(full.shape, bool)
-                fresh[some] = True
-                dist, ok = np.concatenate([dist, full], axis=1), np.concatenate([ok, fresh], axis=1)
-                every = np.broadcast_to(ids[s:e], full.shape)
-                cid = every if cid is None else np.concatenate([cid, every], axis=1)
-                first = np.lexsort((cid, dist, ~ok), axis=1)[:, :k]
-                dist, cid, ok = (np.take_along_axis(v, first, axis=1) for v in (dist, cid, ok))
-                if dist.shape[1] == k:
-                    last = np.sqrt(np.where(ok[:, -1] & ~np.isnan(dist[:, -1]), dist[:, -1], np.inf))
-                    limit = np.minimum(limit, last * (1 + _SLACK))
+                self.compared += len(some) * (e - s)
+                i, j = _maybe_near(q[some], rows[s:e], lengths[s:e], limit[some], k)
+                row, dist = np.concatenate([row, some[i]]), np.concatenate([dist, _of_pairs(q[some[i]], rows[s + j])])
+                cid = ids[s + j] if cid is None else np.concatenate([cid, ids[s + j]])
+                order = np.lexsort((cid, dist, row))
+                rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+                row, dist, cid = (v[order[rank < k]] for v in (row, dist, cid))
+                last = rank[rank < k] == k - 1
+                found, worst = row[last], np.where(np.isnan(dist[last]), np.inf, dist[last])
+                limit[found] = np.minimum(limit[found], np.sqrt(worst) * (1 + _SLACK))
         if cid is None:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (*kinds, pa.float64())], names=["qid", "cid", "dist"])
-        row, col = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(mine[row])), pa.array(cid[row, col].tolist(), kinds[1]), pa.array(dist[row, col])],
+        return pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(mine[row])), pa.array(cid.tolist(), kinds[1]), pa.array(dist)],
                                           names=["qid", "cid", "dist"])
 
 
-def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_corpus: int, corpus_slice: int, max_pivots: int, compared) -> DataFrame:
+def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_queries: int, n_corpus: int, corpus_slice: int, max_pivots: int, compared) -> DataFrame:
     """Partial neighbour lists ``(qid, cid, dist)`` over the first ``width``
     entries; all vectors of a side have one length."""
     spark = q.sparkSession
+    # about four tasks a core: groups of corpus rows times blocks of queries, so that neither side is copied often
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    corpus_slice = min(corpus_slice, max(_LEAST_SLICE, math.ceil(n_corpus / math.sqrt(tasks))))
     qid, cid = q.schema["qid"].dataType.simpleString(), c.schema["cid"].dataType.simpleString()
     n_pivots = max(1, min(max_pivots, math.ceil(math.sqrt(n_corpus))))
     sample = c.orderBy(F.xxhash64("cid"), "cid").limit(4 * n_pivots).select("vec").collect()  # bounded
@@ -230,13 +265,17 @@ def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_corpus: int,
         size += n
         if parts_of[i] > 1:
             groups, size = groups + int(parts_of[i]), 0
+    groups += 1
+    blocks = max(1, min(math.ceil(tasks / groups), math.ceil(n_queries / _QUERY_BLOCK)))
     shared = spark.sparkContext.broadcast((cells, group_of, parts_of))
 
     def numbers(v: np.ndarray):
         return F.array(*[F.lit(int(x)) for x in v])
 
     part = F.pmod(F.xxhash64("cid"), F.element_at(numbers(parts_of), F.col("cell") + 1).cast("bigint")).cast("int")
-    right = corpus.select((F.element_at(numbers(group_of), F.col("cell") + 1) + part).cast("int").alias("g"), F.lit(0).alias("side"), F.lit(None).cast(qid).alias("qid"), "cid", "vec", "cell", "d")
+    group = F.element_at(numbers(group_of), F.col("cell") + 1) + part
+    every = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: (group * blocks + b).cast("int"))
+    right = corpus.select(F.explode(every).alias("g"), F.lit(0).alias("side"), F.lit(None).cast(qid).alias("qid"), "cid", "vec", "cell", "d")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, group, parts = shared.value
@@ -253,7 +292,8 @@ def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_corpus: int,
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.int32)), *[batch.column(n).take(pa.array(pairs[0])) for n in ("qid", "vec")], pa.array(bound[pairs[0]])], names=["g", "qid", "vec", "d"])
 
     left = q.mapInArrow(sent, f"g int, qid {qid}, vec array<double>, d double")
-    left = left.select("g", F.lit(1).alias("side"), "qid", F.lit(None).cast(cid).alias("cid"), "vec", F.lit(None).cast("int").alias("cell"), "d")
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    left = left.select((F.col("g") * blocks + block).cast("int").alias("g"), F.lit(1).alias("side"), "qid", F.lit(None).cast(cid).alias("cid"), "vec", F.lit(None).cast("int").alias("cell"), "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, None
@@ -272,7 +312,7 @@ def _knn_of_width(q: DataFrame, c: DataFrame, k: int, width: int, n_corpus: int,
                     if compared is not None:
                         compared.add(group.compared - before)
 
-    rows = right.unionByName(left).repartition("g").sortWithinPartitions("g", "side")
+    rows = right.unionByName(left).repartition(groups * blocks, "g").sortWithinPartitions("g", "side")
     return rows.mapInArrow(run, f"qid {qid}, cid {cid}, dist double")
 
 
@@ -296,8 +336,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
     c = corpus.select(F.col(corpus_key).alias("cid"), F.col(corpus_vector or vector).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
     q, c = materialize(q, "knn-queries"), materialize(c, "knn-corpus")
     widths = [{r.w: r["count"] for r in d.groupBy(F.size("vec").alias("w")).count().collect()} for d in (q, c)]
-    parts = [_knn_of_width(q.where(F.size("vec") == a), c.where(F.size("vec") == b), k, min(a, b), n, corpus_slice, max_pivots, compared)
-             for a in sorted(widths[0]) for b, n in sorted(widths[1].items())]
+    parts = [_knn_of_width(q.where(F.size("vec") == a), c.where(F.size("vec") == b), k, min(a, b), m, n, corpus_slice, max_pivots, compared)
+             for a, m in sorted(widths[0].items()) for b, n in sorted(widths[1].items())]
     if not parts:
         parts = [q.sparkSession.createDataFrame([], f"qid {q.schema['qid'].dataType.simpleString()}, cid {c.schema['cid'].dataType.simpleString()}, dist double")]
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("cid").asc())

@@ -154,3 +154,29 @@ def test_knn_with_entries_that_are_not_finite(spark):
     for r in knn(q, c, 6, max_pivots=2).collect():
         got.setdefault(r.qid, []).append((r.rank, r.pos, r.dist))
     assert [p for _, p, _ in sorted(got[0])][:3] == [0, 4, 3] and all(len(v) == 6 for v in got.values())
+
+
+def test_pairs_left_out_by_the_product_are_no_neighbours():
+    from tallyframe.operators.retrieval import _lengths, _maybe_near, _of_pairs, _squared
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.normal(size=(400, 8)), np.full((3, 8), 1e8) + rng.normal(size=(3, 8)), [[np.nan] * 8, [np.inf] * 8]])
+    rows[50:60] = rows[0]
+    q = rows[[0, 5, 400, 403]]
+    d = _squared(q, rows)
+    i, j = _maybe_near(q, rows, _lengths(rows), np.full(len(q), np.inf), 5)
+    near = set(zip(i.tolist(), j.tolist(), strict=True))
+    for a in range(len(q)):
+        kth = np.sort(d[a])[4]
+        assert all((a, b) in near for b in range(len(rows)) if not d[a, b] > kth)
+    assert len([1 for a, _ in near if a == 1]) < 20  # only those are compared by the exact formula
+    assert np.array_equal(_of_pairs(q[i], rows[j]), d[i, j], equal_nan=True)
+
+
+def test_a_large_query_side_meets_the_corpus_in_many_tasks(spark):
+    n = 10_000
+    e = spark.range(n).select(F.col("id").alias("pos"), F.array((F.col("id") % 100).cast("double"), F.floor(F.col("id") / 100).cast("double")).alias("embedding"))
+    r = knn(e.withColumnRenamed("pos", "qid"), e, 2)
+    assert "Exchange hashpartitioning(g" in r._jdf.queryExecution().toString() and r.count() == 2 * n
+    assert r.where("rank = 1 and qid <> pos").count() == 0 and r.where("rank = 2 and dist <> 1").count() == 0
+    parts = [line for line in r._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression [g" in line]
+    assert int(parts[0].rsplit(",", 1)[-1].strip(" ]")) >= 4
