@@ -512,10 +512,10 @@ def canonical_keys(config: DataFrame, aliases: DataFrame, entity: str = "entity"
                    value: str = "value", value_maps: dict | None = None) -> DataFrame:
     """Ordered alias list -> one canonical key per entity; the first
     present alias (lowest priority number) wins; absent keys are omitted.
-    ``aliases`` = (alias, canonical, priority) - a small dimension the
-    optimizer may broadcast. Canonical keys with enumerated values are mapped
+    ``aliases`` = (alias, canonical, priority) - a small dimension, broadcast,
+    as few keys would make few and large tasks of a shuffle. Canonical keys with enumerated values are mapped
     (``value_maps``); an unknown value is flagged ``invalid``."""
-    j = config.join(aliases, config[key] == aliases["alias"], "inner")
+    j = config.join(F.broadcast(aliases), config[key] == aliases["alias"], "inner")
     r = j.groupBy(entity, "canonical").agg(F.min_by(F.col(value), F.col("priority")).alias(value),
                                           F.min_by(F.col("alias"), F.col("priority")).alias("alias"))
     maps = value_maps if value_maps is not None else HPARAM_VALUES
@@ -605,6 +605,10 @@ def content_hashes(df: DataFrame, data: str = "data") -> DataFrame:
     return df.withColumn("sha1", F.sha1(F.col(data))).withColumn("sha256", F.sha2(F.col(data), 256))
 
 
+#: Positions of a model below which its digests are taken in one task.
+WHOLE = 65_536
+
+
 def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", fan: int = 4096) -> DataFrame:
     """A8 re-aimed: a tree digest per model. A level's digests fall into
     groups of ``fan`` positions, and each group becomes the sha-256 of its
@@ -613,11 +617,16 @@ def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", fa
     more than ``fan`` digests. The number of levels of a model depends on its
     largest position (from 0) alone. Not byte-compatible with a sequential
     whole-file digest."""
-    top = df.groupBy(model).agg(F.max(F.col(pos)).cast("bigint").alias("__top"))
-    d = df.select(model, F.col(pos).cast("bigint").alias("__at"), F.col(digest).alias("__d")).join(top, model)
-    largest, level = top.agg(F.max("__top")).first()[0], 0
-    while level == 0 or (largest or 0) > 0:
-        if level:
+    d = df.select(model, F.col(pos).cast("bigint").alias("__at"), F.col(digest).alias("__d")).where(F.col(model).isNotNull())
+    largest, level = d.agg(F.max("__at")).first()[0] or 0, 0
+    # models of few positions lie whole in a task, so every level follows in place after one shuffle by model
+    whole = largest < WHOLE
+    if whole:
+        d = d.withColumn("__top", F.max("__at").over(Window.partitionBy(model)))
+    else:
+        d = d.join(d.groupBy(model).agg(F.max("__at").alias("__top")), model)
+    while level == 0 or largest > 0:
+        if level and not whole:
             d = materialize(d, "digest-level")
         unit = F.lit(1) if level == 0 else F.when(F.col("__top") > 0, F.lit(1)).otherwise(F.lit(0))
         group = F.floor(F.col("__at") / fan)
@@ -625,7 +634,7 @@ def model_digest(df: DataFrame, model: str, pos: str, digest: str = "sha256", fa
         d = d.withColumn("__open", unit == 1).groupBy(model, "__open", "__top", group.alias("__at")).agg(
             F.when(F.col("__open"), one).otherwise(F.max("__d")).alias("__d"))
         d = d.select(model, "__at", "__d", F.floor(F.col("__top") / fan).alias("__top"))
-        largest, level = (largest or 0) // fan, level + 1
+        largest, level = largest // fan, level + 1
     return d.select(model, F.col("__d").alias("model_sha256"))
 
 
@@ -668,6 +677,8 @@ def complete_groups(parts: DataFrame, n: int, projections: Sequence[str], block:
 # ----------------------------------------------------------- windows
 #: Ranks of a model that one window holds.
 RANKS = 4096
+#: Tensors of a model up to which its shards are folded in one row.
+FOLD = 1024
 
 
 def _next_starts(t: DataFrame, max_tensors: int, max_bytes: int) -> DataFrame:
@@ -711,7 +722,8 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     limit; ``small_first`` keeps shard 0 empty (metadata only). ``pos`` must be
     unique within a model; null sizes are 0.
 
-    The fold is a chain of jumps: every rank has a successor, the start of the
+    A model of up to ``FOLD`` tensors is folded in one row. For a larger one
+    the fold is a chain of jumps: every rank has a successor, the start of the
     next shard if a shard started there, found by a merge of prefix sums with
     prefix sums plus the limit. The ranks that the chain from the first one
     visits are found by pointer doubling: in each round the starts known so far
@@ -721,28 +733,64 @@ def plan_shards(tensors: DataFrame, model: str, pos: str, nbytes: str, max_tenso
     base = 1 if small_first else 0
     if not max_tensors and not max_bytes:
         return tensors.withColumn("shard", F.lit(base).cast("bigint"))
-    slim = tensors.select(F.col(model).alias("m"), F.col(pos).alias("p"), F.coalesce(F.col(nbytes), F.lit(0)).cast("bigint").alias("bytes"), F.lit(1).alias("one"))
+    slim = tensors.select(F.col(model).alias("m"), F.col(pos).alias("p"), F.col(nbytes).alias("bytes")).where("m is not null and p is not null")
+    slim = materialize(slim, "shard-tensors")
+    large = materialize(slim.groupBy("m").count().where(F.col("count") > FOLD).select("m"), "shard-models")  # few: each has many rows
+    if not large.take(1):
+        numbered = _folded_shards(slim, max_tensors, max_bytes)
+    else:
+        some = slim.join(large, "m", "left_semi")
+        jumped = some.join(_jumped_shards(some, max_tensors, max_bytes), ["m", "p"])
+        numbered = _folded_shards(slim.join(large, "m", "left_anti"), max_tensors, max_bytes).unionByName(jumped)
+    numbered = numbered.select(F.col("m").alias(model), F.col("p").alias(pos), F.col("bytes").alias(nbytes), (F.col("shard") + base).cast("bigint").alias("shard"))
+    if set(tensors.columns) == {model, pos, nbytes}:
+        return numbered.select(*tensors.columns, "shard")
+    return tensors.join(numbered.drop(nbytes), [model, pos], "inner")
+
+
+def _folded_shards(slim: DataFrame, max_tensors: int, max_bytes: int) -> DataFrame:
+    """Shards from 0 of models of few tensors: the greedy rule itself, as a
+    fold over a model's sorted sizes."""
+    def step(acc, x):
+        size = F.coalesce(x["bytes"], F.lit(0)).cast("bigint")
+        full = F.lit(False)
+        if max_tensors:
+            full = full | (acc["n"] >= max_tensors)
+        if max_bytes:
+            full = full | (acc["sum"] + size > max_bytes)
+        opens = (acc["n"] > 0) & full
+        shard = acc["shard"] + F.when(opens, 1).otherwise(0)
+        return F.struct(shard.alias("shard"), F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"),
+                        F.when(opens, size).otherwise(acc["sum"] + size).alias("sum"), F.concat(acc["out"], F.array(shard)).alias("out"))
+
+    rows = slim.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("p", "bytes"))).alias("rows"))
+    none = F.struct(F.lit(0).alias("shard"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("out"))
+    numbered = F.zip_with("rows", F.aggregate("rows", none, step, lambda acc: acc["out"]), lambda r, k: F.struct(r["p"].alias("p"), r["bytes"].alias("bytes"), k.alias("shard")))
+    # a plain explode would be preceded by a filter on its array, and so by the fold once more
+    return rows.select("m", F.explode_outer(numbered).alias("r")).select("m", "r.p", "r.bytes", F.col("r.shard").cast("bigint").alias("shard"))
+
+
+def _jumped_shards(slim: DataFrame, max_tensors: int, max_bytes: int) -> DataFrame:
+    """``(m, p, shard)`` from 0 for models of any number of tensors."""
+    slim = slim.select("m", "p", F.coalesce(F.col("bytes"), F.lit(0)).cast("bigint").alias("bytes"), F.lit(1).alias("one"))
     by = F.floor(F.col("p") / RANKS)
     ranked = running_agg(slim, ["m"], ["p"], "one", by, "rank", "sum")
     if not max_bytes:
-        numbered = ranked.select("m", "p", (F.floor((F.col("rank") - 1) / max_tensors) + base).alias("shard"))
-    else:
-        t = materialize(running_agg(ranked, ["m"], ["p"], "bytes", by, "sum", "sum").drop("one"), "shard-ranks")
-        jump = materialize(_next_starts(t, max_tensors, max_bytes), "shard-jumps")
-        found = [t.where("rank = 1").select("m", F.col("rank").alias("s"))]
-        while True:
-            known = reduce(DataFrame.unionAll, found)
-            new = materialize(known.join(jump, ["m", "s"]).select("m", F.col("t").alias("s")), "shard-starts")
-            if not new.take(1):
-                break
-            found.append(new)
-            twice = jump.select("m", F.col("s").alias("t"), F.col("t").alias("u"))
-            jump = materialize(jump.join(twice, ["m", "t"]).select("m", "s", F.col("u").alias("t")), "shard-jumps")
-        starts = reduce(DataFrame.unionAll, found).select("m", F.col("s").alias("rank"), F.lit(1).alias("start"))
-        opened = t.join(starts, ["m", "rank"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
-        numbered = running_agg(opened, ["m"], ["rank"], "start", F.floor(F.col("rank") / RANKS), "k", "sum").select("m", "p", (F.col("k") - 1 + base).alias("shard"))
-    numbered = numbered.select(F.col("m").alias(model), F.col("p").alias(pos), F.col("shard").cast("bigint").alias("shard"))
-    return tensors.join(numbered, [model, pos], "inner")
+        return ranked.select("m", "p", F.floor((F.col("rank") - 1) / max_tensors).alias("shard"))
+    t = materialize(running_agg(ranked, ["m"], ["p"], "bytes", by, "sum", "sum").drop("one"), "shard-ranks")
+    jump = materialize(_next_starts(t, max_tensors, max_bytes), "shard-jumps")
+    found = [t.where("rank = 1").select("m", F.col("rank").alias("s"))]
+    while True:
+        known = reduce(DataFrame.unionAll, found)
+        new = materialize(known.join(jump, ["m", "s"]).select("m", F.col("t").alias("s")), "shard-starts")
+        if not new.take(1):
+            break
+        found.append(new)
+        twice = jump.select("m", F.col("s").alias("t"), F.col("t").alias("u"))
+        jump = materialize(jump.join(twice, ["m", "t"]).select("m", "s", F.col("u").alias("t")), "shard-jumps")
+    starts = reduce(DataFrame.unionAll, found).select("m", F.col("s").alias("rank"), F.lit(1).alias("start"))
+    opened = t.join(starts, ["m", "rank"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    return running_agg(opened, ["m"], ["rank"], "start", F.floor(F.col("rank") / RANKS), "k", "sum").select("m", "p", (F.col("k") - 1).alias("shard"))
 
 
 def aligned_offsets(tensors: DataFrame, keys: list[str], pos: str, nbytes: str,

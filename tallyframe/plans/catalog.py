@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import catalog as C
-from tallyframe.plans.common import t
+from tallyframe.plans.common import spread, t
 from tallyframe.session import materialize
 
 # Role names of the stand-in and their checkpoint-side names.
@@ -129,9 +129,9 @@ def dups(spark, sf_dir):
 
 def shards(spark, sf_dir):
     s = _with_sizes(spark, sf_dir).select("model", "pos", "n_bytes")
-    # the plan feeds three consumers (numbering, offsets, output): write it once
+    # the plan feeds three consumers (numbering, offsets, output): write it once, and shuffle it once for them
     plan = materialize(C.plan_shards(s, "model", "pos", "n_bytes", SHARD_MAX_TENSORS, SHARD_MAX_BYTES),
-                       "shard-plan")
+                       "shard-plan").repartition("model")
     numbered = C.shard_numbering(plan, "model", "shard")
     off = C.aligned_offsets(numbered, ["model", "shard"], "pos", "n_bytes")
     return off.select("model", "pos", "shard", "split_no", "split_count", "split_tensors_count", "offset")
@@ -212,8 +212,12 @@ def special_tokens(spark, sf_dir):
     return C.resolve_special(types, added, 60).select("type", "content", "id", "invalid")
 
 
+#: A part becomes up to ten members, which the task sorts.
+PARTS_A_TASK = 100_000
+
+
 def canonical(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
+    p = spread(t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"), "p_partkey", PARTS_A_TASK)
     cfg = p.select(F.col("p_partkey").alias("entity"), F.explode(F.create_map(
         F.lit("hidden_size"), F.col("p_size").cast("string"),
         F.lit("n_embd"), F.when(F.col("p_size") > 25, (F.col("p_size") * 2).cast("string")),

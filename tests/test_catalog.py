@@ -202,3 +202,50 @@ def test_vocabulary_types_by_look_only_for_added_tokens(spark):
     k = C.TOKTYPE
     assert got == {0: ("<|x|>", k["NORMAL"]), 1: ("<|y|>", k["CONTROL"]), 2: (" z", k["USER_DEFINED"]), 3: ("<0x0A>", k["NORMAL"]), 4: ("[PAD4]", k["UNUSED"])}
     assert {r.id: r.toktype for r in C.densify_vocab(spark, t, 5, bytes_by_look=True).collect()}[3] == k["BYTE"]
+
+
+def test_small_models_are_folded_and_large_ones_jumped(spark, monkeypatch):
+    import random
+    rng = random.Random(5)
+    rows = [(m, p * 3 + 1, rng.choice([None, 0, 3, 7, 12, 40]), f"t{p}") for m in range(12) for p in range(m)]
+    df = spark.createDataFrame(rows, "model long, pos long, n_bytes long, name string")
+
+    def fold(max_tensors, max_bytes):
+        out, shard, n, used, at = {}, 0, 0, 0, None
+        for m, p, b, _ in sorted(rows, key=lambda r: r[:2]):
+            if m != at:
+                at, shard, n, used = m, 0, 0, 0
+            if n and (max_tensors and n >= max_tensors or max_bytes and used + (b or 0) > max_bytes):
+                shard, n, used = shard + 1, 0, 0
+            n, used = n + 1, used + (b or 0)
+            out[m, p] = (b, shard)
+        return out
+    for limits in ((3, 20), (0, 20), (2, 0)):
+        for small in (1024, 5):  # all folded; models of more than five tensors jumped
+            monkeypatch.setattr(C, "FOLD", small)
+            got = C.plan_shards(df, "model", "pos", "n_bytes", *limits)
+            assert got.columns[-1] == "shard" and {(r.model, r.pos): (r.n_bytes, r.shard) for r in got.collect()} == fold(*limits)
+    # nothing but small models: one shuffle by model, no doubling rounds
+    monkeypatch.setattr(C, "FOLD", 1024)
+    monkeypatch.setattr(C, "_jumped_shards", None)
+    assert C.plan_shards(df.drop("name"), "model", "pos", "n_bytes", 3, 20).count() == len(rows)
+
+
+def test_digests_of_small_models_take_one_shuffle(spark, monkeypatch):
+    rows = [(m, p, f"{m}-{p}") for m in range(9) for p in range(0, m + 1, 1 + m % 2)] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows, "model long, pos long, sha256 string")
+    whole = C.model_digest(df, "model", "pos", fan=2)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r.model: r.model_sha256 for r in whole.collect()}
+    monkeypatch.setattr(C, "WHOLE", 0)
+    assert got == {r.model: r.model_sha256 for r in C.model_digest(df, "model", "pos", fan=2).collect()} and set(got) == set(range(9))
+
+
+def test_members_of_many_parts_are_sorted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from tallyframe.plans import catalog as PC
+    monkeypatch.setattr(PC, "PARTS_A_TASK", 50, raising=False)
+    spark.range(300).selectExpr("id as p_partkey", "int(id % 50) as p_size", "'SMALL' as p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = PC.canonical(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 6
+    assert out.where("entity = 7 and canonical = 'embedding_length'").first().value == "7"
