@@ -37,8 +37,8 @@ def py_fixed(x: Column, d: int) -> Column:
 
         def rounded(pe):
             fl = F.floor(pe["p"])
-            frac = (pe["p"] - fl) + pe["e"]   # exact value = fl + frac
-            up = (frac > 0.5) | ((frac == 0.5) & ((fl % 2) == 1))
+            over = ((pe["p"] - fl) - 0.5) + pe["e"]   # exact value = fl + 0.5 + over; its sign is exact, as 0.5 goes first
+            up = (over > 0) | ((over == 0) & ((fl % 2) == 1))
             return F.when(up, fl + 1).otherwise(fl).cast("bigint").cast("string")
         return let(F.struct(p.alias("p"), err.alias("e")), rounded)
 
